@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing
+from . import language_id, licenses, mixing
 from ._store import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(spark, docs, keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -19,7 +24,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_mixing, op8_license_scan)}
+    return {f.__name__: f for f in (op2_language_id, op5_mixing, op8_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
