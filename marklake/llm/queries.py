@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, licenses, mixing, quality
+from . import language_id, licenses, mixing, near_dedup, quality
 from ._store import table
 
 
@@ -23,13 +23,17 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(spark, docs, table(spark, sf_dir, "labels"), keep_text=False).select("doc_id", "held_out", "score", "predicted")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op5_mixing, op8_license_scan, op10_quality)}
+    return {f.__name__: f for f in (op2_language_id, op5_mixing, op8_license_scan, op9_near_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
