@@ -126,3 +126,29 @@ def arrow_map(df, function, schema: str, columns: list[str] | None = None):
                 yield from function(batch)
 
     return source.mapInArrow(work, schema)
+
+
+def cut_groups(batches, key: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Tables of whole groups, with first row and length of each, from batches sorted by ``key``.
+
+    Only the group that the last rows belong to waits for the next batch.
+    """
+    rest: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        if rest and k[-1] == last:
+            rest.append(batch)
+            continue
+        cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
+        t = pa.Table.from_batches([*rest, batch.slice(0, cut)])
+        if t.num_rows:
+            first, count = runs(t.column(key).to_numpy())
+            yield t, first, count
+        rest, last = [batch.slice(cut)], k[-1]
+    if rest:
+        t = pa.Table.from_batches(rest)
+        first, count = runs(t.column(key).to_numpy())
+        yield t, first, count

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._bytes import mix64, rows_of, runs, slices, words
+from ._bytes import cut_groups, mix64, rows_of, slices, words
 from ._components import components
 from ._store import Workspace
 
@@ -211,21 +211,12 @@ def _across(members: DataFrame, floor: float) -> DataFrame:
         return a, b
 
     def work(batches):
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            g = t.column("g").to_numpy()
-            cut = int(np.searchsorted(g, g[-1])) if len(g) else 0
-            rest = t.slice(cut)
-            if cut:
-                yield from cut_out(t.slice(0, cut), g[:cut])
-        if rest is not None and len(rest):
-            yield from cut_out(rest, rest.column("g").to_numpy())
-
-    def cut_out(t, g):
+        for t, first, count in cut_groups(batches, "g"):
+            yield from cut_out(t, first, count)
+
+    def cut_out(t, first, count):
         ids, comp, late, two = (t.column(c).to_numpy() for c in ("id", "comp", "late", "two"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), K)
-        first, count = runs(g)
         a, b = [], []
         for i, n in zip(first.tolist(), count.tolist()):
             at = slice(i, i + n)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, licenses, mixing, near_dedup, quality
+from . import embedding_dedup, language_id, licenses, mixing, near_dedup, quality
 from ._store import table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify(spark, docs, keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
@@ -33,7 +37,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op5_mixing, op8_license_scan, op9_near_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_language_id, op5_mixing, op8_license_scan, op9_near_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
