@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, language_id, licenses, mixing, near_dedup, quality
+from . import decontaminate, embedding_dedup, language_id, licenses, mixing, near_dedup, quality
 from ._store import table
 
 
@@ -17,6 +17,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark, docs, keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -37,7 +41,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_language_id, op5_mixing, op8_license_scan, op9_near_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_language_id, op4_decontamination, op5_mixing, op8_license_scan, op9_near_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
