@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, language_id, licenses, mixing, near_dedup, quality
-from ._store import table
+from . import decontaminate, embedding_dedup, language_id, licenses, mixing, near_dedup, quality, warc
+from ._store import Workspace, table
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark, docs, keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = Workspace(spark, "archive").path
+    warc.write(spark, table(spark, sf_dir, "pages"), out)
+    return warc.read(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,7 +47,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_language_id, op4_decontamination, op5_mixing, op8_license_scan, op9_near_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_language_id, op3_warc, op4_decontamination, op5_mixing, op8_license_scan, op9_near_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
