@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, language_id, licenses, mixing, near_dedup, quality, suffix_tree, warc
+from . import decontaminate, embedding_dedup, html_text, language_id, licenses, mixing, near_dedup, quality, suffix_tree, warc
 from ._store import Workspace, table
 
 
@@ -36,6 +36,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark, table(spark, sf_dir, "pages"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -51,7 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_language_id, op3_warc, op4_decontamination, op5_mixing, op6_lm_scoring, op8_license_scan, op9_near_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_language_id, op3_warc, op4_decontamination, op5_mixing, op6_lm_scoring, op7_html_text, op8_license_scan, op9_near_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
