@@ -8,7 +8,8 @@ a probability equal to their weighted Jaccard similarity.  The number of darts t
 generate does not grow with ``k`` times the length of the text, only with their sum.
 
 Equal texts are merged first.  Texts that share a band of coordinates are
-candidates.  Within a band a text is paired with the first text of the band only;
+candidates.  Within a band a text is paired with one text of the band only, in large
+bands with the most central one;
 after those links are verified, bands whose texts still lie in several components
 are searched again, this time for every pair across components whose signatures
 could belong to similar texts.  So no group is expanded into all its pairs and no
@@ -37,7 +38,9 @@ BANDS, PER_BAND = 16, 4
 K = BANDS * PER_BAND
 FIRST_SLAB = -4  # ranks below 2**-4 are one slab; later slabs double
 TILE = 1000  # texts of a band that one task compares with another such tile
-SLACK = 0.25  # estimated similarities may fall so far below the exact one (5 standard deviations)
+SLACK = 0.2  # estimated similarities may fall so far below the exact one (4 standard deviations)
+SMALL = 8  # bands of fewer texts are tied to their first text
+SLOTS = 1 << 20  # slots of the set that sifts texts before they are shuffled; its size does not depend on the data
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _KEYS = mix64(np.arange(1, 65, dtype=np.uint64) * _GOLD)
@@ -133,25 +136,53 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sign(docs: DataFrame) -> DataFrame:
-    """``(id, digest, n, bands, sig)``; bands are 64-bit keys, sig the low 32 bits of the darts."""
+    """``(id, digest, n, sig)``; sig holds the low 16 bits of every dart."""
     kind = dict(docs.dtypes)["id"]
 
     def work(batches):
         for batch in batches:
             for part, data, at in slices(batch, "text"):
                 e, off = shingles(data, at)
-                sig = signatures(e, off)
-                keys = np.zeros((len(sig), BANDS), np.uint64)
-                for j in range(PER_BAND):
-                    keys = mix64(keys * _GOLD + sig[:, j::PER_BAND])
-                keys = mix64(keys + _KEYS[:BANDS])
-                low = (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                n = np.diff(off)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), flat, pa.array([x.tobytes() for x in low], pa.binary())], ["id", "digest", "n", "bands", "sig"])
+                low = (signatures(e, off) & np.uint64(0xFFFF)).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(off).astype(np.int64)), pa.array([x.tobytes() for x in low], pa.binary())], ["id", "digest", "n", "sig"])
 
-    digest = F.coalesce(F.sha1(F.col("text").cast("binary")), F.lit(""))
-    return docs.select("id", digest.alias("digest"), "text").mapInArrow(work, f"id {kind}, digest string, n long, bands array<long>, sig binary")
+    digest = F.coalesce(F.unhex(F.sha1(F.col("text").cast("binary"))), F.lit(b""))
+    return docs.select("id", digest.alias("digest"), "text").mapInArrow(work, f"id {kind}, digest binary, n long, sig binary")
+
+
+def band_keys(sig) -> list:
+    """One key for each band of ``PER_BAND`` coordinates."""
+    size = 2 * PER_BAND
+    return [F.xxhash64(F.lit(b), F.substring(sig, 1 + size * b, size)) for b in range(BANDS)]
+
+
+def _heads(members: DataFrame) -> DataFrame:
+    """Pairs that tie the texts of a large band to its most central text.
+
+    ``members`` is ``(key, head, id, sig, tile)``.  In each tile the text whose
+    signature agrees best with the most frequent darts takes all others; the tiles'
+    central texts are tied to the band's first text.
+    """
+    kind = dict(members.dtypes)["id"]
+    rows = members.select(F.xxhash64("key", "tile").alias("g"), "id", "head", "sig").repartition("g").sortWithinPartitions("g", "id")
+
+    def work(batches):
+        for t, first, count in cut_groups(batches, "g"):
+            ids, head = t.column("id").to_numpy(), t.column("head").to_numpy()
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(ids), K)
+            a, b = [], []
+            for i, n in zip(first.tolist(), count.tolist()):
+                own = sig[i : i + n]
+                votes = np.zeros(n)
+                for j in range(K):
+                    _, inverse, often = np.unique(own[:, j], return_inverse=True, return_counts=True)
+                    votes += often[inverse]
+                center = ids[i + int(votes.argmax())]
+                a.append(np.append(np.full(n, center), head[i]))
+                b.append(np.append(ids[i : i + n], center))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), t.schema.field("id").type), pa.array(np.concatenate(b), t.schema.field("id").type)], ["a", "b"])
+
+    return rows.mapInArrow(work, f"a {kind}, b {kind}")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -189,12 +220,12 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def _across(members: DataFrame, floor: float) -> DataFrame:
     """Pairs ``(a, b)`` of different components within one band whose signatures agree in a share of ``floor`` or more.
 
-    ``members`` is ``(band, key, id, comp, sig, tile, tiles)``.  A band of many texts
+    ``members`` is ``(key, id, comp, sig, tile, tiles)``.  A band of many texts
     is cut into tiles; each pair of tiles is one group, so a task never holds more
     than two tiles.
     """
-    spread = members.select("band", "key", "id", "comp", "sig", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    group = F.xxhash64("band", "key", F.least("tile", "other"), F.greatest("tile", "other"))
+    spread = members.select("key", "id", "comp", "sig", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    group = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
     spread = spread.select(group.alias("g"), "id", "comp", "sig", (F.col("tile") > F.col("other")).cast("int").alias("late"), (F.col("tile") != F.col("other")).alias("two"))
     kind = dict(members.dtypes)["id"]
     # rows of one pair of tiles stand together, so groups are cut out of the sorted stream
@@ -216,7 +247,7 @@ def _across(members: DataFrame, floor: float) -> DataFrame:
 
     def cut_out(t, first, count):
         ids, comp, late, two = (t.column(c).to_numpy() for c in ("id", "comp", "late", "two"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), K)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(ids), K)
         a, b = [], []
         for i, n in zip(first.tolist(), count.tolist()):
             at = slice(i, i + n)
@@ -235,25 +266,32 @@ def classes(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = ws.save(_sign(base), "signed")
     # one row for every different text
-    texts_of = signed.groupBy("digest").agg(F.min("id").alias("text_id"))
-    unique = signed.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).where("n > 0 AND id IS NOT NULL")
-    unique = ws.save(unique.select("id", "n", "bands", "sig"), "unique")
-    banded = unique.select("id", F.posexplode("bands").alias("band", "key"))
-    groups = banded.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
+    texts_of = ws.save(signed.groupBy("digest").agg(F.min("id").alias("text_id")), "texts_of")
+    unique = signed.where("n > 0").join(texts_of.where("text_id IS NOT NULL"), "digest").where("id = text_id")
+    unique = ws.save(unique.select("id", "sig").groupBy("id").agg(F.min("sig").alias("sig")), "unique")
+    banded = unique.select("id", "sig", F.explode(F.array(*band_keys(F.col("sig")))).alias("key"))
+    groups = banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
     groups = ws.save(groups, "groups")
-    star = banded.join(groups, ["band", "key"]).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    tile_of = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / TILE).cast("int")).cast("int")
+    small = banded.select("key", "id").join(groups.where(F.col("size") < SMALL), "key").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    large = banded.join(groups.where(F.col("size") >= SMALL), "key").select("key", "head", "id", "sig", tile_of.alias("tile"))
+    star = small.unionAll(_heads(large)).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     star = ws.save(star, "star")
     involved = star.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = ws.save(base.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    slots = involved.select(slot("id").alias("slot")).distinct()  # at most SLOTS rows
+    sifted = base.join(F.broadcast(slots), slot("id") == F.col("slot"), "left_semi")
+    texts = ws.save(sifted.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
     links = ws.save(_verify(star, texts, similarity), "links")
     comp = ws.save(components(ws, links, "first"), "comp")
 
     # second search: bands that still hold several components
-    named = banded.join(groups, ["band", "key"]).join(comp, "id", "left").select("band", "key", "id", "size", F.coalesce("component", "id").alias("comp"))
-    mixed = named.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("band", "key")
+    named = banded.select("key", "id").join(groups, "key").join(comp, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp"))
+    named = ws.save(named, "named")
+    mixed = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    members = named.join(mixed, ["band", "key"], "left_semi").join(unique.select("id", "sig"), "id")
-    members = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    members = named.join(mixed, "key", "left_semi").join(unique.select("id", "sig"), "id")
+    members = members.withColumn("tiles", tiles).withColumn("tile", tile_of)
     more = _across(members, similarity - SLACK).distinct().join(star, ["a", "b"], "left_anti")
     more = ws.save(more, "more")
     extra = ws.save(_verify(more, texts, similarity), "extra")
@@ -263,7 +301,7 @@ def classes(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_
     comp = comp.select(F.col("id").alias("text_id"), "component")
     out = signed.select("id", "digest").join(texts_of, "digest").join(comp, "text_id", "left")
     class_id = F.coalesce("component", "text_id")
-    for name in ("groups", "star", "texts", "links", "more", "extra", "unique"):
+    for name in ("groups", "star", "texts", "links", "named", "more", "extra", "unique"):
         ws.drop(name)
     return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), "text_id", F.coalesce(F.col("id") == class_id, F.lit(False)).alias("kept"))
 
