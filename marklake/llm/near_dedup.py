@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._bytes import cut_groups, mix64, rows_of, slices, words
+from ._bytes import column_bytes, cut_groups, mix64, rows_of, slices, words
 from ._components import components
 from ._store import Workspace
 
@@ -39,6 +39,7 @@ K = BANDS * PER_BAND
 FIRST_SLAB = -4  # ranks below 2**-4 are one slab; later slabs double
 TILE = 1000  # texts of a band that one task compares with another such tile
 SLACK = 0.2  # estimated similarities may fall so far below the exact one (4 standard deviations)
+CROWD = 4  # groups with more candidate pairs than so many times their texts are checked on the spot
 SMALL = 8  # bands of fewer texts are tied to their first text
 SLOTS = 1 << 20  # slots of the set that sifts texts before they are shuffled; its size does not depend on the data
 
@@ -217,47 +218,109 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(work, f"a {kinds['a']}, b {kinds['b']}")
 
 
-def _across(members: DataFrame, floor: float) -> DataFrame:
-    """Pairs ``(a, b)`` of different components within one band whose signatures agree in a share of ``floor`` or more.
+def _spread(members: DataFrame) -> DataFrame:
+    """``members (key, band, id, comp, n, sig, tile, tiles)`` once for every pair of tiles that they are in.
 
-    ``members`` is ``(key, id, comp, sig, tile, tiles)``.  A band of many texts
-    is cut into tiles; each pair of tiles is one group, so a task never holds more
-    than two tiles.
+    A band of many texts is cut into tiles; each pair of tiles is one group ``g``, so a
+    task never needs more than two tiles at once.
     """
-    spread = members.select("key", "id", "comp", "sig", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    group = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
-    spread = spread.select(group.alias("g"), "id", "comp", "sig", (F.col("tile") > F.col("other")).cast("int").alias("late"), (F.col("tile") != F.col("other")).alias("two"))
-    kind = dict(members.dtypes)["id"]
-    # rows of one pair of tiles stand together, so groups are cut out of the sorted stream
-    spread = spread.repartition("g").sortWithinPartitions("g", "id")
-
-    def pairs_of(ids, comp, late, two, sig):
-        a, b = [], []
-        for i in range(len(ids)):
-            j = np.flatnonzero((comp != comp[i]) & (late > late[i] if two[i] else ids > ids[i]))
-            if len(j):
-                j = j[(sig[j] == sig[i]).mean(axis=1) >= floor]
-                a += [min(ids[i], x) for x in ids[j]]
-                b += [max(ids[i], x) for x in ids[j]]
-        return a, b
+    rows = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    g = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
+    return rows.select(g.alias("g"), "band", "id", "comp", "n", "sig", (F.col("tile") > F.col("other")).alias("late"), (F.col("tile") != F.col("other")).alias("two"))
+
+
+def _columns(t: pa.Table, at: slice) -> list[np.ndarray]:
+    part = t.slice(at.start, at.stop - at.start)
+    sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, K)
+    return [*(part.column(c).to_numpy() for c in ("id", "comp", "n", "late", "two", "band")), sig]
+
+
+def _candidates(ids, comp, n, late, two, band, sig, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components that may be similar: by size, by signature, and met in no earlier band."""
+    a, b = [], []
+    for i in range(len(ids)):
+        j = np.flatnonzero((comp != comp[i]) & (late > late[i] if two[i] else ids > ids[i]) & (n >= similarity * n[i]) & (similarity * n <= n[i]))
+        if not len(j):
+            continue
+        same = sig[j] == sig[i]
+        ok = same.mean(axis=1) >= similarity - SLACK
+        if band[i]:
+            ok &= ~same[:, : band[i] * PER_BAND].reshape(len(j), band[i], PER_BAND).all(axis=2).any(axis=1)
+        j = j[ok]
+        a.append(np.full(len(j), i))
+        b.append(j)
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def _across(spread: DataFrame, similarity: float) -> DataFrame:
+    """``(g, a, b)``: candidate pairs across components; a group with many of them gives one row ``(g, null, null)``."""
+    kind = dict(spread.dtypes)["id"]
+    rows = spread.repartition("g").sortWithinPartitions("g", "id")
 
     def work(batches):
         for t, first, count in cut_groups(batches, "g"):
-            yield from cut_out(t, first, count)
+            key, kind_of = t.column("g").to_numpy(), t.schema.field("id").type
+            g, a, b = [], [], []
+            for i, size in zip(first.tolist(), count.tolist()):
+                own = _columns(t, slice(i, i + size))
+                x, y = _candidates(*own, similarity)
+                if len(x) > CROWD * size:
+                    g.append(key[i])
+                    a.append(None)
+                    b.append(None)
+                elif len(x):
+                    g += [key[i]] * len(x)
+                    a += np.minimum(own[0][x], own[0][y]).tolist()
+                    b += np.maximum(own[0][x], own[0][y]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(a, kind_of), pa.array(b, kind_of)], ["g", "a", "b"])
+
+    return rows.mapInArrow(work, f"g long, a {kind}, b {kind}")
+
+
+def overlaps(elements: np.ndarray, at: np.ndarray, block: int = 4096) -> np.ndarray:
+    """Sizes of the multiset intersections of all pairs of rows."""
+    n = len(at) - 1
+    row = rows_of(at)
+    order = np.lexsort((elements, row))
+    e, r = elements[order], row[order]
+    new = np.ones(len(e), bool)
+    new[1:] = (e[1:] != e[:-1]) | (r[1:] != r[:-1])
+    nth = np.arange(len(e)) - np.maximum.accumulate(np.where(new, np.arange(len(e)), 0))
+    _, column, often = np.unique(mix64(e + nth.astype(np.uint64) * _GOLD), return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    column, r = column[shared], r[shared]
+    out = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, r = column[order], r[order]
+    _, column = np.unique(column, return_inverse=True)
+    for i in range(0, int(column[-1]) + 1 if len(column) else 0, block):
+        lo, hi = np.searchsorted(column, (i, i + block))
+        m = np.zeros((n, block), np.float32)
+        m[r[lo:hi], column[lo:hi] - i] = 1
+        out += m @ m.T
+    return out
+
+
+def _crowded(spread: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` of crowded groups, checked exactly where the group's texts stand together: only links leave the task."""
+    kind = dict(spread.dtypes)["id"]
+    rows = spread.join(texts, "id").repartition("g").sortWithinPartitions("g", "id")
 
-    def cut_out(t, first, count):
-        ids, comp, late, two = (t.column(c).to_numpy() for c in ("id", "comp", "late", "two"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(ids), K)
-        a, b = [], []
-        for i, n in zip(first.tolist(), count.tolist()):
-            at = slice(i, i + n)
-            x, y = pairs_of(ids[at], comp[at], late[at], two[at], sig[at])
-            a += x
-            b += y
-        kind_of = t.schema.field("id").type
-        yield pa.RecordBatch.from_arrays([pa.array(a, kind_of), pa.array(b, kind_of)], ["a", "b"])
+    def work(batches):
+        for t, first, count in cut_groups(batches, "g"):
+            for i, size in zip(first.tolist(), count.tolist()):
+                own = _columns(t, slice(i, i + size))
+                x, y = _candidates(*own, similarity)
+                data, at = column_bytes(t.column("text").slice(i, size))
+                e, off = shingles(data, at)
+                both = overlaps(e, off)[x, y]
+                n = np.diff(off)
+                ok = both / (n[x] + n[y] - both) >= similarity
+                a, b, kind_of = own[0][x[ok]], own[0][y[ok]], t.schema.field("id").type
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), kind_of), pa.array(np.maximum(a, b), kind_of)], ["a", "b"])
 
-    return spread.mapInArrow(work, f"a {kind}, b {kind}")
+    return rows.mapInArrow(work, f"a {kind}, b {kind}")
 
 
 def classes(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -268,8 +331,8 @@ def classes(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_
     # one row for every different text
     texts_of = ws.save(signed.groupBy("digest").agg(F.min("id").alias("text_id")), "texts_of")
     unique = signed.where("n > 0").join(texts_of.where("text_id IS NOT NULL"), "digest").where("id = text_id")
-    unique = ws.save(unique.select("id", "sig").groupBy("id").agg(F.min("sig").alias("sig")), "unique")
-    banded = unique.select("id", "sig", F.explode(F.array(*band_keys(F.col("sig")))).alias("key"))
+    unique = ws.save(unique.groupBy("id").agg(F.min("sig").alias("sig"), F.min("n").alias("n")), "unique")
+    banded = unique.select("id", "sig", F.posexplode(F.array(*band_keys(F.col("sig")))).alias("band", "key"))
     groups = banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
     groups = ws.save(groups, "groups")
     tile_of = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / TILE).cast("int")).cast("int")
@@ -286,22 +349,26 @@ def classes(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_
     comp = ws.save(components(ws, links, "first"), "comp")
 
     # second search: bands that still hold several components
-    named = banded.select("key", "id").join(groups, "key").join(comp, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp"))
+    named = banded.select("key", "band", "id").join(groups, "key").join(comp, "id", "left").select("key", "band", "id", "size", F.coalesce("component", "id").alias("comp"))
     named = ws.save(named, "named")
     mixed = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    members = named.join(mixed, "key", "left_semi").join(unique.select("id", "sig"), "id")
-    members = members.withColumn("tiles", tiles).withColumn("tile", tile_of)
-    more = _across(members, similarity - SLACK).distinct().join(star, ["a", "b"], "left_anti")
-    more = ws.save(more, "more")
-    extra = ws.save(_verify(more, texts, similarity), "extra")
+    members = named.join(mixed, "key", "left_semi").join(unique, "id")
+    spread = _spread(members.withColumn("tiles", tiles).withColumn("tile", tile_of))
+    found = ws.save(_across(spread, similarity), "found")
+    more = found.where("a IS NOT NULL").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    extra = _verify(more, texts, similarity)
+    crowds = ws.save(found.where("a IS NULL").select("g").distinct(), "crowds")
+    if not crowds.isEmpty():
+        extra = extra.unionAll(_crowded(spread.join(crowds, "g", "left_semi"), texts, similarity))
+    extra = ws.save(extra.distinct(), "extra")
     if not extra.isEmpty():
         comp = ws.save(components(ws, links.unionAll(extra), "second"), "comp2")
 
     comp = comp.select(F.col("id").alias("text_id"), "component")
     out = signed.select("id", "digest").join(texts_of, "digest").join(comp, "text_id", "left")
     class_id = F.coalesce("component", "text_id")
-    for name in ("groups", "star", "texts", "links", "named", "more", "extra", "unique"):
+    for name in ("groups", "star", "texts", "links", "named", "found", "crowds", "extra", "unique"):
         ws.drop(name)
     return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), "text_id", F.coalesce(F.col("id") == class_id, F.lit(False)).alias("kept"))
 
