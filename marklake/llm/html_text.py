@@ -303,8 +303,8 @@ def sample_pages(n: int, seed: int) -> list[str]:
             ws = [w + pick([",", ".", ""]) if rng.random() < 0.2 else w for w in ws]
         return mark + " ".join(ws).capitalize() + pick([".", ".", "", "!"])
 
-    def attribute(names):
-        if rng.random() < 0.12:
+    def attribute(names, telling=False):
+        if rng.random() < 0.12 and not telling:
             return f' class="{word()}"' if rng.random() < 0.5 else ""
         own = pick(names)
         style = rng.random()
@@ -334,10 +334,10 @@ def sample_pages(n: int, seed: int) -> list[str]:
     def other(kind, inside_article=False):
         tag, m = pick(_TAG[kind]), OTHER_MARK
         named = tag in (kind, "nav", "header", "footer", "aside", "form") and not inside_article
-        a = attribute(_OTHER[kind]) if not named or rng.random() < 0.5 else ""
-        if not a and not named:
-            a = f' class="{pick(_OTHER[kind])}"'
-        if kind in ("nav", "share", "aside") and rng.random() < 0.75 or kind == "nav":
+        a = attribute(_OTHER[kind], not named) if not named or rng.random() < 0.5 else ""
+        if tag == "p":
+            body = text(m, 2, 30)
+        elif kind in ("nav", "share", "aside") and rng.random() < 0.75 or kind == "nav":
             items = [f'<a href="/{word()}">{text(m, 1, 4)}</a>' for _ in range(int(rng.integers(2, 9)))]
             body = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if rng.random() < 0.7 else " | ".join(items)
         elif kind == "form":
