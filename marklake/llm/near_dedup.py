@@ -18,7 +18,8 @@ link between components is lost.
 Defined results: a null or blank text is a class of its own with every other such
 text only if they are byte-equal (null equals null); an empty table gives an empty
 result; repeated rows fall into one class; a null id gets a row, and the smallest
-id that is not null names the class.
+id that is not null names the class; of different texts under one id one speaks for
+all.
 """
 
 from __future__ import annotations
@@ -330,14 +331,15 @@ def classes(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_
     signed = ws.save(_sign(base), "signed")
     # one row for every different text
     texts_of = ws.save(signed.groupBy("digest").agg(F.min("id").alias("text_id")), "texts_of")
-    unique = signed.where("n > 0").join(texts_of.where("text_id IS NOT NULL"), "digest").where("id = text_id")
-    unique = ws.save(unique.groupBy("id").agg(F.min("sig").alias("sig"), F.min("n").alias("n")), "unique")
-    banded = unique.select("id", "sig", F.posexplode(F.array(*band_keys(F.col("sig")))).alias("band", "key"))
+    first = signed.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "sig", "n")).alias("u"))
+    unique = ws.save(first.select("u.*"), "unique")
+    banded = unique.select("id", F.posexplode(F.array(*band_keys(F.col("sig")))).alias("band", "key"))
     groups = banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
-    groups = ws.save(groups, "groups")
+    # only texts that share a band go on; their signatures are fetched again where they are needed
+    shared = ws.save(banded.join(groups, "key"), "shared")
     tile_of = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / TILE).cast("int")).cast("int")
-    small = banded.select("key", "id").join(groups.where(F.col("size") < SMALL), "key").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    large = banded.join(groups.where(F.col("size") >= SMALL), "key").select("key", "head", "id", "sig", tile_of.alias("tile"))
+    small = shared.where(F.col("size") < SMALL).select(F.col("head").alias("a"), F.col("id").alias("b"))
+    large = shared.where(F.col("size") >= SMALL).join(unique, "id").select("key", "head", "id", "sig", tile_of.alias("tile"))
     star = small.unionAll(_heads(large)).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     star = ws.save(star, "star")
     involved = star.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -349,7 +351,7 @@ def classes(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_
     comp = ws.save(components(ws, links, "first"), "comp")
 
     # second search: bands that still hold several components
-    named = banded.select("key", "band", "id").join(groups, "key").join(comp, "id", "left").select("key", "band", "id", "size", F.coalesce("component", "id").alias("comp"))
+    named = shared.join(comp, "id", "left").select("key", "band", "id", "size", F.coalesce("component", "id").alias("comp"))
     named = ws.save(named, "named")
     mixed = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
@@ -368,7 +370,7 @@ def classes(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_
     comp = comp.select(F.col("id").alias("text_id"), "component")
     out = signed.select("id", "digest").join(texts_of, "digest").join(comp, "text_id", "left")
     class_id = F.coalesce("component", "text_id")
-    for name in ("groups", "star", "texts", "links", "named", "found", "crowds", "extra", "unique"):
+    for name in ("shared", "star", "texts", "links", "named", "found", "crowds", "extra", "unique"):
         ws.drop(name)
     return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), "text_id", F.coalesce(F.col("id") == class_id, F.lit(False)).alias("kept"))
 
