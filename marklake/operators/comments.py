@@ -89,7 +89,7 @@ def new_id(content: str, quote: str, at: str) -> str:
 
 
 def _entry(author: str, at: str, text: str) -> str:
-    return f"{author} ({at}): {escape(text)}"
+    return f"{author} ({at}): {_safe(escape(text))}"
 
 
 def _author(name: str) -> str:
