@@ -39,7 +39,7 @@ SHARE = 5e-7
 DISCOUNT = 0.6
 GAIN = 3.0  # nats that a context must save for each next byte that it lists
 END = 10  # line feed: it can't stand in the folded text
-MIX = 0.75  # weight of a word's share
+MIX = 0.3  # weight of a word's share
 HOLD = 3_000_000  # counts that a task gathers before it passes them on
 _LOG10E = 1 / np.log(10)
 
