@@ -149,12 +149,12 @@ def fit(docs: DataFrame, *, text_col: str, lang_col: str, id_col: str, train_row
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * DIM), "place": pa.array(np.arange(DIM, dtype=np.int32)), "value": pa.array(v)})
 
     parts = named.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(partial, "lang string, place int, value double")
-    rows = parts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("v")).orderBy("lang").collect()
-    langs = [r["lang"] for r in rows]
+    # a row for each language and place reaches the driver, however many tasks there were
+    rows = parts.groupBy("lang", "place").agg(F.sum("value").alias("value")).collect()
+    langs = sorted({r["lang"] for r in rows})
     protos = np.zeros((len(langs), DIM))
-    for k, r in enumerate(rows):
-        for x in r["v"]:
-            protos[k, x["place"]] += x["value"]
+    for r in rows:
+        protos[langs.index(r["lang"]), r["place"]] = r["value"]
     protos /= np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-12)
     return langs, protos.astype(np.float32)
 
