@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ._store import Workspace
 
 STEPS = 4096  # steps of the id range in which bytes are summed
-SHARD_BYTES = 64 << 20  # payload bytes of a shard
+SHARD_BYTES = 32 << 20  # payload bytes of a shard
 ROLL_BYTES = 32 << 20  # compressed bytes of a file
 MIN_REVISIT = 1000  # shorter payloads are always written whole
 DATE = "1970-01-01T00:00:00Z"  # a fixed date keeps reruns equal; a parameter
@@ -116,7 +116,8 @@ def write(spark: SparkSession, pages: DataFrame, out: str, *, id_col: str = "pag
     shard = F.coalesce(F.get(table, F.floor((F.col("id") - lo) / width).cast("int")), F.lit(0))
     a = rows.select("id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to"))
     b = refers.select("id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
-    ranged = a.unionAll(b).withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "digest", "kind", F.col("url").asc_nulls_first())
+    # more partitions than shards, so that few tasks get two
+    ranged = a.unionAll(b).withColumn("shard", shard).repartition(3 * shards, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "digest", "kind", F.col("url").asc_nulls_first())
 
     def write_files(batches):
         store, base = filesystem(out)
