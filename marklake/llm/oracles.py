@@ -42,4 +42,33 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM r
 """
 
-ORACLES = {"op3_warc": OP3, "op5_mixing": OP5}
+def _license_sql() -> str:
+    """The scan in SQL: the same templates, k-grams compared as text."""
+    from .licenses import BASE, K, TEMPLATES
+
+    rows = []
+    for number, (label, phrase) in enumerate((*BASE, *TEMPLATES)):
+        ws = phrase.split(" ")
+        base = "true" if number < len(BASE) else "false"
+        rows += [f"('{' '.join(ws[i : i + K])}', {number}, '{label}', {base}, {len(ws) - K + 1}, {len(ws)}, {i})" for i in range(len(ws) - K + 1)]
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH t(gram, template, label, is_base, n_grams, n_words_t, t_pos) AS (VALUES {', '.join(rows)}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex({low}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT rid, ws, unnest(range(len(ws) - 2)) AS pos FROM d WHERE len(ws) >= 3),
+h AS (SELECT p.rid, t.*, p.pos, p.pos - t.t_pos AS diag FROM p JOIN t ON t.gram = ws[pos + 1] || ' ' || ws[pos + 2] || ' ' || ws[pos + 3]),
+g AS (SELECT rid, template, label, is_base, n_grams, n_words_t, diag, list(DISTINCT t_pos) AS ts, min(pos) AS lo, max(pos) AS hi FROM h GROUP BY ALL),
+m AS (SELECT *, sum(CASE WHEN prev IS NULL OR is_base OR diag - prev > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY rid, template ORDER BY diag) AS grp
+      FROM (SELECT *, lag(diag) OVER (PARTITION BY rid, template ORDER BY diag) AS prev FROM g)),
+s AS (SELECT rid, template, label, is_base, n_grams, n_words_t, grp, len(list_distinct(flatten(list(ts)))) AS votes, min(lo) AS lo, max(hi) + 3 AS hi, min(diag) AS diag FROM m GROUP BY ALL),
+f AS (SELECT *, is_base AND votes = n_grams AS whole, NOT is_base AND votes::DOUBLE / n_grams >= 0.6 AND hi - lo <= n_words_t * 1.5 + 3 AS fits FROM s)
+SELECT any_value(d.doc_id) AS doc_id, any_value(len(d.ws))::BIGINT AS n_words, count(*) FILTER (whole) AS n_base,
+       min(diag) FILTER (whole) AS first_word, max(diag) FILTER (whole) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole OR fits), '') AS labels,
+       coalesce(max(votes::DOUBLE / n_grams) FILTER (whole OR NOT is_base), 0) AS score
+FROM d LEFT JOIN f USING (rid) GROUP BY rid
+"""
+
+
+ORACLES = {"op8_license_scan": _license_sql(), "op3_warc": OP3, "op5_mixing": OP5}
