@@ -137,6 +137,11 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _digest(text):
+    """20 bytes that name a text; null has a name of its own."""
+    return F.coalesce(F.unhex(F.sha1(text.cast("binary"))), F.lit(b""))
+
+
 def _sign(docs: DataFrame) -> DataFrame:
     """``(id, digest, n, sig)``; sig holds the low 16 bits of every dart."""
     kind = dict(docs.dtypes)["id"]
@@ -148,8 +153,7 @@ def _sign(docs: DataFrame) -> DataFrame:
                 low = (signatures(e, off) & np.uint64(0xFFFF)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(off).astype(np.int64)), pa.array([x.tobytes() for x in low], pa.binary())], ["id", "digest", "n", "sig"])
 
-    digest = F.coalesce(F.unhex(F.sha1(F.col("text").cast("binary"))), F.lit(b""))
-    return docs.select("id", digest.alias("digest"), "text").mapInArrow(work, f"id {kind}, digest binary, n long, sig binary")
+    return docs.select("id", _digest(F.col("text")).alias("digest"), "text").mapInArrow(work, f"id {kind}, digest binary, n long, sig binary")
 
 
 def band_keys(sig) -> list:
@@ -326,6 +330,10 @@ def _crowded(spread: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 def classes(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``class_id``, ``text_id`` (smallest id with the same text), ``kept``."""
+    return _classes(spark, docs, text_col, id_col, similarity).drop("digest")
+
+
+def _classes(spark: SparkSession, docs: DataFrame, text_col: str, id_col: str, similarity: float) -> DataFrame:
     ws = Workspace(spark, "near")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = ws.save(_sign(base), "signed")
@@ -372,11 +380,21 @@ def classes(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_
     class_id = F.coalesce("component", "text_id")
     for name in ("shared", "star", "texts", "links", "named", "found", "crowds", "extra", "unique"):
         ws.drop(name)
-    return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), "text_id", F.coalesce(F.col("id") == class_id, F.lit(False)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), "text_id", F.coalesce(F.col("id") == class_id, F.lit(False)).alias("kept"), "digest")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id (of equal ids, one row)."""
-    keep = classes(spark, docs, text_col=text_col, id_col=id_col, similarity=similarity).where("kept").select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep["_keep"], "left_semi")
-    return kept.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(0)))).where("_nth = 1").drop("_nth")
+    """``docs`` with one row of each class: that of the smallest id.
+
+    A row without an id is named by its text and comes after all rows with one, so
+    its class keeps a row all the same.
+    """
+    far = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 2) + F.lit(1 << 62)
+    stand_in = F.concat(F.lit("\U0010ffff"), far.cast("string")) if dict(docs.dtypes)[id_col] == "string" else far
+    named = docs.withColumn("_near_id", F.coalesce(F.col(id_col), stand_in))
+    found = _classes(spark, named, text_col, "_near_id", similarity)
+    keep = found.where("kept").select(F.col("_near_id").alias("_keep"), F.col("digest").alias("_text")).distinct()
+    named = named.withColumn("_near_text", _digest(F.col(text_col)))
+    kept = named.join(keep, (F.col("_near_id") == F.col("_keep")) & (F.col("_near_text") == F.col("_text")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_near_id", "_near_text").orderBy(F.lit(0)))
+    return kept.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_near_id", "_near_text")

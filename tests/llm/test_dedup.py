@@ -93,6 +93,9 @@ def test_near_dedup_edges(spark):
     odd = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "other words here"), (4, "long " * 30000)], "doc_id long, text string")
     got = near_dedup.classes(spark, odd).collect()
     assert len(got) == 4 and {r.class_id for r in got if r.doc_id is None} == {3}
+    more = odd.unionAll(spark.createDataFrame([(None, "no id here at all"), (None, "no id here at all"), (9, "other words here")], odd.schema))
+    kept = sorted((str(r.doc_id), r.text[:11]) for r in near_dedup.deduplicate(spark, more).collect())
+    assert kept == [("3", "a b c d e f"), ("3", "other words"), ("4", "long long l"), ("None", "no id here ")]
 
 
 def test_signatures_estimate_similarity():
