@@ -58,7 +58,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = ws.save(stage(spark, docs, sf_dir), name)
+        if before:
+            ws.drop(before)  # the stage's own rows are written, its predecessor's are not needed any more
+        before = name
     return docs
