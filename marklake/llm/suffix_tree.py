@@ -11,11 +11,14 @@ space or end after it) is mixed with the word's share of all training words, whi
 smooths frequent words longer than the tree is deep; both parts sum to 1, so the
 mixture does.
 
-Only contexts and next bytes with a share of at least ``share`` of all training bytes
-enter the tree, so there are at most ``1 / share`` of them for each length, whatever
-the size of the corpus; what they leave out goes to the smoothing.  So the tree may
-travel with the tasks.  Word counts for the base score have no such bound: words
-with a share of at least ``share`` travel with the tasks, all other words are joined.
+Every context and every next byte that the training texts hold enters the tree, at any
+size of the corpus; contexts of up to ``TOP`` bytes are always states.  The counts of
+those, at most 256 ** (TOP + 1) pairs, travel to every task.  The longer contexts lie in
+a table that is partitioned by their newest ``TOP + 1`` bytes, so that each part holds
+whole subtrees, and give another such table with the log probability of every run of
+``DEPTH + 1`` bytes in the scored texts.  The ``CACHE`` most frequent runs, and a quarter
+as many words, travel with the tasks that read the texts; all other runs and words are
+joined to their tables.  What travels changes only where a value is looked up.
 
 Defined results: a null text counts as empty and scores its end symbol; a null id is
 held out or not by the empty text; without training rows the uniform distribution
@@ -34,13 +37,15 @@ from ._bytes import LOWER, SPACE, rows_of, runs, slices, words
 from ._store import Workspace
 from .language_id import held_out
 
-DEPTH = 5
-SHARE = 5e-7
+DEPTH = 6
+TOP = 2
+CACHE = 2_000_000  # runs that are looked up in the tasks instead of joined, and a quarter as many words
 DISCOUNT = 0.6
 GAIN = 3.0  # nats that a context must save for each next byte that it lists
 END = 10  # line feed: it can't stand in the folded text
 MIX = 0.3  # weight of a word's share
-HOLD = 3_000_000  # counts that a task gathers before it passes them on
+HOLD = 1_500_000  # counts that a task gathers before it passes them on
+WAIT = 4_000_000  # symbols that a task gathers before it adds them up
 _LOG10E = 1 / np.log(10)
 
 
@@ -104,31 +109,40 @@ class _Counter:
             self.keys, self.counts = [k[first]], [np.add.reduceat(c, first) if len(first) else c]
             self.held = len(first)
 
-    def take(self, kind: int):
+    def take(self):
         self.merge()
         for k, c in zip(self.keys, self.counts):
             for i in range(0, len(k), 1 << 18):
-                key = k[i : i + (1 << 18)].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(c[i : i + (1 << 18)].astype(np.int64))], ["kind", "key", "n"])
+                yield k[i : i + (1 << 18)].view(np.int64), c[i : i + (1 << 18)].astype(np.int64)
         self.keys, self.counts, self.held = [], [], 0
 
 
 def count(train: DataFrame) -> DataFrame:
-    """``(kind, key, n)`` of all training texts: kind 0 are byte runs, 1 words, 2 texts."""
+    """``(kind, key, n)`` of all training texts: kind 0 are runs of ``TOP + 1`` bytes, 1 words, 2 texts."""
+
+    def pairs(kind, taken):
+        for key, n in taken:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], ["kind", "key", "n"])
 
     def work(batches):
-        grams, terms, texts = _Counter(), _Counter(), 0
+        short, waiting, size, terms, texts = np.zeros(1 << (8 * (TOP + 1)), np.int64), [], 0, _Counter(), 0
         for batch in batches:
             for _, data, at in slices(batch, "text"):
-                grams.add(np.sort(stream(data, at)[0]))
+                waiting.append((stream(data, at)[0] & np.uint64(len(short) - 1)).astype(np.uint32))
+                size += len(waiting[-1])
+                if size > WAIT:
+                    short += np.bincount(np.concatenate(waiting), minlength=len(short))
+                    waiting, size = [], 0
                 terms.add(np.sort(words(data, at)[0]))
                 texts += len(at) - 1
-                for counter, kind in ((grams, 0), (terms, 1)):
-                    if counter.held > HOLD:
-                        yield from counter.take(kind)
-        yield from grams.take(0)
-        yield from terms.take(1)
-        yield pa.RecordBatch.from_pydict({"kind": pa.array([2], pa.int32()), "key": pa.array([0], pa.int64()), "n": pa.array([texts], pa.int64())})
+                if terms.held > HOLD:
+                    yield from pairs(1, terms.take())
+        if waiting:
+            short += np.bincount(np.concatenate(waiting), minlength=len(short))
+        key = np.flatnonzero(short)
+        yield from pairs(0, [(key, short[key])])
+        yield from pairs(1, terms.take())
+        yield from pairs(2, [(np.zeros(1, np.int64), np.array([texts]))])
 
     parts = train.select("text").mapInArrow(work, "kind int, key long, n long")
     return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -141,7 +155,11 @@ class Lookup:
         self.bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 2))))
         self.slots = np.zeros(1 << self.bits, np.uint64)
         self.place = np.full(1 << self.bits, -1, np.int32)
-        todo, slot = np.arange(len(keys)), self._slot(keys)
+        for i in range(0, len(keys), 1 << 18):
+            self._put(keys, np.arange(i, min(len(keys), i + (1 << 18))))
+
+    def _put(self, keys: np.ndarray, todo: np.ndarray) -> None:
+        slot = self._slot(keys[todo])
         while len(todo):
             free = self.place[slot] < 0
             at, first = np.unique(slot[free], return_index=True)
@@ -151,6 +169,12 @@ class Lookup:
             left[won] = False
             todo, slot = todo[left], (slot[left] + 1) & ((1 << self.bits) - 1)
 
+    def __reduce__(self):
+        used = np.flatnonzero(self.place >= 0)
+        keys = np.empty(len(used), np.uint64)
+        keys[self.place[used]] = self.slots[used]
+        return Lookup, (keys,)
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -208,8 +232,8 @@ class Tree:
             short = own["ctx"][own["retain"]] & np.uint64((1 << (8 * (k - 1))) - 1)
             at = np.searchsorted(up["ctx"], short)
             up["retain"][at[at < len(up["ctx"])]] = True
-        if per_level and len(per_level[0]["ctx"]):
-            per_level[0]["retain"][:] = True
+        for x in per_level[: TOP + 1]:
+            x["retain"][:] = True
         self.states = [int(x["retain"].sum()) for x in per_level]
         for k, x in enumerate(per_level):
             contexts.append(_tag(x["ctx"][x["retain"]], k))
@@ -288,34 +312,97 @@ class Tree:
         return total
 
 
-def grow(counts: DataFrame, *, share: float = SHARE, discount: float = DISCOUNT, gain: float = GAIN) -> Tree:
-    """The tree of a count table.  At most ``1 / share`` pairs of each length reach the driver."""
-    grams = counts.where("kind = 0").select("key", "n")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1.0, share * total)
-    levels = []
-    for k in range(DEPTH + 1):
-        mask = (1 << (8 * (k + 1))) - 1
-        pairs = grams.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n"))
-        contexts = grams.groupBy(F.shiftrightunsigned(F.col("key").bitwiseAND(F.lit(mask)), 8).alias("key")).agg(F.sum("n").alias("n"))
-        got = pairs.where(F.col("n") >= least).select(F.lit(1).alias("what"), "key", "n").unionAll(contexts.where(F.col("n") >= least).select(F.lit(0), "key", "n")).toArrow()
-        what, key, n = (got.column(i).to_numpy() for i in range(3))
-        key = key.view(np.uint64) if len(key) else np.zeros(0, np.uint64)
-        levels.append((key[what == 0], n[what == 0], key[what == 1], n[what == 1]))
-    return Tree(levels, discount, gain)
-
-
-def score(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", share: float = SHARE) -> DataFrame:
+def levels_of(codes: np.ndarray, n: np.ndarray, lengths: range) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Contexts, their totals, pairs and their counts for contexts of ``lengths`` bytes."""
+    out = []
+    for k in lengths:
+        masked = codes & np.uint64((1 << (8 * (k + 1))) - 1)
+        pair, at = np.unique(masked, return_inverse=True)
+        ctx, over = np.unique(masked >> np.uint64(8), return_inverse=True)
+        out.append((ctx, np.bincount(over, n, len(ctx)).astype(np.int64), pair, np.bincount(at, n, len(pair)).astype(np.int64)))
+    return out
+
+
+def _summed(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], *(np.add.reduceat(c[order], first) for c in counts)
+
+
+def grow(rows: DataFrame, counts: DataFrame, *, discount: float = DISCOUNT, gain: float = GAIN) -> DataFrame:
+    """``(key, uses, log)``: every run of the texts with its occurrences and its log10 probability by the tree of the training texts."""
+    top = counts.where("kind = 0").select("key", "n").toArrow()
+    key, n = (top.column(i).to_numpy() for i in range(2))
+    upper = counts.sparkSession.sparkContext.broadcast(levels_of(key.astype(np.uint64), n, range(TOP + 1)))
+
+    def tally(batches):
+        counters = _Counter(), _Counter()
+
+        def taken():
+            got = [(key, uses * (not held), uses) for held in (False, True) for key, uses in counters[held].take()]
+            if got:
+                key, n, uses = _summed(*(np.concatenate(x) for x in zip(*got)))
+                for i in range(0, len(key), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 18)]) for x in (key, n, uses)], ["key", "n", "uses"])
+
+        for batch in batches:
+            for part, data, at in slices(batch, "text"):
+                out = part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
+                codes, row, _ = stream(data, at)
+                for held in (False, True):
+                    counters[held].add(np.sort(codes[out[row] == held]))
+                if max(c.held for c in counters) > HOLD:
+                    yield from taken()
+        yield from taken()
+
+    def work(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        key, n, uses = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+        del held
+        key, n, uses = _summed(key, n, uses)
+        codes, seen = key.view(np.uint64), n > 0
+        tree = Tree(upper.value + levels_of(codes[seen], n[seen], range(TOP + 1, DEPTH + 1)), discount, gain)
+        for i in range(0, len(key), 1 << 18):
+            cut = slice(i, i + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(uses[cut]), pa.array(tree.log10(codes[cut]).astype(np.float32))], ["key", "uses", "log"])
+
+    newest = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * (TOP + 1))) - 1))
+    parts = rows.select("text", "held_out").mapInArrow(tally, "key long, n long, uses long")
+    return parts.repartition(newest).mapInArrow(work, "key long, uses long, log float")
+
+
+def commonest(table: DataFrame, uses: str, most: int) -> DataFrame:
+    """About the ``most`` rows of ``table`` with the highest ``uses``, without sorting it."""
+    step = F.floor(16 * F.log2(F.col(uses)))
+    share = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
+    rest, cut, part = most, -1, 0
+    for at, n in sorted(table.groupBy(step.alias("step")).count().collect(), reverse=True):
+        if n > rest:
+            cut, part = at, int(rest / n * (1 << 20))
+            break
+        rest -= n
+    return table.where((step > cut) | ((step == cut) & (share < part)))
+
+
+def score(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", cache: int = CACHE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     ws = Workspace(spark, "lm")
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col), 7).alias("held_out"), F.col(text_col).alias("text"))
     counts = ws.save(count(rows.where("NOT held_out")), "counts")
-    tree = spark.sparkContext.broadcast(grow(counts, share=share))
+    logs_of = ws.save(grow(rows, counts), "logs")
+    empty = int.from_bytes(bytes([END]) * (DEPTH + 1), "big")  # the end of an empty text is always at hand
+    usual = commonest(logs_of.where(F.col("key") != empty), "uses", cache).unionAll(logs_of.where(F.col("key") == empty)).select("key", "log").toArrow()
+    usual_keys = usual.column(0).to_numpy().view(np.uint64) if len(usual) else np.zeros(0, np.uint64)
+    usual_logs = usual.column(1).to_numpy() if len(usual) else np.zeros(0, np.float32)
+    runs_known = spark.sparkContext.broadcast((Lookup(usual_keys), np.concatenate((usual_logs, np.zeros(1, np.float32)))))
     terms = counts.where("kind = 1")
     texts = counts.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     tokens, distinct = terms.agg(F.sum("n"), F.count("*")).first()
     tokens, distinct = (tokens or 0) + texts, distinct + (texts > 0)
-    common = terms.where(F.col("n") >= max(1.0, share * tokens)).select("key", "n").toArrow()
+    common = commonest(terms, "n", cache // 4).select("key", "n").toArrow()
     keys = common.column(0).to_numpy().view(np.uint64) if len(common) else np.zeros(0, np.uint64)
     logs = common.column(1).to_numpy().astype(float) if len(common) else np.zeros(0)
     known = spark.sparkContext.broadcast((Lookup(keys), logs))
@@ -328,11 +415,16 @@ def score(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_co
 
     def work(batches):
         lookup, value = known.value
+        at_hand, log_of = runs_known.value
         for batch in batches:
             for part, data, at in slices(batch, "text"):
                 n = part.num_rows
                 codes, row, size = stream(data, at)
-                tree_log = tree.value.log10(codes).astype(np.float64)
+                place = at_hand.find(codes)
+                gap = np.flatnonzero(place < 0)
+                missing = codes[gap]
+                tree_log = log_of[place]  # a missing run finds the 0 at the end
+                del place
                 h, off, _ = words(data, at)
                 wrow = rows_of(off)
                 last = np.cumsum(size) - 1
@@ -340,36 +432,51 @@ def score(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_co
                 token_end[(codes & np.uint64(0xFF)) == 32] = True
                 token_end[last] = True
                 token_start = np.flatnonzero(np.concatenate(([True], token_end[:-1]))) if len(codes) else last
-                spelled = np.add.reduceat(tree_log, token_start) if len(codes) else tree_log
-                empty = np.diff(off) == 0
-                of_word = ~empty[row[token_start]]
+                spelled = np.add.reduceat(tree_log, token_start, dtype=np.float64) if len(codes) else tree_log.astype(np.float64)
+                empty_row = np.diff(off) == 0
+                of_word = ~empty_row[row[token_start]]
                 lm = np.bincount(row[token_start][~of_word], spelled[~of_word], n).astype(float)
                 closing = np.full(len(h), term_space)
-                closing[off[1:][~empty] - 1] = term_end
+                closing[off[1:][~empty_row] - 1] = term_end
                 spelled = spelled[of_word] - closing
+                word_of = (np.cumsum(of_word) - 1)[np.searchsorted(token_start, gap, "right") - 1]
+                whole = np.ones(len(h), bool)
+                whole[word_of] = False
                 place = lookup.find(h)
                 hit = place >= 0
-                base = np.bincount(wrow[hit], np.log10(value[place[hit]] + 1.0), n).astype(float)
-                share_of = value[place[hit]] / max(1, n_words)
-                per_word = stay + spelled
-                per_word[hit] = np.log10(MIX * share_of + (1 - MIX) * 10.0 ** spelled[hit])
+                times = np.where(hit, value[place], 0) if len(value) else np.zeros(len(h))
+                base = np.bincount(wrow[hit], np.log10(times[hit] + 1.0), n).astype(float)
+                now = hit & whole
+                per_word = np.zeros(len(h))
+                per_word[now] = np.log10(MIX * times[now] / max(1, n_words) + (1 - MIX) * 10.0 ** spelled[now])
                 lm += np.bincount(wrow, per_word + closing, n)
                 n_known = np.bincount(wrow[hit], minlength=n) + int(texts > 0)
-                rest_at = np.concatenate(([0], np.cumsum(np.bincount(wrow[~hit], minlength=n)))).astype(np.int32)
-                rest = pa.StructArray.from_arrays([pa.array(h[~hit].view(np.int64)), pa.array(spelled[~hit].astype(np.float32))], ["key", "spelled"])
-                listed = pa.ListArray.from_arrays(pa.array(rest_at), rest)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array((np.diff(off) + 1).astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base + log_end), pa.array(lm), listed], ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
+
+                def listed(who, names, values):
+                    at = np.concatenate(([0], np.cumsum(np.bincount(wrow[who], minlength=n)))).astype(np.int32)
+                    return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(values, names))
+
+                open_ = np.flatnonzero(~now)
+                nth = (np.arange(len(h)) - off[wrow]).astype(np.int32)
+                rest = listed(open_, ["word", "key", "times", "spelled"], [pa.array(nth[open_]), pa.array(np.where(hit, np.uint64(0), h)[open_].view(np.int64)), pa.array(times[open_].astype(np.int64)), pa.array(spelled[open_].astype(np.float32))])
+                gaps = listed(word_of, ["word", "key"], [pa.array(nth[word_of]), pa.array(missing.view(np.int64))])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array((np.diff(off) + 1).astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base + log_end), pa.array(lm), rest, gaps], ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest", "gaps"])
 
     numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
-    scored = ws.save(numbered.mapInArrow(work, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<key:long,spelled:float>>"), "scored")
-    tail = scored.select("rid", F.inline("rest")).join(terms.select("key", "n"), "key")
-    mixed = F.log10(MIX * F.col("n") / max(1, n_words) + (1 - MIX) * F.pow(F.lit(10.0), F.col("spelled").cast("double")))
-    gain = mixed - F.col("spelled").cast("double") - stay
-    tail = tail.groupBy("rid").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.sum(gain).alias("gain"))
-    out = scored.drop("rest").join(tail, "rid", "left")
+    scored = ws.save(numbered.mapInArrow(work, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word:int,key:long,times:long,spelled:float>>, gaps array<struct<word:int,key:long>>"), "scored")
+    # the pieces of a word meet once: its known part, the runs that were joined, its count if that was joined
+    spelled, none = F.col("spelled").cast("double").alias("spelled"), F.lit(0).cast("long")
+    rest = scored.select("rid", F.inline("rest"))
+    known_part = rest.select("rid", "word", "times", none.alias("n"), spelled)
+    joined_runs = scored.select("rid", F.inline("gaps")).join(logs_of.select("key", "log"), "key").select("rid", "word", none.alias("times"), none.alias("n"), F.col("log").cast("double").alias("spelled"))
+    joined_words = rest.where("times = 0").join(terms.select("key", "n"), "key").select("rid", "word", none.alias("times"), "n", F.lit(0.0).alias("spelled"))
+    pieces = known_part.unionAll(joined_runs).unionAll(joined_words).repartition("rid")
+    tail = pieces.groupBy("rid", "word").agg(F.sum("times").alias("times"), F.sum("n").alias("n"), F.sum("spelled").alias("spelled"))
+    found = F.col("times") + F.col("n")
+    mixed = F.when(found > 0, F.log10(MIX * found / max(1, n_words) + (1 - MIX) * F.pow(F.lit(10.0), F.col("spelled")))).otherwise(stay + F.col("spelled"))
+    tail = tail.groupBy("rid").agg(F.count_if(F.col("n") > 0).alias("more_known"), F.sum(F.when(F.col("n") > 0, F.log10(F.col("n") + 1.0)).otherwise(0.0)).alias("more"), F.sum(mixed).alias("gain"))
+    out = scored.drop("rest", "gaps").join(tail, "rid", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * log_all).alias("base_score"), (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
-
-

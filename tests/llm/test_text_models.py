@@ -141,6 +141,32 @@ def test_tree_sums_to_one():
         assert abs((10.0 ** tree.log10(all_next).astype(float)).sum() - 1) < 1e-3
 
 
+def test_tree_keeps_rare_runs_of_a_large_corpus(spark):
+    """5 MB of filler must not push runs that occur once or twice out of the tree, and what travels must not change a score."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, "bb", 12)) for i in range(40)] + [(i, "ab " * 1_700_000) for i in (100, 101)] + [(200, ""), (201, "new words here")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    assert not all(held(i) for i in (100, 101))
+    f = lambda texts: suffix_tree.stream(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts]))
+    codes = f([t for i, t in rows if not held(i)])[0]
+    tree = suffix_tree.Tree(suffix_tree.levels_of(codes, np.ones(len(codes)), range(suffix_tree.DEPTH + 1)))
+    count = Counter(w for i, t in rows if not held(i) for w in t.lower().split())
+    n_words, n_texts = sum(count.values()), sum(not held(i) for i, _ in rows)
+    p_end = min(n_texts / n_words, 0.5)
+    want = {}
+    for i, t in rows[:40] + rows[-2:]:
+        logs, words = tree.log10(f([t])[0]).astype(float), t.lower().split()
+        want[i], at = (0.0 if words else float(logs[0])), 0
+        for k, w in enumerate(words):
+            close = math.log10(p_end if k == len(words) - 1 else 1 - p_end)
+            spelled = float(logs[at : (at := at + len(w.encode()) + 1)].sum()) - close
+            want[i] += math.log10(suffix_tree.MIX * count[w] / n_words + (1 - suffix_tree.MIX) * 10**spelled) + close
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for out in (suffix_tree.score(spark, df), suffix_tree.score(spark, df, cache=30), suffix_tree.score(spark, df, cache=0)):
+        got = {r.doc_id: r.score for r in out.collect()}
+        assert len(got) == len(rows) and all(abs(got[i] - x) < 1e-3 for i, x in want.items())
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body>
 <header class="site-header"><a href="/">Home</a></header><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav>
 <div class="cookie-notice">We use cookies.</div>
