@@ -41,11 +41,11 @@ RATE = 0.01
 STEP_CELLS = 1 << 16  # leaves, with padding, that the network reads at once
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math select option object canvas noembed noframes xmp head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())  # what HTML reads as mere text up to the end tag
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img noscript object canvas svg tspan math semantics annotation mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-CLOSES_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-HOLDERS = frozenset("ul ol dl table tbody thead tfoot div article section aside main nav body html form footer header".split())
+CLOSES_OWN = {"li": (("li",),), "dt": (("dt", "dd"),), "dd": (("dt", "dd"),), "tr": (("tr", "td", "th"),), "td": (("td", "th"),), "th": (("td", "th"),), "option": (("option",),), "optgroup": (("option",), ("optgroup",))}
+HOLDERS = frozenset("ul ol dl table tbody thead tfoot div article section aside main nav body html form footer header select datalist".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -114,8 +114,8 @@ def leaves(page: str) -> list[tuple[str, list[tuple[int, ...]], int, int]]:
             if pieces:
                 pieces.append(" ")
             continue
-        if not ends and tag in RAW and tag != "head":
-            if attributes.endswith("/") and tag in ("svg", "math"):
+        if not ends and tag in RAW:
+            if attributes.endswith("/") and ("svg" in tags or "math" in tags):
                 continue
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else n
@@ -137,7 +137,7 @@ def leaves(page: str) -> list[tuple[str, list[tuple[int, ...]], int, int]]:
                     break
                 if tags[i] in HOLDERS:
                     break
-        if own := CLOSES_OWN.get(tag):
+        for own in CLOSES_OWN.get(tag, ()):
             for i in range(len(tags) - 1, -1, -1):
                 if tags[i] in own:
                     pop_to(i)

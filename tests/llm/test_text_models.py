@@ -188,6 +188,21 @@ def test_html_page(net):
     assert html_text.main_text(net, [PAGE, "", None, PAGE]) == [want, "", "", want]
 
 
+@pytest.mark.parametrize("choice", ["<datalist id=d><option value=a><option value=b></datalist>", "<datalist id=d><option value=a/><option value=b>B</datalist>", "<select name=s><optgroup label=g><option>One<option selected>Two<optgroup label=h><option>Three</select>"])
+def test_html_options_before_the_article(net, choice):
+    page = PAGE.replace("<article>", f"<form action=f><label>Find</label><input list=d>{choice}</form><article>")
+    want = "Title & more\nFirst paragraph with bold text and é.\nSecond paragraph, which is not closed.\nThird one."
+    assert html_text.main_text(net, [page]) == [want]
+
+
+def test_html_embedded_text_stays(net):
+    page = "<body><article><h1>On the size of things</h1><p>We know that <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds for all of them, and more.</p><noscript><p>This part of the story is shown without any script, too.</p></noscript><object data=x><p>The map of the land cannot be shown here, so it is told in words.</p></object><p>The end of the story.</p></article></body>"
+    want = "On the size of things\nWe know that a=b holds for all of them, and more.\nThis part of the story is shown without any script, too.\nThe map of the land cannot be shown here, so it is told in words.\nThe end of the story."
+    assert html_text.main_text(net, [page]) == [want]
+    texts = [leaf[0] for leaf in html_text.leaves("<svg><title/><text>in</text></svg><template><p>t</template><canvas>c</canvas><script>no</script><p>after")]
+    assert " ".join(texts) == "in t c after"
+
+
 def test_html_held_out(net):
     good = total = 0
     for page in html_text.sample_pages(120, 4242):
