@@ -18,8 +18,8 @@ link between components is lost.
 Defined results: a null or blank text is a class of its own with every other such
 text only if they are byte-equal (null equals null); an empty table gives an empty
 result; repeated rows fall into one class; a null id gets a row, and the smallest
-id that is not null names the class; of different texts under one id one speaks for
-all.
+id that is not null names the class; different texts under one id are searched each
+for itself, and if they are of one class named by that id, one of them is kept.
 """
 
 from __future__ import annotations
@@ -337,10 +337,10 @@ def _classes(spark: SparkSession, docs: DataFrame, text_col: str, id_col: str, s
     ws = Workspace(spark, "near")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = ws.save(_sign(base), "signed")
-    # one row for every different text
-    texts_of = ws.save(signed.groupBy("digest").agg(F.min("id").alias("text_id")), "texts_of")
-    first = signed.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "sig", "n")).alias("u"))
-    unique = ws.save(first.select("u.*"), "unique")
+    # one row, with a number of its own, for every different text
+    texts_of = signed.groupBy("digest").agg(F.min("id").alias("text_id"), F.min(F.struct("n", "sig")).alias("u"))
+    texts_of = ws.save(texts_of.select("digest", "text_id", "u.*", F.monotonically_increasing_id().alias("node")), "texts_of")
+    unique = texts_of.where("n > 0").select(F.col("node").alias("id"), "sig", "n")
     banded = unique.select("id", F.posexplode(F.array(*band_keys(F.col("sig")))).alias("band", "key"))
     groups = banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
     # only texts that share a band go on; their signatures are fetched again where they are needed
@@ -352,9 +352,10 @@ def _classes(spark: SparkSession, docs: DataFrame, text_col: str, id_col: str, s
     star = ws.save(star, "star")
     involved = star.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
-    slots = involved.select(slot("id").alias("slot")).distinct()  # at most SLOTS rows
-    sifted = base.join(F.broadcast(slots), slot("id") == F.col("slot"), "left_semi")
-    texts = ws.save(sifted.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    involved = ws.save(texts_of.select(F.col("node").alias("id"), "digest").join(involved, "id", "left_semi"), "involved")
+    slots = involved.select(slot("digest").alias("slot")).distinct()  # at most SLOTS rows
+    sifted = base.select(_digest(F.col("text")).alias("digest"), "text").join(F.broadcast(slots), slot("digest") == F.col("slot"), "left_semi")
+    texts = ws.save(sifted.groupBy("digest").agg(F.min("text").alias("text")).join(involved, "digest").select("id", "text"), "texts")
     links = ws.save(_verify(star, texts, similarity), "links")
     comp = ws.save(components(ws, links, "first"), "comp")
 
@@ -375,12 +376,15 @@ def _classes(spark: SparkSession, docs: DataFrame, text_col: str, id_col: str, s
     if not extra.isEmpty():
         comp = ws.save(components(ws, links.unionAll(extra), "second"), "comp2")
 
-    comp = comp.select(F.col("id").alias("text_id"), "component")
-    out = signed.select("id", "digest").join(texts_of, "digest").join(comp, "text_id", "left")
-    class_id = F.coalesce("component", "text_id")
-    for name in ("shared", "star", "texts", "links", "named", "found", "crowds", "extra", "unique"):
+    # the smallest id, and of its texts the one of the smallest digest, name and stand for the class
+    linked = texts_of.select("digest", "text_id", "node").join(comp.select(F.col("id").alias("node"), "component"), "node", "left")
+    heads = linked.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("text_id").isNull().alias("none"), "text_id", "digest")).alias("head"))
+    labels = linked.join(heads, "component", "left").select("digest", "text_id", F.coalesce("head.text_id", "text_id").alias("class_id"), F.coalesce("head.digest", "digest").alias("stands"))
+    out = signed.select("id", "digest").join(labels, "digest")
+    kept = F.coalesce((F.col("id") == F.col("class_id")) & (F.col("digest") == F.col("stands")), F.lit(False))
+    for name in ("shared", "star", "texts", "links", "named", "found", "crowds", "extra", "involved"):
         ws.drop(name)
-    return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), "text_id", F.coalesce(F.col("id") == class_id, F.lit(False)).alias("kept"), "digest")
+    return out.select(F.col("id").alias(id_col), "class_id", "text_id", kept.alias("kept"), "digest")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:

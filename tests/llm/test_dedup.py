@@ -98,6 +98,21 @@ def test_near_dedup_edges(spark):
     assert kept == [("3", "a b c d e f"), ("3", "other words"), ("4", "long long l"), ("None", "no id here ")]
 
 
+def test_near_dedup_texts_of_one_id(spark):
+    """Near copies are found for every text of an id, and for texts without an id; the id's other texts stay."""
+    rng = random.Random(8)
+    text = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(3, a), (5, a + " more"), (5, b), (6, c), (7, d), (8, b + " more"), (None, c + " more"), (9, d + " more"), (9, d + " less")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, t): r.class_id for r, t in ((r, r.text_id) for r in near_dedup.classes(spark, df).collect()) if r.doc_id != 5}
+    assert got == {(3, 3): 3, (6, 6): 6, (7, 7): 7, (8, 8): 5, (None, None): 6, (9, 9): 7}
+    assert sorted(r.class_id for r in near_dedup.classes(spark, df).collect() if r.doc_id == 5) == [3, 5]
+    assert sorted(near_dedup.deduplicate(spark, df).collect()) == [(3, a), (5, b), (6, c), (7, d)]
+    twice = spark.createDataFrame([(1, a), (1, a + " more"), (2, b)], df.schema)
+    assert sorted(r.doc_id for r in near_dedup.deduplicate(spark, twice).collect()) == [1, 2]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 62, 400).astype(np.uint64)
