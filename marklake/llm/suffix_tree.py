@@ -1,76 +1,76 @@
 """Language-model scoring with a probabilistic suffix tree over bytes.
 
 A text is its lower-cased words with single spaces and one end symbol.  All training
-texts are counted: every byte with its last ``DEPTH`` bytes.  A context becomes a
-state of the tree if the data show that its next-byte distribution diverges from
-that of its parent (the context without its oldest byte), or if a longer context
-that ends in it became a state.  A state's distribution is smoothed by absolute
-discounting towards its parent's, down to the uniform one.  A byte is scored by the
-longest state that its past ends in.  The probability of a word (its bytes and the
-space or end after it) is mixed with the word's share of all training words, which
-smooths frequent words longer than the tree is deep; both parts sum to 1, so the
-mixture does.
+texts are counted: every byte with its last ``DEPTH`` bytes.  A context is a state of
+the tree if its next-byte distribution diverges from that of the longest shorter
+state enough to save ``GAIN`` nats for each next byte that it lists; contexts of up to
+``TOP`` bytes are always states.  A state's distribution is smoothed by absolute
+discounting (one discount each for counts of 1, 2 and more) towards that of the
+longest state among its suffixes, down to the uniform one; between ``TOP`` and ``DEPTH``
+a byte counts once for every different byte before its context.  A byte is scored by
+the longest state that its past ends in; a text's score is the sum over its bytes and
+its end, and nothing else.
 
 Every context and every next byte that the training texts hold enters the tree, at any
-size of the corpus; contexts of up to ``TOP`` bytes are always states.  The counts of
-those, at most 256 ** (TOP + 1) pairs, travel to every task.  The longer contexts lie in
-a table that is partitioned by their newest ``TOP + 1`` bytes, so that each part holds
-whole subtrees, and give another such table with the log probability of every run of
-``DEPTH + 1`` bytes in the scored texts.  The ``CACHE`` most frequent runs, and a quarter
-as many words, travel with the tasks that read the texts; all other runs and words are
-joined to their tables.  What travels changes only where a value is looked up.
+size of the corpus.  Runs of ``DEPTH + 1`` bytes fill one 64-bit word.  They are dealt
+by their newest ``TOP + 1`` context bytes, so that each part holds whole subtrees, and
+travel as sorted arrays.  The counts of the shortest contexts, at most
+256 ** (TOP + 1) pairs, travel to every task.  The ``CACHE`` most frequent runs with
+their log probabilities, and an eighth as many words, travel with the tasks that read
+the texts; all other runs and words of a text are looked up where their part of the
+table lies, and only sums for each text come back.  What travels changes only where a
+value is looked up.
 
 Defined results: a null text counts as empty and scores its end symbol; a null id is
 held out or not by the empty text; without training rows the uniform distribution
-scores; repeated rows get equal scores; an empty table gives an empty result; further
-columns are not returned.
+scores; repeated rows get equal scores, and each counts in training; an empty table
+gives an empty result; further columns are not returned.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, SPACE, rows_of, runs, slices, words
+from ._bytes import LOWER, SPACE, mix64, rows_of, runs, slices, words
 from ._store import Workspace
 from .language_id import held_out
 
-DEPTH = 6
+DEPTH = 7
 TOP = 2
-CACHE = 2_000_000  # runs that are looked up in the tasks instead of joined, and a quarter as many words
-DISCOUNT = 0.6
-GAIN = 3.0  # nats that a context must save for each next byte that it lists
+CACHE = 4_000_000  # runs that are looked up in the tasks, and an eighth as many words
+DISCOUNTS = (0.6, 1.2, 1.7)  # for counts of 1, 2 and more
+GAIN = 0.5  # nats that a context must save for each next byte that it lists
 END = 10  # line feed: it can't stand in the folded text
-MIX = 0.3  # weight of a word's share
-HOLD = 1_500_000  # counts that a task gathers before it passes them on
-WAIT = 4_000_000  # symbols that a task gathers before it adds them up
-_LOG10E = 1 / np.log(10)
-
-
-def stream(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(codes, rows, symbols per row)``: the code of a symbol packs it with the ``DEPTH`` bytes before it."""
-    n = len(at) - 1
-    f = LOWER[data]
-    blank = SPACE[data]
-    row = rows_of(at)
-    if len(f):
-        solid = np.cumsum(~blank)
-        seen = solid - np.concatenate(([0], solid))[at[:-1]][row]
-        last = np.zeros(len(f), bool)
-        last[:-1] = ~blank[1:] & (row[1:] == row[:-1])
-        keep = np.flatnonzero(~blank | (last & (seen > 0)))
-        f = np.where(blank, 32, f).astype(np.uint8)[keep]
-        row = row[keep]
-    size = np.bincount(row, minlength=n) + 1
-    out = np.full(int(size.sum()) + n * DEPTH, END, np.uint8)
-    out[np.arange(len(f)) + (row + 1) * DEPTH + row] = f
-    codes = packed(out, DEPTH + 1)
+CHUNK = 8_000_000  # symbols that a task sorts at once
+PART = 4 << 20  # text bytes for each part of the tree
+COARSE = 16  # parts of the tree that are searched by one task
+UNIT_ROWS, UNIT_GAPS = 8192, 1 << 20  # texts, and looked-up runs, that a task passes on at once
+
+_FOLDED = np.where(SPACE, np.uint8(32), LOWER)
+
+
+def stream(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(codes, symbols per row)``: the code of a symbol packs it with the ``DEPTH`` bytes before it."""
+    n, gap = len(at) - 1, DEPTH + 1
+    f, out = _FOLDED[data], np.full(len(data) + n * gap, END, np.uint8)
+    for i in range(n):
+        out[at[i] + i * gap + DEPTH : at[i + 1] + i * gap + DEPTH] = f[at[i] : at[i + 1]]
+    blank, edge = out == 32, out == END
+    keep = np.ones(len(out), bool)
+    keep[1:] = ~(blank[1:] & (blank[:-1] | edge[:-1]))
+    out = out[keep]
+    keep = np.ones(len(out), bool)
+    keep[:-1] = (out[:-1] != 32) | (out[1:] != END)
+    out = out[keep]
+    ends = np.flatnonzero(out == END).reshape(n, gap)
     real = np.ones(len(out), bool)
-    starts = np.concatenate(([0], np.cumsum(size + DEPTH)))[:-1]
-    real[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
-    return codes[real], np.repeat(np.arange(n), size), size
+    real[ends[:, :DEPTH].ravel()] = False
+    return packed(out, gap)[real], ends[:, DEPTH] - ends[:, DEPTH - 1]
 
 
 def packed(data: np.ndarray, length: int) -> np.ndarray:
@@ -88,395 +88,402 @@ def packed(data: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-class _Counter:
-    def __init__(self):
-        self.keys, self.counts, self.held = [], [], 0
+def _mask(length: int) -> np.uint64:
+    return np.uint64((1 << (8 * length)) - 1)
 
-    def add(self, sorted_keys: np.ndarray) -> None:
-        first, count = runs(sorted_keys)
-        self.keys.append(sorted_keys[first])
-        self.counts.append(count)
-        self.held += len(first)
-        if self.held > HOLD:
-            self.merge()
 
-    def merge(self) -> None:
-        if self.keys:
-            k, c = np.concatenate(self.keys), np.concatenate(self.counts)
-            order = np.argsort(k)
-            k, c = k[order], c[order]
-            first, _ = runs(k)
-            self.keys, self.counts = [k[first]], [np.add.reduceat(c, first) if len(first) else c]
-            self.held = len(first)
+def put(values: np.ndarray) -> bytes:
+    """An array as compressed byte planes."""
+    flat = np.ascontiguousarray(values)
+    return pa.compress(flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes(), "zstd", asbytes=True) if len(flat) else b""
 
-    def take(self):
-        self.merge()
-        for k, c in zip(self.keys, self.counts):
-            for i in range(0, len(k), 1 << 18):
-                yield k[i : i + (1 << 18)].view(np.int64), c[i : i + (1 << 18)].astype(np.int64)
-        self.keys, self.counts, self.held = [], [], 0
 
+def get(raw: bytes, size: int, kind) -> np.ndarray:
+    if not size:
+        return np.zeros(0, kind)
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, size * width, "zstd"), np.uint8).reshape(width, size)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-def count(train: DataFrame) -> DataFrame:
-    """``(kind, key, n)`` of all training texts: kind 0 are runs of ``TOP + 1`` bytes, 1 words, 2 texts."""
 
-    def pairs(kind, taken):
-        for key, n in taken:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], ["kind", "key", "n"])
+def put_keys(sorted_keys: np.ndarray) -> bytes:
+    return put(np.diff(sorted_keys, prepend=np.uint64(0)))
 
-    def work(batches):
-        short, waiting, size, terms, texts = np.zeros(1 << (8 * (TOP + 1)), np.int64), [], 0, _Counter(), 0
-        for batch in batches:
-            for _, data, at in slices(batch, "text"):
-                waiting.append((stream(data, at)[0] & np.uint64(len(short) - 1)).astype(np.uint32))
-                size += len(waiting[-1])
-                if size > WAIT:
-                    short += np.bincount(np.concatenate(waiting), minlength=len(short))
-                    waiting, size = [], 0
-                terms.add(np.sort(words(data, at)[0]))
-                texts += len(at) - 1
-                if terms.held > HOLD:
-                    yield from pairs(1, terms.take())
-        if waiting:
-            short += np.bincount(np.concatenate(waiting), minlength=len(short))
-        key = np.flatnonzero(short)
-        yield from pairs(0, [(key, short[key])])
-        yield from pairs(1, terms.take())
-        yield from pairs(2, [(np.zeros(1, np.int64), np.array([texts]))])
-
-    parts = train.select("text").mapInArrow(work, "kind int, key long, n long")
-    return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+def get_keys(raw: bytes, size: int) -> np.ndarray:
+    return np.cumsum(get(raw, size, np.uint64), dtype=np.uint64)
+
+
+def _summed(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and the sums of their counts."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first, _ = runs(key)
+    return key[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in counts)
 
 
 class Lookup:
-    """Places of 64-bit keys, by open addressing."""
+    """Values of 64-bit keys by linear probing; values are never NaN, which marks a missing key."""
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 2))))
-        self.slots = np.zeros(1 << self.bits, np.uint64)
-        self.place = np.full(1 << self.bits, -1, np.int32)
-        for i in range(0, len(keys), 1 << 18):
-            self._put(keys, np.arange(i, min(len(keys), i + (1 << 18))))
-
-    def _put(self, keys: np.ndarray, todo: np.ndarray) -> None:
-        slot = self._slot(keys[todo])
-        while len(todo):
-            free = self.place[slot] < 0
-            at, first = np.unique(slot[free], return_index=True)
-            won = np.flatnonzero(free)[first]
-            self.place[at], self.slots[at] = todo[won], keys[todo[won]]
-            left = np.ones(len(todo), bool)
-            left[won] = False
-            todo, slot = todo[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+        slot = self._slot(keys)
+        order = np.argsort(slot, kind="stable")
+        # in order of their slots, each key takes its own slot or the next free one
+        nth = np.arange(len(keys))
+        place = nth + np.maximum.accumulate(slot[order] - nth) if len(keys) else nth
+        size = max(1 << self.bits, int(place[-1]) + 1 if len(keys) else 0) + 1
+        self.slots, self.values = np.zeros(size, np.uint64), np.full(size, np.nan, values.dtype)
+        self.slots[place], self.values[place] = keys[order], values[order]
 
     def __reduce__(self):
-        used = np.flatnonzero(self.place >= 0)
-        keys = np.empty(len(used), np.uint64)
-        keys[self.place[used]] = self.slots[used]
-        return Lookup, (keys,)
+        used = np.flatnonzero(~np.isnan(self.values))
+        return Lookup, (self.slots[used], self.values[used])
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         slot = self._slot(keys)
-        out = self.place[slot]
-        left = np.flatnonzero((out >= 0) & (self.slots[slot] != keys))
+        out = self.values[slot]
+        left = np.flatnonzero((self.slots[slot] != keys) & ~np.isnan(out))
         slot = slot[left]
         while len(left):
-            slot = (slot + 1) & ((1 << self.bits) - 1)
-            got = self.place[slot]
+            slot = slot + 1
+            got = self.values[slot]
             out[left] = got
-            more = (got >= 0) & (self.slots[slot] != keys[left])
+            more = (self.slots[slot] != keys[left]) & ~np.isnan(got)
             left, slot = left[more], slot[more]
         return out
 
 
-def _tag(codes: np.ndarray, length: int) -> np.ndarray:
-    """Key of a run of ``length`` bytes."""
-    return (codes & np.uint64((1 << (8 * length)) - 1)) | np.uint64((length + 1) << 56)
+def _smoothed(count: np.ndarray, first: np.ndarray, base: np.ndarray, discounts) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each pair in its context, and each context's total; ``first`` are the contexts' first pairs."""
+    size = np.diff(np.append(first, len(count)))
+    less = np.array([0.0, *discounts])[np.minimum(count, 3)]
+    kept = np.maximum(count - less, 0)
+    total = np.add.reduceat(count, first)
+    left = np.where(total > 0, (total - np.add.reduceat(kept, first)) / np.maximum(total, 1), 1.0)
+    return kept / np.repeat(np.maximum(total, 1), size) + np.repeat(left, size) * base, total
+
+
+class Upper:
+    """Distributions of the contexts of up to ``TOP`` = 2 bytes."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, discounts=DISCOUNTS):
+        key = key.astype(np.int64)
+        every = np.arange(1 << 16)
+        self.none = _smoothed(np.bincount(key & 0xFF, n, 256).astype(np.int64), np.zeros(1, np.int64), np.full(256, 1 / 256), discounts)[0]
+        self.one = _smoothed(np.bincount(key & 0xFFFF, n, 1 << 16).astype(np.int64), every[::256], self.none[every & 0xFF], discounts)[0]
+        self.key, n = _summed(key, n)
+        base = self.one[self.key & 0xFFFF]
+        self.two, self.left = np.zeros(0), np.ones(1 << 16)
+        if len(self.key):
+            first, _ = runs(self.key >> 8)
+            self.two, total = _smoothed(n, first, base, discounts)
+            kept = np.add.reduceat(np.maximum(n - np.array([0.0, *discounts])[np.minimum(n, 3)], 0), first)
+            self.left[self.key[first] >> 8] = (total - kept) / total
+
+    def prob(self, codes: np.ndarray) -> np.ndarray:
+        """Probability of the newest byte of each code by the last two bytes."""
+        key = (codes & _mask(TOP + 1)).astype(np.int64)
+        out = self.left[key >> 8] * self.one[key & 0xFFFF]
+        if len(self.key):
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            out = np.where(self.key[at] == key, self.two[at], out)
+        return out
 
 
-class Tree:
-    """States by length, with smoothed distributions.
+def probabilities(keys: np.ndarray, n: np.ndarray, upper: Upper, discounts=DISCOUNTS, gain: float = GAIN) -> tuple[np.ndarray, list[int]]:
+    """Probability of the newest byte of every run by its longest state, and the number of states of each length.
 
-    ``levels[k]`` are the pairs (context of ``k`` bytes, next byte) and the totals of
-    the contexts of length ``k``.
+    ``keys`` are distinct sorted runs of whole subtrees, ``n`` their occurrences in
+    training; runs that only other texts hold have none.
     """
+    stack = [(keys, n, n, None)]
+    for k in range(DEPTH - 1, TOP, -1):
+        pair, raw, _, _ = stack[-1]
+        shorter, to = np.unique(pair & _mask(k + 1), return_inverse=True)
+        stack.append((shorter, np.bincount(to, raw, len(shorter)).astype(np.int64), np.bincount(to, raw > 0, len(shorter)).astype(np.int64), to))
+    base, states = upper.prob(stack[-1][0]), []
+    for i in range(len(stack) - 1, -1, -1):
+        pair, raw, count, _ = stack[i]
+        first, size = runs(pair >> np.uint64(8))
+        prob, total = _smoothed(count, first, base, discounts)
+        saved = np.add.reduceat(np.where(raw > 0, raw * np.log(prob / base), 0.0), first)
+        state = (total > 0) & (saved > gain * np.add.reduceat((count > 0).astype(np.int64), first))
+        states.append(int(state.sum()))
+        prob = np.where(np.repeat(state, size), prob, base)
+        if i:
+            base = prob[stack[i][3]]
+    return prob, states
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], discount: float = DISCOUNT, gain: float = GAIN):
-        contexts, backoff, pair_keys, pair_logs = [], [], [], []
-        per_level: list[dict] = []
-        for k, (ctx, total, pair, n) in enumerate(levels):
-            order = np.argsort(ctx)
-            ctx, total = ctx[order], total[order].astype(float)
-            order = np.argsort(pair)
-            pair, n = pair[order], n[order].astype(float)
-            owner = np.searchsorted(ctx, pair >> np.uint64(8))
-            inside = (owner < len(ctx)) & (ctx[np.minimum(owner, len(ctx) - 1)] == pair >> np.uint64(8)) if len(ctx) else np.zeros(len(pair), bool)
-            pair, n, owner = pair[inside], n[inside], owner[inside]
-            kept = np.bincount(owner, np.maximum(n - discount, 0), len(ctx)) if len(ctx) else np.zeros(0)
-            gamma = np.maximum(total - kept, 0) / np.maximum(total, 1)
-            if k == 0:
-                base = np.full(len(pair), 1 / 256)
-            else:
-                base = self._chain(per_level, pair, k)
-            prob = np.maximum(n - discount, 0) / total[owner] + gamma[owner] * base if len(pair) else n
-            saved = np.bincount(owner, n * np.log(np.maximum(prob, 1e-300) / base), len(ctx)) if len(pair) else np.zeros(len(ctx))
-            listed = np.bincount(owner, minlength=len(ctx)) if len(pair) else np.zeros(len(ctx))
-            retain = saved > gain * np.maximum(listed, 1)
-            per_level.append({"ctx": ctx, "gamma": gamma, "pair": pair, "prob": prob, "owner": owner, "retain": retain})
-        # a state keeps all its suffixes
-        for k in range(len(per_level) - 1, 0, -1):
-            own, up = per_level[k], per_level[k - 1]
-            short = own["ctx"][own["retain"]] & np.uint64((1 << (8 * (k - 1))) - 1)
-            at = np.searchsorted(up["ctx"], short)
-            up["retain"][at[at < len(up["ctx"])]] = True
-        for x in per_level[: TOP + 1]:
-            x["retain"][:] = True
-        self.states = [int(x["retain"].sum()) for x in per_level]
-        for k, x in enumerate(per_level):
-            contexts.append(_tag(x["ctx"][x["retain"]], k))
-            backoff.append(np.log10(np.maximum(x["gamma"][x["retain"]], 1e-12)))
-            ok = x["retain"][x["owner"]] if len(x["owner"]) else np.zeros(0, bool)
-            pair_keys.append(_tag(x["pair"][ok], k + 1))
-            pair_logs.append(np.log10(np.maximum(x["prob"][ok], 1e-300)))
-        none = np.zeros(0, np.uint64)
-        self.context = Lookup(np.concatenate(contexts) if contexts else none)
-        self.backoff = np.concatenate(backoff).astype(np.float32) if backoff else np.zeros(0, np.float32)
-        self.pair = Lookup(np.concatenate(pair_keys) if pair_keys else none)
-        self.logs = np.concatenate(pair_logs).astype(np.float32) if pair_logs else np.zeros(0, np.float32)
-
-        # results for the runs that the corpus holds often enough, so that most bytes take one look
-        usual = levels[DEPTH][2] if len(levels) > DEPTH else none
-        self.usual = Lookup(usual)
-        self.usual_logs = np.concatenate((self.walk(usual), np.zeros(1, np.float32)))
-
-    @staticmethod
-    def _chain(levels: list[dict], pair: np.ndarray, k: int) -> np.ndarray:
-        """Probability of each pair's byte in the parent context, through as many back-offs as it takes."""
-        out, factor = np.full(len(pair), 1 / 256), np.ones(len(pair))
-        todo = np.arange(len(pair))
-        for j in range(k - 1, -1, -1):
-            x = levels[j]
-            if not len(x["ctx"]):
-                continue
-            want = pair[todo] & np.uint64((1 << (8 * (j + 1))) - 1)
-            at = np.minimum(np.searchsorted(x["pair"], want), max(0, len(x["pair"]) - 1))
-            hit = x["pair"][at] == want if len(x["pair"]) else np.zeros(len(want), bool)
-            out[todo[hit]] = x["prob"][at[hit]]
-            todo, want = todo[~hit], want[~hit]
-            c = want >> np.uint64(8)
-            at = np.minimum(np.searchsorted(x["ctx"], c), len(x["ctx"]) - 1)
-            has = x["ctx"][at] == c
-            factor[todo[has]] *= x["gamma"][at[has]]
-        return out * factor
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol given its past."""
-        place = self.usual.find(codes)
-        out = self.usual_logs[place]
-        rare = np.flatnonzero(place < 0)
-        out[rare] = self.walk(codes[rare])
-        return out
 
-    def walk(self, codes: np.ndarray) -> np.ndarray:
-        """The same by looking for the longest state, then for the byte in it and the states it backs off to."""
-        total = np.zeros(len(codes), np.float32)
-        depth = np.full(len(codes), -1, np.int8)
-        todo = np.arange(len(codes))
-        past = codes >> np.uint64(8)
-        place = np.full(len(codes), -1, np.int32)
-        for k in range(DEPTH, -1, -1):
-            got = self.context.find(_tag(past[todo], k))
-            hit = got >= 0
-            depth[todo[hit]], place[todo[hit]] = k, got[hit]
-            todo = todo[~hit]
-            if not len(todo):
-                break
-        open_ = np.ones(len(codes), bool)
-        for k in range(DEPTH, -1, -1):
-            todo = np.flatnonzero(open_ & (depth == k))
-            if not len(todo):
-                continue
-            got = self.pair.find(_tag(codes[todo], k + 1))
-            hit = got >= 0
-            total[todo[hit]] += self.logs[got[hit]]
-            open_[todo[hit]] = False
-            miss = todo[~hit]
-            total[miss] += self.backoff[place[miss]]
-            depth[miss] = k - 1
-            if k:
-                place[miss] = self.context.find(_tag(past[miss], k - 1))
-        total[open_] += np.float32(-np.log10(256))
-        return total
-
-
-def levels_of(codes: np.ndarray, n: np.ndarray, lengths: range) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Contexts, their totals, pairs and their counts for contexts of ``lengths`` bytes."""
-    out = []
-    for k in lengths:
-        masked = codes & np.uint64((1 << (8 * (k + 1))) - 1)
-        pair, at = np.unique(masked, return_inverse=True)
-        ctx, over = np.unique(masked >> np.uint64(8), return_inverse=True)
-        out.append((ctx, np.bincount(over, n, len(ctx)).astype(np.int64), pair, np.bincount(at, n, len(pair)).astype(np.int64)))
-    return out
+_PARTS = "kind int, p int, key long, size long, a binary, b binary, c binary"
+_NAMES = ["kind", "p", "key", "size", "a", "b", "c"]
+_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+RUNS, WORDS, SHORT, TEXTS = 0, 1, 2, 3
 
 
-def _summed(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    return key[first], *(np.add.reduceat(c[order], first) for c in counts)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
+
+
+def _part_of_run(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (mix64((keys >> np.uint64(8)) & _mask(TOP + 1)) % np.uint64(parts)).astype(np.int64)
+
 
+def _part_of_word(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
 
-def grow(rows: DataFrame, counts: DataFrame, *, discount: float = DISCOUNT, gain: float = GAIN) -> DataFrame:
-    """``(key, uses, log)``: every run of the texts with its occurrences and its log10 probability by the tree of the training texts."""
-    top = counts.where("kind = 0").select("key", "n").toArrow()
-    key, n = (top.column(i).to_numpy() for i in range(2))
-    upper = counts.sparkSession.sparkContext.broadcast(levels_of(key.astype(np.uint64), n, range(TOP + 1)))
+
+def _dealt(part: np.ndarray, *arrays: np.ndarray):
+    """``(part, arrays of its rows)``, the rows in the order given."""
+    order = np.argsort(part, kind="stable")
+    first, count = runs(part[order])
+    for i, n in zip(first.tolist(), count.tolist()):
+        at = order[i : i + n]
+        yield int(part[at[0]]), *(a[at] for a in arrays)
+
+
+def count(rows: DataFrame, parts: int) -> DataFrame:
+    """All runs and words of ``rows (text, held_out)``, one row for each part: keys, occurrences in training and in all."""
 
     def tally(batches):
-        counters = _Counter(), _Counter()
+        codes, held, size, terms, texts = [], [], 0, [], 0
 
         def taken():
-            got = [(key, uses * (not held), uses) for held in (False, True) for key, uses in counters[held].take()]
-            if got:
-                key, n, uses = _summed(*(np.concatenate(x) for x in zip(*got)))
-                for i in range(0, len(key), 1 << 18):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 18)]) for x in (key, n, uses)], ["key", "n", "uses"])
+            key, n, uses = [], [], []
+            for some, counts in ((codes, True), (held, False)):
+                if some:
+                    k = np.concatenate(some)
+                    k.sort()
+                    first, c = runs(k)
+                    key.append(k[first])
+                    n.append(c * counts)
+                    uses.append(c)
+            if key:
+                key, n, uses = _summed(*(np.concatenate(x) for x in (key, n, uses)))
+                for p, k, a, b in _dealt(_part_of_run(key, parts), key, n, uses):
+                    yield _batch([(RUNS, p, 0, len(k), put_keys(k), put(a), put(b))])
+            if terms:
+                key, n = _summed(np.concatenate([k for k, _ in terms]), np.concatenate([c for _, c in terms]))
+                for p, k, a in _dealt(_part_of_word(key, parts), key, n):
+                    yield _batch([(WORDS, p, 0, len(k), put_keys(k), put(a), b"")])
 
         for batch in batches:
             for part, data, at in slices(batch, "text"):
                 out = part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
-                codes, row, _ = stream(data, at)
-                for held in (False, True):
-                    counters[held].add(np.sort(codes[out[row] == held]))
-                if max(c.held for c in counters) > HOLD:
+                c, n = stream(data, at)
+                hidden = np.repeat(out, n)
+                codes.append(c[~hidden])
+                held.append(c[hidden])
+                h, off, _ = words(data, at)
+                h = np.sort(h[~out[rows_of(off)]])
+                first, times = runs(h)
+                terms.append((h[first], times))
+                texts += int((~out).sum())
+                size += len(c)
+                if size > CHUNK:
                     yield from taken()
+                    codes, held, size, terms = [], [], 0, []
         yield from taken()
+        yield _batch([(TEXTS, 0, 0, texts, b"", b"", b"")])
+
+    def merge(batches):
+        found, texts = defaultdict(list), 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["kind"] == TEXTS:
+                    texts += r["size"]
+                else:
+                    found[r["kind"], r["p"]].append((r["size"], r["a"], r["b"], r["c"]))
+        for (kind, p), blobs in found.items():
+            keys, n = np.concatenate([get_keys(a, s) for s, a, _, _ in blobs]), np.concatenate([get(b, s, np.int64) for s, _, b, _ in blobs])
+            if kind == WORDS:
+                keys, n = _summed(keys, n)
+                yield _batch([(WORDS, p, int(n.sum()), len(keys), put_keys(keys), put(n), b"")])
+                continue
+            keys, n, uses = _summed(keys, n, np.concatenate([get(c, s, np.int64) for s, _, _, c in blobs]))
+            yield _batch([(RUNS, p, 0, len(keys), put_keys(keys), put(n), put(uses))])
+            short, times = _summed(keys & _mask(TOP + 1), n)
+            if times.any():
+                yield _batch([(SHORT, 0, k, c, b"", b"", b"") for k, c in zip(short.view(np.int64).tolist(), times.tolist()) if c])
+        yield _batch([(TEXTS, 0, 0, texts, b"", b"", b"")])
+
+    return rows.select("text", "held_out").mapInArrow(tally, _PARTS).repartition(parts, "p").mapInArrow(merge, _PARTS)
+
+
+def grow(counts: DataFrame, *, discounts=DISCOUNTS, gain: float = GAIN) -> DataFrame:
+    """The runs of ``counts`` with their log10 probabilities by the tree (``a`` keys, ``b`` logs, ``c`` uses; ``key`` counts the part's states)."""
+    short = counts.where(F.col("kind") == SHORT).groupBy("key").agg(F.sum("size").alias("n")).toArrow()
+    key, n = (short.column(i).to_numpy() for i in range(2))
+    upper = counts.sparkSession.sparkContext.broadcast(Upper(key, n, discounts))
 
     def work(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        key, n, uses = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
-        del held
-        key, n, uses = _summed(key, n, uses)
-        codes, seen = key.view(np.uint64), n > 0
-        tree = Tree(upper.value + levels_of(codes[seen], n[seen], range(TOP + 1, DEPTH + 1)), discount, gain)
-        for i in range(0, len(key), 1 << 18):
-            cut = slice(i, i + (1 << 18))
-            yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(uses[cut]), pa.array(tree.log10(codes[cut]).astype(np.float32))], ["key", "uses", "log"])
-
-    newest = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * (TOP + 1))) - 1))
-    parts = rows.select("text", "held_out").mapInArrow(tally, "key long, n long, uses long")
-    return parts.repartition(newest).mapInArrow(work, "key long, uses long, log float")
-
-
-def commonest(table: DataFrame, uses: str, most: int) -> DataFrame:
-    """About the ``most`` rows of ``table`` with the highest ``uses``, without sorting it."""
-    step = F.floor(16 * F.log2(F.col(uses)))
-    share = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys, n = get_keys(r["a"], r["size"]), get(r["b"], r["size"], np.int64)
+                prob, states = probabilities(keys, n, upper.value, discounts, gain)
+                yield _batch([(RUNS, r["p"], sum(states), len(keys), r["a"], put(np.log10(prob).astype(np.float32)), r["c"])])
+
+    return counts.where(F.col("kind") == RUNS).mapInArrow(work, _PARTS)
+
+
+def commonest(table: DataFrame, uses: str, value: str, kind, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """About the ``most`` keys of a table of parts with the highest ``uses``, and their values; nothing is sorted."""
+
+    def steps(n: np.ndarray) -> np.ndarray:
+        return np.floor(16 * np.log2(np.maximum(n, 1))).astype(np.int64)
+
+    def tally(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                step, n = np.unique(steps(get(r[uses], r["size"], np.int64)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n)], ["step", "n"])
+
     rest, cut, part = most, -1, 0
-    for at, n in sorted(table.groupBy(step.alias("step")).count().collect(), reverse=True):
+    for step, n in sorted(((r[0], r[1]) for r in table.mapInArrow(tally, "step long, n long").groupBy("step").agg(F.sum("n")).collect()), reverse=True):
         if n > rest:
-            cut, part = at, int(rest / n * (1 << 20))
+            cut, part = step, int(rest / n * (1 << 20))
             break
         rest -= n
-    return table.where((step > cut) | ((step == cut) & (share < part)))
 
+    def select(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys, step = get_keys(r["a"], r["size"]), steps(get(r[uses], r["size"], np.int64))
+                take = (step > cut) | ((step == cut) & ((mix64(keys) & np.uint64((1 << 20) - 1)) < np.uint64(part)))
+                keys = keys[take]
+                yield _batch([(0, 0, 0, len(keys), put_keys(keys), put(get(r[value], r["size"], kind)[take]), b"")])
+
+    got = table.mapInArrow(select, _PARTS).collect()
+    keys = [get_keys(r["a"], r["size"]) for r in got]
+    values = [get(r["b"], r["size"], kind) for r in got]
+    return np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, kind), *values])
 
-def score(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", cache: int = CACHE) -> DataFrame:
+
+def score(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", cache: int = CACHE, part: int = PART) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     ws = Workspace(spark, "lm")
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col), 7).alias("held_out"), F.col(text_col).alias("text"))
-    counts = ws.save(count(rows.where("NOT held_out")), "counts")
-    logs_of = ws.save(grow(rows, counts), "logs")
-    empty = int.from_bytes(bytes([END]) * (DEPTH + 1), "big")  # the end of an empty text is always at hand
-    usual = commonest(logs_of.where(F.col("key") != empty), "uses", cache).unionAll(logs_of.where(F.col("key") == empty)).select("key", "log").toArrow()
-    usual_keys = usual.column(0).to_numpy().view(np.uint64) if len(usual) else np.zeros(0, np.uint64)
-    usual_logs = usual.column(1).to_numpy() if len(usual) else np.zeros(0, np.float32)
-    runs_known = spark.sparkContext.broadcast((Lookup(usual_keys), np.concatenate((usual_logs, np.zeros(1, np.float32)))))
-    terms = counts.where("kind = 1")
-    texts = counts.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    tokens, distinct = terms.agg(F.sum("n"), F.count("*")).first()
-    tokens, distinct = (tokens or 0) + texts, distinct + (texts > 0)
-    common = commonest(terms, "n", cache // 4).select("key", "n").toArrow()
-    keys = common.column(0).to_numpy().view(np.uint64) if len(common) else np.zeros(0, np.uint64)
-    logs = common.column(1).to_numpy().astype(float) if len(common) else np.zeros(0)
-    known = spark.sparkContext.broadcast((Lookup(keys), logs))
-    kind = dict(docs.dtypes)[id_col]
+    parts = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part
+    coarse = -(-parts // COARSE)
+    counts = ws.save(count(rows, parts), "counts")
+    tree = ws.save(grow(counts), "tree")
+    vocabulary = counts.where(F.col("kind") == WORDS)
+    texts = counts.where(F.col("kind") == TEXTS).agg(F.sum("size")).first()[0] or 0
+    n_words, distinct = vocabulary.agg(F.sum("key"), F.sum("size")).first()
+    tokens, distinct = (n_words or 0) + texts, (distinct or 0) + (texts > 0)
+    run_logs = spark.sparkContext.broadcast(Lookup(*commonest(tree, "c", "b", np.float32, cache)))
+    keys, n = commonest(vocabulary, "b", "b", np.int64, cache // 8)
+    word_counts = spark.sparkContext.broadcast(Lookup(keys, n.astype(np.float64)))
     log_end, log_all = float(np.log10(texts + 1.0)), float(np.log10(tokens + distinct + 1.0))
+    kind = dict(docs.dtypes)[id_col]
+    names = ["kind", "t", "i", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "g", "size", "a", "b"]
+    types = [pa.int32(), pa.int64(), pa.int32(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+
+    def read(batches):
+        """A row for each text, with what is at hand, and rows of the runs and words that must be looked up elsewhere."""
+        unit, done, gaps, held = None, 0, {RUNS: [], WORDS: []}, 0
+
+        def passed(id_type):
+            for what, deal in ((RUNS, _part_of_run), (WORDS, _part_of_word)):
+                if not gaps[what]:
+                    continue
+                key, who = (np.concatenate(x) for x in zip(*gaps[what]))
+                order = np.argsort(key, kind="stable")
+                key, who = key[order], who[order]
+                for g, k, w in _dealt(deal(key, parts) % coarse, key, who):
+                    one = {"kind": 1 + what, "t": unit, "g": g, "size": len(k), "a": put_keys(k), "b": put(w)}
+                    yield pa.RecordBatch.from_arrays([pa.array([one.get(c)], t or id_type) for c, t in zip(names, types)], names)
 
-    n_words = tokens - texts
-    p_end = min(texts / n_words, 0.5) if n_words else 0.5
-    term_end, term_space, stay = float(np.log10(max(p_end, 1e-12))), float(np.log10(1 - p_end)), float(np.log10(1 - MIX))
-
-    def work(batches):
-        lookup, value = known.value
-        at_hand, log_of = runs_known.value
         for batch in batches:
             for part, data, at in slices(batch, "text"):
-                n = part.num_rows
-                codes, row, size = stream(data, at)
-                place = at_hand.find(codes)
-                gap = np.flatnonzero(place < 0)
-                missing = codes[gap]
-                tree_log = log_of[place]  # a missing run finds the 0 at the end
-                del place
+                n, id_type = part.num_rows, part.column(1).type
+                if unit is None:
+                    unit, done, gaps, held = part.column(0)[0].as_py(), 0, {RUNS: [], WORDS: []}, 0
+                codes, size = stream(data, at)
+                log = run_logs.value.find(codes)
+                gap = np.flatnonzero(np.isnan(log))
+                log[gap] = 0
+                start = np.cumsum(size) - size
+                lm = np.add.reduceat(log, start, dtype=np.float64)
+                gaps[RUNS].append((codes[gap], (np.searchsorted(start, gap, "right") - 1 + done).astype(np.uint32)))
                 h, off, _ = words(data, at)
-                wrow = rows_of(off)
-                last = np.cumsum(size) - 1
-                token_end = np.zeros(len(codes), bool)
-                token_end[(codes & np.uint64(0xFF)) == 32] = True
-                token_end[last] = True
-                token_start = np.flatnonzero(np.concatenate(([True], token_end[:-1]))) if len(codes) else last
-                spelled = np.add.reduceat(tree_log, token_start, dtype=np.float64) if len(codes) else tree_log.astype(np.float64)
-                empty_row = np.diff(off) == 0
-                of_word = ~empty_row[row[token_start]]
-                lm = np.bincount(row[token_start][~of_word], spelled[~of_word], n).astype(float)
-                closing = np.full(len(h), term_space)
-                closing[off[1:][~empty_row] - 1] = term_end
-                spelled = spelled[of_word] - closing
-                word_of = (np.cumsum(of_word) - 1)[np.searchsorted(token_start, gap, "right") - 1]
-                whole = np.ones(len(h), bool)
-                whole[word_of] = False
-                place = lookup.find(h)
-                hit = place >= 0
-                times = np.where(hit, value[place], 0) if len(value) else np.zeros(len(h))
-                base = np.bincount(wrow[hit], np.log10(times[hit] + 1.0), n).astype(float)
-                now = hit & whole
-                per_word = np.zeros(len(h))
-                per_word[now] = np.log10(MIX * times[now] / max(1, n_words) + (1 - MIX) * 10.0 ** spelled[now])
-                lm += np.bincount(wrow, per_word + closing, n)
-                n_known = np.bincount(wrow[hit], minlength=n) + int(texts > 0)
-
-                def listed(who, names, values):
-                    at = np.concatenate(([0], np.cumsum(np.bincount(wrow[who], minlength=n)))).astype(np.int32)
-                    return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(values, names))
-
-                open_ = np.flatnonzero(~now)
-                nth = (np.arange(len(h)) - off[wrow]).astype(np.int32)
-                rest = listed(open_, ["word", "key", "times", "spelled"], [pa.array(nth[open_]), pa.array(np.where(hit, np.uint64(0), h)[open_].view(np.int64)), pa.array(times[open_].astype(np.int64)), pa.array(spelled[open_].astype(np.float32))])
-                gaps = listed(word_of, ["word", "key"], [pa.array(nth[word_of]), pa.array(missing.view(np.int64))])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array((np.diff(off) + 1).astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base + log_end), pa.array(lm), rest, gaps], ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest", "gaps"])
+                row, times = rows_of(off), word_counts.value.find(h)
+                hit = ~np.isnan(times)
+                base = np.bincount(row[hit], np.log10(times[hit] + 1.0), n)
+                known = np.bincount(row[hit], minlength=n) + int(texts > 0)
+                gaps[WORDS].append((h[~hit], (row[~hit] + done).astype(np.uint32)))
+                held += len(gap) + int((~hit).sum())
+                null = lambda t: pa.nulls(n, t)  # noqa: B023,E731
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, unit)), pa.array(np.arange(done, done + n, dtype=np.int32)), part.column(1), part.column(2), pa.array((np.diff(off) + 1).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(float) + log_end), pa.array(lm), null(pa.int32()), null(pa.int64()), null(pa.binary()), null(pa.binary()),
+                ], names)
+                done += n
+                if done > UNIT_ROWS or held > UNIT_GAPS:
+                    yield from passed(id_type)
+                    unit = None
+        if unit is not None:
+            yield from passed(id_type)
 
     numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
-    scored = ws.save(numbered.mapInArrow(work, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word:int,key:long,times:long,spelled:float>>, gaps array<struct<word:int,key:long>>"), "scored")
-    # the pieces of a word meet once: its known part, the runs that were joined, its count if that was joined
-    spelled, none = F.col("spelled").cast("double").alias("spelled"), F.lit(0).cast("long")
-    rest = scored.select("rid", F.inline("rest"))
-    known_part = rest.select("rid", "word", "times", none.alias("n"), spelled)
-    joined_runs = scored.select("rid", F.inline("gaps")).join(logs_of.select("key", "log"), "key").select("rid", "word", none.alias("times"), none.alias("n"), F.col("log").cast("double").alias("spelled"))
-    joined_words = rest.where("times = 0").join(terms.select("key", "n"), "key").select("rid", "word", none.alias("times"), "n", F.lit(0.0).alias("spelled"))
-    pieces = known_part.unionAll(joined_runs).unionAll(joined_words).repartition("rid")
-    tail = pieces.groupBy("rid", "word").agg(F.sum("times").alias("times"), F.sum("n").alias("n"), F.sum("spelled").alias("spelled"))
-    found = F.col("times") + F.col("n")
-    mixed = F.when(found > 0, F.log10(MIX * found / max(1, n_words) + (1 - MIX) * F.pow(F.lit(10.0), F.col("spelled")))).otherwise(stay + F.col("spelled"))
-    tail = tail.groupBy("rid").agg(F.count_if(F.col("n") > 0).alias("more_known"), F.sum(F.when(F.col("n") > 0, F.log10(F.col("n") + 1.0)).otherwise(0.0)).alias("more"), F.sum(mixed).alias("gain"))
-    out = scored.drop("rest", "gaps").join(tail, "rid", "left")
+    scored = ws.save(numbered.mapInArrow(read, f"kind int, t long, i int, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, g int, size long, a binary, b binary"), "scored")
+
+    def look_up(batches):
+        """For each unit, and by kind, the sums of its texts' values and how many were found."""
+        tables, asked = {RUNS: [], WORDS: []}, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["t"] is None:
+                    tables[r["kind"]].append((get_keys(r["a"], r["size"]), get(r["b"], r["size"], np.float32 if r["kind"] == RUNS else np.int64)))
+                else:
+                    asked.append(r)
+        known = {}
+        for what, some in tables.items():
+            key = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in some)])
+            value = np.concatenate([np.zeros(0), *(v for _, v in some)])
+            order = np.argsort(key, kind="stable")
+            known[what] = key[order], value[order] if what == RUNS else np.log10(value[order] + 1.0)
+        sums = {}
+        for r in asked:
+            key, value = known[r["kind"]]
+            want, who = get_keys(r["a"], r["size"]), get(r["b"], r["size"], np.uint32)
+            if not len(key):
+                continue
+            at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+            hit = key[at] == want
+            total, n = np.bincount(who[hit], value[at[hit]]), np.bincount(who[hit])
+            if len(n):
+                sums.setdefault((r["t"], r["kind"]), []).append((total, n))
+        for (t, what), some in sums.items():
+            size = max(len(n) for _, n in some)
+            total, n = (sum(np.pad(x[j], (0, size - len(x[j]))) for x in some) for j in range(2))
+            yield _batch([(what, 0, t, size, put(total.astype(np.float64)), put(n.astype(np.int64)) if what == WORDS else b"", b"")])
+
+    table = tree.unionAll(vocabulary).select("kind", F.lit(None).cast("long").alias("t"), F.pmod("p", F.lit(coarse)).alias("g"), "size", "a", "b")
+    wanted = scored.where("kind > 0").select((F.col("kind") - 1).alias("kind"), "t", "g", "size", "a", "b")
+    partial = table.unionAll(wanted).repartition(coarse, "g").mapInArrow(look_up, _PARTS)
+
+    def add_up(batches):
+        sums = defaultdict(lambda: np.zeros((3, 0)))
+        for batch in batches:
+            for r in batch.to_pylist():
+                have, size = sums[r["key"]], r["size"]
+                if have.shape[1] < size:
+                    have = sums[r["key"]] = np.pad(have, ((0, 0), (0, size - have.shape[1])))
+                have[0 if r["kind"] == RUNS else 1, :size] += get(r["a"], size, np.float64)
+                if r["kind"] == WORDS:
+                    have[2, :size] += get(r["b"], size, np.int64)
+        for t, have in sums.items():
+            i = np.flatnonzero(have.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), t)), pa.array(i.astype(np.int32)), pa.array(have[0, i]), pa.array(have[1, i]), pa.array(have[2, i].astype(np.int64))], ["t", "i", "more_score", "more_base", "more_known"])
+
+    more = partial.repartition("key").mapInArrow(add_up, "t long, i int, more_score double, more_base double, more_known long")
+    out = scored.where("kind = 0").join(more, ["t", "i"], "left")
+    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * log_all).alias("base_score"), (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
+        "doc_id", "held_out", "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        (plus("base", "more_base") - F.col("n_tokens") * log_all).alias("base_score"), plus("score", "more_score").alias("score"),
     )

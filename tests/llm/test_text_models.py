@@ -1,8 +1,9 @@
 import math
+import pickle
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -126,45 +127,93 @@ def test_suffix_tree(spark):
     assert suffix_tree.score(spark, df.limit(0)).count() == 0
 
 
-def test_tree_sums_to_one():
-    rng = np.random.default_rng(0)
-    text = bytes(rng.choice(list(b"abc "), 3000)) + b"abcabcabc" * 50
-    codes = suffix_tree.stream(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
-    levels = []
-    for k in range(suffix_tree.DEPTH + 1):
-        pair, n = np.unique(codes & np.uint64((1 << (8 * (k + 1))) - 1), return_counts=True)
-        ctx, c = np.unique((codes & np.uint64((1 << (8 * (k + 1))) - 1)) >> np.uint64(8), return_counts=True)
-        levels.append((ctx, c, pair, n))
-    tree = suffix_tree.Tree(levels)
-    for past in (codes[10], codes[2000], np.uint64(0)):
-        all_next = ((past >> np.uint64(8)) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-        assert abs((10.0 ** tree.log10(all_next).astype(float)).sum() - 1) < 1e-3
-
-
-def test_tree_keeps_rare_runs_of_a_large_corpus(spark):
-    """5 MB of filler must not push runs that occur once or twice out of the tree, and what travels must not change a score."""
+class BruteTree:
+    """The same tree over dictionaries, one distribution of 256 numbers at a time."""
+
+    def __init__(self, texts):
+        self.raw = [defaultdict(Counter) for _ in range(suffix_tree.DEPTH + 1)]
+        for t in texts:
+            s = self.symbols(t)
+            for i in range(suffix_tree.DEPTH, len(s)):
+                for k in range(suffix_tree.DEPTH + 1):
+                    self.raw[k][s[i - k : i]][s[i]] += 1
+        self.once = [defaultdict(Counter) for _ in self.raw]
+        for k in range(suffix_tree.DEPTH):
+            for ctx, follow in self.raw[k + 1].items():
+                self.once[k][ctx[1:]].update(list(follow))
+        self.memo = {}
+
+    @staticmethod
+    def symbols(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode()
+        return b"\n" * suffix_tree.DEPTH + b" ".join(re.findall(rb"[^\x20\x09-\x0D]+", low)) + b"\n"
+
+    def next(self, ctx):
+        """Distribution after a context, by its longest state."""
+        if ctx not in self.memo:
+            k = len(ctx)
+            shorter = self.next(ctx[1:]) if k else np.full(256, 1 / 256)
+            raw = self.raw[k].get(ctx, Counter())
+            count = raw if k <= suffix_tree.TOP or k == suffix_tree.DEPTH else self.once[k].get(ctx, Counter())
+            total = sum(count.values())
+            out = shorter
+            if total:
+                less = lambda n: suffix_tree.DISCOUNTS[min(n, 3) - 1]
+                kept = {b: max(n - less(n), 0) for b, n in count.items()}
+                own = (1 - sum(kept.values()) / total) * shorter
+                for b, n in kept.items():
+                    own[b] += n / total
+                saved = sum(n * math.log(own[b] / shorter[b]) for b, n in raw.items())
+                if k <= suffix_tree.TOP or saved > suffix_tree.GAIN * len(count):
+                    out = own
+            self.memo[ctx] = out
+        return self.memo[ctx]
+
+    def score(self, text):
+        s, d = self.symbols(text), suffix_tree.DEPTH
+        return sum(math.log10(self.next(s[i - d : i])[s[i]]) for i in range(d, len(s)))
+
+
+def test_suffix_tree_against_brute_force(spark, monkeypatch):
+    """Texts twice, one id twice, nulls and runs that only a held-out text holds; what travels and how parts are cut change nothing."""
     rng = random.Random(6)
-    rows = [(i, prose(rng, "bb", 12)) for i in range(40)] + [(i, "ab " * 1_700_000) for i in (100, 101)] + [(200, ""), (201, "new words here")]
-    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    assert not all(held(i) for i in (100, 101))
-    f = lambda texts: suffix_tree.stream(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts]))
-    codes = f([t for i, t in rows if not held(i)])[0]
-    tree = suffix_tree.Tree(suffix_tree.levels_of(codes, np.ones(len(codes)), range(suffix_tree.DEPTH + 1)))
-    count = Counter(w for i, t in rows if not held(i) for w in t.lower().split())
-    n_words, n_texts = sum(count.values()), sum(not held(i) for i, _ in rows)
-    p_end = min(n_texts / n_words, 0.5)
-    want = {}
-    for i, t in rows[:40] + rows[-2:]:
-        logs, words = tree.log10(f([t])[0]).astype(float), t.lower().split()
-        want[i], at = (0.0 if words else float(logs[0])), 0
-        for k, w in enumerate(words):
-            close = math.log10(p_end if k == len(words) - 1 else 1 - p_end)
-            spelled = float(logs[at : (at := at + len(w.encode()) + 1)].sum()) - close
-            want[i] += math.log10(suffix_tree.MIX * count[w] / n_words + (1 - suffix_tree.MIX) * 10**spelled) + close
+    pool = [prose(rng, "cc", 8) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(1, 5)))) for i in range(60)]
+    rows += [(100, rows[3][1]), (101, rows[3][1]), (4, "two texts of one id"), (4, "two texts of one id"), (200, ""), (201, "new words zz"), (202, None), (203, " \t A\n b  "), (None, "no id"), (204, "new words yy é")]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    tree = BruteTree([t for i, t in rows if not held(i)])
+    assert abs(tree.next(b"\n" * 7).sum() - 1) < 1e-9 and abs(tree.next(b"tion me").sum() - 1) < 1e-9
+    want = sorted((str(i), round(tree.score(t), 3)) for i, t in rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for out in (suffix_tree.score(spark, df), suffix_tree.score(spark, df, cache=30), suffix_tree.score(spark, df, cache=0)):
-        got = {r.doc_id: r.score for r in out.collect()}
-        assert len(got) == len(rows) and all(abs(got[i] - x) < 1e-3 for i, x in want.items())
+    base = None
+    for options in ({}, {"cache": 0}, {"cache": 80, "part": 900}):
+        out = suffix_tree.score(spark, df, **options).collect()
+        got = sorted((str(r.doc_id), round(r.score, 3)) for r in out)
+        assert all(a[0] == b[0] and abs(a[1] - b[1]) < 3e-3 for a, b in zip(got, want, strict=True))
+        own = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 9)) for r in out)
+        assert own == (base := base or own)
+
+
+def test_suffix_tree_without_training_rows(spark):
+    df = spark.createDataFrame([(i, "ab") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
+    assert {round(r.score, 4) for r in suffix_tree.score(spark, df).collect()} == {round(3 * -math.log10(256), 4)}
+
+
+def test_lookup():
+    rng = np.random.default_rng(0)
+    keys = np.unique(np.concatenate((rng.integers(0, 1 << 63, 5000).astype(np.uint64), np.array([0, 1, 2], np.uint64))))
+    table = suffix_tree.Lookup(keys, np.arange(len(keys), dtype=float))
+    for t in (table, pickle.loads(pickle.dumps(table))):
+        assert (t.find(keys) == np.arange(len(keys))).all() and np.isnan(t.find(keys + np.uint64(3))[~np.isin(keys + np.uint64(3), keys)]).all()
+
+
+def test_arrays_travel():
+    rng = np.random.default_rng(0)
+    for kind in (np.uint64, np.int64, np.float32, np.uint32):
+        x = rng.integers(0, 1 << 20, 999).astype(kind)
+        assert (suffix_tree.get(suffix_tree.put(x), len(x), kind) == x).all() and suffix_tree.get(suffix_tree.put(x[:0]), 0, kind).dtype == kind
+    keys = np.sort(rng.integers(0, 1 << 63, 50).astype(np.uint64))
+    assert (suffix_tree.get_keys(suffix_tree.put_keys(keys), 50) == keys).all()
 
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body>
