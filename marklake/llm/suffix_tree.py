@@ -55,7 +55,7 @@ _FOLDED = np.where(SPACE, np.uint8(32), LOWER)
 
 
 def stream(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(codes, symbols per row)``: the code of a symbol packs it with the ``DEPTH`` bytes before it."""
+    """``(codes, symbols per row)``: the code of a symbol holds the ``DEPTH`` bytes before it, the newest one highest, and itself lowest."""
     n, gap = len(at) - 1, DEPTH + 1
     f, out = _FOLDED[data], np.full(len(data) + n * gap, END, np.uint8)
     for i in range(n):
@@ -70,7 +70,8 @@ def stream(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(out == END).reshape(n, gap)
     real = np.ones(len(out), bool)
     real[ends[:, :DEPTH].ravel()] = False
-    return packed(out, gap)[real], ends[:, DEPTH] - ends[:, DEPTH - 1]
+    codes = packed(out, gap)[real].byteswap()
+    return (codes << np.uint64(8)) | (codes >> np.uint64(56)), ends[:, DEPTH] - ends[:, DEPTH - 1]
 
 
 def packed(data: np.ndarray, length: int) -> np.ndarray:
@@ -88,8 +89,9 @@ def packed(data: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _mask(length: int) -> np.uint64:
-    return np.uint64((1 << (8 * length)) - 1)
+def shorter(codes: np.ndarray) -> np.ndarray:
+    """Codes without the oldest byte of their context."""
+    return (codes >> np.uint64(16) << np.uint64(8)) | (codes & np.uint64(0xFF))
 
 
 def put(values: np.ndarray) -> bytes:
@@ -122,6 +124,16 @@ def _summed(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return key[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in counts)
 
 
+class Table:
+    """Keys and values that turn into a :class:`Lookup` where they arrive."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+
+    def __reduce__(self):
+        return Lookup, (self.keys, self.values)
+
+
 class Lookup:
     """Values of 64-bit keys by linear probing; values are never NaN, which marks a missing key."""
 
@@ -136,10 +148,6 @@ class Lookup:
         self.slots, self.values = np.zeros(size, np.uint64), np.full(size, np.nan, values.dtype)
         self.slots[place], self.values[place] = keys[order], values[order]
 
-    def __reduce__(self):
-        used = np.flatnonzero(~np.isnan(self.values))
-        return Lookup, (self.slots[used], self.values[used])
-
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -171,23 +179,23 @@ class Upper:
     """Distributions of the contexts of up to ``TOP`` = 2 bytes."""
 
     def __init__(self, key: np.ndarray, n: np.ndarray, discounts=DISCOUNTS):
-        key = key.astype(np.int64)
+        key = key.astype(np.uint64)
         every = np.arange(1 << 16)
-        self.none = _smoothed(np.bincount(key & 0xFF, n, 256).astype(np.int64), np.zeros(1, np.int64), np.full(256, 1 / 256), discounts)[0]
-        self.one = _smoothed(np.bincount(key & 0xFFFF, n, 1 << 16).astype(np.int64), every[::256], self.none[every & 0xFF], discounts)[0]
+        self.none = _smoothed(np.bincount((key & np.uint64(0xFF)).astype(np.int64), n, 256).astype(np.int64), np.zeros(1, np.int64), np.full(256, 1 / 256), discounts)[0]
+        self.one = _smoothed(np.bincount(shorter(key).astype(np.int64), n, 1 << 16).astype(np.int64), every[::256], self.none[every & 0xFF], discounts)[0]
         self.key, n = _summed(key, n)
-        base = self.one[self.key & 0xFFFF]
+        base = self.one[shorter(self.key).astype(np.int64)]
         self.two, self.left = np.zeros(0), np.ones(1 << 16)
         if len(self.key):
-            first, _ = runs(self.key >> 8)
+            first, _ = runs(self.key >> np.uint64(8))
             self.two, total = _smoothed(n, first, base, discounts)
             kept = np.add.reduceat(np.maximum(n - np.array([0.0, *discounts])[np.minimum(n, 3)], 0), first)
-            self.left[self.key[first] >> 8] = (total - kept) / total
+            self.left[(self.key[first] >> np.uint64(8)).astype(np.int64)] = (total - kept) / total
 
     def prob(self, codes: np.ndarray) -> np.ndarray:
-        """Probability of the newest byte of each code by the last two bytes."""
-        key = (codes & _mask(TOP + 1)).astype(np.int64)
-        out = self.left[key >> 8] * self.one[key & 0xFFFF]
+        """Probability of the newest byte of each code of three bytes of context by the last two."""
+        key = shorter(codes)
+        out = self.left[(key >> np.uint64(8)).astype(np.int64)] * self.one[shorter(key).astype(np.int64)]
         if len(self.key):
             at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
             out = np.where(self.key[at] == key, self.two[at], out)
@@ -203,8 +211,8 @@ def probabilities(keys: np.ndarray, n: np.ndarray, upper: Upper, discounts=DISCO
     stack = [(keys, n, n, None)]
     for k in range(DEPTH - 1, TOP, -1):
         pair, raw, _, _ = stack[-1]
-        shorter, to = np.unique(pair & _mask(k + 1), return_inverse=True)
-        stack.append((shorter, np.bincount(to, raw, len(shorter)).astype(np.int64), np.bincount(to, raw > 0, len(shorter)).astype(np.int64), to))
+        less, to = np.unique(shorter(pair), return_inverse=True)
+        stack.append((less, np.bincount(to, raw, len(less)).astype(np.int64), np.bincount(to, raw > 0, len(less)).astype(np.int64), to))
     base, states = upper.prob(stack[-1][0]), []
     for i in range(len(stack) - 1, -1, -1):
         pair, raw, count, _ = stack[i]
@@ -230,7 +238,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _part_of_run(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (mix64((keys >> np.uint64(8)) & _mask(TOP + 1)) % np.uint64(parts)).astype(np.int64)
+    return (mix64(keys >> np.uint64(64 - 8 * (TOP + 1))) % np.uint64(parts)).astype(np.int64)
 
 
 def _part_of_word(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -250,22 +258,20 @@ def count(rows: DataFrame, parts: int) -> DataFrame:
     """All runs and words of ``rows (text, held_out)``, one row for each part: keys, occurrences in training and in all."""
 
     def tally(batches):
-        codes, held, size, terms, texts = [], [], 0, [], 0
+        # training codes fill the room from below, the others from above
+        room, low, high, terms, texts = np.empty(0, np.uint64), 0, 0, [], 0
 
         def taken():
             key, n, uses = [], [], []
-            for some, counts in ((codes, True), (held, False)):
-                if some:
-                    k = np.concatenate(some)
-                    k.sort()
-                    first, c = runs(k)
-                    key.append(k[first])
-                    n.append(c * counts)
-                    uses.append(c)
-            if key:
-                key, n, uses = _summed(*(np.concatenate(x) for x in (key, n, uses)))
-                for p, k, a, b in _dealt(_part_of_run(key, parts), key, n, uses):
-                    yield _batch([(RUNS, p, 0, len(k), put_keys(k), put(a), put(b))])
+            for some, counts in ((room[:low], 1), (room[high:], 0)):
+                some.sort()
+                first, c = runs(some)
+                key.append(some[first])
+                n.append(c * counts)
+                uses.append(c)
+            key, n, uses = _summed(*(np.concatenate(x) for x in (key, n, uses)))
+            for p, k, a, b in _dealt(_part_of_run(key, parts), key, n, uses):
+                yield _batch([(RUNS, p, 0, len(k), put_keys(k), put(a), put(b))])
             if terms:
                 key, n = _summed(np.concatenate([k for k, _ in terms]), np.concatenate([c for _, c in terms]))
                 for p, k, a in _dealt(_part_of_word(key, parts), key, n):
@@ -275,18 +281,24 @@ def count(rows: DataFrame, parts: int) -> DataFrame:
             for part, data, at in slices(batch, "text"):
                 out = part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
                 c, n = stream(data, at)
+                if low + len(room) - high + len(c) > len(room):
+                    yield from taken()
+                    terms, low = [], 0
+                    if len(room) < max(CHUNK, len(c)):
+                        room = np.empty(max(CHUNK, len(c)), np.uint64)
+                    high = len(room)
                 hidden = np.repeat(out, n)
-                codes.append(c[~hidden])
-                held.append(c[hidden])
+                own = c[~hidden]
+                room[low : low + len(own)] = own
+                low += len(own)
+                own = c[hidden]
+                high -= len(own)
+                room[high : high + len(own)] = own
                 h, off, _ = words(data, at)
                 h = np.sort(h[~out[rows_of(off)]])
                 first, times = runs(h)
                 terms.append((h[first], times))
                 texts += int((~out).sum())
-                size += len(c)
-                if size > CHUNK:
-                    yield from taken()
-                    codes, held, size, terms = [], [], 0, []
         yield from taken()
         yield _batch([(TEXTS, 0, 0, texts, b"", b"", b"")])
 
@@ -306,7 +318,7 @@ def count(rows: DataFrame, parts: int) -> DataFrame:
                 continue
             keys, n, uses = _summed(keys, n, np.concatenate([get(c, s, np.int64) for s, _, _, c in blobs]))
             yield _batch([(RUNS, p, 0, len(keys), put_keys(keys), put(n), put(uses))])
-            short, times = _summed(keys & _mask(TOP + 1), n)
+            short, times = _summed((keys >> np.uint64(64 - 8 * TOP) << np.uint64(8)) | (keys & np.uint64(0xFF)), n)
             if times.any():
                 yield _batch([(SHORT, 0, k, c, b"", b"", b"") for k, c in zip(short.view(np.int64).tolist(), times.tolist()) if c])
         yield _batch([(TEXTS, 0, 0, texts, b"", b"", b"")])
@@ -375,9 +387,9 @@ def score(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_co
     texts = counts.where(F.col("kind") == TEXTS).agg(F.sum("size")).first()[0] or 0
     n_words, distinct = vocabulary.agg(F.sum("key"), F.sum("size")).first()
     tokens, distinct = (n_words or 0) + texts, (distinct or 0) + (texts > 0)
-    run_logs = spark.sparkContext.broadcast(Lookup(*commonest(tree, "c", "b", np.float32, cache)))
+    run_logs = spark.sparkContext.broadcast(Table(*commonest(tree, "c", "b", np.float32, cache)))
     keys, n = commonest(vocabulary, "b", "b", np.int64, cache // 8)
-    word_counts = spark.sparkContext.broadcast(Lookup(keys, n.astype(np.float64)))
+    word_counts = spark.sparkContext.broadcast(Table(keys, n.astype(np.float64)))
     log_end, log_all = float(np.log10(texts + 1.0)), float(np.log10(tokens + distinct + 1.0))
     kind = dict(docs.dtypes)[id_col]
     names = ["kind", "t", "i", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "g", "size", "a", "b"]
@@ -462,6 +474,8 @@ def score(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_co
             total, n = (sum(np.pad(x[j], (0, size - len(x[j]))) for x in some) for j in range(2))
             yield _batch([(what, 0, t, size, put(total.astype(np.float64)), put(n.astype(np.int64)) if what == WORDS else b"", b"")])
 
+    run_logs.unpersist()
+    word_counts.unpersist()
     table = tree.unionAll(vocabulary).select("kind", F.lit(None).cast("long").alias("t"), F.pmod("p", F.lit(coarse)).alias("g"), "size", "a", "b")
     wanted = scored.where("kind > 0").select((F.col("kind") - 1).alias("kind"), "t", "g", "size", "a", "b")
     partial = table.unionAll(wanted).repartition(coarse, "g").mapInArrow(look_up, _PARTS)

