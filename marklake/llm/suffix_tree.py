@@ -46,7 +46,7 @@ CACHE = 4_000_000  # runs that are looked up in the tasks, and an eighth as many
 DISCOUNTS = (0.6, 1.2, 1.7)  # for counts of 1, 2 and more
 GAIN = 0.5  # nats that a context must save for each next byte that it lists
 END = 10  # line feed: it can't stand in the folded text
-CHUNK = 8_000_000  # symbols that a task sorts at once
+CHUNK = 5_000_000  # symbols that a task sorts at once
 PART = 4 << 20  # text bytes for each part of the tree
 COARSE = 16  # parts of the tree that are searched by one task
 UNIT_ROWS, UNIT_GAPS = 8192, 1 << 20  # texts, and looked-up runs, that a task passes on at once
@@ -262,16 +262,13 @@ def count(rows: DataFrame, parts: int) -> DataFrame:
         room, low, high, terms, texts = np.empty(0, np.uint64), 0, 0, [], 0
 
         def taken():
-            key, n, uses = [], [], []
-            for some, counts in ((room[:low], 1), (room[high:], 0)):
+            for some, trained in ((room[:low], 1), (room[high:], 0)):
                 some.sort()
-                first, c = runs(some)
-                key.append(some[first])
-                n.append(c * counts)
-                uses.append(c)
-            key, n, uses = _summed(*(np.concatenate(x) for x in (key, n, uses)))
-            for p, k, a, b in _dealt(_part_of_run(key, parts), key, n, uses):
-                yield _batch([(RUNS, p, 0, len(k), put_keys(k), put(a), put(b))])
+                first, n = runs(some)
+                key, n = some[first], n.astype(np.int32)
+                del first
+                for p, k, c in _dealt(_part_of_run(key, parts), key, n):
+                    yield _batch([(RUNS, p, trained, len(k), put_keys(k), put(c), b"")])
             if terms:
                 key, n = _summed(np.concatenate([k for k, _ in terms]), np.concatenate([c for _, c in terms]))
                 for p, k, a in _dealt(_part_of_word(key, parts), key, n):
@@ -309,14 +306,16 @@ def count(rows: DataFrame, parts: int) -> DataFrame:
                 if r["kind"] == TEXTS:
                     texts += r["size"]
                 else:
-                    found[r["kind"], r["p"]].append((r["size"], r["a"], r["b"], r["c"]))
-        for (kind, p), blobs in found.items():
-            keys, n = np.concatenate([get_keys(a, s) for s, a, _, _ in blobs]), np.concatenate([get(b, s, np.int64) for s, _, b, _ in blobs])
+                    found[r["kind"], r["p"]].append((r["size"], r["a"], r["b"], r["key"]))
+        for kind, p in list(found):
+            blobs = found.pop((kind, p))
+            keys = np.concatenate([get_keys(a, s) for s, a, _, _ in blobs])
             if kind == WORDS:
-                keys, n = _summed(keys, n)
+                keys, n = _summed(keys, np.concatenate([get(b, s, np.int64) for s, _, b, _ in blobs]))
                 yield _batch([(WORDS, p, int(n.sum()), len(keys), put_keys(keys), put(n), b"")])
                 continue
-            keys, n, uses = _summed(keys, n, np.concatenate([get(c, s, np.int64) for s, _, _, c in blobs]))
+            uses = [get(b, s, np.int32).astype(np.int64) for s, _, b, _ in blobs]
+            keys, n, uses = _summed(keys, np.concatenate([x * blob[3] for x, blob in zip(uses, blobs)]), np.concatenate(uses))
             yield _batch([(RUNS, p, 0, len(keys), put_keys(keys), put(n), put(uses))])
             short, times = _summed((keys >> np.uint64(64 - 8 * TOP) << np.uint64(8)) | (keys & np.uint64(0xFF)), n)
             if times.any():

@@ -1,10 +1,12 @@
 """Deterministic sharded WARC writer, and a reader.
 
-Records are ranged into shards by their id: bytes are summed in equal steps of the
-id range, and shards are cut where the running sum fills them, so shards depend on
-the rows alone and not on a sample.  Within a shard records are sorted; a file is
-closed once its compressed size passes ``roll_bytes``.  Every record is a gzip member
-of its own, with headers and digests made anew.
+Records are sorted by id and digest of their payload, and shards are cut where the
+running sum of bytes in that order fills them.  The sum is exact (sizes are ranged and
+summed without payloads), so shards depend on the rows alone: not on a sample, not on
+how ids are spread, and not on the order of the input.  Records of one key that fill
+several shards are dealt over all of them, in the order of the input.  Within a shard records are sorted; a file is closed
+once its compressed size passes ``roll_bytes``.  Every record is a gzip member of its
+own, with headers and digests made anew.
 
 A task writes under a temporary name that holds a random part, and reports what it
 wrote.  Only the names reported by tasks that Spark counts as done reach the
@@ -15,9 +17,10 @@ Files are reached through ``pyarrow.fs`` by the scheme of their address, on exec
 as on the driver; the address must lie in a store that all of them share.
 
 Defined results: a null payload is written as an empty one, a null id is written
-without the id header and sorts first; records equal in id and payload are both
-written, and both are responses if theirs is the largest id; an empty table writes
-no file; further columns are ignored.
+without the id header and sorts first; ids may be any long; records equal in id and
+payload are both written, and both are responses if theirs is the largest id; a very
+long payload is a record, and if it fills one a shard, of its own; an empty table writes no
+file; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,19 +29,19 @@ import base64
 import hashlib
 import uuid
 import zlib
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import Workspace
 
-STEPS = 4096  # steps of the id range in which bytes are summed
-SHARD_BYTES = 32 << 20  # payload bytes of a shard
-ROLL_BYTES = 32 << 20  # compressed bytes of a file
+SHARD_BYTES = 32 << 20  # payload bytes of a shard; more where there would be over MOST_SHARDS of them
+MOST_SHARDS = 1 << 18  # what is known of each shard travels to the tasks: its first key
+ROLL = 16  # without roll_bytes, a file is closed at this part of a shard's bytes
 MIN_REVISIT = 1000  # shorter payloads are always written whole
 DATE = "1970-01-01T00:00:00Z"  # a fixed date keeps reruns equal; a parameter
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -62,14 +65,21 @@ def _base32(raw: bytes) -> str:
     return "sha1:" + base64.b32encode(raw).decode()
 
 
-def record(page_id, url, payload: bytes, digest: bytes, size: int, refers_to, date: str, level: int) -> bytes:
-    """One gzip member: a response, or a revisit that leaves the payload out."""
+def record_id(page_id, url, digest: bytes) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}\n{url}\n{digest.hex()}')}>"
+
+
+def _uri(url: str) -> str:
+    return quote(url, safe=":/?#[]@!$&'()*+,;=%~")
+
+
+def record(page_id, url, payload: bytes, digest: bytes, size: int, refers_to, date: str, level: int, refers_url=None) -> bytes:
+    """One gzip member: a response, or a revisit that leaves the payload out and names the response with it."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}\n{url}\n{digest.hex()}")
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:uuid:{name}>"),
+        ("WARC-Record-ID", record_id(page_id, url, digest)),
         ("WARC-Date", date),
         ("Content-Type", "application/http;msgtype=response"),
         ("WARC-Payload-Digest", _base32(digest)),
@@ -77,47 +87,109 @@ def record(page_id, url, payload: bytes, digest: bytes, size: int, refers_to, da
         ("X-Payload-Length", str(size)),
     ]
     if url is not None:
-        head.append(("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=%~")))
+        head += [("WARC-Target-URI", _uri(url)), ("X-Page-Url", quote(url, safe=":/"))]  # the second one gives the url back as it was
     if page_id is not None:
         head.append(("X-Page-Id", str(page_id)))
     if refers_to is not None:
-        head += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-Id", str(refers_to))]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, refers_url, digest)), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page-Id", str(refers_to))]
+        if refers_url is not None:
+            head.append(("WARC-Refers-To-Target-URI", _uri(refers_url)))
     return _member(head, block, level)
 
 
-def _shards(facts: DataFrame, shard_bytes: int) -> tuple[list[int], int, int]:
-    """Shard of every step of the id range, the least id and the width of a step."""
-    lo, hi = facts.agg(F.min("id"), F.max("id")).first()
-    if lo is None:
-        return [0] * STEPS, 0, 1
-    width = max(1, -(-(hi - lo + 1) // STEPS))
-    sums = facts.where("id IS NOT NULL").groupBy(F.floor((F.col("id") - lo) / width).cast("int").alias("step")).agg(F.sum("n").alias("n")).collect()
-    size = np.zeros(STEPS, np.int64)
-    for r in sums:  # at most STEPS rows
-        size[r["step"]] = r["n"]
-    before = np.cumsum(size) - size
-    return (before // shard_bytes).astype(int).tolist(), lo, width
-
-
-def write(spark: SparkSession, pages: DataFrame, out: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", prefix: str = "pages", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, date: str = DATE, level: int = 6) -> DataFrame:
+def _keys(ids: pa.Array, digests: pa.Array) -> np.ndarray:
+    """Byte strings that sort as (id, nulls first; digest) does."""
+    n = len(ids)
+    out = np.zeros((n, 29), np.uint8)
+    out[:, 0] = ids.is_valid().to_numpy(zero_copy_only=False)
+    number = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    out[:, 1:9] = np.where(out[:, 0] > 0, number ^ np.uint64(1 << 63), np.uint64(0)).byteswap().view(np.uint8).reshape(n, 8)
+    out[:, 9:] = np.frombuffer(b"".join(digests.to_pylist()), np.uint8).reshape(n, 20)
+    return out.view("S29").ravel()
+
+
+class Shards:
+    """First key of every shard, and the keys that fill several."""
+
+    def __init__(self, cuts: list, heavy: list):
+        self.first = _keys(pa.array([r["id"] for r in cuts], pa.int64()), pa.array([bytes(r["digest"]) for r in cuts], pa.binary()))
+        self.number = np.array([r["shard"] for r in cuts], np.int64)
+        keys = _keys(pa.array([r["id"] for r in heavy], pa.int64()), pa.array([bytes(r["digest"]) for r in heavy], pa.binary()))
+        self.heavy = {k: (r["shard"], r["last"]) for k, r in zip(keys.tolist(), heavy)}
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return self.number[np.searchsorted(self.first, keys, "right") - 1]
+
+
+def _shards(ws: Workspace, facts: DataFrame, shard_bytes: int) -> tuple[Shards, int]:
+    """Shards of all keys, by the running sum of bytes over the sorted keys, and their number.
+
+    The keys are ranged anyhow; each range's sum and the sum inside it give the exact
+    place of a key, whatever the ranges were.
+    """
+    sized = facts.groupBy("id", "digest").agg(F.sum("n").alias("n"), F.count("*").alias("times"))
+    ranged = ws.save(sized.repartitionByRange(F.col("id").asc_nulls_first(), "digest").withColumn("range", F.spark_partition_id()), "ranged")
+    sums = sorted((r["range"], r["n"]) for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).collect())  # a row for each range
+    total = sum(n for _, n in sums)
+    shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
+    before, at = [], 0
+    for number, n in sums:
+        before.append((number, at))
+        at += n
+    bases = ws.spark.createDataFrame(before, "range int, base long")
+    run = F.sum("n").over(Window.partitionBy("range").orderBy(F.col("id").asc_nulls_first(), "digest"))
+    placed = ranged.join(F.broadcast(bases), "range").withColumn("end", F.col("base") + run)
+    placed = placed.select("id", "digest", F.floor((F.col("end") - F.col("n")) / shard_bytes).cast("int").alias("shard"), F.floor(F.greatest(F.col("end") - 1, F.lit(0)) / shard_bytes).cast("int").alias("last"), "n", "times")
+    placed = ws.save(placed, "placed")
+    cuts = placed.groupBy("shard").agg(F.min(F.struct("id", "digest")).alias("k")).select("shard", "k.id", "k.digest").orderBy("shard").collect()  # at most MOST_SHARDS
+    heavy = placed.where((F.col("n") > shard_bytes) & (F.col("times") > 1)).select("id", "digest", "shard", "last").collect()  # fewer than shards
+    return Shards(cuts, heavy), max([r["shard"] for r in cuts] + [r["last"] for r in heavy], default=0) + 1
+
+
+def write(spark: SparkSession, pages: DataFrame, out: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", prefix: str = "pages", shard_bytes: int = SHARD_BYTES, roll_bytes: int | None = None, min_revisit: int = MIN_REVISIT, date: str = DATE, level: int = 6) -> DataFrame:
     """Write the archive under the address ``out`` and return its manifest."""
     ws = Workspace(spark, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("n", F.octet_length("payload").cast("long"))
-    facts = ws.save(rows.select("id", "digest", "n"), "facts")
+    facts = ws.save(rows.select("id", "digest", "n", "url"), "facts")
     large = facts.where((F.col("n") >= min_revisit) & F.col("id").isNotNull())
-    keepers = large.groupBy("digest").agg(F.max("id").alias("keeper"), F.min("id").alias("least")).where("keeper > least").select("digest", "keeper")
+    keepers = large.groupBy("digest").agg(F.max(F.struct("id", "url")).alias("keeper"), F.min("id").alias("least")).where("keeper.id > least").select("digest", "keeper")
     # id and digest name a record; the row that bears its reference sorts just before it
-    refers = large.join(keepers, "digest").where("id <> keeper").select("id", "digest", F.col("keeper").alias("refers_to")).distinct()
-
-    shard_of, lo, width = _shards(facts, shard_bytes)
-    shards = max(shard_of) + 1
-    table = F.array(*[F.lit(s) for s in shard_of])
-    shard = F.coalesce(F.get(table, F.floor((F.col("id") - lo) / width).cast("int")), F.lit(0))
-    a = rows.select("id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to"))
-    b = refers.select("id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
+    refers = large.select("id", "digest").join(keepers, "digest").where("id <> keeper.id").select("id", "digest", F.col("keeper.id").alias("refers_to"), F.col("keeper.url").alias("refers_url")).distinct()
+
+    found, shards = _shards(ws, facts, shard_bytes)
+    sharding = spark.sparkContext.broadcast(found)
+    if roll_bytes is None:
+        roll_bytes = max(1, shard_bytes // ROLL)
+    a = rows.select("id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to"), F.monotonically_increasing_id().alias("row"))
+    b = refers.select("id", "digest", F.lit(0).alias("kind"), F.col("refers_url").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to", F.lit(0).cast("long").alias("row"))
+
+    def place(batches):
+        shards = sharding.value
+        for batch in batches:
+            names = batch.schema.names
+            keys = _keys(batch.column(0), batch.column(1))
+            number = shards.of(keys) if len(keys) else np.zeros(0, np.int64)
+            take = np.arange(len(keys))
+            if shards.heavy:
+                # a record of a heavy key goes to one of its shards, a reference to all of them
+                kind, row = (batch.column(names.index(c)).to_numpy() for c in ("kind", "row"))
+                more_rows, more_numbers = [], []
+                for i, k in enumerate(keys.tolist()):
+                    if k in shards.heavy:
+                        first, last = shards.heavy[k]
+                        if kind[i]:
+                            number[i] = first + int(row[i]) % (last - first + 1)
+                        else:
+                            number[i] = first
+                            more_rows += [i] * (last - first)
+                            more_numbers += range(first + 1, last + 1)
+                take, number = np.append(take, np.array(more_rows, np.int64)), np.append(number, np.array(more_numbers, np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)).take(pa.array(take)) if len(take) > len(keys) else batch.column(names.index(c)) for c in ("id", "digest", "kind", "url", "payload", "refers_to")), pa.array(number.astype(np.int32))], ["id", "digest", "kind", "url", "payload", "refers_to", "shard"])
+
+    placed = a.unionAll(b).mapInArrow(place, "id long, digest binary, kind int, url string, payload binary, refers_to long, shard int")
     # more partitions than shards, so that few tasks get two
-    ranged = a.unionAll(b).withColumn("shard", shard).repartition(3 * shards, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "digest", "kind", F.col("url").asc_nulls_first())
+    ranged = placed.repartition(min(3 * shards, MOST_SHARDS), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "digest", "kind", F.col("url").asc_nulls_first())
 
     def write_files(batches):
         store, base = filesystem(out)
@@ -142,7 +214,7 @@ def write(spark: SparkSession, pages: DataFrame, out: str, *, id_col: str = "pag
                 digest = cols["digest"][i].as_py()
                 page_id = cols["id"][i].as_py()
                 if cols["kind"][i].as_py() == 0:
-                    refers = (page_id, digest, cols["refers_to"][i].as_py())
+                    refers = (page_id, digest, cols["refers_to"][i].as_py(), cols["url"][i].as_py())
                     continue
                 number = cols["shard"][i].as_py()
                 if sink is not None and (number != current or info["bytes"] >= roll_bytes):
@@ -157,8 +229,8 @@ def write(spark: SparkSession, pages: DataFrame, out: str, *, id_col: str = "pag
                     info = {"name": name, "temp": temp, "shard": number, "part": part, "records": 0, "bytes": 0, "hash": hashlib.sha1()}
                     put(_member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n", level))
                 payload = cols["payload"][i].as_buffer().to_pybytes()
-                target = refers[2] if refers is not None and refers[:2] == (page_id, digest) else None
-                put(record(page_id, cols["url"][i].as_py(), payload, digest, len(payload), target, date, level))
+                target, its_url = refers[2:] if refers is not None and refers[:2] == (page_id, digest) else (None, None)
+                put(record(page_id, cols["url"][i].as_py(), payload, digest, len(payload), target, date, level, its_url))
                 info["records"] += 1
         if sink is not None:
             yield close()
@@ -239,7 +311,7 @@ def read(spark: SparkSession, out: str, *, payloads: bool = False) -> DataFrame:
                         if fields["WARC-Type"] == "response" and hashlib.sha1(body).digest() != digest:
                             raise ValueError("a payload's digest is wrong")
                         number = lambda key: int(fields[key]) if key in fields else None  # noqa: B023,E731
-                        rows.append({"page_id": number("X-Page-Id"), "url": fields.get("WARC-Target-URI"), "payload_bytes": number("X-Payload-Length"), "payload_digest": digest.hex(), "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-Id")} | ({"payload": body} if payloads else {}))
+                        rows.append({"page_id": number("X-Page-Id"), "url": unquote(fields["X-Page-Url"]) if "X-Page-Url" in fields else fields.get("WARC-Target-URI"), "payload_bytes": number("X-Payload-Length"), "payload_digest": digest.hex(), "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-Id")} | ({"payload": body} if payloads else {}))
                         held += len(body) if payloads else 200
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, pa.schema(kind))

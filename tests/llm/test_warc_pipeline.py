@@ -36,6 +36,37 @@ def test_round_trip(spark, tmp_path):
     assert {r.name: r.sha1 for r in again.collect()} == files
 
 
+def test_ids_of_any_size_and_heavy_keys(spark, tmp_path):
+    """Ids at both ends of the range, one id far from all others, and a third of all rows under one key: no crash, no large shard."""
+    text = lambda i: f"{i} " + "word " * 400
+    rows = [(-(9 * 10**18), "a", text("low")), (9 * 10**18, "b", text("high")), (None, "c", text("none"))]
+    rows += [(i, f"http://x/{i}%20 é?", text(i)) for i in range(200)] + [(7 * 10**17, f"u{i}", text("same")) for i in range(100)] + [(None, None, text("null")) for _ in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    at = f"file://{tmp_path}/w"
+    manifest = warc.write(spark, df, at, shard_bytes=40_000).collect()
+    out = warc.read(spark, at, payloads=True).collect()
+    assert sorted((str(r.page_id), str(r.url), bytes(r.payload).decode()) for r in out) == sorted((str(i), str(u), t) for i, u, t in rows)
+    assert len({r.shard for r in manifest}) >= 15 and max(r.records for r in manifest) < 60
+    per = {}
+    for r in manifest:
+        per[r.shard] = per.get(r.shard, 0) + r.records
+    assert max(per.values()) <= 2 * 40_000 / 2000 and any(r.part > 0 for r in manifest)
+
+
+def test_revisit_headers(spark, tmp_path):
+    rows = [(1, "http://x/1", "z" * 2000), (2, "http://x/2", "z" * 2000)]
+    at = f"file://{tmp_path}/r"
+    names = [r.name for r in warc.write(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), at).collect()]
+    heads = {}
+    for name in names:
+        with open(f"{tmp_path}/r/{name}", "rb") as f:
+            for raw in warc.members(f):
+                fields = warc.parse(raw)[0]
+                heads[fields["WARC-Type"]] = fields
+    assert heads["revisit"]["WARC-Refers-To"] == heads["response"]["WARC-Record-ID"]
+    assert (heads["revisit"]["WARC-Refers-To-Target-URI"], heads["revisit"]["WARC-Refers-To-Date"]) == ("http://x/2", warc.DATE)
+
+
 def test_empty_archive(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(spark, df, f"file://{tmp_path}/e")
