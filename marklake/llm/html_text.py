@@ -12,7 +12,8 @@ them.
 
 Defined results: a null or empty page has the text ``''``; broken markup is read as
 browsers read it in the common cases (unclosed elements, stray ends, quotes left
-open); repeated pages get equal results; an empty table gives an empty result;
+open); very long and very deep pages take time and memory in proportion to their length;
+repeated pages get equal results; an empty table gives an empty result;
 further columns are not returned.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -47,7 +49,8 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 CLOSES_OWN = {"li": (("li",),), "dt": (("dt", "dd"),), "dd": (("dt", "dd"),), "tr": (("tr", "td", "th"),), "td": (("td", "th"),), "th": (("td", "th"),), "option": (("option",),), "optgroup": (("option",), ("optgroup",))}
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot div article section aside main nav body html form footer header select datalist".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile(r"""=\s*+(["'])|>""")  # a quote counts only as the start of a value
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -63,21 +66,141 @@ def path_ids(tag: str, attributes: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(w.encode()) % PATHS for w in names)
 
 
-def leaves(page: str) -> list[tuple[str, list[tuple[int, ...]], int, int]]:
+class Node:
+    """An open element: its parent, and the path tokens that none of its ancestors has."""
+
+    __slots__ = ("depth", "fresh", "parent")
+
+    def __init__(self, parent: Node | None, fresh: tuple[int, ...]):
+        self.parent, self.fresh, self.depth = parent, fresh, parent.depth + 1 if parent else 1
+
+    def path(self) -> list[int]:
+        """All tokens from the root on."""
+        chain, node = [], self
+        while node:
+            chain.append(node.fresh)
+            node = node.parent
+        return [t for fresh in reversed(chain) for t in fresh]
+
+
+ROOT = Node(None, (0,))  # stands for the path of text outside all elements
+
+
+class Marks:
+    """Tags of a page in order, in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page, self.closed, self.last = page, True, page.rfind(">")
+
+    def _end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag; once a value's quote stays open to the end of the page, quotes count no more."""
+        page, here = self.page, at
+        while self.closed:
+            m = _STOP.search(page, here)
+            if m is None:
+                break
+            if not m[1]:
+                return m.start()
+            close = page.find(m[1], m.end())
+            if close < 0:
+                self.closed = False
+                break
+            here = close + 1
+        return page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str]:
+        """``(start, end, tag, is an end tag, attributes)`` of the next mark from ``at`` on; the tag is None for comments and the like."""
+        page, n = self.page, len(self.page)
+        while True:
+            start = page.find("<", at)
+            if start < 0 or start + 1 >= n:
+                return n, n, None, False, ""
+            c = page[start + 1]
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else n, None, False, ""
+            if start < self.last:
+                if c in "!?":
+                    return start, page.find(">", start) + 1, None, False, ""
+                if m := _NAME.match(page, start + 1):
+                    end = self._end(m.end())
+                    if end >= 0:
+                        return start, end + 1, m[2].lower(), bool(m[1]), page[m.end() : end]
+            at = start + 1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the text of a raw element ends, its end tag included."""
+        m = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(self.page, at)
+        end = self.page.find(">", m.end()) if m else -1
+        return end + 1 if end >= 0 else len(self.page)
+
+
+class Stack:
+    """The open elements, with the places of each kind, so that no search walks through them."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.nodes: list[Node] = []
+        self.ids: list[tuple[int, ...]] = []
+        self.where: dict[str, list[int]] = defaultdict(list)
+        self.held: dict[int, int] = defaultdict(int)  # how many open elements have a token
+        self.blocks: list[int] = []
+        self.holders: list[int] = []
+
+    def push(self, tag: str, ids: tuple[int, ...]) -> None:
+        at = len(self.tags)
+        self.nodes.append(Node(self.nodes[-1] if self.nodes else None, tuple(dict.fromkeys(t for t in ids if not self.held[t]))))
+        self.tags.append(tag)
+        self.ids.append(ids)
+        self.where[tag].append(at)
+        for t in ids:
+            self.held[t] += 1
+        if tag not in INLINE:
+            self.blocks.append(at)
+        if tag in HOLDERS:
+            self.holders.append(at)
+
+    def pop_to(self, at: int) -> None:
+        while len(self.tags) > at:
+            tag = self.tags.pop()
+            self.nodes.pop()
+            self.where[tag].pop()
+            for t in self.ids.pop():
+                self.held[t] -= 1
+        for places in (self.blocks, self.holders):
+            while places and places[-1] >= at:
+                places.pop()
+
+    def last(self, *tags: str) -> int:
+        return max((self.where[t][-1] for t in tags if self.where[t]), default=-1)
+
+    def close(self, tag: str) -> None:
+        """An end tag: an inline one reaches no further than the block that it stands in."""
+        at = self.last(tag)
+        if at >= 0 and (tag not in INLINE or at > (self.blocks[-1] if self.blocks else -1)):
+            self.pop_to(at)
+
+    def close_within(self, *tags: str) -> None:
+        """End the newest of these elements inside the element that holds them."""
+        at = self.last(*tags)
+        if at > (self.holders[-1] if self.holders else -1):
+            self.pop_to(at)
+
+
+def leaves(page: str) -> list[tuple[str, Node, int, int]]:
     """``(text, path, characters inside links, depth)`` of every leaf block with text."""
     out: list = []
-    tags: list[str] = []
-    path: list[tuple[int, ...]] = []
+    marks, stack = Marks(page), Stack()
     pieces: list[str] = []
-    where: list | None = None
-    linked = anchors = 0
+    where: Node | None = None
+    linked = 0
 
     def flush():
         nonlocal pieces, where, linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append((text, where, linked, len(where)))
+                out.append((text, where, linked, 0 if where is ROOT else where.depth))
             pieces, where, linked = [], None, 0
 
     def put(raw: str):
@@ -85,70 +208,40 @@ def leaves(page: str) -> list[tuple[str, list[tuple[int, ...]], int, int]]:
         if where is None:
             if not raw.strip():
                 return
-            where = list(path)
+            where = stack.nodes[-1] if stack.nodes else ROOT
         s = html.unescape(raw) if "&" in raw else raw
         pieces.append(s)
-        if anchors:
+        if stack.where["a"]:
             linked += len(s)
 
-    def pop_to(i: int):
-        nonlocal anchors
-        for t in tags[i:]:
-            anchors -= t == "a"
-        del tags[i:], path[i:]
-
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            put(page[at:])
-            break
-        if m.start() > at:
-            put(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+        start, end, tag, ends, attributes = marks.next(at)
+        if start > at:
+            put(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag, ends, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if tag == "br":
             if pieces:
                 pieces.append(" ")
             continue
         if not ends and tag in RAW:
-            if attributes.endswith("/") and ("svg" in tags or "math" in tags):
-                continue
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else n
+            if not (attributes.endswith("/") and (stack.where["svg"] or stack.where["math"])):
+                at = marks.raw_end(tag, at)
             continue
         if tag not in INLINE:
             flush()
         if ends:
-            for i in range(len(tags) - 1, -1, -1):
-                if tags[i] == tag:
-                    pop_to(i)
-                    break
-                if tag in INLINE and tags[i] not in INLINE:
-                    break
+            stack.close(tag)
             continue
         if tag in CLOSES_P:
-            for i in range(len(tags) - 1, -1, -1):
-                if tags[i] == "p":
-                    pop_to(i)
-                    break
-                if tags[i] in HOLDERS:
-                    break
+            stack.close_within("p")
         for own in CLOSES_OWN.get(tag, ()):
-            for i in range(len(tags) - 1, -1, -1):
-                if tags[i] in own:
-                    pop_to(i)
-                    break
-                if tags[i] in HOLDERS:
-                    break
+            stack.close_within(*own)
         if tag in VOID or attributes.endswith("/"):
             continue
-        tags.append(tag)
-        path.append(path_ids(tag, attributes))
-        anchors += tag == "a"
+        stack.push(tag, path_ids(tag, attributes))
     flush()
     return out
 
@@ -160,9 +253,25 @@ class Pages:
         self.count = np.array([len(p) for p in pages], np.int64)
         every = [leaf for p in pages for leaf in p]
         self.texts = [leaf[0] for leaf in every]
-        sets = [tuple(dict.fromkeys(x for ids in leaf[1] for x in ids)) or (0,) for leaf in every]
-        self.path_at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
-        self.path = np.array([x for s in sets for x in s], np.int64)
+        # the elements above the leaves, each once, parents before children
+        number: dict[int, int] = {}
+        nodes: list[Node] = []
+        for leaf in every:
+            chain, node = [], leaf[1]
+            while node is not None and id(node) not in number:
+                number[id(node)] = -1
+                chain.append(node)
+                node = node.parent
+            for node in reversed(chain):
+                number[id(node)] = len(nodes)
+                nodes.append(node)
+        self.node = np.array([number[id(leaf[1])] for leaf in every], np.int64)
+        self.parent = np.array([number[id(x.parent)] if x.parent else -1 for x in nodes], np.int64)
+        self.fresh = np.array([t for x in nodes for t in x.fresh], np.int64)
+        self.fresh_at = np.concatenate(([0], np.cumsum([len(x.fresh) for x in nodes]))).astype(np.int64)
+        depth = np.array([x.depth for x in nodes], np.int64)
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(order) else []
         n = len(every)
         data, at = column_bytes(pa.array(self.texts, pa.large_string()))
         h, off, _ = words(data, at)
@@ -171,6 +280,7 @@ class Pages:
         size = np.maximum(np.diff(at), 1)
         n_words = np.diff(off)
         page = np.repeat(np.arange(len(pages)), self.count)
+        self.paths = [leaf[1] for leaf in every]
         first = np.cumsum(self.count) - self.count
         place = (np.arange(n) - first[page]) / np.maximum(self.count[page] - 1, 1) if n else np.zeros(0)
         stops = np.bincount(rows_of(at)[np.isin(data, [46, 44, 33, 63])], minlength=n) if n else np.zeros(0)
@@ -180,6 +290,22 @@ class Pages:
         ).astype(np.float32) if n else np.zeros((0, MEASURES), np.float32)
 
 
+    def path_sums(self, vectors: np.ndarray) -> np.ndarray:
+        """Sum of the vectors of each leaf's path tokens: what an element adds is added to its parent's sum, level by level."""
+        sums = np.zeros((len(self.parent), vectors.shape[1]), vectors.dtype)
+        some = np.flatnonzero(np.diff(self.fresh_at))
+        if len(some):
+            sums[some] = np.add.reduceat(vectors[self.fresh], self.fresh_at[some], axis=0)
+        for level in self.levels[1:]:
+            sums[level] += sums[self.parent[level]]
+        return sums[self.node]
+
+    def path_tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """All path tokens of the leaves, and how many each has (for training, on small pages)."""
+        paths = [node.path() for node in self.paths]
+        return np.array([t for p in paths for t in p], np.int64), np.array([len(p) for p in paths], np.int64)
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -200,7 +326,7 @@ class Labeller:
 
     def inputs(self, x: Pages, d: str) -> np.ndarray:
         p = self.p
-        return np.add.reduceat(p[f"path_{d}"][x.path], x.path_at[:-1], axis=0) + x.words @ p[f"word_{d}"] + x.measures @ p[f"measure_{d}"]
+        return x.path_sums(p[f"path_{d}"]) + x.words @ p[f"word_{d}"] + x.measures @ p[f"measure_{d}"]
 
     @staticmethod
     def grid(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,6 +375,7 @@ class Labeller:
         grad = {"out": np.append(np.einsum("bt,bth->h", delta, h), delta.sum())}
         dh_all = delta[:, :, None] * self.p["out"][:-1]
         hid = HIDDEN
+        tokens, many = x.path_tokens()
         for k, d in enumerate("fb"):
             w = self.p[f"state_{d}"]
             dh_own = dh_all[:, :, k * hid : (k + 1) * hid]
@@ -266,7 +393,7 @@ class Labeller:
                 dc = np.where(m, dcell * f, dc)
             flat = dz[real]
             gp = np.zeros((PATHS, 4 * hid))
-            np.add.at(gp, x.path, np.repeat(flat, np.diff(x.path_at), axis=0))
+            np.add.at(gp, tokens, np.repeat(flat, many, axis=0))
             grad |= {f"state_{d}": dw, f"path_{d}": gp, f"word_{d}": x.words.T @ flat, f"measure_{d}": x.measures.T @ flat}
         return loss, grad
 
@@ -355,7 +482,8 @@ def sample_pages(n: int, seed: int) -> list[str]:
     for _ in range(n):
         before = [other(pick(["nav", "header", "nav", "ad", "notice", "form", "share"])) for _ in range(int(rng.integers(0, 4)))]
         after = [other(pick(["aside", "ad", "footer", "comment", "form", "notice", "share", "comment", "nav"])) for _ in range(int(rng.integers(0, 5)))]
-        heading = f"<h1>{text(CONTENT_MARK, 2, 14)}</h1>" if rng.random() < 0.85 else ""
+        size = "h1" if rng.random() < 0.8 else pick(["h2", "h3"])
+        heading = f"<{size}>{text(CONTENT_MARK, 2, 14)}</{size}>" if rng.random() < 0.88 else ""
         parts = [heading]
         for _ in range(int(rng.integers(1, 5))):
             if rng.random() < 0.3:
@@ -370,8 +498,11 @@ def sample_pages(n: int, seed: int) -> list[str]:
             body = f"<article{attribute(_CONTENT) if rng.random() < 0.3 else ''}>{body}</article>"
         elif shape < 0.7:
             body = f"<main>{body}</main>"
-        elif shape < 0.95:
+        elif shape < 0.9:
             body = f"<div{attribute(_CONTENT)}>{body}</div>"
+        elif shape < 0.96:  # columns of a table
+            side = other(pick(["nav", "aside", "ad"]))
+            body = f"<table><tr><td{attribute(_OTHER['nav']) if rng.random() < 0.5 else ''}>{side}</td><td>{body}</td></tr></table>"
         if rng.random() < 0.25:
             body = f"<main>{body}</main>" if rng.random() < 0.5 else f'<div class="{pick(["container", "wrapper", "page", word()])}">{body}</div>'
         footer = f"<footer>{text(OTHER_MARK, 2, 14)}</footer>" if rng.random() < 0.6 else ""

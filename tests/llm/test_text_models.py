@@ -2,6 +2,7 @@ import math
 import pickle
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -252,6 +253,62 @@ def test_html_embedded_text_stays(net):
     assert " ".join(texts) == "in t c after"
 
 
+FOREIGN = [
+    # a table layout with font tags
+    ("<html><body><table><tr><td class=leftnav><a href=1>News</a><br><a href=2>Sport</a><br><a href=3>Weather</a></td><td><h2>Storm hits the coast</h2><font size=2>A storm has hit the northern coast on Monday, and several roads are closed until further notice.<p>Ferries are expected to run again on Tuesday, said the harbour office in a short statement.</font></td></tr></table><div id=footer>Copyright 1999 The Daily Paper. All rights reserved.</div></body></html>",
+     "Storm hits the coast\nA storm has hit the northern coast on Monday, and several roads are closed until further notice.\nFerries are expected to run again on Tuesday, said the harbour office in a short statement."),
+    # a blog with figures, quotes, code and lists
+    ("<!DOCTYPE html><html><head><title>x</title></head><body><div class='wrap'><header id='masthead'><p class='site-title'>My blog</p><nav class='main-navigation'><ul><li><a href='/'>Home</a></li><li><a href='/about'>About</a></li></ul></nav></header><main><article class='post hentry'><h1 class='entry-title'>How to bake bread</h1><div class='entry-content'><p>Baking bread is easy once you know how much water the flour can take.</p><pre><code>500 g flour\n350 g water</code></pre><ul><li>Mix the flour and the water.</li><li>Wait for an hour or two.</li></ul><blockquote><p>Good bread needs time, as my grandmother used to say.</p></blockquote><h2>The oven</h2><p>Heat it as far as it will go, and bake for forty minutes.</p></div></article><section id='comments'><h3>2 comments</h3><ol><li><p>Great recipe, I have tried it at home and it worked.</p></li><li><p>Mine did not rise at all, what went wrong?</p></li></ol></section></main><aside id='secondary' class='widget-area'><h4>Archives</h4><ul><li><a href='/1'>May</a></li></ul></aside><footer id='colophon'>Powered by hand</footer></div></body></html>",
+     "How to bake bread\nBaking bread is easy once you know how much water the flour can take.\n500 g flour 350 g water\nMix the flour and the water.\nWait for an hour or two.\nGood bread needs time, as my grandmother used to say.\nThe oven\nHeat it as far as it will go, and bake for forty minutes."),
+    # plain divs with ids only
+    ("<body><div id=cookie-banner>This site uses cookies. <button>OK</button></div><div id=top><a href=/>Start</a> | <a href=/c>Contact</a></div><div id=content><h1>Rivers of the north</h1><div>The long river rises in the hills and flows to the sea through three lakes.</div><div>In spring it often floods the meadows, which the farmers have known for ages.</div></div><div id=related><h3>See also</h3><a href=/l>Lakes</a><a href=/h>Hills</a></div></body>",
+     "Rivers of the north\nThe long river rises in the hills and flows to the sea through three lakes.\nIn spring it often floods the meadows, which the farmers have known for ages."),
+]
+
+
+@pytest.mark.parametrize("page, want", FOREIGN)
+def test_html_foreign_pages(net, page, want):
+    """Pages written by hand, in layouts that the training pages do not have."""
+    assert html_text.main_text(net, [page]) == [want]
+
+
+@pytest.mark.parametrize("page", ["<div>a" * 150_000, '<b "q ' * 150_000, "<b =\"q" * 150_000, "<b ='q>x" * 100_000, "<i>" * 100_000 + "</b>" * 100_000, "</script " * 100_000, "<script></script " * 60_000, "<!-- " * 200_000, "<div class=%s>a" * 3, "".join(f"<div class=c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}>a" for i in range(40_000)), "<p>a" * 100_000, "<" * 1_000_000])
+def test_html_pages_of_a_megabyte(page):
+    """Deep, open and broken pages are cut in time and memory linear in their length."""
+    began = time.process_time()
+    cut = html_text.leaves(page)
+    x = html_text.Pages([cut]) if cut else None
+    assert time.process_time() - began < 12 and (x is None or len(x.parent) <= len(page))
+
+
+def test_html_paths_are_those_of_open_elements():
+    page = "<div class='a b'><p class=a>x<div><ul><li class=c>y<li>z</ul></div></div>w"
+    ids = lambda tag, attributes="": list(html_text.path_ids(tag, attributes))
+    once = lambda *xs: list(dict.fromkeys(t for x in xs for t in x))
+    div = ids("div", " class='a b'")
+    assert [(t, node.path(), d) for t, node, _, d in html_text.leaves(page)] == [("x", once(div, ids("p", " class=a")), 2), ("y", once(div, ids("div"), ids("ul"), ids("li", " class=c")), 4), ("z", once(div, ids("div"), ids("ul"), ids("li")), 4), ("w", [0], 0)]
+
+
+def test_labeller_against_brute_force(net):
+    """The same network cell by cell, with every path walked from the root."""
+    cuts = [html_text.leaves(p) for p in (PAGE, FOREIGN[0][0], "<p>one")]
+    got = net.logits(html_text.Pages(cuts))
+    h, at, p = html_text.HIDDEN, 0, net.p
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for cut in cuts:
+        one, states = html_text.Pages([cut]), {}
+        for d in "fb":
+            s, c = np.zeros(h), np.zeros(h)
+            for i in range(len(cut)) if d == "f" else reversed(range(len(cut))):
+                a = p[f"path_{d}"][cut[i][1].path()].sum(axis=0) + one.words[i] @ p[f"word_{d}"] + one.measures[i] @ p[f"measure_{d}"] + s @ p[f"state_{d}"]
+                c = sigmoid(a[h : 2 * h]) * c + sigmoid(a[:h]) * np.tanh(a[3 * h :])
+                s = sigmoid(a[2 * h : 3 * h]) * np.tanh(c)
+                states[i, d] = s
+        want = [np.concatenate((states[i, "f"], states[i, "b"])) @ p["out"][:-1] + p["out"][-1] for i in range(len(cut))]
+        assert np.abs(got[at : at + len(cut)] - want).max() < 1e-4
+        at += len(cut)
+
+
 def test_html_held_out(net):
     good = total = 0
     for page in html_text.sample_pages(120, 4242):
