@@ -11,8 +11,11 @@ All q-grams of a whole text are looked up.  The index over the items travels wit
 the tasks only in parts of at most ``index_bytes`` of item text; a larger benchmark is
 searched part by part.
 
-Defined results: null or empty texts and items match nothing, as do items shorter
-than ``q`` bytes after folding; an item that occurs several times gives several
+An item shorter than ``q`` bytes after folding occurs where it stands, unchanged, as
+whole words of the text; one hash lookup for each such length finds it.
+
+Defined results: null or empty texts and items match nothing, as do items without a
+letter or digit; item ids may be of any type; an item that occurs several times gives several
 rows; repeated rows of either table give repeated matches; empty tables give empty
 results; columns of other names are ignored.
 """
@@ -25,12 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._bytes import column_bytes, runs, slices
 
 Q = 8  # a q-gram fills one 64-bit word, so equal codes are equal q-grams
 RATE = 0.05
-INDEX_BYTES = 16 << 20
+INDEX_BYTES = 4 << 20  # the index takes some 20 bytes for each
 _BITS = 22
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _NO_ORIGIN = 1 << 20
@@ -55,13 +59,13 @@ def fold(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return f[kept], np.searchsorted(kept, at), kept
 
 
-def gram_codes(f: np.ndarray) -> np.ndarray:
+def gram_codes(f: np.ndarray, q: int = Q) -> np.ndarray:
     """The code of the q-gram that starts at each byte."""
-    n = len(f) - Q + 1
+    n = len(f) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = f[:n].astype(np.uint64)
-    for j in range(1, Q):
+    for j in range(1, q):
         out |= f[j : j + n].astype(np.uint64) << np.uint64(8 * j)
     return out
 
@@ -82,17 +86,25 @@ class Index:
         for i in np.flatnonzero(self.size >= Q):
             c = gram_codes(f[self.start[i] : self.start[i] + self.size[i]])
             codes.append(c)
-            item.append(np.full(len(c), i))
-            place.append(np.arange(len(c)))
+            item.append(np.full(len(c), i, np.int32))
+            place.append(np.arange(len(c), dtype=np.int32))
         code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         order = np.argsort(code, kind="stable")
-        self.item = np.concatenate(item)[order] if codes else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if codes else np.zeros(0, np.int64)
+        self.item = np.concatenate(item)[order] if codes else np.zeros(0, np.int32)
+        self.place = np.concatenate(place)[order] if codes else np.zeros(0, np.int32)
         code = code[order]
-        self.first, self.count = runs(code)
+        self.first, self.count = (x.astype(np.int32) for x in runs(code))
         self.code = code[self.first]
         self.mask = np.zeros(1 << _BITS, bool)
         self.mask[self._slot(self.code)] = True
+        # short items by length: sorted codes and their items
+        self.short = {}
+        for size in range(1, Q):
+            own = np.flatnonzero(self.size == size)
+            if len(own):
+                own_codes = np.array([int.from_bytes(f[self.start[i] : self.start[i] + size].tobytes(), "little") for i in own], np.uint64)
+                by_code = np.argsort(own_codes, kind="stable")
+                self.short[size] = own_codes[by_code], own[by_code]
 
     @staticmethod
     def _slot(codes: np.ndarray) -> np.ndarray:
@@ -100,8 +112,31 @@ class Index:
 
     def matches(self, data: np.ndarray, at: np.ndarray):
         """Arrays ``row, item, start, end, edits, shared``: byte places in the row's text."""
-        none = tuple(np.zeros(0, np.int64) for _ in range(6))
         f, off, kept = fold(data, at)
+        found = [self._long(f, off, kept), *(self._whole(f, off, kept, size) for size in self.short)]
+        return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+
+    def _whole(self, f: np.ndarray, off: np.ndarray, kept: np.ndarray, size: int):
+        """Unchanged occurrences of the items of ``size`` bytes, as whole words."""
+        codes, items = self.short[size]
+        got = gram_codes(f, size)
+        lo = np.searchsorted(codes, got, "left")
+        pos = np.flatnonzero(codes[np.minimum(lo, len(codes) - 1)] == got)
+        row = np.searchsorted(off, pos, side="right") - 1
+        end = pos + size
+        begins = (pos == off[row]) | (f[np.maximum(pos - 1, 0)] == 32)
+        ends = (end == off[row + 1]) | ((end < off[row + 1]) & (f[np.minimum(end, len(f) - 1)] == 32))
+        ok = (end <= off[row + 1]) & begins & ends
+        pos, row = pos[ok], row[ok]
+        many = np.searchsorted(codes, got[pos], "right") - lo[pos]
+        which = np.repeat(np.arange(len(pos)), many)
+        item = items[lo[pos][which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)]
+        start = kept[pos[which]]
+        return row[which], item, start, kept[pos[which] + size - 1] + 1, np.zeros(len(which)), np.zeros(len(which))
+
+    def _long(self, f: np.ndarray, off: np.ndarray, kept: np.ndarray):
+        """Occurrences of the items of at least ``q`` bytes, by shared q-grams."""
+        none = tuple(np.zeros(0, np.int64) for _ in range(6))
         codes = gram_codes(f)
         if not len(codes) or not len(self.code):
             return none
@@ -219,7 +254,7 @@ def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_col
                     ids = pa.array([index.value.ids[i] for i in item.tolist()], batch_type)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), ids, *(pa.array(x) for x in (points[start] - base, points[end] - base, edits, shared))], ["doc_id", "item_id", "start", "end", "edits", "shared"])
 
-        batch_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
+        batch_type = to_arrow_type(benchmark.schema[item_id].dataType)
         found = rows.mapInArrow(work, schema)
         out = found if out is None else out.unionAll(found)
     return out

@@ -1,13 +1,13 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1.  A trigram binds (multiplies) the
+Every letter has a random vector of +1 and -1, made from its code point.  A trigram binds (multiplies) the
 vectors of its letters after permuting them by their place: twice, once, not at
 all.  A text bundles (adds) the vectors of its trigrams; a language bundles the
 unit vectors of its training texts.  The language whose bundle has the largest
 cosine with the text's wins.
 
-Training reads at most about ``train_rows`` labelled rows, chosen by a hash of the
-id; prediction reads every text whole.
+Training adds up all labelled rows, so a rare language is learned at any size of the
+table; what reaches the driver is one vector for each language.
 
 Defined results: null texts and texts without a letter get ``und`` and score 0,
 as does every text when nothing was learned; ties go to the language that comes
@@ -25,38 +25,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import runs, slices
+from ._bytes import mix64, runs, slices
 
 DIM = 512
 SEED = 0x5EED
-TRAIN_ROWS = 20_000
-ALPHABET = 1 << 12  # letters fold to so many classes by code point; one class is the gap between words
-GAP = 0
+GAP = 0  # stands for what lies between words
 DENSE = 40  # up to so many table rows per used trigram a matrix product beats gathering
 
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """Class of every code point of the basic plane: 0 for anything but a letter, else 1 + a fold of the lower-cased code point."""
+    """The lower-cased code point of every letter of the basic plane; 0 for anything else."""
     out = np.zeros(1 << 16, np.int32)
     for c in range(1 << 16):
         ch = chr(c)
         if ch.isalpha():
-            low = ch.lower()
-            out[c] = 1 + ord(low[0]) % (ALPHABET - 1)
+            out[c] = ord(ch.lower()[0])
     return out
 
 
-@lru_cache(1)
-def _vectors() -> np.ndarray:
-    rng = np.random.Generator(np.random.PCG64(SEED))
-    return rng.integers(0, 2, (ALPHABET, DIM), dtype=np.int8) * np.int8(2) - np.int8(1)
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """Random signs of code points, from a hash of the point and the place."""
+    lanes = np.arange(DIM // 64, dtype=np.uint64)
+    bits = mix64(mix64(points.astype(np.uint64)[:, None] + np.uint64(SEED)) + (lanes[None, :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return np.unpackbits(bits.view(np.uint8).reshape(len(points), -1), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def trigram_vectors(codes: np.ndarray) -> np.ndarray:
-    """Bound vectors of packed trigrams (three classes of 12 bits)."""
-    v = _vectors()
-    a, b, c = codes >> 24, (codes >> 12) & 0xFFF, codes & 0xFFF
+    """Bound vectors of packed trigrams (three code points of 21 bits)."""
+    points, place = np.unique(np.stack((codes >> 42, (codes >> 21) & 0x1FFFFF, codes & 0x1FFFFF)), return_inverse=True)
+    v, (a, b, c) = letter_vectors(points), place.reshape(3, -1)
     return (np.roll(v[a], 2, axis=1) * np.roll(v[b], 1, axis=1) * v[c]).astype(np.float32)
 
 
@@ -93,7 +91,7 @@ class Bundler:
         for i in range(n):
             c = letter_classes(data[at[i] : at[i + 1]])
             lettered[i] = len(c) >= 3
-            sorted_grams = np.sort((c[:-2] << 24) | (c[1:-1] << 12) | c[2:]) if lettered[i] else c[:0]
+            sorted_grams = np.sort((c[:-2] << 42) | (c[1:-1] << 21) | c[2:]) if lettered[i] else c[:0]
             first, count = runs(sorted_grams)
             grams.append(sorted_grams[first])
             counts.append(count.astype(np.float32))
@@ -122,19 +120,15 @@ def letter_classes(data: np.ndarray) -> np.ndarray:
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     c = _letters()[np.minimum(points, 0xFFFF)]
     if len(wide := np.flatnonzero(points >= (1 << 16))):
-        c[wide] = [1 + p % (ALPHABET - 1) if chr(p).isalpha() else GAP for p in points[wide].tolist()]
+        c[wide] = [ord(chr(p).lower()[0]) if chr(p).isalpha() else GAP for p in points[wide].tolist()]
     c = np.concatenate(([GAP], c, [GAP]))
     c = c[np.concatenate(([True], (c[1:] != GAP) | (c[:-1] != GAP)))].astype(np.int64)
     return c if len(c) >= 3 else c[:0]
 
 
-def fit(docs: DataFrame, *, text_col: str, lang_col: str, id_col: str, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their unit prototypes, from about ``train_rows`` labelled rows at most."""
+def fit(docs: DataFrame, *, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray]:
+    """Languages and their unit prototypes, from all labelled rows."""
     named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = named.count()
-    if n > train_rows:
-        share = int((1 << 31) * train_rows / n)
-        named = named.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 31)) < share)
 
     def partial(batches):
         bundler, sums = Bundler(), {}
@@ -185,10 +179,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: s
     return docs.mapInArrow(work, schema)
 
 
-def identify(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS, keep_text: bool = True) -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``held_out``, ``lang_pred`` and ``score``; rows whose crc32(id) mod 4 is 2 are never learned from."""
     docs = docs.withColumn("held_out", held_out(F.col(id_col), 4))
-    model = fit(docs.where(~F.col("held_out")), text_col=text_col, lang_col=lang_col, id_col=id_col, train_rows=train_rows)
+    model = fit(docs.where(~F.col("held_out")), text_col=text_col, lang_col=lang_col)
     return predict(docs, model, text_col=text_col, keep_text=keep_text)
 
 

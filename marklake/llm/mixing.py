@@ -8,7 +8,8 @@ nothing is sorted and a larger budget always takes a superset of the rows of a
 smaller one.
 
 Defined results: a null text has size 0, a null source is a source of its own
-(last), rows that are equal in ``id_col`` are taken or left together, an empty
+(last), rows that are equal in ``id_col`` are taken or left together (rows without an
+id if their texts are equal), an empty
 table gives an empty result, and further columns of the input are kept as long
 as their names differ from the new ones (those are replaced).
 """
@@ -26,9 +27,10 @@ LEVEL_BITS = 12  # bits that one histogram resolves
 BROADCAST_SOURCES = 100_000  # up to so many sources the threshold table is broadcast
 
 
-def row_hash(id_col: Column) -> Column:
-    """60-bit hash of an id as text; null counts as the empty text."""
-    hexes = F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), 1, HASH_DIGITS)
+def row_hash(id_col: Column, text_col: Column) -> Column:
+    """60-bit hash of an id as text; a row without one is hashed by a line feed and its text."""
+    named = F.coalesce(id_col.cast("string"), F.concat(F.lit("\n"), F.coalesce(text_col, F.lit(""))))
+    hexes = F.substring(F.md5(named.cast("binary")), 1, HASH_DIGITS)
     return F.conv(hexes, 16, 10).cast("long")
 
 
@@ -76,7 +78,7 @@ def mix(
     ws = Workspace(spark, "mix")
     docs = docs.drop("size", "source_size", "target", "taken")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = ws.save(docs.select(F.col(source_col).cast("string").alias("source"), row_hash(F.col(id_col)).alias("h"), size.alias("size")), "rows")
+    rows = ws.save(docs.select(F.col(source_col).cast("string").alias("source"), row_hash(F.col(id_col), F.col(text_col)).alias("h"), size.alias("size")), "rows")
 
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sums, list(weights), max_repeat)
@@ -117,5 +119,5 @@ def mix(
     )
     plan = ws.save(plan, "thresholds")
     out = docs.withColumn("size", size).join(small(plan), F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
-    taken = F.col("_whole") + (row_hash(F.col(id_col)) <= F.col("_threshold")).cast("long")
+    taken = F.col("_whole") + (row_hash(F.col(id_col), F.col(text_col)) <= F.col("_threshold")).cast("long")
     return out.withColumn("taken", F.col("size") * taken).drop("_source", "_whole", "_threshold")

@@ -36,6 +36,7 @@ RANK = 64
 NEIGHBOURS = 15
 SHARPNESS = 12.0
 CUT = 0.7
+TIE = 1e-13
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = ord("a")
@@ -130,7 +131,8 @@ class Model:
         k = min(neighbours, len(self.labels))
         for i in range(0, len(x), block) if k else ():
             cos = self.latent(x[i : i + block]) @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            # far less than the last place of a cosine tells ties apart: the first in order of hash is nearer
+            near = np.argpartition(-cos.astype(np.float64) + TIE * np.arange(len(self.labels)), k - 1, axis=1)[:, :k]
             weight = np.exp(SHARPNESS * (np.take_along_axis(cos, near, axis=1).astype(np.float64) - 1)) * self.weights[near]
             out[i : i + block] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         return np.clip(out, 0, 1)

@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 
 from ._store import Workspace
 
-SHARD_BYTES = 32 << 20  # payload bytes of a shard; more where there would be over MOST_SHARDS of them
+SHARD_BYTES = 16 << 20  # payload bytes of a shard; more where there would be over MOST_SHARDS of them
 MOST_SHARDS = 1 << 18  # what is known of each shard travels to the tasks: its first key
-ROLL = 16  # without roll_bytes, a file is closed at this part of a shard's bytes
+ROLL = 8  # without roll_bytes, a file is closed at this part of a shard's bytes
 MIN_REVISIT = 1000  # shorter payloads are always written whole
 DATE = "1970-01-01T00:00:00Z"  # a fixed date keeps reruns equal; a parameter
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"

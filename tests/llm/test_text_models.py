@@ -7,10 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from marklake.llm import decontaminate, html_text, language_id, quality, suffix_tree
+from marklake.llm._bytes import column_bytes
 
 VOWELS = {"aa": "ka lo mi na pe ru sa to", "bb": "sch tz ung heit kei pf auf ver", "cc": "tion ment eau oux elle ier re que"}
 
@@ -42,6 +44,63 @@ def test_language_never_reads_labels_of_held_out_rows(spark):
     assert f(rows) == f(swapped)
 
 
+def test_language_against_brute_force(spark):
+    """Trigram by trigram, with signs drawn letter by letter; a language of one row among 400 is learned, and classes of letters do not collide."""
+    rng = random.Random(5)
+    rows = [(i, prose(rng, "aa", 12), "aa") for i in range(400)] + [(1003, "жук бок дом " * 4, "ru"), (1007, "жук дом", None), (1008, "ab ᑡbc Zoë 𐐀𐐨", None), (1009, "x", None), (1010, "x", None)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    assert not held(1003)
+
+    def bundle(text):
+        letters = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+        points = [0] + [0 if c == " " else ord(c) for c in " ".join(letters.split())] + [0]
+        total = np.zeros(language_id.DIM)
+        for k in range(len(points) - 2):
+            a, b, c = (language_id.letter_vectors(np.array([p]))[0].astype(float) for p in points[k : k + 3])
+            total += np.roll(a, 2) * np.roll(b, 1) * c
+        return total / np.linalg.norm(total)
+
+    learned = {}
+    for i, t, lang in rows:
+        if lang and not held(i):
+            learned[lang] = learned.get(lang, 0) + bundle(t)
+    want = {}
+    for i, t, _ in rows[-8:]:
+        cos = {lang: float(bundle(t) @ v / np.linalg.norm(v)) for lang, v in learned.items()}
+        best = max(sorted(cos), key=cos.get)
+        want[i] = (best, round(max(0.0, cos[best]), 4))
+    out = {r.doc_id: r for r in language_id.identify(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {i: (out[i].lang_pred, round(out[i].score, 4)) for i in want} == want and out[1007].lang_pred == "ru"
+    twice = spark.createDataFrame([(0, "abc", "yy"), (0, "abc", "xx"), (1, "abc", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.identify(spark, twice).collect()} == {"xx"}  # a tie
+    points = np.array([0x62, 0x1061, 0x400, 0x1E03])
+    assert len({tuple(v) for v in language_id.letter_vectors(points).tolist()}) == 4
+
+
+def test_quality_against_brute_force(spark):
+    """The votes of the nearest labelled rows, row by row; equal rows tie and the first in order of hash counts."""
+    rng = random.Random(9)
+    rows = [(i, prose(rng, "aa" if i % 2 else "bb", 15)) for i in range(60)]
+    rows += [(100 + i, rows[3][1]) for i in range(30)]  # ties for every place
+    labels = [(i, i % 3 > 0) for i, _ in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(v)) for i, v in labels], "doc_id long, quality int")
+    known = marks.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    model = quality.fit(docs, known, text_col="text", id_col="doc_id", label_col="quality")
+    data, at = column_bytes(pa.array([t for _, t in rows]))
+    x = model.latent(quality.features(data, at))
+    out = {r.doc_id: r.score for r in quality.classify(spark, docs, marks).collect()}
+    for (i, _), v in zip(rows, x):
+        cos = (v[None] @ model.vectors.T)[0]
+        near = sorted(range(len(cos)), key=lambda j: (-float(cos[j]), j))[: quality.NEIGHBOURS]
+        weight = [math.exp(quality.SHARPNESS * (float(cos[j]) - 1)) * model.weights[j] for j in near]
+        want = sum(w * model.labels[j] for w, j in zip(weight, near)) / sum(weight)
+        assert abs(out[i] - want) < 2e-3, i
+    assert len({round(out[100 + i], 12) for i in range(30)}) == 1
+    again = quality.classify(spark, docs.orderBy(F.rand(3)), marks)
+    assert {r.doc_id: r.score for r in again.collect()} == out
+
+
 def test_quality(spark):
     rng = random.Random(2)
     rows, labels = [], []
@@ -79,7 +138,7 @@ def plain(text):
 
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(3)
-    items = [prose(rng, rng.choice(list(VOWELS)), rng.randrange(6, 30)) for _ in range(8)] + ["", None, "abc"]
+    items = [prose(rng, rng.choice(list(VOWELS)), rng.randrange(6, 30)) for _ in range(8)] + ["", None, "abc", "Q!", "eight ab", "seven é", "abc", "--"]
     docs = []
     for i in range(60):
         t = prose(rng, rng.choice(list(VOWELS)), rng.randrange(5, 60))
@@ -91,19 +150,23 @@ def test_decontamination_against_brute_force(spark):
             t = t + "\n " + "".join(s) + " " + t
         docs.append(t)
     docs += [None, "", items[0], items[0] + " -- " + items[0], "x" * 100000]
+    docs += ["Abc", "xabc abcx ab c", "so (abc).", "a q", "q q", "qq", "eight-AB", "weight ab", "seven é", "sevené", items[0]]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     out = decontaminate.find(spark, df, bench).collect()
     want = set()
-    for i, t in enumerate(docs[:-1]):
-        for j, s in enumerate(items):
-            p = plain(s)
-            if len(p) >= decontaminate.Q and banded(p, plain(t)) <= int(decontaminate.RATE * len(p)):
+    for i, t in enumerate(docs):
+        for j, s in enumerate(items if t != "x" * 100000 else []):
+            p, size = plain(s), len(plain(s).encode())
+            if banded(p, plain(t)) <= int(decontaminate.RATE * size) if size >= decontaminate.Q else p and f" {p} " in f" {plain(t)} ":
                 want.add((i, j))
     assert {(r.doc_id, r.item_id) for r in out} == want and want
     assert sum(r.doc_id == 63 and r.item_id == 0 for r in out) == 2
     for r in out:
         assert banded(plain(items[r.item_id]), plain(docs[r.doc_id][r.start : r.end])) <= r.edits + 1  # a blank at the end is trimmed
+    for kind in ("int", "string", "short", "decimal(10,0)", "double"):
+        assert decontaminate.find(spark, df, bench.withColumn("item_id", F.col("item_id").cast(kind))).count() == len(out), kind
+    assert decontaminate.find(spark, df.unionAll(df), bench.unionAll(bench)).count() == 4 * len(out)
     parts = decontaminate.find(spark, df, bench, index_bytes=200)
     assert {(r.doc_id, r.item_id) for r in parts.collect()} == want
     kept = decontaminate.clean(spark, df, bench)
