@@ -10,7 +10,9 @@ how its vectors hang together, and pairs are never written out.
 The number of hyperplanes follows the logarithm of the number of vectors and the
 number of tables follows from it, so that a pair at the threshold is found with a
 probability of at least ``recall`` at every size.  A key that many vectors share is
-cut into tiles, and each pair of tiles is a task's work of its own.
+cut into tiles, and each pair of tiles is a task's work of its own.  A vector travels
+once for each table and tile, in its own type, and nothing with it: its keys are made
+again from the vector where they are compared.
 
 Defined results: rows whose vector is null, zero or holds a null or non-finite
 component, and rows without an id, link with nothing; vectors of different length
@@ -28,13 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import cut_groups, mix64
-from ._components import components
+from ._components import components, join_hot
 from ._store import Workspace
 
 THRESHOLD = 0.9
 RECALL = 0.998
-PER_KEY = 64  # vectors that share a key on average if they lie at random
-TILE = 1000
+PER_KEY = 1024  # vectors that share a key on average if they lie at random; products cost less than sending a vector to more tables
+TILE = 4096  # vectors of a key that one task compares with another such tile
+BLOCK = 512  # rows of a tile whose products are held at once
 SEED = 0xE3B
 
 
@@ -55,21 +58,44 @@ def table_keys(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return mix64(packed ^ salt).view(np.int64)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps norms of very large and very small vectors finite
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _pairs(x: np.ndarray, late: np.ndarray, two: bool, threshold: float):
+    """Pairs ``a < b`` of rows with a cosine of at least ``threshold``: of two tiles across them, of one tile inside it."""
+    if two:
+        left, right = np.flatnonzero(~late), np.flatnonzero(late)
+    else:
+        left = right = np.arange(len(x))
+    a, b = [], []
+    for i in range(0, len(left), BLOCK):
+        own = left[i : i + BLOCK]
+        p, q = np.nonzero(x[own] @ x[right].T >= threshold)
+        p, q = own[p], right[q]
+        if not two:
+            p, q = p[p < q], q[p < q]
+        a.append(p)
+        b.append(q)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
 def link(spark: SparkSession, vectors: DataFrame, *, vec_col: str = "embedding", id_col: str = "vec_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per row of ``vectors``: ``id_col``, ``n_links``, ``component_id``, ``kept``."""
     ws = Workspace(spark, "vectors")
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    real = vectors.schema[vec_col].dataType.elementType.typeName() == "float"
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>" if real else "array<double>").alias("v"))
     sane = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("id").isNotNull()
     v = v.withColumn("ok", F.coalesce(sane, F.lit(False)))
     v = v.withColumn("h1", F.when(F.col("ok"), F.xxhash64("v"))).withColumn("h2", F.when(F.col("ok"), F.xxhash64(F.lit(1), F.col("v"))))
     members = ws.save(v.select("id", "h1", "h2"), "members")
     distinct = ws.save(v.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.first("v").alias("v")), "distinct")
-    n = distinct.count()
+    n, rows_in = distinct.agg(F.count("*"), F.sum("m")).first()
     bits, tables = plan_tables(n, threshold, recall)
+    kind = np.float32 if real else np.float64
 
     def sign(batches):
         for batch in batches:
@@ -80,44 +106,43 @@ def link(spark: SparkSession, vectors: DataFrame, *, vec_col: str = "embedding",
                 flat, off = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(dims)))
                 for dim in np.unique(dims).tolist():
                     at = np.flatnonzero(dims == dim)
-                    x = flat[(off[at][:, None] + np.arange(dim)).ravel()].reshape(len(at), dim)
-                    x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps norms of very large and very small vectors finite
-                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    keys = table_keys(x, bits, tables)
+                    raw = flat[(off[at][:, None] + np.arange(dim)).ravel()].reshape(len(at), dim)
+                    keys = table_keys(_unit(raw), bits, tables)
                     listed = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
                     took = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(took), part.column(1).take(took), pa.array([r.tobytes() for r in x], pa.binary()), listed], ["rep", "m", "x", "keys"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(took), part.column(1).take(took), pa.array([r.tobytes() for r in raw.astype(kind)], pa.binary()), listed], ["rep", "m", "x", "keys"])
 
     signed = ws.save(distinct.select("rep", "m", "v").mapInArrow(sign, "rep long, m long, x binary, keys array<long>"), "signed")
     keyed = signed.select("rep", F.posexplode("keys").alias("t", "key"))
-    shared = ws.save(keyed.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    rows = signed.select("rep", "m", "x", "keys", F.posexplode("keys").alias("t", "key")).join(shared, ["t", "key"])
-    rows = rows.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    # keys are counted without the vectors; each row of crowded stands for more than TILE of a table
+    crowded = ws.save(keyed.groupBy("t", "key").agg(F.count("*").alias("size")).where(F.col("size") > TILE), "crowded")
+    rows = signed.select("rep", "m", "x", F.posexplode("keys").alias("t", "key"))
+    rows = rows.join(crowded, ["t", "key"], "left").withColumn("tiles", F.coalesce(F.ceil(F.col("size") / TILE).cast("int"), F.lit(1)))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     group = F.xxhash64("t", "key", F.least("tile", "other"), F.greatest("tile", "other"))
-    rows = rows.select(group.alias("g"), "t", "rep", "m", "x", "keys", (F.col("tile") > F.col("other")).alias("late"), (F.col("tile") != F.col("other")).alias("two"))
+    rows = rows.select(group.alias("g"), "t", "rep", "m", "x", (F.col("tile") > F.col("other")).alias("late"), (F.col("tile") != F.col("other")).alias("two"))
     rows = rows.repartition("g").sortWithinPartitions("g")
 
     def compare(batches):
         for t, first, count in cut_groups(batches, "g"):
             rep, m, table = (t.column(c).to_numpy() for c in ("rep", "m", "t"))
             late, two = (t.column(c).to_numpy(zero_copy_only=False) for c in ("late", "two"))
-            keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, tables)
             xs = t.column("x").combine_chunks()
             ids, links, roots = [], [], []
             for i, size in zip(first.tolist(), count.tolist()):
                 at = slice(i, i + size)
-                x = _matrix(xs.slice(i, size), len(xs[i].as_py()) // 8)
-                linked = x @ x.T >= threshold
-                linked &= late[at][:, None] != late[at][None, :] if two[i] else ~np.eye(size, dtype=bool)
-                a, b = np.nonzero(np.triu(linked))
+                x = _unit(np.frombuffer(b"".join(xs.slice(i, size).to_pylist()), kind).reshape(size, -1))
+                a, b = _pairs(x, late[at], two[i], threshold)
                 if not len(a):
                     continue
                 if table[i]:
-                    own = keys[at][:, : table[i]]
+                    # pairs that an earlier table finds are counted there
+                    some, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+                    own = table_keys(x[some], bits, tables)[:, : table[i]]
+                    p, q = place[: len(a)], place[len(a) :]
                     new = np.ones(len(a), bool)
                     for k in range(0, len(a), 1 << 16):
-                        new[k : k + (1 << 16)] = ~(own[a[k : k + (1 << 16)]] == own[b[k : k + (1 << 16)]]).any(axis=1)
+                        new[k : k + (1 << 16)] = ~(own[p[k : k + (1 << 16)]] == own[q[k : k + (1 << 16)]]).any(axis=1)
                     a, b = a[new], b[new]
                     if not len(a):
                         continue
@@ -141,9 +166,10 @@ def link(spark: SparkSession, vectors: DataFrame, *, vec_col: str = "embedding",
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(ws, found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     per_rep = distinct.select("h1", "h2", F.col("rep").alias("id"), "m").join(counts, "id", "left").join(comp, "id", "left")
-    per_rep = per_rep.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = members.join(per_rep, ["h1", "h2"], "left")
+    per_rep = per_rep.select("h1", "h2", "m", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    placed = join_hot(members.where("h1 IS NOT NULL"), per_rep, ["h1", "h2"], "m", rows_in or 0)
+    out = placed.unionByName(members.where("h1 IS NULL"), allowMissingColumns=True)
     component = F.coalesce("component_id", "id")
-    for name in ("signed", "shared"):
+    for name in ("signed", "crowded"):
         ws.drop(name)
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

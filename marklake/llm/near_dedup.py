@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bytes import column_bytes, cut_groups, mix64, rows_of, slices, words
-from ._components import components
+from ._components import components, join_hot
 from ._store import Workspace
 
 SHINGLE = 5
@@ -338,8 +338,8 @@ def _classes(spark: SparkSession, docs: DataFrame, text_col: str, id_col: str, s
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = ws.save(_sign(base), "signed")
     # one row, with a number of its own, for every different text
-    texts_of = signed.groupBy("digest").agg(F.min("id").alias("text_id"), F.min(F.struct("n", "sig")).alias("u"))
-    texts_of = ws.save(texts_of.select("digest", "text_id", "u.*", F.monotonically_increasing_id().alias("node")), "texts_of")
+    texts_of = signed.groupBy("digest").agg(F.min("id").alias("text_id"), F.min(F.struct("n", "sig")).alias("u"), F.count("*").alias("times"))
+    texts_of = ws.save(texts_of.select("digest", "text_id", "u.*", "times", F.monotonically_increasing_id().alias("node")), "texts_of")
     unique = texts_of.where("n > 0").select(F.col("node").alias("id"), "sig", "n")
     banded = unique.select("id", F.posexplode(F.array(*band_keys(F.col("sig")))).alias("band", "key"))
     groups = banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
@@ -377,10 +377,11 @@ def _classes(spark: SparkSession, docs: DataFrame, text_col: str, id_col: str, s
         comp = ws.save(components(ws, links.unionAll(extra), "second"), "comp2")
 
     # the smallest id, and of its texts the one of the smallest digest, name and stand for the class
-    linked = texts_of.select("digest", "text_id", "node").join(comp.select(F.col("id").alias("node"), "component"), "node", "left")
+    linked = texts_of.select("digest", "text_id", "times", "node").join(comp.select(F.col("id").alias("node"), "component"), "node", "left")
     heads = linked.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("text_id").isNull().alias("none"), "text_id", "digest")).alias("head"))
-    labels = linked.join(heads, "component", "left").select("digest", "text_id", F.coalesce("head.text_id", "text_id").alias("class_id"), F.coalesce("head.digest", "digest").alias("stands"))
-    out = signed.select("id", "digest").join(labels, "digest")
+    labels = linked.join(heads, "component", "left").select("digest", "text_id", "times", F.coalesce("head.text_id", "text_id").alias("class_id"), F.coalesce("head.digest", "digest").alias("stands"))
+    rows = texts_of.agg(F.sum("times")).first()[0] or 0
+    out = join_hot(signed.select("id", "digest"), labels, "digest", "times", rows)
     kept = F.coalesce((F.col("id") == F.col("class_id")) & (F.col("digest") == F.col("stands")), F.lit(False))
     for name in ("shared", "star", "texts", "links", "named", "found", "crowds", "extra", "involved"):
         ws.drop(name)
@@ -388,7 +389,7 @@ def _classes(spark: SparkSession, docs: DataFrame, text_col: str, id_col: str, s
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id.
+    """``docs`` with one row of each class: that of the smallest id; of rows equal in id and text, the least by the hash of all columns.
 
     A row without an id is named by its text and comes after all rows with one, so
     its class keeps a row all the same.
@@ -397,8 +398,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame, *, text_col: str = "text",
     stand_in = F.concat(F.lit("\U0010ffff"), far.cast("string")) if dict(docs.dtypes)[id_col] == "string" else far
     named = docs.withColumn("_near_id", F.coalesce(F.col(id_col), stand_in))
     found = _classes(spark, named, text_col, "_near_id", similarity)
-    keep = found.where("kept").select(F.col("_near_id").alias("_keep"), F.col("digest").alias("_text")).distinct()
+    keep = found.where("kept").groupBy(F.col("_near_id").alias("_keep"), F.col("digest").alias("_text")).agg(F.count("*").alias("_times"))
     named = named.withColumn("_near_text", _digest(F.col(text_col)))
-    kept = named.join(keep, (F.col("_near_id") == F.col("_keep")) & (F.col("_near_text") == F.col("_text")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_near_id", "_near_text").orderBy(F.lit(0)))
-    return kept.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_near_id", "_near_text")
+    kept = named.join(keep, (F.col("_near_id") == F.col("_keep")) & (F.col("_near_text") == F.col("_text"))).drop("_keep", "_text")
+    # only repeated rows are compared with each other
+    nth = F.row_number().over(Window.partitionBy("_near_id", "_near_text").orderBy(F.xxhash64(*[F.col(c).cast("string") for c, k in docs.dtypes])))
+    repeated = kept.where("_times > 1").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return kept.where("_times = 1").unionByName(repeated).drop("_times", "_near_id", "_near_text")

@@ -1,12 +1,15 @@
+import math
+import os
 import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from marklake.llm import embedding_dedup, near_dedup
+from marklake.llm import _components, embedding_dedup, near_dedup
 from marklake.llm._bytes import column_bytes, words
 from marklake.llm._components import components
 from marklake.llm._store import Workspace
@@ -165,6 +168,66 @@ def test_vectors_against_brute_force(spark, monkeypatch, tile):
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (number[i], want[i], want[i] == i) for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_at_the_default(spark, kind):
+    """Groups of close and of far vectors, repeated ones among them, at the default recall."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for c in range(12):
+        center = rng.standard_normal(64)
+        rows += [(center + s * rng.standard_normal(64)).astype(np.float32).tolist() for s in [0.05] * 6 + [0.3] * 6]
+    rows += [rows[0]] * 40
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    links = brute_vectors(rows)
+    number = Counter(x for pair in links for x in pair)
+    want = classes_of(links, range(len(rows)))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link(spark, df).collect()}
+    assert got == {i: (number[i], want[i]) for i in range(len(rows))}
+
+
+def test_recall_of_vectors_at_the_threshold():
+    """Pairs planted at a cosine of exactly 0.9, with the hyperplanes and tables of 50,000 vectors, share a key at the promised rate."""
+    bits, tables = embedding_dedup.plan_tables(50_000)
+    rng = np.random.default_rng(11)
+    a, b = rng.standard_normal((2, 20_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + math.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    found = (embedding_dedup.table_keys(a, bits, tables) == embedding_dedup.table_keys(b, bits, tables)).any(axis=1).mean()
+    assert found >= embedding_dedup.RECALL - 0.002 and tables <= 16
+
+
+def test_hot_keys_are_joined_like_others(spark, monkeypatch):
+    monkeypatch.setattr(_components, "PLAIN_ROWS", 0)
+    left = spark.createDataFrame([("hot", i) for i in range(3000)] + [(f"k{i}", i) for i in range(4000)] + [("none", 1)], "k string, v long")
+    right = left.where("k <> 'none'").groupBy("k").agg(F.count("*").alias("times"), F.max("v").alias("top"))
+    got = _components.join_hot(left, right, "k", "times", 7000)
+    assert sorted(got.collect()) == sorted(left.join(right.drop("times"), "k").collect()) and got.count() == 7000
+    edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(400, 420)], "a long, b long")
+    assert {r.component for r in components(Workspace(spark, "hot"), edges).collect()} == {0, 400}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_near_dedup_of_the_table_against_brute_force(spark):
+    """Every pair of the table: none of at least 0.8 is missed, and no class holds more than such pairs join."""
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
+    ids = table.column("doc_id").to_pylist()
+    elements, at = near_dedup.shingles(*column_bytes(table.column("text")))
+    size = np.diff(at)
+    both = near_dedup.overlaps(elements, at)
+    union = size[:, None] + size[None, :] - both
+    i, j = np.nonzero(np.triu((both >= near_dedup.SIMILARITY * union) & (union > 0), 1))
+    texts = table.column("text").to_pylist()
+    same = {}
+    links = [(ids[a], ids[b]) for a, b in zip(i.tolist(), j.tolist())]
+    for k, t in zip(ids, texts):
+        links.append((same.setdefault(t, k), k))
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark, df).collect()}
+    assert len(links) > len(ids) + 20 and got == classes_of(links, ids)
+
+
 def test_vectors_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.link(spark, df).count() == 0
