@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def canonical(path: Column) -> Column:
-    """Path without empty and ``.`` parts, ``..`` resolved; null with a backslash or above the root."""
+    """Path without empty and ``.`` parts, ``..`` resolved; null with a backslash or above the root.
+
+    Only paths that hold such a part are folded; all others are canonical as they stand.
+    """
     parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("bad"))
 
@@ -17,7 +22,21 @@ def canonical(path: Column) -> Column:
         return F.struct(out.alias("out"), (acc["bad"] | (up & (F.size(acc["out"]) == 0))).alias("bad"))
 
     folded = F.aggregate(parts, start, step)
-    return F.when(~F.contains(path, F.lit("\\")) & ~folded["bad"], F.array_join(folded["out"], "/"))
+    folded = F.when(~F.contains(path, F.lit("\\")) & ~folded["bad"], F.array_join(folded["out"], "/"))
+    return F.when(~F.rlike(path, F.lit(r"\\|(?:\A|/)\.{0,2}(?:/|\z)")), path).otherwise(folded)
+
+
+def canonical_text(path: str) -> str | None:
+    """The same for a value."""
+    out: list[str] = []
+    for part in path.split("/"):
+        if "\\" in part or (part == ".." and not out):
+            return None
+        if part == "..":
+            out.pop()
+        elif part not in ("", "."):
+            out.append(part)
+    return "/".join(out)
 
 
 def under(path: Column, prefix: Column) -> Column:
@@ -26,26 +45,42 @@ def under(path: Column, prefix: Column) -> Column:
     return F.coalesce((q == "") | (p == q) | F.startswith(p, F.concat(q, F.lit("/"))), F.lit(False)) & p.isNotNull()
 
 
-def _any(prefixes: list[str], test) -> Column:
+def _below(p: Column, prefixes: list[str]) -> Column:
+    """The canonical path lies at or below one of the prefixes."""
+    out = F.lit(False)
+    for q in map(canonical_text, prefixes):
+        if q is not None:
+            out = out | (F.lit(True) if q == "" else (p == q) | F.startswith(p, F.lit(q + "/")))
+    return out
+
+
+def _above(p: Column, prefixes: list[str]) -> Column:
+    """One of the prefixes lies at or below the canonical path."""
     out = F.lit(False)
-    for p in prefixes:
-        out = out | test(F.lit(p))
+    for q in map(canonical_text, prefixes):
+        if q is not None:
+            out = out | (p == "") | (p == q) | F.startswith(F.lit(q), F.concat(p, F.lit("/")))
     return out
 
 
+def _accepted(path: Column, test) -> Column:
+    """``test`` of the canonical path, which is made once a row; paths without a canonical form fail."""
+    return F.coalesce(F.exists(F.array(canonical(path)), lambda p: p.isNotNull() & test(p)), F.lit(False))
+
+
 def can_access_file(path: Column, allow: list[str], deny: list[str]) -> Column:
     """Deny wins; without an allow list all else passes."""
-    return ~_any(deny, lambda p: under(path, p)) & (F.lit(not allow) | _any(allow, lambda p: under(path, p))) & canonical(path).isNotNull()
+    return _accepted(path, lambda p: ~_below(p, deny) & (_below(p, allow) if allow else F.lit(True)))
 
 
 def can_access_path(path: Column, allow: list[str], deny: list[str]) -> Column:
     """For browsing: folders above an allowed prefix pass as well."""
-    return ~_any(deny, lambda p: under(path, p)) & (F.lit(not allow) | _any(allow, lambda p: under(path, p) | under(p, path))) & canonical(path).isNotNull()
+    return _accepted(path, lambda p: ~_below(p, deny) & (_below(p, allow) | _above(p, allow) if allow else F.lit(True)))
 
 
 def can_access_tree(path: Column, allow: list[str], deny: list[str]) -> Column:
     """For whole folders: nothing denied above or below; a folder above an allowed prefix does not pass."""
-    return ~_any(deny, lambda p: under(path, p) | under(p, path)) & (F.lit(not allow) | _any(allow, lambda p: under(path, p))) & canonical(path).isNotNull()
+    return _accepted(path, lambda p: ~_below(p, deny) & ~_above(p, deny) & (_below(p, allow) if allow else F.lit(True)))
 
 
 def has_scope(scopes: Column, wanted: str) -> Column:
@@ -54,25 +89,16 @@ def has_scope(scopes: Column, wanted: str) -> Column:
     return F.arrays_overlap(scopes, F.array(*[F.lit(s) for s in order[order.index(wanted) :]]))
 
 
+_WILD = {"**/": ".*", "**": ".*", "*": "[^/]*", "?": "[^/]"}  # what a glob's wild parts stand for
+
+
 def glob_regex(glob: str | None) -> str:
     """Regular expression of a folder glob; a glob without ``**`` covers what lies below it."""
-    g = (glob or "").strip().replace("\\", "/").strip("/")
-    if not g:
-        return r"\A.*\z"
-    if "**" not in g:
-        g += "/**"
-    out, i = "", 0
-    while i < len(g):
-        if g.startswith("**", i):
-            out, i = out + ".*", i + 2
-            i += g.startswith("/", i)
-        elif g[i] == "*":
-            out, i = out + "[^/]*", i + 1
-        elif g[i] == "?":
-            out, i = out + "[^/]", i + 1
-        else:
-            out, i = out + (("\\" + g[i]) if g[i] in r".+^${}()|[]\/-" else g[i]), i + 1
-    return rf"\A{out}\z"
+    folder = (glob or "").strip().replace("\\", "/").strip("/")
+    if "**" not in folder:
+        folder = f"{folder}/**" if folder else "**"
+    pieces = re.split(r"(\*\*/?|[*?])", folder)
+    return r"\A" + "".join(_WILD.get(x, rf"\Q{x}\E" if x else "") for x in pieces) + r"\z"
 
 
 def private_v4(host: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,11 +100,32 @@ def name_date(path: Column, whole_path: bool = False) -> Column:
     return F.nullif(F.regexp_extract(start, rf"\A({DAY})", 1), F.lit(""))
 
 
+@lru_cache(1)
+def _folding() -> tuple[str, str, str]:
+    """Marked letters, the letters that they become, and the combining marks that go: all of the basic plane, by rule."""
+    marked, plain, marks = [], [], []
+    for c in map(chr, range(0x80, 0xD800)):
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if len(bare) == 1 and bare != c and c == c.lower():
+            marked.append(c)
+            plain.append(bare)
+    return "".join(marked), "".join(plain), "".join(marks)
+
+
 def fold(text: Column) -> Column:
-    """Lower case without the diacritics of Western European letters."""
-    marked = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.translate(F.lower(text), marked, plain)
+    """Lower case without diacritics, composed or not; texts of ASCII alone skip the table."""
+    marked, plain, marks = _folding()
+    low = F.lower(text)
+    return F.when(F.rlike(text, F.lit(r"\A\p{ASCII}*+\z")), low).otherwise(F.translate(low, marked + marks, plain))
+
+
+def fold_text(text: str) -> str:
+    """The same for a value."""
+    marked, plain, marks = _folding()
+    return text.lower().translate(str.maketrans(marked, plain, marks))
 
 
 def tokens(text: Column) -> Column:
@@ -109,6 +133,20 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(fold(text), r"[^\p{L}\p{N}]+"), "")
 
 
+WORD_CLASS = r"[\p{L}\p{N}]"
+
+
+def token_count(folded: Column) -> Column:
+    """Number of words of a folded text."""
+    return F.regexp_count(folded, F.lit(WORD_CLASS + "++"))
+
+
+def term_count(folded: Column, term: str, prefix: bool) -> Column:
+    """Occurrences of a word, or of all words that begin with it, in a folded text."""
+    end = "" if prefix else f"(?!{WORD_CLASS})"
+    return F.regexp_count(folded, F.lit(rf"(?<!{WORD_CLASS})\Q{term}\E{end}"))
+
+
 def note_uri(vault: Column, path: Column, scheme: str = "note") -> Column:
     """Link that opens a note in a client which answers to ``scheme``; blanks are percent-encoded."""
     enc = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))

@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-class _Loader(yaml.SafeLoader):
+_Fast = getattr(yaml, "CSafeLoader", yaml.SafeLoader)  # the C parser where it was built in
+
+
+class _Loader(_Fast):
     pass
 
 

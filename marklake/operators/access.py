@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -21,6 +21,19 @@ def needed_scope(operation: str) -> str:
     return "admin" if operation in ADMIN else "read" if operation in READS else "write"
 
 
+def allowed(calls: DataFrame, principal: dict) -> DataFrame:
+    """``calls (operation, targets, ...)`` with ``allowed``: the scope suffices and every target is in reach; for batches of calls."""
+    order = ("read", "write", "admin")
+    held = max((order.index(s) for s in principal["scopes"] if s in order), default=-1)
+    allow, deny = list(principal.get("path_allow") or []), list(principal.get("path_deny") or [])
+    operation = F.col("operation")
+    need = F.when(operation.isin(*ADMIN), 2).when(operation.isin(*READS), 0).otherwise(1)
+    every = lambda test: F.forall(F.coalesce("targets", F.array().cast("array<string>")), lambda t: test(t, allow, deny))
+    reach = F.when(operation.isin(*TREES), every(P.can_access_tree)).when(operation.isin(*BROWSE), every(P.can_access_path)).otherwise(every(P.can_access_file))
+    closed = (operation == "query") & F.lit(bool(allow or deny))
+    return calls.withColumn("allowed", (need <= held) & reach & ~closed)
+
+
 def require(spark: SparkSession, principal: dict, operation: str, targets: list[str] = ()) -> None:
     """Refuse the whole operation if the scope is missing or any one target is out of reach."""
     order = ("read", "write", "admin")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,13 +13,68 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 
-# Fixed patterns of the comment format.
-ANCHOR = re.compile(r"<!--c:([\w-]+)-->(.*?)<!--/c:\1-->", re.DOTALL)
-THREAD = re.compile(r'<!--co:([\w-]+)\s+by:(\S+)\s+at:(\S+)\s+status:(\S+)\s+quote:"((?:[^"\\]|\\.)*)"\s*\n(.*?)-->', re.DOTALL)
-REPLY = re.compile(r"^(.+?) \(([^)]+)\):\s?(.*)$")
+# Fixed forms of the comment format.
+MARK = "<!--co:"  # opens a thread: id, header fields, a line end, one entry a line, then the close
+CLOSE = "-->"
+ID = re.compile(r"[\w-]+")
+OPEN = re.compile(r"<!--c:([\w-]+)-->")
+FIELD = re.compile(r'\s+(by|at|status|quote):("(?:[^"\\]|\\.)*"|\S+)', re.DOTALL)
+ENTRY = re.compile(r"(?P<author>.+?) \((?P<at>[^)]+)\):\s?(?P<text>.*)")
+HEADER = ("by", "at", "status", "quote")  # in this order
 _ESCAPES = {"\\n": "\n", "\\r": "\r", "\\\\": "\\"}
 
 
+@dataclass
+class Block:
+    """A thread as it stands in a note: where it lies, where its header's values lie, and where its entries begin."""
+
+    key: str
+    start: int
+    end: int
+    head_end: int  # the line end after the header
+    fields: dict[str, tuple[int, int]]
+
+    def value(self, content: str, name: str) -> str:
+        return content[slice(*self.fields[name])].strip('"' if name == "quote" else "")
+
+    def entries(self, content: str) -> str:
+        return content[self.head_end + 1 : self.end - len(CLOSE)]
+
+    @property
+    def complete(self) -> bool:
+        return tuple(self.fields) == HEADER
+
+
+def blocks(content: str) -> Iterator[Block]:
+    """The threads of a note in order, those with an incomplete header included."""
+    at = content.find(MARK)
+    while at >= 0:
+        key = ID.match(content, at + len(MARK))
+        stop = content.find("\n", at)
+        if key and stop >= 0:
+            fields, here = {}, key.end()
+            while (m := FIELD.match(content, here)) and m[1] not in fields:
+                fields[m[1]], here = m.span(2), m.end()
+            line = content.find("\n", here) if tuple(fields) == HEADER else stop
+            end = content.find(CLOSE, max(line, 0))
+            if 0 <= line < end and CLOSE not in content[here:line]:
+                yield Block(key[0], at, end + len(CLOSE), line, fields)
+                at = content.find(MARK, end)
+                continue
+        at = content.find(MARK, at + 1)
+
+
+def anchors(content: str) -> dict[str, str]:
+    """The text between each pair of anchor marks; of several pairs of one id the last counts."""
+    spans, at = {}, 0
+    while m := OPEN.search(content, at):
+        closed = content.find(f"<!--/c:{m[1]}{CLOSE}", m.end())
+        if closed >= 0:
+            spans[m[1]] = content[m.end() : closed].strip()
+        at = max(closed, m.end())
+    return spans
+
+
 _REPLY = StructType()
 for _name in ("author", "at", "text"):
     _REPLY = _REPLY.add(_name, StringType())
@@ -42,13 +98,15 @@ def _safe(text: str) -> str:
 
 def threads(content: str | None) -> list[dict]:
     """All threads of a note, with the text that each is anchored to."""
-    if not content:
+    if not content or MARK not in content:
         return []
-    spans = {m[1]: m[2].strip() for m in ANCHOR.finditer(content)}
-    out = []
-    for m in THREAD.finditer(content):
-        replies = [REPLY.match(line.strip()) for line in m[6].split("\n")]
-        out.append({"id": m[1], "status": m[4], "quote": m[5], "created_by": m[2], "created_at": m[3], "anchored_text": spans.get(m[1]), "replies": [{"author": r[1], "at": r[2], "text": unescape(r[3])} for r in replies if r]})
+    spans, out = anchors(content), []
+    for b in blocks(content):
+        if b.complete and not content[b.fields["quote"][1] : b.head_end].strip():
+            said = [ENTRY.fullmatch(line.strip()) for line in b.entries(content).split("\n")]
+            replies = [m.groupdict() | {"text": unescape(m["text"])} for m in said if m]
+            by, at, status, quote = (b.value(content, name) for name in HEADER)
+            out.append({"id": b.key, "status": status, "quote": quote, "created_by": by, "created_at": at, "anchored_text": spans.get(b.key), "replies": replies})
     return out
 
 
@@ -65,7 +123,7 @@ def extract(notes: DataFrame, *, path: str | None = None, paths: list[str] | Non
     if sum(x is not None for x in (path, paths, folder)) != 1:
         raise ValueError("give exactly one of path, paths and folder")
     chosen = F.col("path") == path if path is not None else F.col("path").isin(paths) if paths is not None else F.contains("path", F.lit(folder))
-    rows = notes.where(chosen & F.contains("content", F.lit("<!--co:"))).select("path", F.inline(parse("content")))
+    rows = notes.where(chosen & F.contains("content", F.lit(MARK))).select("path", F.inline(parse("content")))
     return rows.where(F.col("status") == status) if status else rows
 
 
@@ -102,43 +160,42 @@ def create(content: str, quote: str, text: str, author: str, at: str) -> str:
         raise ValueError("quote not found")
     key, who = new_id(content, quote, at), _author(author)
     shown = _safe(" ".join(quote.split()).replace('"', "'"))
-    block = f'<!--c:{key}-->{quote}<!--/c:{key}-->\n<!--co:{key} by:{who} at:{at} status:open quote:"{shown}"\n{_entry(who, at, text)}\n-->'
+    block = f'<!--c:{key}{CLOSE}{quote}<!--/c:{key}{CLOSE}\n{MARK}{key} by:{who} at:{at} status:open quote:"{shown}"\n{_entry(who, at, text)}\n{CLOSE}'
     before, _, after = content.partition(quote)
     return before + block + after
 
 
-def _edit(content: str, key: str, change: Callable[[str, str], tuple[str, str] | None]) -> str:
-    """The thread's header rest and body run through ``change``; a result of None removes the block."""
-    m = re.search(rf"(\n?)<!--co:{re.escape(key)}(?![A-Za-z0-9])([^\n]*)\n([\s\S]*?)-->", content)
-    if not m:
-        raise ValueError("comment not found")
-    new = change(m[2], m[3])
-    block = "" if new is None else f"{m[1]}<!--co:{key}{new[0]}\n{new[1]}-->"
-    return content[: m.start()] + block + content[m.end() :]
+def _block(content: str, key: str) -> Block:
+    for b in blocks(content):
+        if b.key == key:
+            return b
+    raise ValueError("comment not found")
 
 
 def reply(content: str, key: str, text: str, author: str, at: str) -> str:
-    line = _entry(_author(author), at, text)
-    return _edit(content, key, lambda head, body: (head, f"{b}\n{line}\n" if (b := body.strip("\n")) else f"{line}\n"))
+    """One more entry at the end of the thread."""
+    b = _block(content, key)
+    lines = [x for x in (b.entries(content).strip("\n"), _entry(_author(author), at, text)) if x]
+    return content[: b.head_end + 1] + "\n".join([*lines, ""]) + content[b.end - len(CLOSE) :]
 
 
 def set_status(content: str, key: str, resolved: bool) -> str:
     """The thread's status; a thread that has it already stays as it is."""
-    wanted = "resolved" if resolved else "open"
-
-    def change(head: str, body: str) -> tuple[str, str]:
-        if bool(re.search(r"status:resolved(?:\s|$)", head)) == resolved:
-            return head, body
-        changed, n = re.subn(r"status:\S+", f"status:{wanted}", head, count=1)
-        return (changed if n else f"{head} status:{wanted}"), body
-
-    return _edit(content, key, change)
+    b, wanted = _block(content, key), "resolved" if resolved else "open"
+    if "status" not in b.fields:
+        return content if not resolved else f"{content[: b.head_end]} status:{wanted}{content[b.head_end :]}"
+    if (b.value(content, "status") == "resolved") == resolved:
+        return content
+    start, end = b.fields["status"]
+    return content[:start] + wanted + content[end:]
 
 
 def remove(content: str, key: str) -> str:
     """The thread and its marks taken out; the text that it was anchored to stays."""
-    bare = re.sub(rf"<!--/?c:{re.escape(key)}-->", "", content)
-    return _edit(bare, key, lambda *_: None)
+    b = _block(content, key)
+    start = b.start - content.endswith("\n", 0, b.start)
+    rest = content[:start] + content[b.end :]
+    return rest.replace(f"<!--c:{key}{CLOSE}", "").replace(f"<!--/c:{key}{CLOSE}", "")
 
 
 def rewrite(notes: DataFrame, path: str, change: Callable[[str], str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -18,16 +18,22 @@ def _at(path: str) -> Column:
     return F.col("path") == path
 
 
-def write(notes: DataFrame, path: str, content: str) -> DataFrame:
-    """The note's content replaced, or the note added."""
-    others = notes.where(~_at(path))
+def _row(notes: DataFrame, path: str, content: str, now: str | None) -> DataFrame:
     row = notes.sparkSession.createDataFrame([(path, content)], "path string, content string")
-    return others.unionByName(row, allowMissingColumns=True)
+    return row.withColumn("mtime", F.lit(now).cast("timestamp")) if now and "mtime" in notes.columns else row
 
 
-def append(notes: DataFrame, path: str, text: str) -> DataFrame:
+def write(notes: DataFrame, path: str, content: str, now: str | None = None) -> DataFrame:
+    """The note's content replaced, or the note added, with ``now`` as its time."""
+    return notes.where(~_at(path)).unionByName(_row(notes, path, content, now), allowMissingColumns=True)
+
+
+def append(notes: DataFrame, path: str, text: str, now: str | None = None) -> DataFrame:
+    """The text as a further line of the note; a note that is not there is made."""
     new = F.when(F.coalesce("content", F.lit("")) == "", F.lit(text)).otherwise(F.concat("content", F.lit("\n" + text)))
-    return notes.withColumn("content", F.when(_at(path), new).otherwise(F.col("content")))
+    longer = notes.withColumn("content", F.when(_at(path), new).otherwise(F.col("content")))
+    absent = _row(notes, path, text, now).join(notes.where(_at(path)).select("path"), "path", "left_anti")
+    return longer.unionByName(absent, allowMissingColumns=True)
 
 
 def replace_body(notes: DataFrame, path: str, body: str) -> DataFrame:
@@ -65,12 +71,19 @@ def merge_front(notes: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def move(notes: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New notes, and ``path, destination, error``, for ``moves (path, destination)``."""
+    """New notes, and ``path, destination, error``, for ``moves (path, destination)``.
+
+    Of several moves of one note that to the smallest destination counts; of several
+    moves to one place that of the smallest path succeeds.
+    """
     have = notes.select("path")
-    state = moves.withColumn("safe", P.canonical(F.col("destination")))
+    state = moves.groupBy("path").agg(F.min("destination").alias("destination")).withColumn("safe", P.canonical(F.col("destination")))
     state = state.join(have.withColumn("found", F.lit(True)), "path", "left")
     state = state.join(have.select(F.col("path").alias("safe"), F.lit(True).alias("taken")), "safe", "left")
-    error = F.when(F.col("safe").isNull(), "Access denied").when(F.col("found").isNull(), "File not found").when(F.col("taken"), "Destination exists")
+    blocked = F.when(F.col("safe").isNull(), "Access denied").when(F.col("found").isNull(), "File not found").when(F.col("taken"), "Destination exists")
+    state = state.withColumn("blocked", blocked)
+    nth = F.row_number().over(Window.partitionBy("safe", F.col("blocked").isNull()).orderBy("path"))
+    error = F.coalesce("blocked", F.when(nth > 1, "Destination exists"))
     report = state.select("path", F.col("safe").alias("destination"), error.alias("error"))
     ok = report.where("error IS NULL").select("path", "destination")
     moved = notes.join(ok, "path", "left").withColumn("path", F.coalesce("destination", "path")).select(*notes.columns)

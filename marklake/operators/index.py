@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.yaml import yaml_to_json
+from . import sections
 
 
 def parsed(notes: DataFrame, mode: str = "index") -> DataFrame:
@@ -56,9 +57,38 @@ def sync_status(index: DataFrame, vault: DataFrame) -> DataFrame:
     return index.agg(F.count("*").alias("db_count")).crossJoin(vault.agg(F.count("*").alias("vault_count"))).withColumn("in_sync", F.col("db_count") == F.col("vault_count"))
 
 
+def unchunked(files_table: DataFrame, chunks_table: DataFrame) -> DataFrame:
+    """``path`` of indexed files that have no chunk yet."""
+    return files_table.select("path").join(chunks_table.select(F.col("file_path").alias("path")).distinct(), "path", "left_anti")
+
+
+def _last(events: DataFrame) -> DataFrame:
+    return events.groupBy("path").agg(F.max_by(F.struct("event", "content", "ts"), "seq").alias("e")).select("path", "e.*")
+
+
+def chunked(notes: DataFrame, old: DataFrame, model: str | None = None, **options: int) -> DataFrame:
+    """Chunks of parsed notes with ``embedding, embed_model``: an equal chunk of ``old`` hands its vector on."""
+    titled = notes.select("path", F.coalesce(F.nullif(F.get_json_object("fm", "$.title"), F.lit("")), T.basename(F.col("path"))).alias("title"), "body")
+    new = sections.chunks(titled, **options)
+    if model is None:
+        return new.withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("embed_model", F.lit(None).cast("string"))
+    return sections.reuse(new, old, model).select(*new.columns, F.col("embedding").cast("array<float>").alias("embedding"), "embed_model")
+
+
+def apply_chunk_events(chunks_table: DataFrame, events: DataFrame, model: str | None = None, **options: int) -> DataFrame:
+    """The chunk table after a batch of events: chunks of touched notes go, those of notes that stay are made anew.
+
+    A chunk whose content the table holds anywhere keeps its vector, so an edit, a move
+    or a new name costs no embedding of what did not change.
+    """
+    last = _last(events)
+    now = parsed(last.where("event <> 'unlink'").select("path", "content"))
+    return delete(chunks_table, last.select("path"), "file_path").unionByName(chunked(now, chunks_table, model, **options))
+
+
 def apply_events(files_table: DataFrame, tasks_table: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables after a batch of ``events (event, path, content, ts, seq)``; the last event of a path counts."""
-    last = events.groupBy("path").agg(F.max_by(F.struct("event", "content", "ts"), "seq").alias("e")).select("path", "e.*")
+    last = _last(events)
     gone = last.where("event = 'unlink'").select("path")
     now = parsed(last.where("event <> 'unlink'").select("path", "content", F.col("ts").alias("mtime")))
     touched = last.select("path")

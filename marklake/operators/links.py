@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,15 +20,24 @@ def resolve(links: DataFrame, notes: DataFrame) -> DataFrame:
     of several notes of one name the smallest path is taken, and all are listed.
     """
     by_path = notes.select(F.regexp_replace(F.lower("path"), r"\.md\z", "").alias("full"), F.col("path").alias("hit")).groupBy("full").agg(F.min("hit").alias("hit"))
-    by_name = notes.groupBy(F.lower(T.basename(F.col("path"))).alias("name")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    named = notes.select(F.lower(T.basename(F.col("path"))).alias("name"), "path")
     target = F.regexp_replace(F.lower("target"), r"\.md\z", "")
     keyed = links.withColumn("_full", target).withColumn("_name", F.element_at(F.split(target, "/"), -1))
+    # paths are listed only for names that some link asks for; of all others the smallest is enough
+    asked = keyed.select(F.col("_name").alias("name")).distinct()
+    by_name = named.join(asked, "name", "left_semi").groupBy("name").agg(F.min("path").alias("least"), F.sort_array(F.collect_list("path")).alias("paths"))
     joined = keyed.join(by_path, F.col("_full") == F.col("full"), "left").join(by_name, F.col("_name") == F.col("name"), "left")
-    resolved = F.coalesce("hit", F.get("paths", F.lit(0)))
+    resolved = F.coalesce("hit", "least")
     ambiguous = F.when(F.col("hit").isNull() & (F.size("paths") > 1), F.col("paths"))
     return joined.select(*links.columns, resolved.isNotNull().alias("exists"), resolved.alias("resolved"), ambiguous.alias("ambiguous"))
 
 
+def of_text(spark: SparkSession, text: str, notes: DataFrame) -> DataFrame:
+    """The links of one text, resolved against ``notes``."""
+    one = spark.createDataFrame([("", text)], "path string, content string")
+    return resolve(edges(one), notes).drop("src")
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance over the longer length, and half a point more if one holds the other."""
     longest = F.greatest(F.length(a), F.length(b))
@@ -39,12 +48,15 @@ def similarity(a: Column, b: Column) -> Column:
 def suggest(broken: DataFrame, names: DataFrame, k: int = 3) -> DataFrame:
     """``target, name, score, rank``: the ``k`` most similar ``names (name)`` for each distinct broken target.
 
-    Similarity over all pairs is what the operator computes; both sides are made
-    distinct first, and only the ``k`` best rows of a target leave each task.
+    Both sides are made distinct, and a name is compared only with targets of a length
+    that leaves more than 0.3, or that hold it or lie in it: the edit distance is at
+    least the difference of the lengths, so no pair above the threshold is left out.
     """
     t = broken.select(F.lower("target").alias("target")).distinct()
     n = names.select(F.lower("name").alias("name")).distinct()
-    scored = t.join(n, similarity(F.col("target"), F.col("name")) > 0.3).withColumn("score", similarity(F.col("target"), F.col("name")))
+    a, b = F.col("target"), F.col("name")
+    close = F.least(F.length(a), F.length(b)) > 0.3 * F.greatest(F.length(a), F.length(b))
+    scored = t.join(n, (close | F.contains(a, b) | F.contains(b, a)) & (similarity(a, b) > 0.3)).withColumn("score", similarity(a, b))
     order = Window.partitionBy("target").orderBy(F.desc("score"), "name")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

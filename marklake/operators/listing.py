@@ -72,8 +72,20 @@ def projects(paths: DataFrame, root: str = "20_Projects/Pro") -> DataFrame:
     return directory(paths, root).where("type = 'directory'").select("name").orderBy("name")
 
 
-def read(notes: DataFrame, path: str) -> DataFrame:
-    return notes.where(F.col("path") == path)
+def read(notes: DataFrame, path: str, links: bool = False) -> DataFrame:
+    """One row for the wanted path: the note, its links if asked for, or an error."""
+    out = batch_read(notes.sparkSession, notes, [path]).drop("pos")
+    return out.withColumn("links", T.link_targets(F.coalesce("content", F.lit("")))) if links else out
+
+
+def resources(notes: DataFrame) -> DataFrame:
+    """``uri, name`` of every note."""
+    return notes.select(F.concat(F.lit("note://files/"), F.col("path")).alias("uri"), T.basename(F.col("path")).alias("name"))
+
+
+def health(notes: DataFrame) -> DataFrame:
+    """``status, notes``: whether the notes can be read, and how many there are."""
+    return notes.agg(F.lit("ok").alias("status"), F.count("*").alias("notes"))
 
 
 def context(notes: DataFrame, path: str = "agent.md") -> DataFrame:

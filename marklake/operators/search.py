@@ -20,10 +20,7 @@ SNIPPET = 300
 
 def query_terms(query: str) -> list[tuple[str, bool]]:
     """``(term, also as a prefix)`` of a query: terms of one letter are dropped, those of four or more match as prefixes."""
-    import unicodedata
-
-    plain = "".join(c for c in unicodedata.normalize("NFKD", query.lower()) if not unicodedata.combining(c))
-    words = "".join(c if c.isalnum() else " " for c in plain).split()
+    words = "".join(c if c.isalnum() else " " for c in T.fold_text(query)).split()
     return [(w, len(w) >= 4) for w in dict.fromkeys(words) if len(w) > 1]
 
 
@@ -37,18 +34,17 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(docs: DataFrame, query: str | list[str], *, id_col: str = "doc_id", fields: dict[str, float] | None = None, k1: float = K1, b: float = B, prefixes: bool = True) -> DataFrame:
     """``id, score`` of the documents that hold a query term (Okapi BM25; field weights scale the term counts).
 
-    The terms are few and given, so they are tested where a document is read: only
-    ``(id, length, counts per term)`` leave the scan, and no posting of another word
-    is ever shuffled.
+    The terms are few and given, so they are counted where a document is read, by one
+    pass of a pattern each: only ``(id, length, counts per term)`` leave the scan.  For
+    many queries of one collection see :func:`build_index`.
     """
     fields = fields or {"text": 1.0}
     terms = query_terms(query) if isinstance(query, str) else [(t, False) for t in query]
-    rows = docs.select(F.col(id_col).alias("id"), *[T.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"_{f}") for f in fields])
-    length = sum((F.size(f"_{f}") for f in fields), F.lit(0))
+    rows = docs.select(F.col(id_col).alias("id"), *[T.fold(F.coalesce(F.col(f), F.lit(""))).alias(f"_{f}") for f in fields])
+    length = sum((T.token_count(F.col(f"_{f}")) for f in fields), F.lit(0))
 
     def count(term: str, prefix: bool) -> Column:
-        test = (lambda x: F.startswith(x, F.lit(term))) if prefix and prefixes else (lambda x: x == term)
-        return sum((F.lit(float(w)) * F.size(F.filter(f"_{f}", test)) for f, w in fields.items()), F.lit(0.0))
+        return sum((F.lit(float(w)) * T.term_count(F.col(f"_{f}"), term, prefix and prefixes) for f, w in fields.items()), F.lit(0.0))
 
     rows = rows.select("id", length.alias("length"), *[count(t, p).alias(f"tf{i}") for i, (t, p) in enumerate(terms)])
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
@@ -61,6 +57,42 @@ def bm25(docs: DataFrame, query: str | list[str], *, id_col: str = "doc_id", fie
     return joined.select("id", score.alias("score"))
 
 
+def build_index(docs: DataFrame, path: str, *, id_col: str = "doc_id", fields: dict[str, float] | None = None) -> None:
+    """Write ``postings (term, id, tf)``, sorted by term, and ``lengths (id, length)`` below ``path``.
+
+    ``tf`` is weighted by field.  Rows are ranged by term and then by document, so a
+    frequent term spreads over files and a query's terms reach few of them.
+    """
+    fields = fields or {"text": 1.0}
+    flat = None
+    for f, w in fields.items():
+        one = postings(docs, id_col, f).select("id", "term", (F.col("tf") * float(w)).alias("tf"), F.col("tf").alias("n"))
+        flat = one if flat is None else flat.unionByName(one)
+    summed = flat.groupBy("term", "id").agg(F.sum("tf").alias("tf"), F.sum("n").alias("n"))
+    summed.repartitionByRange("term", "id").sortWithinPartitions("term", "id").select("term", "id", "tf", "n").write.mode("overwrite").parquet(f"{path}/postings")
+    spark = docs.sparkSession
+    length = spark.read.parquet(f"{path}/postings").groupBy("id").agg(F.sum("n").alias("length"))
+    every = docs.select(F.col(id_col).alias("id")).join(length, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length"))
+    every.write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def bm25_indexed(spark: SparkSession, path: str, query: str | list[str], *, k1: float = K1, b: float = B, prefixes: bool = True) -> DataFrame:
+    """``id, score`` as :func:`bm25` gives them, from a written index: only postings of the query's terms are read."""
+    terms = query_terms(query) if isinstance(query, str) else [(t, False) for t in query]
+    hit, which = F.lit(False), F.array().cast("array<int>")
+    for i, (t, prefix) in enumerate(terms):
+        test = F.startswith("term", F.lit(t)) if prefix and prefixes else F.col("term") == t
+        hit, which = hit | test, F.concat(which, F.when(test, F.array(F.lit(i))).otherwise(F.array().cast("array<int>")))
+    lengths = spark.read.parquet(f"{path}/lengths")
+    found = spark.read.parquet(f"{path}/postings").where(hit).select("id", F.explode(which).alias("q"), "tf").groupBy("id", "q").agg(F.sum("tf").alias("tf"))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+    df = found.groupBy("q").agg(F.count("*").alias("df"))  # a row for each term of the query
+    joined = found.join(F.broadcast(df), "q").join(lengths, "id").crossJoin(F.broadcast(stats))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+    return joined.groupBy("id").agg(F.sum(weight).alias("score"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two numeric arrays, in double."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -150,6 +182,16 @@ def rerank(candidates: list[dict], query: str, scorer: Callable | None, *, wante
     return {"ordered": first + rest + hidden, "reranked": len(first), "skipped": len(hidden), "error": None}
 
 
+def rerank_table(candidates: DataFrame, scores: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """``candidates (file, rank, ...)`` with ``bucket`` and ``place``: scored ones by ``scores (file, rerank)``, then unscored ones in their order, then those withheld."""
+    hidden = F.lit(False)
+    for p in exclude:
+        hidden = hidden | (F.col("file") == p) | F.startswith("file", F.lit(p.rstrip("/") + "/"))
+    df = candidates.join(scores, "file", "left").withColumn("bucket", F.when(hidden, 2).when(F.col("rerank").isNull(), 1).otherwise(0))
+    shown = F.when(F.col("bucket") == 0, F.col("rerank"))
+    return df.withColumn("place", F.row_number().over(Window.orderBy("bucket", shown.desc_nulls_last(), "rank")))
+
+
 def mode_of(wanted: str, ready: bool, provider_error: str | None = None) -> tuple[str, list[str]]:
     """The mode that can run, and what to tell the caller."""
     if wanted in ("bm25", "grep", "fuzzy"):
@@ -195,8 +237,9 @@ def search(spark: SparkSession, chunks: DataFrame, query: str, *, embed: Callabl
     return out, mode, warnings
 
 
-def status(chunks: DataFrame, workers: dict | None = None) -> DataFrame:
-    """``chunks, embedded, pending, semantic_ready``."""
+def status(chunks: DataFrame, workers: dict[str, str | None] | None = None) -> DataFrame:
+    """``chunks, embedded, pending, semantic_ready``, and a column for each entry of ``workers`` (provider, model, last error, rerank state)."""
     got = chunks.agg(F.count("*").alias("chunks"), F.count_if(F.col("embedding").isNotNull()).alias("embedded"))
     got = got.withColumn("pending", F.col("chunks") - F.col("embedded"))
-    return got.withColumn("semantic_ready", (F.col("chunks") > 0) & (F.col("pending") == 0))
+    got = got.withColumn("semantic_ready", (F.col("chunks") > 0) & (F.col("pending") == 0))
+    return got.withColumns({name: F.lit(value) for name, value in workers.items()}) if workers else got

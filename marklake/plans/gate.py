@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_STRING = re.compile(r"'(?:[^']|'')*'")
+_STRING = re.compile(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", re.DOTALL)  # texts and comments stay as they are
 
 
 class Refused(ValueError):
@@ -39,8 +39,8 @@ def translate(sql: str) -> str:
 
 def check(spark: SparkSession, sql: str, allow_with: bool = False) -> None:
     """Refuse everything but one SELECT (or, if allowed, WITH): the first word and the parsed plan are both tested."""
-    first = sql.strip().split(None, 1)[0].upper() if sql.strip() else ""
-    if first != "SELECT" and not (allow_with and first == "WITH"):
+    first = re.match(r"\s*(select|with)\b", sql, re.I)
+    if not first or (first[1].upper() == "WITH" and not allow_with):
         raise Refused("only SELECT is allowed")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)

@@ -315,32 +315,4 @@ def chunk_documents(spark, sf_dir):
     return sections.chunks(_documents(spark, sf_dir))
 
 
-def hashing_embedder(texts: list[str], dim: int = 64) -> list[list[float]]:
-    """Vectors of hashed words: a stand-in for a model that needs no files."""
-    import zlib
-
-    out = []
-    for t in texts:
-        v = [0.0] * dim
-        for w in t.lower().split():
-            h = zlib.crc32(w.encode())
-            v[h % dim] += 1.0 if h & (1 << 20) else -1.0
-        norm = sum(x * x for x in v) ** 0.5 or 1.0
-        out.append([x / norm for x in v])
-    return out
-
-
-def _embedded(spark, sf_dir) -> DataFrame:
-    table = sections.chunks(_documents(spark, sf_dir)).withColumn("embedding", F.lit(None).cast("array<double>")).withColumn("embed_model", F.lit(None).cast("string"))
-    return sections.backfill(table, hashing_embedder, "hash-64")
-
-
-@_query()
-def embed_backfill(spark, sf_dir):
-    return _embedded(spark, sf_dir).select("chunk_id", "content_hash", "embed_model", F.size("embedding").alias("dim"))
-
-
-@_query()
-def hybrid_search(spark, sf_dir):
-    chunks = _embedded(spark, sf_dir).select("chunk_id", F.col("file_path").alias("file"), "title", "heading", "text", F.lit(None).cast("string").alias("date"), "start_line", "end_line", "embedding")
-    return search.search(spark, chunks, WORDS, embed=lambda q: hashing_embedder([q])[0])[0].drop("chunks")
+from . import more_queries  # noqa: E402,F401  it registers its queries with the functions above

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import json
+import socket
 import time
 from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +22,19 @@ def signature(secret: str, body: bytes) -> str:
     return "sha256=" + hmac.new(secret.encode(), body, hashlib.sha256).hexdigest()
 
 
+def public_address(url: str, resolve: Callable = socket.getaddrinfo) -> bool:
+    """Whether every address that the host has at this moment is public."""
+    host = urlsplit(url).hostname
+    if not host:
+        return False
+    try:
+        found = {x[4][0].split("%")[0] for x in resolve(host, None)}
+    except OSError:
+        return False
+    plain = [ipaddress.ip_address(a) for a in found]
+    return bool(plain) and all((a.ipv4_mapped or a if a.version == 6 else a).is_global for a in plain)
+
+
 def send(transport: Callable[[str, bytes, dict, float], int], url: str, body: bytes, headers: dict, tries: int = TRIES, sleep: Callable[[float], None] = time.sleep) -> tuple[int | None, int, str | None]:
     """``(status, tries, error)``: network failures, 429 and 5xx are tried again after 1, 2, ... seconds; other answers are final."""
     status, error = None, None
@@ -34,8 +50,11 @@ def send(transport: Callable[[str, bytes, dict, float], int], url: str, body: by
     return status, tries, error or f"HTTP {status}"
 
 
-def deliver(matched: DataFrame, transport: Callable, at_once: int = AT_ONCE, tries: int = TRIES, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Send every row of ``matched`` (see ``webhooks.match``); ``at_once`` partitions bound what is in flight."""
+def deliver(matched: DataFrame, transport: Callable, at_once: int = AT_ONCE, tries: int = TRIES, sleep: Callable[[float], None] = time.sleep, guard: Callable[[str], bool] | None = None) -> DataFrame:
+    """Send every row of ``matched`` (see ``webhooks.match``); ``at_once`` partitions bound what is in flight.
+
+    ``guard`` (such as :func:`public_address`) tests each address just before it is used.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -46,7 +65,23 @@ def deliver(matched: DataFrame, transport: Callable, at_once: int = AT_ONCE, tri
                     payload["body"] = r.body
                 body = json.dumps(payload, ensure_ascii=False).encode()
                 headers = {"Content-Type": "application/json"} | ({"X-Signature": signature(r.secret, body)} if r.secret else {})
-                rows.append((r.webhook_id, r.path, r.event, *send(transport, r.url, body, headers, tries, sleep)))
+                sent = (None, 0, "address refused") if guard and not guard(r.url) else send(transport, r.url, body, headers, tries, sleep)
+                rows.append((r.webhook_id, r.path, r.event, *sent))
             yield pd.DataFrame(rows, columns=["webhook_id", "path", "event", "status", "tries", "error"]).astype({"status": "Int32", "tries": "int32"})
 
     return matched.repartition(at_once).mapInPandas(work, REPORT)
+
+
+def test_delivery(rules: DataFrame, key: str, transport: Callable, now: str, guard: Callable[[str], bool] | None = None) -> tuple[int | None, int, str | None]:
+    """Send one rule a sample change, once: ``(status, tries, error)``."""
+    rule = rules.where(rules["id"] == key).select("url", "secret").head()
+    if rule is None:
+        raise KeyError(key)
+    if guard and not guard(rule.url):
+        return None, 0, "address refused"
+    body = json.dumps({"event": "test", "path": "test.md", "frontmatter": {}, "timestamp": now, "webhook_id": key}).encode()
+    headers = {"Content-Type": "application/json"} | ({"X-Signature": signature(rule.secret, body)} if rule.secret else {})
+    return send(transport, rule.url, body, headers, tries=1)
+
+
+test_delivery.__test__ = False  # an operation, not a test

@@ -2,60 +2,162 @@
 
 from __future__ import annotations
 
-import os
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
-from ..operators import index, webhooks
-from ..schema import FILES, TASKS
+from ..operators import edits, index, webhooks
+from ..schema import EMBEDDED, FILES, TASKS
 from .deliver import deliver
 
+TABLES = {"files": ("path", FILES), "tasks": ("file_path", TASKS), "chunks": ("file_path", EMBEDDED)}
+BUCKETS = 64
+
 
 class Store:
-    """Numbered Parquet snapshots of the files and tasks tables; a snapshot counts once its mark is written."""
+    """Files, tasks and chunks in buckets by hash of the path, on any file system that Spark reaches.
+
+    A turn writes the buckets that its changes touch and nothing else; then a manifest,
+    which names the turn of every bucket, makes it count.  A repeated turn writes the
+    same buckets again.  What no manifest of the last ``keep`` turns names is deleted.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, keep: int = 3):
+        self.spark, self.root, self.buckets, self.keep = spark, root.rstrip("/"), buckets, keep
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(f"{self.root}/{folder}")
+        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
 
     def _turns(self) -> list[int]:
-        if not os.path.isdir(self.root):
-            return []
-        return sorted(int(n) for n in os.listdir(self.root) if n.isdigit() and os.path.exists(f"{self.root}/{n}/tasks/_SUCCESS"))
+        return sorted(int(n) for n in self._names("manifest") if n.isdigit())
 
-    def load(self, before: int | None = None) -> tuple[DataFrame, DataFrame]:
+    def manifest(self, before: int | None = None) -> dict[str, int]:
+        """Bucket to turn, as of the last turn before ``before``."""
         turns = [t for t in self._turns() if before is None or t < before]
         if not turns:
-            return self.spark.createDataFrame([], FILES), self.spark.createDataFrame([], TASKS)
-        at = f"{self.root}/{turns[-1]}"
-        return self.spark.read.schema(FILES).parquet(f"{at}/files"), self.spark.read.schema(TASKS).parquet(f"{at}/tasks")
-
-    def save(self, turn: int, files: DataFrame, tasks: DataFrame) -> None:
-        files.write.mode("overwrite").parquet(f"{self.root}/{turn}/files")
-        tasks.write.mode("overwrite").parquet(f"{self.root}/{turn}/tasks")
-
-
-def batch(store: Store, changes: DataFrame, turn: int, rules: DataFrame | None = None, transport: Callable | None = None, report: Callable[[DataFrame], None] | None = None) -> None:
-    """One batch of changes: index first for adds and changes; a removed note is matched by its last known front matter."""
-    changes = changes.withColumn("seq", F.monotonically_increasing_id())
-    files, tasks = store.load(before=turn)
-    new_files, new_tasks = index.apply_events(files, tasks, changes)
-    store.save(turn, new_files, new_tasks)
-    if rules is None or transport is None:
-        return
-    now, _ = store.load(before=turn + 1)
-    known = now.select("path", "frontmatter").withColumn("gone", F.lit(False)).unionByName(files.select("path", "frontmatter").withColumn("gone", F.lit(True)))
-    named = changes.withColumn("gone", F.col("event") == "unlink").join(known, ["path", "gone"], "left")
-    events = named.select("event", "path", "content", F.coalesce("frontmatter", F.lit("{}")).alias("frontmatter"), "ts")
-    sent = deliver(webhooks.match(events, rules), transport)
-    (report or (lambda df: df.count()))(sent)
-
-
-def start(stream: DataFrame, store: Store, checkpoint: str, **options):
-    """A running query over ``stream (event, path, content, ts)``; a repeated batch writes the same snapshot again."""
+            return {}
+        stream = self._fs.open(self._path(f"{self.root}/manifest/{turns[-1]}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def bucket(self, path):
+        return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
+
+    def table(self, name: str, before: int | None = None, only: set[int] | None = None) -> DataFrame:
+        schema = TABLES[name][1]
+        at = [f"{self.root}/{name}/{turn}/bucket={b}" for b, turn in self.manifest(before).items() if only is None or int(b) in only]
+        at = [p for p in at if self._fs.exists(self._path(p))]
+        return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
+
+    def load(self, before: int | None = None, only: set[int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return tuple(self.table(name, before, only) for name in TABLES)
+
+    def save(self, turn: int, touched: set[int], tables: dict[str, DataFrame]) -> None:
+        for name, df in tables.items():
+            key = TABLES[name][0]
+            placed = df.withColumn("bucket", self.bucket(F.col(key)))
+            placed.repartition(len(touched) or 1, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/{turn}")
+        state = self.manifest(before=turn) | {str(b): turn for b in touched}
+        temp = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
+        out = self._fs.create(temp, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        final = self._path(f"{self.root}/manifest/{turn}")
+        self._fs.delete(final, False)
+        self._fs.rename(temp, final)
+        self._clean()
+
+    def _clean(self) -> None:
+        turns = self._turns()
+        for old in turns[: -self.keep]:
+            self._fs.delete(self._path(f"{self.root}/manifest/{old}"), False)
+        named = {turn for t in turns[-self.keep :] for turn in self.manifest(before=t + 1).values()} | set(turns[-self.keep :])
+        for name in TABLES:
+            for n in self._names(name):
+                if n.isdigit() and int(n) not in named:
+                    self._fs.delete(self._path(f"{self.root}/{name}/{n}"), True)
+
+
+def batch(store: Store, changes: DataFrame, turn: int, rules: DataFrame | None = None, transport: Callable | None = None, report: Callable[[DataFrame], None] | None = None, model: str | None = None) -> None:
+    """One batch of changes ``(event, path, content, ts[, seq])``; without ``seq`` the time orders them.
+
+    Index first for adds and changes; a removed note is matched by its last known
+    front matter.  Only the buckets of changed paths are read and written.
+    """
+    changes = changes.withColumn("seq", F.struct(F.col("seq") if "seq" in changes.columns else F.lit(0).alias("seq"), "ts"))
+    changes = changes.persist()
+    try:
+        touched = {r[0] for r in changes.select(store.bucket(F.col("path"))).distinct().collect()}  # at most as many as there are buckets
+        if not touched:
+            return
+        files, tasks, chunks = store.load(before=turn, only=touched)
+        new_files, new_tasks = index.apply_events(files, tasks, changes)
+        store.save(turn, touched, {"files": new_files, "tasks": new_tasks, "chunks": index.apply_chunk_events(chunks, changes, model)})
+        if rules is None or transport is None:
+            return
+        now = store.table("files", before=turn + 1, only=touched)
+        known = now.select("path", "frontmatter").withColumn("gone", F.lit(False)).unionByName(files.select("path", "frontmatter").withColumn("gone", F.lit(True)))
+        named = changes.withColumn("gone", F.col("event") == "unlink").join(known, ["path", "gone"], "left")
+        events = named.select("event", "path", "content", F.coalesce("frontmatter", F.lit("{}")).alias("frontmatter"), "ts")
+        (report or (lambda df: df.count()))(deliver(webhooks.match(events, rules), transport))
+    finally:
+        changes.unpersist()
+
+
+def start(stream: DataFrame, store: Store, checkpoint: str, *, first_turn: int = 0, **options):
+    """A running query over ``stream (event, path, content, ts[, seq])``; a repeated batch writes the same turn again.
+
+    ``first_turn`` is the store's turn for the stream's first batch: one more than the
+    last one that :func:`catch_up` took.
+    """
     trigger = options.pop("trigger", {"processingTime": "1 second"})
-    return stream.writeStream.foreachBatch(lambda df, turn: batch(store, df.persist(), turn, **options)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return stream.writeStream.foreachBatch(lambda df, turn: batch(store, df, first_turn + turn, **options)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def catch_up(store: Store, vault: DataFrame, turn: int, model: str | None = None) -> None:
+    """Before a stream starts: notes that the index lacks are added, those that are gone removed; rules see nothing of it."""
+    actions = index.reconcile(store.table("files", before=turn), vault)
+    added = vault.join(actions.where("action = 'add'").select("path"), "path", "left_semi").select(F.lit("add").alias("event"), "path", "content", F.col("mtime").alias("ts"))
+    gone = actions.where("action = 'remove'").select(F.lit("unlink").alias("event"), "path", F.lit(None).cast("string").alias("content"), F.lit(None).cast("timestamp").alias("ts"))
+    batch(store, added.unionByName(gone), turn, model=model)
+
+
+def purge_regularly(spark: SparkSession, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], *, now: Callable[[], str], retention_days: int = 30, every: str = "24 hours"):
+    """A running query that purges the trash once for each interval."""
+    ticks = spark.readStream.format("rate").load()
+    return ticks.writeStream.foreachBatch(lambda _, turn: save(edits.purge(load(), now(), retention_days))).trigger(processingTime=every).start()
+
+
+class Health(StreamingQueryListener):
+    """What a running stream last did: ready, closed, last batch and last error; ``spark.streams.addListener(Health())``."""
+
+    def __init__(self):
+        self.ready, self.closed, self.last_event, self.last_error, self.rows = False, False, None, None, 0
+
+    def onQueryStarted(self, event):
+        self.ready, self.closed = True, False
+
+    def onQueryProgress(self, event):
+        if event.progress.numInputRows:
+            self.last_event, self.rows = event.progress.timestamp, self.rows + event.progress.numInputRows
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ready, self.closed, self.last_error = False, True, event.exception
+
+    def status(self) -> dict:
+        return {"watcher_ready": self.ready, "watcher_closed": self.closed, "last_event": self.last_event, "last_error": self.last_error, "rows": self.rows}
 
 
 def windowed_counts(events: DataFrame, *, time_col: str = "ts", late: str = "1 hour", width: str = "1 day") -> DataFrame:

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from marklake.functions import paths as P
 from marklake.operators import comments, edits, index, links, listing, search, sections, tokens, webhooks
 from marklake.plans import gate
 from marklake.streaming import deliver
@@ -58,6 +59,51 @@ def test_listing(spark):
         listing.checked_batch(["x"] * 101)
 
 
+def test_moves_to_one_place(spark):
+    df = notes(spark, [("a.md", "1"), ("b.md", "2"), ("c.md", "3"), ("d.md", "4")])
+    moves = spark.createDataFrame([("a.md", "x.md"), ("b.md", "./x.md"), ("c.md", "y.md"), ("c.md", "z.md"), ("q.md", "x2.md")], "path string, destination string")
+    moved, report = edits.move(df, moves)
+    assert sorted(contents(moved)) == ["b.md", "d.md", "x.md", "y.md"]
+    assert {r.path: r.error for r in report.collect()} == {"a.md": None, "b.md": "Destination exists", "c.md": None, "q.md": "File not found"}
+
+
+def test_append_makes_a_note(spark):
+    df = notes(spark, [("a.md", "x")]).withColumn("mtime", F.lit("2026-01-01").cast("timestamp"))
+    out = {r.path: r for r in edits.append(df, "new.md", "first", now="2026-02-01").collect()}
+    assert out["new.md"].content == "first" and str(out["new.md"].mtime)[:10] == "2026-02-01" and len(out) == 2
+
+
+def test_comment_scanner():
+    note = 'A <!--c:k-1-->some "text"<!--/c:k-1--> <!--c:o-->open\n<!--co:k-1 by:me at:t status:open quote:"a \\" --> b"\nme (t): hi\nno entry\nyou (u v): a\\nb\n-->\n<!--co:bad by:me\nx\n--> <!--co:end'
+    got = comments.threads(note)
+    assert [(t["id"], t["quote"], t["anchored_text"]) for t in got] == [("k-1", 'a \\" --> b', 'some "text"')]
+    assert [(r["author"], r["at"], r["text"]) for r in got[0]["replies"]] == [("me", "t", "hi"), ("you", "u v", "a\nb")]
+    done = comments.set_status(note, "k-1", True)
+    assert comments.threads(done)[0]["status"] == "resolved" and comments.set_status(done, "k-1", False) == note == comments.set_status(note, "k-1", False)
+    assert "status:resolved" in comments.set_status(note, "bad", True) and comments.set_status(note, "bad", False) == note
+    more = comments.threads(comments.reply(note, "k-1", "x --> y", "a b", "t2"))[0]["replies"]
+    assert (more[-1]["author"], more[-1]["text"]) == ("a_b", "x --\u200b> y") and len(more) == 3
+    assert comments.remove(note, "k-1").startswith('A some "text" <!--c:o-->open\n<!--co:bad')
+    for f in (comments.reply, comments.set_status, comments.remove):
+        with pytest.raises(ValueError):
+            f(note, "none", *(("x", "y", "z") if f is comments.reply else (True,) if f is comments.set_status else ()))
+
+
+def test_paths_agree_with_values(spark):
+    rows = ["", "a", "/a//b/", "a/./b", "a/..", "..", "a/../../b", "a\\b", "x/.hidden", "x/..y", ".", "a/b/../c"]
+    df = spark.createDataFrame([(p,) for p in rows], "p string")
+    assert [(r.p, r.c) for r in df.select("p", P.canonical(F.col("p")).alias("c")).collect()] == [(p, P.canonical_text(p)) for p in rows]
+
+
+def test_bm25_by_index_and_by_scan(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Réunion", "budget validé budget"), (2, "Notes", "la réunion et le BUDGET prévisionnel"), (3, "x", ""), (4, "x", None)], "id long, title string, text string")
+    fields = {"title": 3.0, "text": 1.0}
+    search.build_index(docs, str(tmp_path / "i"), id_col="id", fields=fields)
+    for q in ("reunion budget", "bud previsionnel", "nothing", "!!"):
+        a = {r.id: round(r.score, 9) for r in search.bm25(docs, q, id_col="id", fields=fields).collect()}
+        assert a == {r.id: round(r.score, 9) for r in search.bm25_indexed(spark, str(tmp_path / "i"), q).collect()}, q
+
+
 def test_context(spark):
     assert listing.context(notes(spark, [("x.md", "y")])).first()[0] == "agent.md not found"
 

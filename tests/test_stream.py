@@ -1,9 +1,11 @@
 import time
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
+from marklake.operators import index, webhooks
 from marklake.sources import vault
-from marklake.streaming import pipeline
+from marklake.streaming import deliver, pipeline
 
 
 def put(root, rel, text):
@@ -23,18 +25,80 @@ def test_vault_source(spark, tmp_path):
 
 def test_changes(tmp_path):
     put(tmp_path, "a.md", "1")
-    r = vault._Changes(str(tmp_path), "")
-    rows, at = r.read(r.initialOffset())
-    assert list(rows) == []  # not settled yet
-    rows, at = r.read(at)
-    assert [x[:3] for x in rows] == [("add", "a.md", "1")]
+    put(tmp_path, "N.MD", "x")
+    r = vault._Changes(str(tmp_path), str(tmp_path / ".changes"))
+    one = r.latestOffset()
+    assert r.changes(r.initialOffset(), one) == []  # not settled yet
+    two = r.latestOffset()
+    assert [x[:2] for x in r.changes(one, two)] == [("add", "N.MD"), ("add", "a.md")] and r.latestOffset() == two
+    assert [x[2] for p in r.partitions(one, two) for x in r.read(p)] == ["x", "1"]
     put(tmp_path, "a.md", "22")
-    _, at = r.read(at)
-    rows, at = r.read(at)
-    assert [x[:2] for x in rows] == [("change", "a.md")]
+    r.latestOffset()
+    three = r.latestOffset()
+    assert [x[:2] for x in r.changes(two, three)] == [("change", "a.md")]
     (tmp_path / "a.md").unlink()
-    rows, at = r.read(at)
-    assert [x[:2] for x in rows] == [("unlink", "a.md")]
+    four = r.latestOffset()
+    assert [x[:2] for x in r.changes(three, four)] == [("unlink", "a.md")] and [x[:2] for x in r.changes(two, four)] == [("change", "a.md"), ("unlink", "a.md")]
+    assert [list(x) for x in r.read(r.partitions(two, four)[0])][0][0] == "unlink"  # the changed file is gone by now
+    r.commit(four)
+    assert r._turns() == [four["turn"]] and r.latestOffset() == four
+
+
+def events(spark, rows):
+    return spark.createDataFrame(rows, "event string, path string, content string, ts string, seq long").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def test_store_touches_changed_buckets_only(spark, tmp_path):
+    store = pipeline.Store(spark, str(tmp_path / "s"), buckets=8, keep=2)
+    pipeline.batch(store, events(spark, [("add", f"{i}.md", f"# H\n\ntext {i}", "2026-01-01", i) for i in range(20)]), 0)
+    first = store.manifest()
+    assert store.table("files").count() == 20 and store.table("chunks").count() == 20
+    # the later event of a path counts, whatever the order of the rows
+    pipeline.batch(store, events(spark, [("unlink", "3.md", None, "2026-01-02", 9), ("change", "3.md", "x", "2026-01-02", 8), ("change", "4.md", "- [ ] new", "2026-01-02", 7)]), 1)
+    now = store.manifest()
+    assert sorted(r.path for r in store.table("files").collect()) == sorted(f"{i}.md" for i in range(20) if i != 3)
+    assert [r.text for r in store.table("tasks").collect()] == ["new"] and 0 < sum(now[b] != t for b, t in first.items()) <= 2
+    assert store.table("files", before=1).count() == 20
+    pipeline.batch(store, events(spark, [("change", "4.md", "- [ ] new", "2026-01-02", 7)]), 2)
+    pipeline.batch(store, events(spark, [("change", "4.md", "- [ ] new", "2026-01-02", 7)]), 2)  # a repeated turn
+    assert store.table("files").count() == 19 and store._turns() == [1, 2]
+
+
+def test_chunks_keep_their_vectors(spark, tmp_path):
+    old = index.chunked(index.parsed(spark.createDataFrame([("a.md", "# A\n\nsame text")], "path string, content string")), None)
+    old = old.withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>")).withColumn("embed_model", F.lit("m"))
+    moved = events(spark, [("unlink", "a.md", None, "2026-01-01", 1), ("add", "b/a.md", "# A\n\nsame text", "2026-01-01", 1), ("add", "c.md", "other", "2026-01-01", 1)])
+    got = {r.file_path: r for r in index.apply_chunk_events(old, moved, "m").collect()}
+    assert set(got) == {"b/a.md", "c.md"} and got["b/a.md"].embedding == [1.0, 2.0] and got["c.md"].embedding is None
+    assert {r.embedding is None for r in index.apply_chunk_events(old, moved, "other model").collect()} == {True}
+    assert [r.path for r in index.unchunked(spark.createDataFrame([("a.md",), ("z.md",)], "path string"), old).collect()] == ["z.md"]
+
+
+def test_catch_up(spark, tmp_path):
+    store = pipeline.Store(spark, str(tmp_path / "s"))
+    note = lambda rows: spark.createDataFrame(rows, "path string, content string").withColumn("mtime", F.lit("2026-01-01").cast("timestamp"))
+    pipeline.catch_up(store, note([("a.md", "1"), ("b.md", "2")]), 0)
+    pipeline.catch_up(store, note([("b.md", "2"), ("c.md", "3")]), 1)
+    assert sorted(r.path for r in store.table("files").collect()) == ["b.md", "c.md"]
+
+
+def test_delivery_checks_the_address(spark):
+    lookup = {"in.example": "10.0.0.1", "out.example": "93.184.216.34", "six.example": "::ffff:192.168.0.1"}
+    ok = lambda url: deliver.public_address(url, lambda host, _: [(0, 0, 0, "", (lookup[host], 0))])
+    assert [ok(f"https://{h}/x") for h in lookup] == [False, True, False] and not ok("https:///x")
+    rules = webhooks.create(webhooks.empty(spark), "https://hooks.example.com/a", "2026-01-01", key="a", secret="s")
+    seen = []
+    assert deliver.test_delivery(rules, "a", lambda *x: seen.append(x) or 200, "2026-01-01T00:00:00Z") == (200, 1, None) and b'"event": "test"' in seen[0][1]
+    assert deliver.test_delivery(rules, "a", lambda *x: 200, "t", guard=lambda url: False)[2] == "address refused"
+    matched = spark.createDataFrame([("add", "p.md", "{}", "2026-01-01", "a", "https://in.example/", None, None)], "event string, path string, frontmatter string, ts string, webhook_id string, url string, secret string, body string")
+    assert deliver.deliver(matched, lambda *x: 200, guard=lambda url: False).first().error == "address refused"
+
+
+def test_health():
+    h = pipeline.Health()
+    h.onQueryStarted(None)
+    h.onQueryTerminated(SimpleNamespace(exception="boom"))
+    assert h.status() == {"watcher_ready": False, "watcher_closed": True, "last_event": None, "last_error": "boom", "rows": 0}
 
 
 def test_stream_keeps_the_index(spark, tmp_path):
