@@ -4,11 +4,21 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage befor
 
 * quality: a document that the classifier predicts as 0 goes.
 * language: a document without a recognisable language goes: no letter in it, or a
-  cosine with the nearest language below ``MIN_COSINE``.
+  cosine with the nearest language that lies no further from 0 than chance would put
+  it.  Between unrelated vectors it spreads by 1 / sqrt(places), whatever the length of
+  the text; ``CHANCE`` such spreads are asked for, so a clean text of one or two words stays.
 * near_dedup: of each class of near duplicates the document of the smallest id stays.
 * decontamination: a document in which a benchmark item occurs goes.
 * mixing: documents are taken as often as their source's target asks; one that is
   taken no time goes, ``taken`` counts the words of the others, repeats included.
+
+Defined results: an empty table gives an empty result in every stage; a null text is
+judged as the empty text by the classifier and goes for want of a letter if that keeps
+it; rows without an id stay as long as their text earns it, one of each class; a null
+source is a source of its own; repeated rows and ties leave one row, the least by a hash
+of its columns; texts of any length are read whole; further columns, ``size``, ``target``
+and ``taken`` among them, pass through the first four stages and are left out of the
+last one's result, whose columns are fixed.
 """
 
 from __future__ import annotations
@@ -19,17 +29,24 @@ from pyspark.sql import functions as F
 from marklake.llm import decontaminate, language_id, mixing, near_dedup, quality
 from marklake.llm._store import Workspace, table
 
-MIN_COSINE = 0.1
+CHANCE = 1.5
+
+
+def _kept(docs: DataFrame, judge, test) -> DataFrame:
+    """``docs`` as they came, without the rows that fail ``test``: columns that bear the names of the judge's own travel aside."""
+    clash = [c for c in docs.columns if c in ("held_out", "score", "predicted", "lang_pred")]
+    aside = docs.withColumnsRenamed({c: f"_aside_{c}" for c in clash})
+    judged = judge(aside).where(test)
+    return judged.select(*[F.col(f"_aside_{c}").alias(c) if c in clash else F.col(c) for c in docs.columns])
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = quality.classify(spark, docs, table(spark, sf_dir, "labels"))
-    return marked.where("predicted = 1").select(*docs.columns)
+    return _kept(docs, lambda df: quality.classify(spark, df, table(spark, sf_dir, "labels")), F.col("predicted") == 1)
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(spark, docs)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_COSINE)).select(*docs.columns)
+    known = (F.col("lang_pred") != "und") & (F.col("score") >= CHANCE / language_id.DIM**0.5)
+    return _kept(docs, lambda df: language_id.identify(spark, df), known)
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

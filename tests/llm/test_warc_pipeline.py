@@ -1,5 +1,6 @@
 import hashlib
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,48 @@ def test_pipeline_stages(spark, tmp_path):
     ids = {r.doc_id for r in out}
     assert ids and ids <= set(range(40)) and all(r.taken > 0 for r in out)
     assert [n for n, _ in cp.STAGES] == ["quality", "language", "near_dedup", "decontamination", "mixing"]
+
+
+@pytest.fixture
+def small_tables(spark, tmp_path):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ka lo mi ne ra su ti vo".split()) for _ in range(rng.randrange(1, 4)))
+    text = lambda n=40: " ".join(word() for _ in range(n)).capitalize() + "."
+    rows = [(i, text(), "aa", f"s{i % 3}", 1) for i in range(60)]
+    bad = [(100 + i, "### $$$ 123 !!! " * 15 + str(i), "aa", "s0", 1) for i in range(20)]
+    spark.createDataFrame([(1, text(30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels = [(r[0], 1, 0) for r in rows] + [(r[0], 0, 0) for r in bad]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return rows, bad, text, str(tmp_path)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_of_an_empty_table(spark, small_tables):
+    cp, at = pytest.importorskip("corpus_pipeline"), small_tables[3]
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{at}/documents.parquet")
+    assert cp.run(spark, at).count() == 0
+
+
+def test_pipeline_edges(spark, small_tables):
+    """Repeated rows, copies under several ids, rows without id, source or text, a short and a very long text, clashing columns."""
+    cp = pytest.importorskip("corpus_pipeline")
+    rows, bad, text, at = small_tables
+    own, other = text(), text()
+    odd = [rows[0], rows[0], (200, rows[1][1], "aa", "s1", 1), (None, own, None, None, None), (None, own, None, None, None), (None, other, None, None, None), (300, None, None, "s2", None), (301, "", None, None, None), (302, "Kalo.", "aa", "s0", 5), (303, " ".join(text(2000) for _ in range(5)), "aa", "s1", 1), (304, "12 34 !! --", "aa", "s1", 1)]
+    docs = spark.createDataFrame(rows + bad + odd, SCHEMA)
+    clash = docs.withColumns({c: F.lit(7) for c in ("score", "held_out", "size", "target", "taken", "predicted")})
+    clash.write.parquet(f"{at}/documents.parquet")
+    left = clash
+    for name, stage in cp.STAGES:
+        after = stage(spark, left, at)
+        assert name == "mixing" or (after.columns == clash.columns and {r.score for r in after.collect()} == {7}), name
+        left = after
+        if name == "near_dedup":
+            ids = sorted(str(r.doc_id) for r in after.collect())
+            assert ids == sorted([str(i) for i in range(60)] + ["None", "None", "302", "303"])
+    out = cp.run(spark, at)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken"]
+    got = sorted((str(r.doc_id), r.size, r.taken) for r in out.collect())
+    assert got == sorted((str(r.doc_id), r.size, r.taken) for r in cp.run(spark, at).collect()) and all(0 < n and 0 < t <= 3 * n for _, n, t in got)
