@@ -5,7 +5,9 @@ it has in the templates (a fixed table of this module, so its size is bounded).
 A hit votes for the diagonal ``position in text - position in template``;
 neighbouring diagonals are merged, which bridges inserted and deleted words.  A
 merged group is a span when the words agree (not just their hashes), enough of
-the template is covered, and the span is not much longer than the template.
+the template is covered, and the span is not much longer than the template.  In
+a group that is too long, as openings that repeat make it, each diagonal is
+tested alone.
 
 Short base phrases are templates as well: they are found where every k-gram
 stands on one diagonal.
@@ -117,11 +119,16 @@ def scan(
     diagonals = diagonals.withColumn("starts", (F.col("is_base") | (F.col("diagonal") - F.lag("diagonal").over(line) > max_shift)).cast("int"))
     diagonals = diagonals.withColumn("group", F.sum(F.coalesce("starts", F.lit(1))).over(line))
     spans = diagonals.groupBy(*of_doc, *of_template, "group").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("t_set")))).alias("votes"), F.min("lo").alias("first"), (F.max("hi") + k).alias("end"), F.min("diagonal").alias("diagonal")
+        F.size(F.array_distinct(F.flatten(F.collect_list("t_set")))).alias("votes"), F.min("lo").alias("first"), (F.max("hi") + k).alias("end"), F.min("diagonal").alias("diagonal"),
+        F.collect_list(F.when((F.col("template") >= n_phrase) & (F.size("t_set") >= min_coverage * F.col("n_grams")), F.struct(F.col("lo").alias("first_word"), (F.col("hi") + k - F.col("lo")).alias("n_span_words"), F.col("label"), (F.size("t_set") / F.col("n_grams")).alias("coverage")))).alias("alone"),
     )
     coverage = F.when(F.col("template") >= 0, F.col("votes") / F.col("n_grams"))
     whole = F.col("is_base") & (F.col("votes") == F.col("n_grams"))
     fits = (F.col("template") >= n_phrase) & (coverage >= min_coverage) & (F.col("end") - F.col("first") <= F.col("n_template_words") * max_stretch + max_shift)
+    own = F.struct(F.col("first").alias("first_word"), (F.col("end") - F.col("first")).alias("n_span_words"), F.col("label"), coverage.alias("coverage"))
+    # a group that is too long is not a span, but one of its diagonals may be
+    spans = spans.withColumn("found", F.when(fits, F.array(own)).otherwise(F.col("alone")))
+    fits = F.size("found") > 0
     return (
         spans.groupBy(*of_doc)
         .agg(
@@ -131,7 +138,7 @@ def scan(
             F.array_join(F.sort_array(F.collect_set(F.when(whole, F.col("label")))), ",").alias("base_labels"),
             F.array_join(F.sort_array(F.collect_set(F.when(whole | fits, F.col("label")))), ",").alias("labels"),
             F.coalesce(F.max(F.when(whole | F.col("template").between(n_phrase, 1 << 30), coverage)), F.lit(0.0)).alias("score"),
-            F.sort_array(F.collect_list(F.when(fits, F.struct(F.col("first").alias("first_word"), (F.col("end") - F.col("first")).alias("n_span_words"), F.col("label"), coverage.alias("coverage"))))).alias("spans"),
+            F.sort_array(F.flatten(F.collect_list("found"))).alias("spans"),
         )
         .drop("rid")
     )

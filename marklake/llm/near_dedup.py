@@ -344,7 +344,8 @@ def _classes(spark: SparkSession, docs: DataFrame, text_col: str, id_col: str, s
     banded = unique.select("id", F.posexplode(F.array(*band_keys(F.col("sig")))).alias("band", "key"))
     groups = banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
     # only texts that share a band go on; their signatures are fetched again where they are needed
-    shared = ws.save(banded.join(groups, "key"), "shared")
+    total = BANDS * unique.count()
+    shared = ws.save(join_hot(banded, groups.withColumn("times", F.col("size")), "key", "times", total), "shared")
     tile_of = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / TILE).cast("int")).cast("int")
     small = shared.where(F.col("size") < SMALL).select(F.col("head").alias("a"), F.col("id").alias("b"))
     large = shared.where(F.col("size") >= SMALL).join(unique, "id").select("key", "head", "id", "sig", tile_of.alias("tile"))

@@ -60,8 +60,8 @@ h AS (SELECT p.rid, t.*, p.pos, p.pos - t.t_pos AS diag FROM p JOIN t ON t.gram
 g AS (SELECT rid, template, label, is_base, n_grams, n_words_t, diag, list(DISTINCT t_pos) AS ts, min(pos) AS lo, max(pos) AS hi FROM h GROUP BY ALL),
 m AS (SELECT *, sum(CASE WHEN prev IS NULL OR is_base OR diag - prev > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY rid, template ORDER BY diag) AS grp
       FROM (SELECT *, lag(diag) OVER (PARTITION BY rid, template ORDER BY diag) AS prev FROM g)),
-s AS (SELECT rid, template, label, is_base, n_grams, n_words_t, grp, len(list_distinct(flatten(list(ts)))) AS votes, min(lo) AS lo, max(hi) + 3 AS hi, min(diag) AS diag FROM m GROUP BY ALL),
-f AS (SELECT *, is_base AND votes = n_grams AS whole, NOT is_base AND votes::DOUBLE / n_grams >= 0.6 AND hi - lo <= n_words_t * 1.5 + 3 AS fits FROM s)
+s AS (SELECT rid, template, label, is_base, n_grams, n_words_t, grp, len(list_distinct(flatten(list(ts)))) AS votes, min(lo) AS lo, max(hi) + 3 AS hi, min(diag) AS diag, max(len(ts)::DOUBLE / n_grams) AS one FROM m GROUP BY ALL),
+f AS (SELECT *, is_base AND votes = n_grams AS whole, NOT is_base AND (votes::DOUBLE / n_grams >= 0.6 AND hi - lo <= n_words_t * 1.5 + 3 OR one >= 0.6) AS fits FROM s)
 SELECT any_value(d.doc_id) AS doc_id, any_value(len(d.ws))::BIGINT AS n_words, count(*) FILTER (whole) AS n_base,
        min(diag) FILTER (whole) AS first_word, max(diag) FILTER (whole) AS last_word,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole), '') AS base_labels,

@@ -83,6 +83,14 @@ def test_licenses_against_brute_force(spark):
     assert licenses.scan(spark, df.limit(0)).count() == 0
 
 
+def test_repeated_opening_hides_no_template(spark):
+    text = "All rights reserved. " * 3 + "All rights reserved. No part of this publication may be reproduced."
+    out = licenses.scan(spark, spark.createDataFrame([(1, text), (2, "all rights reserved " * 9)], "doc_id int, text string")).collect()
+    by = {r.doc_id: r for r in out}
+    assert by[1].labels == "proprietary" and [(s.first_word, s.n_span_words, s.coverage) for s in by[1].spans] == [(9, 11, 1.0)]
+    assert by[2].labels == "" and by[2].spans == []
+
+
 def test_held_out_rule(spark):
     from marklake.llm.language_id import held_out
 
