@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -13,6 +13,7 @@ from ..functions import udtf
 from ..functions.yaml import json_to_front
 from ..operators import access, comments, edits, index, links, listing, search, sections, tokens, webhooks
 from ..schema import TOKENS
+from ..streaming import deliver, pipeline
 from . import gate
 from .queries import NOTES_SQL, WORDS, _query, _table, notes
 
@@ -435,6 +436,108 @@ def rules_public(spark, sf_dir):
     return webhooks.public(webhooks.remove(webhooks.update(rules, "a", "2026-01-02", name="renamed"), "c")).select("id", "name", "has_secret")
 
 
+@_query("SELECT * FROM (VALUES ('tokens', 2), ('rules', 1), ('missing', 0), ('broken', 0)) AS t(store, n)")
+def stores_loaded(spark, sf_dir):
+    """Token and rule stores from JSON files; a missing or broken one is empty."""
+    at = f"{_scratch(spark)}/stores-{zlib.crc32(sf_dir.encode())}"
+    for name, text in (("tokens", '[{"id":"a","hash":"x","scopes":["read"]},{"id":"b","hash":"y","scopes":["admin"]}]'), ("rules", '[{"id":"r","enabled":true,"url":"https://x.example/","events":["add"]}]'), ("broken", "[{")):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/{name}")
+    count = lambda df: df.where("id IS NOT NULL").count()
+    rows = [("tokens", count(tokens.load(spark, f"{at}/tokens"))), ("rules", count(webhooks.load(spark, f"{at}/rules"))), ("missing", count(tokens.load(spark, f"{at}/none"))), ("broken", count(webhooks.load(spark, f"{at}/broken")))]
+    return spark.createDataFrame(rows, "store string, n long")
+
+
+@_query("SELECT * FROM (VALUES ('key', 'The quick brown fox jumps over the lazy dog', 'sha256=f7bc83f430538424b13298e6aa6fb143ef4d59a14946175997479dbc2d1a3cd8')) AS t(secret, body, signature)")
+def signatures(spark, sf_dir):
+    sign = F.pandas_udf(lambda k, b: k.combine(b, lambda x, y: deliver.signature(x, y.encode())), "string")
+    df = spark.createDataFrame([("key", "The quick brown fox jumps over the lazy dog")], "secret string, body string")
+    return df.select("secret", "body", sign("secret", "body").alias("signature"))
+
+
+@_query("SELECT * FROM (VALUES (0, 'a non-empty list is required'), (1, NULL), (100, NULL), (101, 'at most 100 entries are allowed')) AS t(n, error)")
+def batch_sizes(spark, sf_dir):
+    def error(n: int):
+        try:
+            listing.checked_batch(["x"] * n)
+        except ValueError as e:
+            return str(e)
+        return None
+
+    return spark.createDataFrame([(n, error(n)) for n in (0, 1, 100, 101)], "n int, error string")
+
+
+@_query("SELECT * FROM (VALUES ('auto', true, false, 'hybrid', false), ('auto', false, false, 'bm25', true), ('semantic', true, false, 'semantic', false), ('hybrid', true, true, 'bm25', true), ('bm25', false, true, 'bm25', false), ('grep', false, false, 'grep', false)) AS t(wanted, ready, fails, mode, warned)")
+def search_modes(spark, sf_dir):
+    rows = []
+    for wanted, ready, fails in (("auto", True, False), ("auto", False, False), ("semantic", True, False), ("hybrid", True, True), ("bm25", False, True), ("grep", False, False)):
+        mode, warnings = search.mode_of(wanted, ready, "down" if fails else None)
+        rows.append((wanted, ready, fails, mode, any("BM25 only" in w for w in warnings)))
+    return spark.createDataFrame(rows, "wanted string, ready boolean, fails boolean, mode string, warned boolean")
+
+
+@_query("SELECT conv_id, turn, 2 AS n, true AS differ FROM conversations WHERE text IS NOT NULL AND NOT contains(text, '-->')")
+def comment_ids(spark, sf_dir):
+    """Two comments on the same words at the same time get different ids."""
+    def ids(text: str) -> list[str]:
+        once = comments.create(text + " span", "span", "a", "me", "2026-01-01")
+        return [t["id"] for t in comments.threads(comments.create(once, "span", "a", "me", "2026-01-01"))]
+
+    made = F.pandas_udf(lambda s: s.map(ids), "array<string>")
+    df = _table(spark, sf_dir, "conversations").where("text IS NOT NULL AND NOT contains(text, '-->')").select("conv_id", "turn", made(F.regexp_replace("text", "span", "word")).alias("ids"))
+    return df.select("conv_id", "turn", F.size("ids").alias("n"), (F.col("ids")[0] != F.col("ids")[1]).alias("differ"))
+
+
+# ---- streams, batch by batch ----
+_KIND = "CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'unlink' ELSE 'change' END"
+
+
+def _changes(spark, sf_dir) -> DataFrame:
+    content = F.concat(F.lit("---\ntitle: Event "), F.col("event_id"), F.lit("\n---\n# A\n\n- [ ] do "), F.col("event_id"))
+    return _table(spark, sf_dir, "events").select(F.expr(_KIND).alias("event"), F.concat(F.lit("u"), F.col("user_id"), F.lit(".md")).alias("path"), content.alias("content"), "ts", F.col("event_id").alias("seq"))
+
+
+_LAST = f"SELECT concat('u', CAST(user_id AS STRING), '.md') AS path, max(event_id) AS last, max_by({_KIND}, event_id) AS kind FROM events GROUP BY user_id"
+
+
+@_query(f"SELECT path, concat('Event ', CAST(last AS STRING)) AS title, concat('do ', CAST(last AS STRING)) AS task, concat('- [ ] do ', CAST(last AS STRING)) AS chunk FROM ({_LAST}) WHERE kind <> 'unlink'")
+def stream_store(spark, sf_dir):
+    """Files, tasks and chunks after all events in three batches, a repeated one among them."""
+    store = pipeline.Store(spark, f"{_scratch(spark)}/store-{zlib.crc32(sf_dir.encode())}", buckets=8)
+    changes = _changes(spark, sf_dir)
+    third = F.ntile(3).over(Window.orderBy("seq")) - 1
+    cut = _saved(spark, changes.withColumn("turn", third), f"changes-{zlib.crc32(sf_dir.encode())}")
+    for turn in (0, 1, 1, 2):
+        pipeline.batch(store, cut.where(F.col("turn") == turn).drop("turn"), turn)
+    files, tasks, chunks = store.load()
+    out = files.join(tasks.select(F.col("file_path").alias("path"), F.col("text").alias("task")), "path").join(chunks.select(F.col("file_path").alias("path"), F.col("text").alias("chunk")), "path")
+    return out.select("path", "title", "task", "chunk")
+
+
+@_query(f"SELECT path, 'all' AS webhook_id, kind AS event, CASE WHEN last % 3 = 0 THEN 500 WHEN last % 3 = 1 THEN 404 ELSE 200 END AS status, CASE WHEN last % 3 = 0 THEN 3 ELSE 1 END AS tries, CASE WHEN last % 3 = 0 THEN 'HTTP 500' WHEN last % 3 = 1 THEN 'HTTP 404' END AS error FROM ({_LAST})")
+def stream_delivery(spark, sf_dir):
+    """Server errors are tried again, other answers are final."""
+    last = _changes(spark, sf_dir).groupBy("path").agg(F.max_by(F.struct("event", "ts", "seq"), "seq").alias("e")).select("path", "e.*")
+    events = last.select("event", "path", F.to_json(F.struct("seq")).alias("frontmatter"), "ts")
+    rules = webhooks.create(webhooks.empty(spark), "https://hooks.example.com/all", "2026-01-01", key="all", secret="s")
+
+    def transport(url, body, headers, timeout):
+        import json
+
+        return (500, 404, 200)[json.loads(body)["frontmatter"]["seq"] % 3]
+
+    return deliver.deliver(webhooks.match(events, rules), transport, sleep=lambda s: None).select("path", "webhook_id", "event", "status", "tries", "error")
+
+
+@_query(f"SELECT path FROM ({NOTES_SQL}) WHERE note_id % 100 < 3")
+def stream_catch_up(spark, sf_dir):
+    """What the index holds after a start: new notes added, missing ones removed."""
+    store = pipeline.Store(spark, f"{_scratch(spark)}/caught-{zlib.crc32(sf_dir.encode())}", buckets=4)
+    df = notes(spark, sf_dir).select("note_id", "path", F.col("body").alias("content"), F.lit("2026-01-01").cast("timestamp").alias("mtime"))
+    pipeline.catch_up(store, df.where("note_id % 100 IN (0, 7)").drop("note_id"), 0)
+    pipeline.catch_up(store, df.where("note_id % 100 < 3").drop("note_id"), 1)
+    return store.table("files").select("path")
+
+
 # ---- dialect ----
 def _dialect(name: str, sql: str, oracle: str):
     def run(spark, sf_dir):
