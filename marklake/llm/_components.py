@@ -9,7 +9,7 @@ from ._store import Workspace
 
 
 HOT_PARTS = 1000  # a key with more than this part of all rows is hot, so there are fewer hot keys than that
-PLAIN_ROWS = 1 << 18  # up to so many rows a plain join is as good, hot keys or not
+PLAIN_ROWS = 1 << 22  # up to so many rows a plain join is as good, hot keys or not
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], times: str, total: int) -> DataFrame:
