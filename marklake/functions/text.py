@@ -142,9 +142,13 @@ def token_count(folded: Column) -> Column:
 
 
 def term_count(folded: Column, term: str, prefix: bool) -> Column:
-    """Occurrences of a word, or of all words that begin with it, in a folded text."""
-    end = "" if prefix else f"(?!{WORD_CLASS})"
-    return F.regexp_count(folded, F.lit(rf"(?<!{WORD_CLASS})\Q{term}\E{end}"))
+    """Occurrences of a word, or of all words that begin with it, in a folded text.
+
+    The pattern begins with the word itself, so most places fail at their first
+    letter; what stands before it is looked at only where the word is.
+    """
+    word, end = rf"\Q{term}\E", "" if prefix else f"(?!{WORD_CLASS})"
+    return F.regexp_count(folded, F.lit(f"{word}(?<!{WORD_CLASS}{word}){end}"))
 
 
 def note_uri(vault: Column, path: Column, scheme: str = "note") -> Column:
