@@ -138,6 +138,19 @@ class Model:
         return np.clip(out, 0, 1)
 
 
+def leading_axes(x: np.ndarray, rank: int, turns: int = 8) -> np.ndarray:
+    """Leading right singular vectors of ``x``, by subspace iteration: no square matrix of all columns is decomposed."""
+    rank = min(rank, x.shape[1])
+    rng = np.random.Generator(np.random.PCG64(64))
+    q = rng.standard_normal((x.shape[1], min(x.shape[1], rank + 32))).astype(np.float32)
+    for _ in range(turns):
+        q = np.linalg.qr((x.T @ (x @ q)).astype(np.float64))[0].astype(np.float32)
+    small = (x @ q).astype(np.float64)
+    value, turn = np.linalg.eigh(small.T @ small)
+    rank = max(1, min(rank, int((value > 1e-7 * value[-1]).sum())))  # directions in which no labelled row lies are left out
+    return (q @ turn[:, ::-1][:, :rank]).astype(np.float32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, text_col: str, id_col: str, label_col: str, per_class: int = PER_CLASS, rank: int = RANK) -> Model:
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.min(label_col) > 0).cast("int").alias("_label"))
     totals = {r["_label"]: r["count"] for r in marks.groupBy("_label").count().collect()}
@@ -157,10 +170,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str, id_col: str, label
     got = got.sort_values(["h", "id"], kind="stable")
     if not len(got):
         return Model(np.zeros((DIM, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0))
-    x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32)
     y = got["label"].to_numpy().astype(np.float64)
-    _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    axes = vectors[:, ::-1][:, :rank].astype(np.float32)
+    x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32)
+    del got
+    axes = leading_axes(x, rank)
     share = np.array([totals.get(int(v), 1) for v in y], float) / np.array([(y == v).sum() for v in y], float)
     return Model(axes, _unit(x @ axes), y, share / share.mean())
 

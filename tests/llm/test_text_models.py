@@ -77,6 +77,14 @@ def test_language_against_brute_force(spark):
     assert len({tuple(v) for v in language_id.letter_vectors(points).tolist()}) == 4
 
 
+def test_leading_axes():
+    rng = np.random.default_rng(2)
+    x = (rng.standard_normal((300, 40)) * np.geomspace(10, 0.1, 40)) @ np.linalg.qr(rng.standard_normal((40, 40)))[0]
+    want = np.linalg.svd(x, full_matrices=False)[2][:8]
+    got = quality.leading_axes(x.astype(np.float32), 8)
+    assert np.abs(np.abs(want @ got) - np.eye(8)).max() < 0.02 and quality.leading_axes(x[:3].astype(np.float32), 64).shape == (40, 3)
+
+
 def test_quality_against_brute_force(spark):
     """The votes of the nearest labelled rows, row by row; equal rows tie and the first in order of hash counts."""
     rng = random.Random(9)
