@@ -40,13 +40,15 @@ def bm25(docs: DataFrame, query: str | list[str], *, id_col: str = "doc_id", fie
     """
     fields = fields or {"text": 1.0}
     terms = query_terms(query) if isinstance(query, str) else [(t, False) for t in query]
-    rows = docs.select(F.col(id_col).alias("id"), *[T.fold(F.coalesce(F.col(f), F.lit(""))).alias(f"_{f}") for f in fields])
-    length = sum((T.token_count(F.col(f"_{f}")) for f in fields), F.lit(0))
 
-    def count(term: str, prefix: bool) -> Column:
-        return sum((F.lit(float(w)) * T.term_count(F.col(f"_{f}"), term, prefix and prefixes) for f, w in fields.items()), F.lit(0.0))
+    def counted(s: Column) -> Column:
+        length = sum((T.token_count(s[f"_{f}"]) for f in fields), F.lit(0))
+        count = lambda t, p: sum((F.lit(float(w)) * T.term_count(s[f"_{f}"], t, p and prefixes) for f, w in fields.items()), F.lit(0.0))
+        return F.struct(length.alias("length"), *[count(t, p).alias(f"tf{i}") for i, (t, p) in enumerate(terms)])
 
-    rows = rows.select("id", length.alias("length"), *[count(t, p).alias(f"tf{i}") for i, (t, p) in enumerate(terms)])
+    # a generator, so that a text is folded and counted once however often the counts are used
+    folded = F.struct(*[T.fold(F.coalesce(F.col(f), F.lit(""))).alias(f"_{f}") for f in fields])
+    rows = docs.select(F.col(id_col).alias("id"), F.inline(F.transform(F.array(folded), counted)))
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     joined = rows.where(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0.0)) > 0 if terms else F.lit(False)).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
