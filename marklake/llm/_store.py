@@ -28,11 +28,13 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/marklake/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: the lineage ends at files that survive a lost executor."""
         at = f"{self.path}/{name}"
         df.write.mode("overwrite").parquet(at)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str = "") -> None:
@@ -40,6 +42,14 @@ class Workspace:
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.names.discard(name)
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        """Write a result and delete all tables that it came from: only the result is left behind."""
+        out = self.save(df, "result")
+        for name in self.names - {"result"}:
+            self.drop(name)
+        return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

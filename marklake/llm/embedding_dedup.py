@@ -170,6 +170,4 @@ def link(spark: SparkSession, vectors: DataFrame, *, vec_col: str = "embedding",
     placed = join_hot(members.where("h1 IS NOT NULL"), per_rep, ["h1", "h2"], "m", rows_in or 0)
     out = placed.unionByName(members.where("h1 IS NULL"), allowMissingColumns=True)
     component = F.coalesce("component_id", "id")
-    for name in ("signed", "crowded"):
-        ws.drop(name)
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return ws.settle(out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")))

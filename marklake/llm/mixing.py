@@ -117,7 +117,7 @@ def mix(
     plan = plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select(
         F.col("source").alias("_source"), "source_size", "target", F.col("whole").alias("_whole"), F.coalesce("threshold", F.when(F.col("budget") > 0, (1 << 60)).otherwise(-1)).alias("_threshold")
     )
-    plan = ws.save(plan, "thresholds")
+    plan = ws.settle(plan)  # a row for each source
     out = docs.withColumn("size", size).join(small(plan), F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
     taken = F.col("_whole") + (row_hash(F.col(id_col), F.col(text_col)) <= F.col("_threshold")).cast("long")
     return out.withColumn("taken", F.col("size") * taken).drop("_source", "_whole", "_threshold")

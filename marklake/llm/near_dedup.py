@@ -384,9 +384,7 @@ def _classes(spark: SparkSession, docs: DataFrame, text_col: str, id_col: str, s
     rows = texts_of.agg(F.sum("times")).first()[0] or 0
     out = join_hot(signed.select("id", "digest"), labels, "digest", "times", rows)
     kept = F.coalesce((F.col("id") == F.col("class_id")) & (F.col("digest") == F.col("stands")), F.lit(False))
-    for name in ("shared", "star", "texts", "links", "named", "found", "crowds", "extra", "involved"):
-        ws.drop(name)
-    return out.select(F.col("id").alias(id_col), "class_id", "text_id", kept.alias("kept"), "digest")
+    return ws.settle(out.select(F.col("id").alias(id_col), "class_id", "text_id", kept.alias("kept"), "digest"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:

@@ -496,7 +496,7 @@ def score(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_co
     more = partial.repartition("key").mapInArrow(add_up, "t long, i int, more_score double, more_base double, more_known long")
     out = scored.where("kind = 0").join(more, ["t", "i"], "left")
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return out.select(
+    return ws.settle(out.select(
         "doc_id", "held_out", "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (plus("base", "more_base") - F.col("n_tokens") * log_all).alias("base_score"), plus("score", "more_score").alias("score"),
-    )
+    ))
