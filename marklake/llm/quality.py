@@ -11,12 +11,16 @@ smallest hash of their id; so what is broadcast is bounded by
 ``2 * per_class * rank`` numbers.  Votes are weighted back to the share that a
 class has among all labelled rows.
 
+All numbers of the latent space lie on binary grids so coarse that every product
+and every sum of them is exact in doubles.  So equal texts have equal cosines, in
+whatever batch, order or partition they are compared.
+
 Defined results: a null text counts as empty and gets a score like any other;
 labels that are null are ignored, of several labels of one id the smallest
-counts; without any labelled row every score is 0.5; ties among neighbours go by
-their order of hash; repeated rows get equal scores; an empty table gives an
-empty result; other columns pass through unless they bear the names of the new
-ones (those are replaced).
+counts, of several texts of one id the least is learned; without any labelled row
+every score is 0.5; ties among neighbours go by their order of hash; repeated rows
+get equal scores; an empty table gives an empty result; other columns pass through
+unless they bear the names of the new ones (those are replaced).
 """
 
 from __future__ import annotations
@@ -36,7 +40,8 @@ RANK = 64
 NEIGHBOURS = 15
 SHARPNESS = 12.0
 CUT = 0.7
-TIE = 1e-13
+# binary places of features, axes and unit vectors: 2048 products of the first two, and 64 of the third with itself, fit in 53 bits
+FEATURE_BITS, AXIS_BITS, UNIT_BITS = 14, 24, 20
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = ord("a")
@@ -64,6 +69,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-9))
 
 
+def _grid(x: np.ndarray, bits: int) -> np.ndarray:
+    """The nearest multiples of ``2 ** -bits``, in doubles."""
+    return np.rint(x.astype(np.float64) * 2.0**bits) * 2.0**-bits
+
+
 def _distinct_share(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     n = len(at) - 1
     if not len(hashes):
@@ -124,16 +134,17 @@ class Model:
         self.axes, self.vectors, self.labels, self.weights = axes, vectors, labels, weights
 
     def latent(self, x: np.ndarray) -> np.ndarray:
-        return _unit(x @ self.axes)
+        return _grid(_unit(_grid(x, FEATURE_BITS) @ self.axes), UNIT_BITS)
 
     def score(self, x: np.ndarray, neighbours: int, block: int = 512) -> np.ndarray:
         out = np.full(len(x), 0.5)
         k = min(neighbours, len(self.labels))
         for i in range(0, len(x), block) if k else ():
             cos = self.latent(x[i : i + block]) @ self.vectors.T
-            # far less than the last place of a cosine tells ties apart: the first in order of hash is nearer
-            near = np.argpartition(-cos.astype(np.float64) + TIE * np.arange(len(self.labels)), k - 1, axis=1)[:, :k]
-            weight = np.exp(SHARPNESS * (np.take_along_axis(cos, near, axis=1).astype(np.float64) - 1)) * self.weights[near]
+            # whole numbers that order by cosine and then by place: of ties the first in order of hash is nearer
+            order = -(cos * 2.0 ** (2 * UNIT_BITS)).astype(np.int64) * len(self.labels) + np.arange(len(self.labels))
+            near = np.sort(np.argpartition(order, k - 1, axis=1)[:, :k], axis=1)
+            weight = np.exp(SHARPNESS * (np.take_along_axis(cos, near, axis=1) - 1)) * self.weights[near]
             out[i : i + block] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         return np.clip(out, 0, 1)
 
@@ -156,7 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str, id_col: str, label
     totals = {r["_label"]: r["count"] for r in marks.groupBy("_label").count().collect()}
     order = [F.xxhash64(F.col("_id").cast("string")), F.col("_id")]
     chosen = marks.where("_label = 0").orderBy(*order).limit(per_class).unionAll(marks.where("_label = 1").orderBy(*order).limit(per_class))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")  # at most 2 * per_class rows
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")  # at most 2 * per_class ids
+    rows = rows.groupBy("_id", "_label").agg(F.min("text").alias("text"))
 
     def work(batches):
         for batch in batches:
@@ -165,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str, id_col: str, label
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "label", "x"])
 
     kind = dict(rows.dtypes)["_id"]
-    got = rows.select("_id", "text", "_label").mapInArrow(work, f"id {kind}, label int, x binary").dropDuplicates(["id"]).toPandas()
+    got = rows.select("_id", "text", "_label").mapInArrow(work, f"id {kind}, label int, x binary").toPandas()
     got["h"] = [hash_of(i) for i in got["id"]]
     got = got.sort_values(["h", "id"], kind="stable")
     if not len(got):
@@ -173,9 +185,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str, id_col: str, label
     y = got["label"].to_numpy().astype(np.float64)
     x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32)
     del got
-    axes = leading_axes(x, rank)
+    axes = _grid(leading_axes(x, rank), AXIS_BITS)
     share = np.array([totals.get(int(v), 1) for v in y], float) / np.array([(y == v).sum() for v in y], float)
-    return Model(axes, _unit(x @ axes), y, share / share.mean())
+    model = Model(axes, np.zeros((0, axes.shape[1])), y, share / share.mean())
+    model.vectors = np.concatenate([model.latent(x[i : i + 512]) for i in range(0, len(x), 512)])
+    return model
 
 
 def hash_of(value) -> int:

@@ -109,6 +109,17 @@ def test_quality_against_brute_force(spark):
     assert {r.doc_id: r.score for r in again.collect()} == out
 
 
+def test_quality_ties_in_any_partitioning(spark):
+    """40 labelled rows of one text, and one id of two texts: one score whatever the partitions."""
+    rng = random.Random(11)
+    one = prose(rng, "aa", 30)
+    rows = [(i, one) for i in range(40)] + [(100 + i, prose(rng, "aabb"[i % 2 * 2 :][:2], 25)) for i in range(80)] + [(100, prose(rng, "cc", 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id long, quality int")
+    got = [sorted((r.doc_id, r.text, r.score) for r in quality.classify(spark, docs.repartition(n), marks).collect()) for n in (1, 9)]
+    assert got[0] == got[1] and len({s for i, _, s in got[0] if i < 40}) == 1
+
+
 def test_quality(spark):
     rng = random.Random(2)
     rows, labels = [], []
