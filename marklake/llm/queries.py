@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_text, language_id, licenses, mixing, near_dedup, quality, suffix_tree, warc
+from . import decontaminate, embedding_dedup, fill_middle, html_text, importance, language_id, licenses, mixing, near_dedup, quality, suffix_tree, toxicity, warc
 from ._store import Workspace, table
 
 
@@ -54,8 +55,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark, docs, table(spark, sf_dir, "labels"), keep_text=False).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(spark, docs, table(spark, sf_dir, "labels"), keep_text=False).select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(spark, docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transform(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_language_id, op3_warc, op4_decontamination, op5_mixing, op6_lm_scoring, op7_html_text, op8_license_scan, op9_near_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_language_id, op3_warc, op4_decontamination, op5_mixing, op6_lm_scoring, op7_html_text, op8_license_scan, op9_near_dedup, op10_quality, op11_toxicity, op12_resampling, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
