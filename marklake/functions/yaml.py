@@ -96,8 +96,18 @@ def fm_text(json_col: Column, key: str) -> Column:
     return F.coalesce(F.when(F.startswith(raw, F.lit("[")) & listed.isNotNull(), F.array_join(listed, ",")).otherwise(raw), F.lit(""))
 
 
-def fm_matches(json_col: Column, key: str, value: Column) -> Column:
+def field_values(raw: Column) -> Column:
+    """The texts that a field's raw JSON text is matched by: itself ('' for a missing one), or the items of a list."""
+    text = F.coalesce(raw, F.lit(""))
+    items = F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+    return F.when(F.startswith(text, F.lit("[")), items).otherwise(F.array(text))
+
+
+def field_matches(raw: Column, value: Column) -> Column:
     """Subset test of one field: equal as text, or one item of a list."""
-    raw = F.coalesce(F.get_json_object(json_col, f"$.{key}"), F.lit(""))
-    listed = F.from_json(raw, "array<string>")
-    return F.when(F.startswith(raw, F.lit("[")), F.coalesce(F.array_contains(listed, value), F.lit(False))).otherwise(raw == value)
+    return F.coalesce(F.array_contains(field_values(raw), value), F.lit(False))
+
+
+def fm_matches(json_col: Column, key: str, value: Column) -> Column:
+    """The same for a field of a JSON object."""
+    return field_matches(F.get_json_object(json_col, f"$.{key}"), value)

@@ -75,15 +75,17 @@ def chunked(notes: DataFrame, old: DataFrame, model: str | None = None, **option
     return sections.reuse(new, old, model).select(*new.columns, F.col("embedding").cast("array<float>").alias("embedding"), "embed_model")
 
 
-def apply_chunk_events(chunks_table: DataFrame, events: DataFrame, model: str | None = None, **options: int) -> DataFrame:
+def apply_chunk_events(chunks_table: DataFrame, events: DataFrame, model: str | None = None, vectors: DataFrame | None = None, **options: int) -> DataFrame:
     """The chunk table after a batch of events: chunks of touched notes go, those of notes that stay are made anew.
 
-    A chunk whose content the table holds anywhere keeps its vector, so an edit, a move
-    or a new name costs no embedding of what did not change.
+    A chunk whose content the table or ``vectors (content_hash, embed_model, embedding)``
+    holds keeps its vector, so an edit, a move or a copy costs no embedding of what did not change.
     """
     last = _last(events)
     now = parsed(last.where("event <> 'unlink'").select("path", "content"))
-    return delete(chunks_table, last.select("path"), "file_path").unionByName(chunked(now, chunks_table, model, **options))
+    known = chunks_table.select("content_hash", "embed_model", "embedding")
+    known = known if vectors is None else known.unionByName(vectors.select(*known.columns))
+    return delete(chunks_table, last.select("path"), "file_path").unionByName(chunked(now, known, model, **options))
 
 
 def apply_events(files_table: DataFrame, tasks_table: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:

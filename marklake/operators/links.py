@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import similar
 
 
 def edges(notes: DataFrame, content_col: str = "content") -> DataFrame:
@@ -46,19 +47,8 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def suggest(broken: DataFrame, names: DataFrame, k: int = 3) -> DataFrame:
-    """``target, name, score, rank``: the ``k`` most similar ``names (name)`` for each distinct broken target.
-
-    Both sides are made distinct, and a name is compared only with targets of a length
-    that leaves more than 0.3, or that hold it or lie in it: the edit distance is at
-    least the difference of the lengths, so no pair above the threshold is left out.
-    """
-    t = broken.select(F.lower("target").alias("target")).distinct()
-    n = names.select(F.lower("name").alias("name")).distinct()
-    a, b = F.col("target"), F.col("name")
-    close = F.least(F.length(a), F.length(b)) > 0.3 * F.greatest(F.length(a), F.length(b))
-    scored = t.join(n, (close | F.contains(a, b) | F.contains(b, a)) & (similarity(a, b) > 0.3)).withColumn("score", similarity(a, b))
-    order = Window.partitionBy("target").orderBy(F.desc("score"), "name")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """``target, name, score, rank``: the ``k`` most similar ``names (name)`` for each distinct broken target, of more than 0.3, without case."""
+    return similar.top_similar(broken.select(F.lower("target").alias("target")), names.select(F.lower("name").alias("name")), k)
 
 
 def summary(resolved: DataFrame) -> DataFrame:

@@ -204,20 +204,25 @@ def mode_of(wanted: str, ready: bool, provider_error: str | None = None) -> tupl
     return "bm25", [f"{why}; answered with BM25 only"]
 
 
-def search(spark: SparkSession, chunks: DataFrame, query: str, *, embed: Callable[[str], list[float]] | None = None, mode: str = "auto", limit=None, since=None, before=None, prefix: str | None = None, allow=None, deny=None, candidates: int = CANDIDATES, rrf_k: int = RRF_K, fields: dict[str, float] | None = None) -> tuple[DataFrame, str, list[str]]:
+def search(spark: SparkSession, chunks: DataFrame, query: str, *, embed: Callable[[str], list[float]] | None = None, mode: str = "auto", limit=None, since=None, before=None, prefix: str | None = None, allow=None, deny=None, candidates: int = CANDIDATES, rrf_k: int = RRF_K, fields: dict[str, float] | None = None, index=None) -> tuple[DataFrame, str, list[str]]:
     """``(rows, mode, warnings)`` over ``chunks (chunk_id, file, title, heading, text, date, start_line, end_line[, embedding])``.
 
-    Path, access and date filters come first, so every list is full after them.
+    Path, access and date filters come first, so every list is full after them.  Vectors
+    are used only if every chunk has one.  ``index`` (a ``lexical.LexicalIndex`` of the
+    chunks, owned by their files) answers the lexical part without reading texts; BM25's
+    statistics are then those of all chunks, else of those that the filters leave.
     """
-    df = chunks
+    df, limited = chunks, bool(prefix or allow or deny or since or before)
     if prefix:
         df = df.where(P.under(F.col("file"), F.lit(prefix)))
     if allow or deny:
         df = df.where(P.can_access_file(F.col("file"), allow or [], deny or []))
     df = df.where(in_range(F.col("date"), since, before))
     vector, error = None, None
-    ready = embed is not None and "embedding" in chunks.columns
-    if mode in ("auto", "hybrid", "semantic") and ready:
+    ready = False
+    if mode in ("auto", "hybrid", "semantic") and embed is not None and "embedding" in chunks.columns:
+        ready = status(chunks).first()["semantic_ready"]
+    if ready:
         try:
             vector = embed(query)
         except Exception as e:
@@ -225,7 +230,10 @@ def search(spark: SparkSession, chunks: DataFrame, query: str, *, embed: Callabl
     mode, warnings = mode_of(mode, ready, error)
     lists = []
     if mode in ("bm25", "hybrid"):
-        scores = bm25(df, query, id_col="chunk_id", fields=fields or {"title": 3.0, "heading": 2.0, "text": 1.0})
+        if index is not None:
+            scores = index.bm25(query, owners=df.select(F.col("file").alias("owner")) if limited else None).select("id", "score")
+        else:
+            scores = bm25(df, query, id_col="chunk_id", fields=fields or {"title": 3.0, "heading": 2.0, "text": 1.0})
         lists.append(ranked(scores, "bm25", candidates))
     if mode in ("semantic", "hybrid"):
         lists.append(ranked(vector_topk(df.where("embedding IS NOT NULL"), vector, candidates, id_col="chunk_id"), "vector", candidates))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 TRIES, TIMEOUT, AT_ONCE = 3, 10.0, 5
-REPORT = "webhook_id string, path string, event string, status int, tries int, error string"
+REPORT = "webhook_id string, path string, event string, status int, tries int, error string, key string"
 
 
 def signature(secret: str, body: bytes) -> str:
@@ -35,10 +35,15 @@ def public_address(url: str, resolve: Callable = socket.getaddrinfo) -> bool:
     return bool(plain) and all((a.ipv4_mapped or a if a.version == 6 else a).is_global for a in plain)
 
 
-def send(transport: Callable[[str, bytes, dict, float], int], url: str, body: bytes, headers: dict, tries: int = TRIES, sleep: Callable[[float], None] = time.sleep) -> tuple[int | None, int, str | None]:
-    """``(status, tries, error)``: network failures, 429 and 5xx are tried again after 1, 2, ... seconds; other answers are final."""
+def send(transport: Callable[[str, bytes, dict, float], int], url: str, body: bytes, headers: dict, tries: int = TRIES, sleep: Callable[[float], None] = time.sleep, guard: Callable[[str], bool] | None = None) -> tuple[int | None, int, str | None]:
+    """``(status, tries, error)``: network failures, 429 and 5xx are tried again after 1, 2, ... seconds; other answers are final.
+
+    ``guard`` tests the address before each attempt, since what a name stands for may change between them.
+    """
     status, error = None, None
     for turn in range(1, tries + 1):
+        if guard and not guard(url):
+            return None, turn - 1, "address refused"
         try:
             status, error = transport(url, body, headers, TIMEOUT), None
         except Exception as e:
@@ -54,6 +59,7 @@ def deliver(matched: DataFrame, transport: Callable, at_once: int = AT_ONCE, tri
     """Send every row of ``matched`` (see ``webhooks.match``); ``at_once`` partitions bound what is in flight.
 
     ``guard`` (such as :func:`public_address`) tests each address just before it is used.
+    A ``key`` of the rows is handed on.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,9 +71,8 @@ def deliver(matched: DataFrame, transport: Callable, at_once: int = AT_ONCE, tri
                     payload["body"] = r.body
                 body = json.dumps(payload, ensure_ascii=False).encode()
                 headers = {"Content-Type": "application/json"} | ({"X-Signature": signature(r.secret, body)} if r.secret else {})
-                sent = (None, 0, "address refused") if guard and not guard(r.url) else send(transport, r.url, body, headers, tries, sleep)
-                rows.append((r.webhook_id, r.path, r.event, *sent))
-            yield pd.DataFrame(rows, columns=["webhook_id", "path", "event", "status", "tries", "error"]).astype({"status": "Int32", "tries": "int32"})
+                rows.append((r.webhook_id, r.path, r.event, *send(transport, r.url, body, headers, tries, sleep, guard), getattr(r, "key", None)))
+            yield pd.DataFrame(rows, columns=["webhook_id", "path", "event", "status", "tries", "error", "key"]).astype({"status": "Int32", "tries": "int32"})
 
     return matched.repartition(at_once).mapInPandas(work, REPORT)
 

@@ -1,4 +1,8 @@
+import json
+import random
+import re
 import time
+from collections import Counter
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
@@ -94,6 +98,96 @@ def test_delivery_checks_the_address(spark):
     assert deliver.deliver(matched, lambda *x: 200, guard=lambda url: False).first().error == "address refused"
 
 
+def test_vectors_follow_their_content(spark, tmp_path):
+    """Moved over two batches, copied to another bucket, put back after a removal: nothing is embedded twice; what nothing refers to goes."""
+    store, asked = pipeline.Store(spark, str(tmp_path / "s"), buckets=16), tmp_path / "asked"
+    asked.mkdir()
+
+    def embedder(texts):
+        for t in texts:
+            (asked / f"{time.time_ns()}").write_text(t)
+        return [[float(len(t))] for t in texts]
+
+    count = lambda: len(list(asked.iterdir()))
+    got = lambda: {r.file_path: (r.embed_model, r.embedding) for r in store.table("chunks").collect()}
+    note = lambda event, path, title, text, seq: (event, path, f"---\ntitle: {title}\n---\n{text}" if text else None, "2026-01-01", seq)
+    run = lambda rows, turn: pipeline.batch(store, events(spark, rows), turn, model="m")
+    run([note("add", "a.md", "A", "same text", 1), note("add", "b.md", "B", "other", 1), note("add", "c.md", "A", "same text", 1)], 0)
+    pipeline.embed(store, embedder, "m", 1)
+    assert count() == 2 and got() == {"a.md": ("m", [9.0]), "b.md": ("m", [5.0]), "c.md": ("m", [9.0])}
+    run([note("unlink", "a.md", "", None, 1), note("unlink", "c.md", "", None, 1)], 2)
+    run([note("add", "deep/a.md", "A", "same text", 1), note("add", "copy.md", "B", "other", 1)], 3)
+    run([note("add", "deep/a.md", "A", "same text", 1), note("add", "copy.md", "B", "other", 1)], 3)  # a repeated batch
+    assert got() == {"deep/a.md": ("m", [9.0]), "b.md": ("m", [5.0]), "copy.md": ("m", [5.0])}
+    pipeline.embed(store, embedder, "m", 4)
+    assert count() == 2 and {r.n for r in pipeline.references(store).collect()} == {1, 2}
+    run([note("unlink", "deep/a.md", "", None, 1)], 5)
+    pipeline.forget(store, 6)
+    assert store.table("vectors").count() == 1 and len(got()) == 2
+
+
+def test_batches_match_rules_and_send_once(spark, tmp_path):
+    store, sent = pipeline.Store(spark, str(tmp_path / "s"), buckets=4), tmp_path / "sent"
+    sent.mkdir()
+
+    def transport(url, body, headers, timeout):
+        (sent / f"{time.time_ns()}").write_text(url + " " + body.decode())
+        return 200
+
+    rules = webhooks.create(webhooks.empty(spark), "https://hooks.example.com/a", "2026-01-01", key="a", folder="in", frontmatter={"kind": "x"})
+    rules = webhooks.create(rules, "https://hooks.example.com/b", "2026-01-01", key="b", events=["unlink"])
+    new = [("add", "in/1.md", "---\nkind: x\n---\n", "2026-01-01", 1), ("add", "in/2.md", "---\nkind: y\n---\n", "2026-01-01", 1), ("add", "out/3.md", "---\nkind: x\n---\n", "2026-01-01", 1)]
+    gone = [("unlink", "in/1.md", None, "2026-01-02", 2)]
+    seen = []
+    for turn, rows in ((0, new), (0, new), (1, gone), (1, gone)):
+        pipeline.batch(store, events(spark, rows), turn, rules, transport, report=lambda df: seen.append(sorted((r.webhook_id, r.path, r.event, r.status) for r in df.collect())), guard=None)
+    assert seen == [[("a", "in/1.md", "add", 200)]] * 2 + [[("a", "in/1.md", "unlink", 200), ("b", "in/1.md", "unlink", 200)]] * 2
+    assert len(list(sent.iterdir())) == 3  # the removed note was matched by its last front matter, and nothing was sent twice
+    pipeline.batch(store, events(spark, [("add", "in/9.md", "---\nkind: x\n---\n", "2026-01-03", 3)]), 2, rules, transport, guard=lambda url: False)
+    assert [r.error for r in store.sent(2).collect()] == ["address refused"] and len(list(sent.iterdir())) == 3
+
+
+def test_the_address_is_checked_before_each_attempt():
+    answers = iter([True, False])
+    assert deliver.send(lambda *x: 500, "https://x.example/", b"", {}, 3, lambda s: None, lambda url: next(answers)) == (None, 1, "address refused")
+
+
+def test_many_rules_against_plain_tests(spark):
+    """Rules of every shape, as a table, against a test of each rule and event."""
+    folders = ["", "a", "/a/b/", "a/*", "*/b", "**", "a/**/c", "a?", "**/d", "x.y", "a/b*", "***/c", "a\\b", "[a]", "b"]
+    fms = [{}, {"k": "1"}, {"k": "2", "t": "u"}, {"none": ""}, {"t": "v"}, {"d": "true"}]
+    rng = random.Random(2)
+    rows = [(f"r{i}", i % 9 > 0, f"https://h.example/{i}", "", rng.choice(folders), rng.choice(fms), rng.choice([{}, {}, {"k": "1"}, {"t": "u"}, {"none": ""}]), rng.choice([None, [], ["add"], ["change", "unlink"]]), None, i % 2 == 0) for i in range(300)]
+    schema = "id string, enabled boolean, url string, name string, folder string, frontmatter map<string,string>, frontmatter_not map<string,string>, events array<string>, secret string, include_body boolean"
+    rules = spark.createDataFrame(rows, schema)
+    paths = ["a/1.md", "a/b/2.md", "a/b/c/3.md", "4.md", "b/5.md", "ab/6.md", "x.y/7.md", "q/b/d/8.md", "a/x/y/c/9.md", "[a]/10.md", "xzy/11.md"]
+    jsons = ["{}", '{"k":1}', '{"k":"2","t":["u","v"]}', '{"t":"u","d":true,"o":{"k":1}}', "not json", '{"k":null,"t":[]}', '{"k":["1","2"]}']
+    ev = [(rng.choice(["add", "change", "unlink"]), p, j, "2026-01-01", f"{p} {j}") for p in paths for j in jsons]
+    df = spark.createDataFrame(ev, "event string, path string, frontmatter string, ts string, content string")
+    got = sorted((r.event, r.path, r.frontmatter, r.webhook_id, r.body) for r in webhooks.match(df, rules).collect())
+
+    def values(j, k):
+        try:
+            v = json.loads(j).get(k)
+        except ValueError:
+            v = None
+        return ["" if v is None else v if isinstance(v, str) else json.dumps(v)] if not isinstance(v, list) else v
+
+    want = []
+    for e, p, j, _, c in ev:
+        for i, on, _, _, folder, fm, fm_not, kinds, _, whole in rows:
+            if on and e in (kinds or webhooks.EVENTS) and re.fullmatch(python_glob(folder), p) and all(v in values(j, k) for k, v in fm.items()) and not any(v in values(j, k) for k, v in fm_not.items()):
+                want.append((e, p, j, i, c if whole else None))
+    assert got == sorted(want, key=lambda x: tuple(map(str, x))) or Counter(got) == Counter(want)
+
+
+def python_glob(folder):
+    folder = folder.strip().replace("\\", "/").strip("/")
+    folder = folder if "**" in folder else f"{folder}/**" if folder else "**"
+    wild = {"**/": ".*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "".join(wild.get(x, re.escape(x)) for x in re.split(r"(\*\*/?|[*?])", folder))
+
+
 def test_health():
     h = pipeline.Health()
     h.onQueryStarted(None)
