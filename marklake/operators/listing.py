@@ -39,6 +39,11 @@ def in_range(date: Column, since: str | None, before: str | None) -> Column:
     return date.isNull() | inside
 
 
+def reader_order(name: Column) -> Column:
+    """Sort key of names as readers look them up: letters first, then accents, then case."""
+    return F.collate(name, "UNICODE")
+
+
 def list_files(files: DataFrame, *, path: str | None = None, since: str | None = None, before: str | None = None, allow: list[str] | None = None, deny: list[str] | None = None, **fields: str) -> DataFrame:
     """``path, frontmatter, date``: dated notes first, newest first, then by path.
 
@@ -53,7 +58,7 @@ def list_files(files: DataFrame, *, path: str | None = None, since: str | None =
         df = df.where(fm_text(F.col("frontmatter"), key) == value)
     date = F.coalesce(T.day_of(F.nullif(F.get_json_object("frontmatter", "$.created"), F.lit(""))), T.name_date(F.col("path"), whole_path=True))
     df = df.select("path", "frontmatter", date.alias("date")).where(in_range(F.col("date"), since, before))
-    return df.orderBy(F.col("date").desc_nulls_last(), "path")
+    return df.orderBy(F.col("date").desc_nulls_last(), reader_order(F.col("path")), "path")
 
 
 def directory(paths: DataFrame, folder: str = "", allow: list[str] | None = None, deny: list[str] | None = None) -> DataFrame:
@@ -64,12 +69,12 @@ def directory(paths: DataFrame, folder: str = "", allow: list[str] | None = None
     if allow or deny:
         full = F.concat(F.lit(prefix), F.col("name"))
         child = child.where(F.when(F.col("type") == "directory", P.can_access_path(full, allow or [], deny or [])).otherwise(P.can_access_file(full, allow or [], deny or [])))
-    return child.orderBy("type", "name")
+    return child.orderBy("type", reader_order(F.col("name")), "name")
 
 
 def projects(paths: DataFrame, root: str = "20_Projects/Pro") -> DataFrame:
     """Names of the folders directly below ``root``."""
-    return directory(paths, root).where("type = 'directory'").select("name").orderBy("name")
+    return directory(paths, root).where("type = 'directory'").select("name").orderBy(reader_order(F.col("name")), "name")
 
 
 def read(notes: DataFrame, path: str, links: bool = False) -> DataFrame:

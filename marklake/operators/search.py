@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +114,58 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int, *, id_col: str =
     return vectors.select(F.col(id_col).alias("id"), cosine(F.col(vec_col), q).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def _blocks(vectors: DataFrame, count: int, id_col: str, vec_col: str) -> DataFrame:
+    """``block, n, ids, matrix``: unit vectors (float64) in ``count`` blocks by hash of the id; null, zero and non-finite vectors are left out."""
+    kind = dict(vectors.dtypes)[id_col]
+
+    def pack(key, table):
+        found = table.column("v").combine_chunks()
+        flat = found.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        sizes = np.diff(found.offsets.to_numpy())
+        width = int(sizes.max(initial=0))
+        good = np.flatnonzero((sizes == width) & (width > 0))
+        matrix = flat.reshape(-1, width) if len(good) == len(sizes) else np.stack([np.resize(found[int(i)].values.to_numpy(zero_copy_only=False), width) for i in good]) if len(good) else np.zeros((0, 0))
+        norm = np.linalg.norm(matrix, axis=1)
+        whole = np.isfinite(norm) & (norm > 0)
+        ids = table.column("id").combine_chunks().take(pa.array(good[whole]))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids.to_pylist()], pa.list_(table.schema.field("id").type)), "matrix": pa.array([(matrix[whole] / norm[whole, None]).tobytes()], pa.binary())})
+
+    rows = vectors.where(F.col(vec_col).isNotNull() & ~F.exists(vec_col, lambda x: x.isNull())).select(F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int").alias("block"), F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    return rows.groupBy("block").applyInArrow(pack, f"block int, ids array<{kind}>, matrix binary")
+
+
+def vector_topk_batch(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096, rows: tuple[int, int] | None = None) -> DataFrame:
+    """``query, id, score, rank``: the ``k`` nearest vectors of every query, itself included, ties by id.
+
+    Both sides are cut into blocks of about ``block`` vectors.  A pair of blocks is one
+    matrix product in one task, of which each query's ``k`` best are kept; those of all
+    pairs are merged by query.  ``rows`` are the numbers of queries and vectors, if known.
+    """
+    n_queries, n_vectors = rows or (queries.count(), vectors.count())
+    left, right = max(1, -(-n_queries // block)), max(1, -(-n_vectors // block))
+    a = _blocks(queries, left, id_col, vec_col).select(F.col("ids").alias("queries"), F.col("matrix").alias("left"), F.explode(F.sequence(F.lit(0), F.lit(right - 1))).alias("block"))
+    b = _blocks(vectors, right, id_col, vec_col)
+    kind = dict(vectors.dtypes)[id_col]
+
+    def product(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                x = np.frombuffer(r["left"]).reshape(len(r["queries"]), -1)
+                y = np.frombuffer(r["matrix"]).reshape(len(r["ids"]), -1)
+                if not len(x) or not len(y) or x.shape[1] != y.shape[1]:
+                    continue
+                ids = np.array(r["ids"])
+                order = np.argsort(ids, kind="stable")
+                ids, y = ids[order], y[order]
+                score = np.round(x @ y.T, 9)  # so that equal vectors tie, in whatever block they are
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(r["queries"]), best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(score, best, axis=1).ravel())], ["query", "id", "score"])
+
+    met = a.join(b, "block").repartition(left * right, F.xxhash64("queries", "block")).mapInArrow(product, f"query {kind}, id {kind}, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def ranked(scores: DataFrame, name: str, k: int) -> DataFrame:
     """The ``k`` best of ``scores (id, score)`` with their 1-based ``rank`` in list ``name``."""
     best = scores.orderBy(F.desc("score"), "id").limit(k)
@@ -185,13 +239,17 @@ def rerank(candidates: list[dict], query: str, scorer: Callable | None, *, wante
 
 
 def rerank_table(candidates: DataFrame, scores: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """``candidates (file, rank, ...)`` with ``bucket`` and ``place``: scored ones by ``scores (file, rerank)``, then unscored ones in their order, then those withheld."""
+    """``candidates (file, rank, ...)`` with ``bucket`` and ``place``: scored ones by ``scores (file, rerank)``, then unscored ones in their order, then those withheld.
+
+    Candidates of one search are few.  With a column ``query`` there are those of many searches, each placed by itself.
+    """
+    each = ["query"] if "query" in candidates.columns else []
     hidden = F.lit(False)
     for p in exclude:
         hidden = hidden | (F.col("file") == p) | F.startswith("file", F.lit(p.rstrip("/") + "/"))
-    df = candidates.join(scores, "file", "left").withColumn("bucket", F.when(hidden, 2).when(F.col("rerank").isNull(), 1).otherwise(0))
+    df = candidates.join(scores, [*each, "file"], "left").withColumn("bucket", F.when(hidden, 2).when(F.col("rerank").isNull(), 1).otherwise(0))
     shown = F.when(F.col("bucket") == 0, F.col("rerank"))
-    return df.withColumn("place", F.row_number().over(Window.orderBy("bucket", shown.desc_nulls_last(), "rank")))
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*each).orderBy("bucket", shown.desc_nulls_last(), "rank")))
 
 
 def mode_of(wanted: str, ready: bool, provider_error: str | None = None) -> tuple[str, list[str]]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from py4j.java_gateway import is_instance_of
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +39,67 @@ def translate(sql: str) -> str:
     return _outside_strings(sql, lambda s: re.sub(r"\bgroup_concat\s*\(", "string_agg(", s, flags=re.I))
 
 
-def check(spark: SparkSession, sql: str, allow_with: bool = False) -> None:
-    """Refuse everything but one SELECT (or, if allowed, WITH): the first word and the parsed plan are both tested."""
+# What a query may be made of.  Anything that the parser gives another name is refused.
+PLANS = """Project Filter Aggregate UnresolvedHaving Sort GlobalLimit LocalLimit Offset Join LateralJoin SubqueryAlias UnresolvedSubqueryColumnAliases
+Union Except Intersect Distinct WithWindowDefinition UnresolvedWith UnresolvedInlineTable OneRowRelation LocalRelation UnresolvedRelation UnresolvedTableValuedFunction
+UnresolvedTVFAliases Generate Window Pivot Unpivot""".split()
+FUNCTIONS = """abs acos any any_value approx_count_distinct array array_agg array_contains array_distinct array_join array_max array_min array_sort asin atan atan2 avg
+bool_and bool_or btrim cast ceil ceiling char char_length character_length chr coalesce collect_list collect_set concat concat_ws contains corr cos count count_if
+cume_dist curdate current_date current_timestamp date date_add date_diff date_format date_from_unix_date date_part date_sub date_trunc datediff day dayname dayofmonth
+dayofweek dayofyear dense_rank element_at endswith every exp explode explode_outer extract filter first first_value flatten floor from_unixtime get get_json_object
+greatest group_concat hour if ifnull in initcap instr isnan isnotnull isnull json_array_length json_object_keys lag last last_day last_value lcase lead least left length
+levenshtein like listagg ln locate log log10 log2 lower lpad ltrim make_date max max_by md5 mean median min min_by minute mod mode month months_between named_struct
+next_day not now nth_value ntile nullif nullifzero nvl nvl2 overlay parse_json percent_rank percentile percentile_approx pi posexplode position pow power quarter radians rank regexp
+regexp_count regexp_extract regexp_extract_all regexp_instr regexp_like regexp_replace regexp_substr repeat replace reverse right rlike round row_number rpad rtrim second
+sequence sha2 sign sin size some sort_array split split_part sqrt startswith std stddev stddev_pop stddev_samp string_agg struct substr substring substring_index sum tan
+to_char to_date to_json to_timestamp transform translate trim trunc try_add try_cast try_divide try_element_at try_parse_json try_subtract try_to_number try_to_timestamp
+try_variant_get typeof ucase unix_timestamp upper var_pop var_samp variance variant_get weekday weekofyear when year zeroifnull add_months current_timezone""".split()
+
+
+def _each(seq):
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+def _walk(node, plans: list, functions: list, relations: list, names: set) -> None:
+    """Collect what a parsed plan is made of, subqueries and named queries included."""
+    kind = node.getClass().getSimpleName()
+    plans.append(kind)
+    if kind == "UnresolvedRelation":
+        relations.append([str(p) for p in _each(node.multipartIdentifier())])
+    if kind == "UnresolvedTableValuedFunction":
+        functions.append(".".join(str(p) for p in _each(node.name())).lower())
+    if kind == "UnresolvedWith":
+        names.update(str(r._1()).lower() for r in _each(node.cteRelations()))
+        for r in _each(node.cteRelations()):
+            _walk(r._2(), plans, functions, relations, names)
+    for child in _each(node.children()):
+        _walk(child, plans, functions, relations, names)
+    for e in _each(node.expressions()):
+        _walk_expression(e, plans, functions, relations, names)
+
+
+def _walk_expression(e, plans: list, functions: list, relations: list, names: set) -> None:
+    kind = e.getClass().getSimpleName()
+    if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+        parts = [str(p) for p in _each(e.nameParts())] if kind == "UnresolvedFunction" else [e.name().unquotedString()]
+        functions.append(".".join(parts).lower())
+    elif "Invoke" in kind or "Reflect" in kind or "IdentifierClause" in kind or kind == "ExpressionWithUnresolvedIdentifier":
+        functions.append(kind)
+    if is_instance_of(SparkContext._gateway, e, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+        _walk(e.plan(), plans, functions, relations, names)
+    for child in _each(e.children()):
+        _walk_expression(child, plans, functions, relations, names)
+
+
+def check(spark: SparkSession, sql: str, allow_with: bool = False, views: tuple[str, ...] | None = None, functions: tuple[str, ...] = ()) -> None:
+    """Refuse everything but one SELECT (or, if allowed, WITH) over the given ``views`` and listed functions.
+
+    The parsed plan is walked, subqueries and named queries included: its operators must be
+    those of a query, its relations given views or queries named in it (never files or other
+    catalogs), its functions among :data:`FUNCTIONS` and ``functions``.
+    """
     first = re.match(r"\s*(select|with)\b", sql, re.I)
     if not first or (first[1].upper() == "WITH" and not allow_with):
         raise Refused("only SELECT is allowed")
@@ -46,9 +107,19 @@ def check(spark: SparkSession, sql: str, allow_with: bool = False) -> None:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise Refused(str(e).split("\n")[0]) from None
-    name = plan.getClass().getSimpleName()
-    if re.search("Command|Insert|Create|Drop|Alter|Delete|Update|Merge|Truncate|Set[A-Z]|Cache|Load", name):
-        raise Refused(f"not a query: {name}")
+    plans, called, relations, names = [], [], [], set()
+    _walk(plan, plans, called, relations, names)
+    for kind in plans:
+        if kind not in PLANS:
+            raise Refused(f"not a query: {kind}")
+    for name in called:
+        if name not in FUNCTIONS and name not in functions:
+            raise Refused(f"function not allowed: {name}")
+    if views is not None:
+        known = {v.lower() for v in views} | names
+        for parts in relations:
+            if len(parts) != 1 or parts[0].lower() not in known:
+                raise Refused(f"unknown table: {'.'.join(parts)}")
 
 
 def query(spark: SparkSession, views: dict[str, DataFrame], sql: str, *, allow_with: bool = False, restricted: bool = False) -> DataFrame:
@@ -60,8 +131,9 @@ def query(spark: SparkSession, views: dict[str, DataFrame], sql: str, *, allow_w
         raise Refused("not available to callers with path limits")
     own = spark.newSession()
     own.conf.set("spark.sql.ansi.enabled", "false")
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
     text = translate(sql)
-    check(own, text, allow_with)
+    check(own, text, allow_with, tuple(views))
     for name, df in views.items():
         # the same plan, bound to the other session
         plan = df._jdf.queryExecution().analyzed()

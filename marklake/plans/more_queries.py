@@ -16,6 +16,7 @@ from ..schema import TOKENS
 from ..streaming import deliver, pipeline
 from . import gate
 from .queries import NOTES_SQL, WORDS, _query, _table, notes
+from .sample import letter_vectors
 
 # ---- notes with headings: short neighbours, a fence, a long section, one paragraph that must be cut ----
 _NOTE = "FROM orders WHERE o_orderkey % 10 = 1"
@@ -71,11 +72,6 @@ def embed_reuse(spark, sf_dir):
     return sections.reuse(new, old, "m").select("chunk_id", "embed_model", F.col("embedding")[0].cast("int").alias("first"))
 
 
-def letter_vectors(texts: list[str]) -> list[list[float]]:
-    """Vectors of four letter counts: a stand-in for a model that SQL can follow."""
-    return [[float(len(t))] + [float(t.count(c)) for c in "eix"] for t in texts]
-
-
 _LETTERS = "[length({t})::DOUBLE, (length({t}) - length(replace({t}, 'e', '')))::DOUBLE, (length({t}) - length(replace({t}, 'i', '')))::DOUBLE, (length({t}) - length(replace({t}, 'x', '')))::DOUBLE]"
 
 

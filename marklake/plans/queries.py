@@ -315,4 +315,4 @@ def chunk_documents(spark, sf_dir):
     return sections.chunks(_documents(spark, sf_dir))
 
 
-from . import more_queries  # noqa: E402,F401  it registers its queries with the functions above
+from . import index_queries, more_queries  # noqa: E402,F401  they register their queries with the functions above

@@ -109,14 +109,15 @@ class Store:
         return self.spark.read.schema(REPORT).parquet(at) if self._fs.exists(self._path(at)) else self.spark.createDataFrame([], REPORT)
 
 
-def batch(store: Store, changes: DataFrame, turn: int, rules: DataFrame | None = None, transport: Callable | None = None, report: Callable[[DataFrame], None] | None = None, model: str | None = None, lexical=None, guard: Callable[[str], bool] | None = public_address) -> None:
+def batch(store: Store, changes: DataFrame, turn: int, rules: DataFrame | None = None, transport: Callable | None = None, report: Callable[[DataFrame], None] | None = None, model: str | None = None, lexical=None, guard: Callable[[str], bool] | None = public_address, **sending) -> None:
     """One batch of changes ``(event, path, content, ts[, seq])``; without ``seq`` the time orders them.
 
     Index first for adds and changes; a removed note is matched by its last known
     front matter.  Only the buckets of changed paths are read and written, and of vectors
     those that the new chunks' contents fall into.  ``lexical`` (a ``lexical.LexicalIndex``
     of chunks, owned by their notes) gets the batch as a segment.  What a batch has sent
-    is written to the outbox, and a repeated batch doesn't send it again.
+    is written to the outbox, and a repeated batch doesn't send it again; ``sending`` are
+    further options of :func:`deliver`.
     """
     changes = changes.withColumn("seq", F.struct(F.col("seq") if "seq" in changes.columns else F.lit(0).alias("seq"), "ts"))
     changes = changes.persist()
@@ -144,7 +145,7 @@ def batch(store: Store, changes: DataFrame, turn: int, rules: DataFrame | None =
         key = F.sha2(F.to_json(F.struct(F.lit(turn).alias("turn"), "webhook_id", "path", "event", "ts")).cast("binary"), 256)
         matched = webhooks.match(events, rules).withColumn("key", key).dropDuplicates(["key"])
         due = matched.join(store.sent(turn).select("key"), "key", "left_anti")
-        deliver(due, transport, guard=guard).write.mode("append").parquet(f"{store.root}/outbox/{turn}")
+        deliver(due, transport, guard=guard, **sending).write.mode("append").parquet(f"{store.root}/outbox/{turn}")
         if report:
             report(store.sent(turn))
     finally:

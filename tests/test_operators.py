@@ -315,3 +315,27 @@ def test_payload(spark):
     assert matched.first().body == "body"
     report = deliver.deliver(matched, lambda url, body, headers, timeout: 200 if json.loads(body)["body"] == "body" else 500, sleep=lambda s: None)
     assert report.first().status == 200
+
+
+def test_the_gate_walks_the_plan(spark, tmp_path):
+    (tmp_path / "secret.txt").write_text("hidden")
+    views = {"files": spark.createDataFrame([("A.md", 1)], "path string, n int")}
+    run = lambda q, **k: gate.query(spark, views, q, **k)
+    bad = [
+        f"SELECT * FROM text.`{tmp_path}`", f"SELECT (SELECT max(value) FROM text.`{tmp_path}`) AS v FROM files", f"SELECT * FROM files WHERE path IN (SELECT value FROM text.`{tmp_path}`)",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.name')", "SELECT java_method('java.lang.System', 'exit', 1) FROM files", "SELECT path FROM files ORDER BY try_reflect('a', 'b')",
+        "SELECT * FROM other", "SELECT * FROM spark_catalog.default.files", "SELECT * FROM range(10)", "SELECT * FROM files, LATERAL explode(array(input_file_name()))", "SELECT count(*) FILTER (WHERE reflect('a', 'b') = 'x') FROM files",
+        "SELECT EXISTS (SELECT 1 FROM csv.`/etc/passwd`) FROM files", "SELECT path FROM IDENTIFIER('files')", "SELECT session_user()", "SELECT 1; DROP TABLE files",
+    ]
+    for q in bad:
+        with pytest.raises(gate.Refused):
+            run(q)
+    with pytest.raises(gate.Refused):
+        run("WITH files AS (SELECT * FROM parquet.`/x`) SELECT * FROM files", allow_with=True)
+    good = {
+        "SELECT path FROM files WHERE n IN (SELECT max(n) FROM files) AND EXISTS (SELECT 1 FROM files f WHERE f.n = 1)": 1, "SELECT * FROM (VALUES (1), (2)) AS t(a)": 2, "SELECT upper(path) AS p, count(*) AS c FROM files GROUP BY 1 HAVING count(*) > 0 ORDER BY 1 LIMIT 5": 1,
+        "SELECT a.path, row_number() OVER (PARTITION BY a.n ORDER BY a.path) AS r FROM files a LEFT JOIN files b ON a.n = b.n UNION ALL SELECT 'x', 2": 2, "SELECT x FROM files LATERAL VIEW explode(split(path, '[.]')) t AS x": 2, "SELECT CASE WHEN n > 0 THEN trim(path) ELSE coalesce(NULL, 'b') END AS c, date('now') AS d FROM files": 1,
+    }
+    for q, n in good.items():
+        assert run(q).count() == n
+    assert run("WITH x AS (SELECT n FROM files) SELECT * FROM x JOIN files USING (n)", allow_with=True).count() == 1
