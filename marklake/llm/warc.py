@@ -65,21 +65,22 @@ def _base32(raw: bytes) -> str:
     return "sha1:" + base64.b32encode(raw).decode()
 
 
-def record_id(page_id, url, digest: bytes) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}\n{url}\n{digest.hex()}')}>"
+def record_id(page_id, url, digest: bytes, again: str = "") -> str:
+    """Id of a record by what it holds; ``again`` tells repeated rows apart."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}\n{url}\n{digest.hex()}' + (f'\n{again}' if again else ''))}>"
 
 
 def _uri(url: str) -> str:
     return quote(url, safe=":/?#[]@!$&'()*+,;=%~")
 
 
-def record(page_id, url, payload: bytes, digest: bytes, size: int, refers_to, date: str, level: int, refers_url=None) -> bytes:
+def record(page_id, url, payload: bytes, digest: bytes, size: int, refers_to, date: str, level: int, refers_url=None, again: str = "") -> bytes:
     """One gzip member: a response, or a revisit that leaves the payload out and names the response with it."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(page_id, url, digest)),
+        ("WARC-Record-ID", record_id(page_id, url, digest, again)),
         ("WARC-Date", date),
         ("Content-Type", "application/http;msgtype=response"),
         ("WARC-Payload-Digest", _base32(digest)),
@@ -152,10 +153,11 @@ def write(spark: SparkSession, pages: DataFrame, out: str, *, id_col: str = "pag
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("n", F.octet_length("payload").cast("long"))
     facts = ws.save(rows.select("id", "digest", "n", "url"), "facts")
-    large = facts.where((F.col("n") >= min_revisit) & F.col("id").isNotNull())
-    keepers = large.groupBy("digest").agg(F.max(F.struct("id", "url")).alias("keeper"), F.min("id").alias("least")).where("keeper.id > least").select("digest", "keeper")
+    large = facts.where(F.col("n") >= min_revisit)
+    # nulls sort first: a payload that only rows without an id hold has no keeper
+    keepers = large.groupBy("digest").agg(F.max(F.struct("id", "url")).alias("keeper"), F.min(F.struct("id")).alias("least")).where("keeper.id IS NOT NULL AND NOT (keeper.id <=> least.id)").select("digest", "keeper")
     # id and digest name a record; the row that bears its reference sorts just before it
-    refers = large.select("id", "digest").join(keepers, "digest").where("id <> keeper.id").select("id", "digest", F.col("keeper.id").alias("refers_to"), F.col("keeper.url").alias("refers_url")).distinct()
+    refers = large.select("id", "digest").join(keepers, "digest").where("NOT (id <=> keeper.id)").select("id", "digest", F.col("keeper.id").alias("refers_to"), F.col("keeper.url").alias("refers_url")).distinct()
 
     found, shards = _shards(ws, facts, shard_bytes)
     sharding = spark.sparkContext.broadcast(found)
@@ -206,9 +208,11 @@ def write(spark: SparkSession, pages: DataFrame, out: str, *, id_col: str = "pag
             info["hash"].update(member)
             info["bytes"] += len(member)
 
-        part = 0
+        part, last, times = 0, None, 0
+        heavy = sharding.value.heavy
         for batch in batches:
             names = batch.schema.names
+            keys = _keys(batch.column(names.index("id")), batch.column(names.index("digest"))).tolist() if heavy else []
             cols = {c: batch.column(names.index(c)) for c in names}
             for i in range(batch.num_rows):
                 digest = cols["digest"][i].as_py()
@@ -230,7 +234,12 @@ def write(spark: SparkSession, pages: DataFrame, out: str, *, id_col: str = "pag
                     put(_member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n", level))
                 payload = cols["payload"][i].as_buffer().to_pybytes()
                 target, its_url = refers[2:] if refers is not None and refers[:2] == (page_id, digest) else (None, None)
-                put(record(page_id, cols["url"][i].as_py(), payload, digest, len(payload), target, date, level, its_url))
+                url = cols["url"][i].as_py()
+                times = times + 1 if last == (number, page_id, digest, url) else 0
+                last = (number, page_id, digest, url)
+                first = heavy.get(keys[i], (number,))[0] if heavy else number
+                again = f"{number}.{times}" if times or number != first else ""  # repeated rows follow each other, those of a heavy key in several shards
+                put(record(page_id, url, payload, digest, len(payload), target, date, level, its_url, again))
                 info["records"] += 1
         if sink is not None:
             yield close()

@@ -26,7 +26,7 @@ def test_round_trip(spark, tmp_path):
     want = []
     for i, _, t in rows:
         b = (t or "").encode()
-        refers = largest[t] if i is not None and len(b) >= 1000 and largest[t] != i else None
+        refers = largest.get(t) if len(b) >= 1000 and largest.get(t) != i else None
         want.append((str(i), len(b), hashlib.sha1(b).hexdigest(), "response" if refers is None else "revisit", str(refers)))
     assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in out) == sorted(want)
     text = {(i, (t or "").encode()) for i, _, t in rows}
@@ -68,6 +68,20 @@ def test_revisit_headers(spark, tmp_path):
     assert (heads["revisit"]["WARC-Refers-To-Target-URI"], heads["revisit"]["WARC-Refers-To-Date"]) == ("http://x/2", warc.DATE)
 
 
+def test_record_ids_are_unique(spark, tmp_path):
+    """Rows equal in all, in one shard and in many; rows without an id revisit the largest one, if any has one."""
+    rows = [(1, "u", "a" * 2000)] * 3 + [(2, "u", "b" * 3000)] * 40 + [(None, "u", "a" * 2000)] * 2 + [(None, None, "c" * 1500)] * 2 + [(3, "u", "d")] * 2
+    at = f"file://{tmp_path}/i"
+    names = [r.name for r in warc.write(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), at, shard_bytes=20_000).collect()]
+    ids = []
+    for name in names:
+        with open(f"{tmp_path}/i/{name}", "rb") as f:
+            ids += [warc.parse(raw)[0]["WARC-Record-ID"] for raw in warc.members(f)]
+    assert len(ids) == len(set(ids)) == len(rows) + len(names)
+    kinds = sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in warc.read(spark, at).collect() if r.page_id is None)
+    assert kinds == [("None", 1500, "response", "None")] * 2 + [("None", 2000, "revisit", "1")] * 2
+
+
 def test_empty_archive(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(spark, df, f"file://{tmp_path}/e")
