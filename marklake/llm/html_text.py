@@ -44,6 +44,7 @@ STEP_CELLS = 1 << 16  # leaves, with padding, that the network reads at once
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())  # what HTML reads as mere text up to the end tag
+SHOWN = "xmp"  # the one of them whose text a page shows, as it stands; read like ``pre``
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img noscript object canvas svg tspan math semantics annotation mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_OWN = {"li": (("li",),), "dt": (("dt", "dd"),), "dd": (("dt", "dd"),), "tr": (("tr", "td", "th"),), "td": (("td", "th"),), "th": (("td", "th"),), "option": (("option",),), "optgroup": (("option",), ("optgroup",))}
@@ -187,6 +188,12 @@ class Stack:
             self.pop_to(at)
 
 
+def _raw_stop(page: str, tag: str, at: int, end: int) -> int:
+    """Where the mere text ends that lies before ``end``: at the end tag, if there is one."""
+    found = page.rfind("<", at, end)
+    return found if found >= 0 and page[found + 1 : found + 2 + len(tag)].lower() == f"/{tag}" else end
+
+
 def leaves(page: str) -> list[tuple[str, Node, int, int]]:
     """``(text, path, characters inside links, depth)`` of every leaf block with text."""
     out: list = []
@@ -203,13 +210,13 @@ def leaves(page: str) -> list[tuple[str, Node, int, int]]:
                 out.append((text, where, linked, 0 if where is ROOT else where.depth))
             pieces, where, linked = [], None, 0
 
-    def put(raw: str):
+    def put(raw: str, plain: bool = False):
         nonlocal where, linked
         if where is None:
             if not raw.strip():
                 return
             where = stack.nodes[-1] if stack.nodes else ROOT
-        s = html.unescape(raw) if "&" in raw else raw
+        s = html.unescape(raw) if "&" in raw and not plain else raw
         pieces.append(s)
         if stack.where["a"]:
             linked += len(s)
@@ -228,7 +235,15 @@ def leaves(page: str) -> list[tuple[str, Node, int, int]]:
             continue
         if not ends and tag in RAW:
             if not (attributes.endswith("/") and (stack.where["svg"] or stack.where["math"])):
-                at = marks.raw_end(tag, at)
+                stop = marks.raw_end(tag, at)
+                if tag == SHOWN:
+                    flush()
+                    stack.close_within("p")
+                    stack.push("pre", path_ids("pre", attributes))
+                    put(page[at : _raw_stop(page, tag, at, stop)], plain=True)
+                    flush()
+                    stack.close("pre")
+                at = stop
             continue
         if tag not in INLINE:
             flush()

@@ -411,3 +411,8 @@ def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (3, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     out = html_text.extract(spark, df).collect()
     assert len(out) == 4 and all(r.n_chars == len(r.text) for r in out) and html_text.extract(spark, df.limit(0)).count() == 0
+
+
+def test_html_shows_xmp_as_it_stands():
+    page = "<article><p>one <xmp>code <b>&amp; text</xmp> three<p>four<script>no</script><textarea>no</textarea><XMP class=x>open <i>"
+    assert [x[0] for x in html_text.leaves(page)] == ["one", "code <b>&amp; text", "three", "four", "open <i>"]
