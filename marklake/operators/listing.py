@@ -21,6 +21,18 @@ def page_size(value, default: int = 20, most: int = 100) -> int:
     return min(max(n or default, 1), most)
 
 
+def page_size_of(value: Column, default: int = 20, most: int = 100) -> Column:
+    """The same for a column of free input."""
+    n = F.coalesce(value.cast("string").try_cast("double").try_cast("int"), F.lit(0))
+    return F.least(F.greatest(F.when(n == 0, default).otherwise(n), F.lit(1)), F.lit(most))
+
+
+def batch_error(items: Column, most: int = MAX_BATCH) -> Column:
+    """What is wrong with a list of entries, as :func:`checked_batch` says it; null for a good one."""
+    size = F.coalesce(F.size(items), F.lit(0))
+    return F.when(size <= 0, "a non-empty list is required").when(size > most, f"at most {most} entries are allowed")
+
+
 def checked_batch(items: list, most: int = MAX_BATCH) -> list:
     if not isinstance(items, list) or not items:
         raise ValueError("a non-empty list is required")

@@ -26,6 +26,12 @@ def query_terms(query: str) -> list[tuple[str, bool]]:
     return [(w, len(w) >= 4) for w in dict.fromkeys(words) if len(w) > 1]
 
 
+def terms_of(query: Column) -> Column:
+    """The same as a column of ``(term, prefix)``, for tables of queries."""
+    words = F.filter(F.array_distinct(T.tokens(query)), lambda w: F.length(w) > 1)
+    return F.transform(words, lambda w: F.struct(w.alias("term"), (F.length(w) >= 4).alias("prefix")))
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, term, tf, length``: one pass; counted on the map side per document."""
     words = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("ws"))

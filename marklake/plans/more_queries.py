@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +11,18 @@ from ..functions import udtf
 from ..functions.yaml import json_to_front
 from ..operators import access, comments, edits, index, links, listing, search, sections, tokens, webhooks
 from ..schema import TOKENS
+from ..scratch import Scratch
 from ..streaming import deliver, pipeline
 from . import gate
 from .queries import NOTES_SQL, WORDS, _query, _table, notes
 from .sample import letter_vectors
 
 # ---- notes with headings: short neighbours, a fence, a long section, one paragraph that must be cut ----
-_NOTE = "FROM orders WHERE o_orderkey % 10 = 1"
+_NOTE = "FROM orders"
 _TITLE = "concat('Order ', CAST(o_orderkey AS STRING))"
 _LONG = "concat('All lines of customer ', CAST(o_custkey AS STRING), ' thtion. ', repeat('shipped ertion; ', 20))"
 _FENCED = "concat('```', chr(10), '# no heading', chr(10), '```', chr(10), repeat('attion text ', 25))"
-_RUN = "concat(CAST(o_orderkey AS STRING), repeat('x', 4000))"
+_RUN = "concat(CAST(o_orderkey AS STRING), repeat('x', 2400))"
 _BODY = f"""concat('# ', {_TITLE}, chr(10), chr(10), 'Intro.', chr(10), chr(10), '## Budget', chr(10), chr(10), 'Small part.', chr(10), chr(10),
 '## Lines', chr(10), chr(10), {_LONG}, chr(10), '### Detail', chr(10), {_FENCED}, chr(10), chr(10), '## Run', chr(10), {_RUN})"""
 HEADED_SQL = f"SELECT o_orderkey AS note_id, concat('n/', CAST(o_orderkey AS STRING), '.md') AS path, {_TITLE} AS title, substr(CAST(o_orderdate AS STRING), 1, 10) AS date, {_BODY} AS body {_NOTE}"
@@ -102,7 +101,7 @@ def hybrid_search(spark, sf_dir):
     dated = headed(spark, sf_dir).select(F.col("path").alias("file_path"), "date")
     table = _chunks(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<double>")).withColumn("embed_model", F.lit(None).cast("string"))
     # searches run over a written table of chunks, as an index keeps it
-    chunks = _saved(spark, sections.backfill(table, letter_vectors, "letters"), f"chunks-{zlib.crc32(sf_dir.encode())}")
+    chunks = _saved(spark, sections.backfill(table, letter_vectors, "letters"), "chunks")
     chunks = chunks.join(dated, "file_path").withColumnRenamed("file_path", "file")
     out, mode, _ = search.search(spark, chunks, " ".join(_HYBRID_TERMS), embed=lambda q: letter_vectors([q])[0], since="1995-01-01")
     assert mode == "hybrid"
@@ -127,13 +126,14 @@ def rerank_order(spark, sf_dir):
     return search.rerank_table(df, scores, ("f3",)).select("chunk_id", "file", "bucket", F.col("place").cast("long").alias("place"))
 
 
-_TERMS = "(VALUES ('Réunion BUDGET', 'reunion', true), ('Réunion BUDGET', 'budget', true), ('clé d', 'cle', false), ('Dvořák Übergrößen', 'dvorak', true), ('Dvořák Übergrößen', 'ubergroßen', true))"
+_ASKED = "concat('Réunion ', p_name, ' clé d ', CAST(p_size AS STRING))"
 
 
-@_query(f"SELECT * FROM {_TERMS} AS t(query, term, prefix)")
+@_query(f"SELECT p_partkey, term, length(term) >= 4 AS prefix FROM (SELECT p_partkey, unnest(list_distinct(list_filter({_words_of(_ASKED)}, lambda w: length(w) > 1))) AS term FROM part)")
 def query_terms(spark, sf_dir):
-    rows = [(q, t, p) for q in ("Réunion BUDGET", "clé d", "Dvořák Übergrößen", "!!! ?") for t, p in search.query_terms(q)]
-    return spark.createDataFrame(rows, "query string, term string, prefix boolean")
+    """Terms of a query for every part."""
+    asked = _table(spark, sf_dir, "part").select("p_partkey", F.expr(_ASKED).alias("q"))
+    return asked.select("p_partkey", F.inline(search.terms_of(F.col("q"))))
 
 
 @_query("SELECT p_partkey AS id, 1 AS n FROM part WHERE p_partkey % 2 = 0")
@@ -170,11 +170,14 @@ def dir_files(spark, sf_dir):
     return listing.directory(df.unionByName(extra), "20_Projects/Perso/C7", deny=["20_Projects/Perso/C7/hidden"])
 
 
-@_query("SELECT * FROM (VALUES (0, 'note-1', true, false, 0), (1, 'X', true, true, 2), (2, 'gone', false, false, 0)) AS t(pos, target, \"exists\", is_ambiguous, n)")
+@_query("SELECT pos, target, resolved IS NOT NULL AS \"exists\", resolved FROM (SELECT 0 AS pos, regexp_extract(body, '\\[\\[([^\\]\\n]+)\\]\\]', 1) AS target, (SELECT m.path FROM {NOTES} m WHERE concat('note-', CAST(m.note_id AS STRING)) = regexp_extract(n.body, '\\[\\[([^\\]\\n]+)\\]\\]', 1)) AS resolved FROM (SELECT * FROM {NOTES} ORDER BY note_id LIMIT 1) n UNION ALL SELECT 1, 'no such note', NULL UNION ALL SELECT 2, concat('20_Projects/x/note-', CAST((SELECT max(note_id) FROM {NOTES}) AS STRING)), (SELECT arg_max(path, note_id) FROM {NOTES}))")
 def links_of_text(spark, sf_dir):
-    base = spark.createDataFrame([("a/X.md",), ("b/x.md",), ("c/note-1.md",)], "path string")
-    out = links.of_text(spark, "see [[note-1|one]], [[X#part]] and [[gone]] [[#here]]", base)
-    return out.select("pos", "target", "exists", F.col("ambiguous").isNotNull().alias("is_ambiguous"), F.coalesce(F.size("ambiguous"), F.lit(0)).alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
+    """The links of one text, the first note's with two more, against all notes."""
+    df = notes(spark, sf_dir)
+    one = df.orderBy("note_id").first()["body"]
+    last = df.agg(F.max("note_id")).first()[0]
+    out = links.of_text(spark, f"{one} [[no such note#part|x]] [[#here]] [[20_Projects/x/note-{last}]]", df.select("path"))
+    return out.select("pos", "target", "exists", "resolved")
 
 
 @_query(f"SELECT path AS src, concat('20_Projects/Perso/x/', name) AS resolved, 2 AS n FROM (SELECT path, concat('note-', CAST(note_id AS STRING), '.md') AS name FROM ({NOTES_SQL}) WHERE note_id % 50 = 0)".replace("concat('20_Projects/Perso/x/', name) AS resolved", "least(concat('20_Projects/Perso/x/', name), path) AS resolved"))
@@ -192,15 +195,18 @@ def glob_match(spark, sf_dir):
     return notes(spark, sf_dir).where(F.rlike("path", F.lit(P.glob_regex(" /20_Projects\\*/C1?/**")))).select("path")
 
 
-_CASES = "(VALUES (0, '20_Projects/Pro', true, true), (1, '20_Projects', false, true), (2, '20_Projects/Pro/Secret', false, false), (3, '10_Context', false, false), (4, '20_Projects/Pro/a/../b.md', true, true), (5, '', false, true), (6, '../x', false, false))"
+_PLACES = "['20_Projects/Pro', '20_Projects', '20_Projects/Pro/Secret', '10_Context', '20_Projects/Pro/a/../b', '20_Projects/./Pro/Secret2', '../x'][1 + o_orderkey % 7]"
 
 
-@_query(f"SELECT t.i, t.path, t.file_ok, t.browse_ok, (t.i = 4) AS tree_ok FROM {_CASES} AS t(i, path, file_ok, browse_ok)")
+@_query(f"SELECT o_orderkey, o_orderkey % 7 IN (0, 4, 5) AS file_ok, o_orderkey % 7 IN (0, 4, 5) OR (o_orderkey % 7 = 1 AND o_orderkey % 2 = 0) AS browse_ok, o_orderkey % 7 IN (4, 5) OR (o_orderkey % 7 = 0 AND o_orderkey % 2 > 0) AS tree_ok FROM orders WHERE {_PLACES} IS NOT NULL")
 def access_paths(spark, sf_dir):
-    rows = ["20_Projects/Pro", "20_Projects", "20_Projects/Pro/Secret", "10_Context", "20_Projects/Pro/a/../b.md", "", "../x"]
-    df = spark.createDataFrame(list(enumerate(rows)), "i int, path string")
+    """Files, folders to browse and whole folders, for every order's place."""
+    rows = ["20_Projects/Pro", "20_Projects", "20_Projects/Pro/Secret", "10_Context", "20_Projects/Pro/a/../b", "20_Projects/./Pro/Secret2", "../x"]
+    place = F.element_at(F.array(*[F.lit(r) for r in rows]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    path = F.when(F.col("o_orderkey") % 2 == 0, place).otherwise(F.concat(place, F.lit("/"), F.col("o_orderkey").cast("string")))
+    df = _table(spark, sf_dir, "orders").select("o_orderkey", path.alias("path"))
     allow, deny, p = ["20_Projects/Pro"], ["20_Projects/Pro/Secret"], F.col("path")
-    return df.select("i", "path", P.can_access_file(p, allow, deny).alias("file_ok"), P.can_access_path(p, allow, deny).alias("browse_ok"), P.can_access_tree(p, allow, deny).alias("tree_ok"))
+    return df.select("o_orderkey", P.can_access_file(p, allow, deny).alias("file_ok"), P.can_access_path(p, allow, deny).alias("browse_ok"), P.can_access_tree(p, allow, deny).alias("tree_ok"))
 
 
 @_query("SELECT o_orderkey, o_orderkey % 4 <> 3 AND o_custkey % 2 = 0 AS allowed FROM orders")
@@ -221,10 +227,12 @@ _HOSTS = ["10.1.2.3", "127.0.0.1", "169.254.1.1", "172.16.0.1", "172.32.0.1", "1
 _PUBLIC = {"172.32.0.1", "100.128.0.1", "8.8.8.8", "example.com", "[2001:db8::1]"}
 
 
-@_query("SELECT * FROM (VALUES " + ", ".join(f"('https://{h}/x', {str(h in _PUBLIC).lower()})" for h in _HOSTS) + ", ('http://example.com/', false)) AS t(url, ok)")
+@_query(f"SELECT c_custkey, url, ok FROM (SELECT c_custkey, concat(CASE WHEN c_custkey % 11 = 0 THEN 'http' ELSE 'https' END, '://', {_HOSTS}[1 + c_custkey % {len(_HOSTS)}], '/', CAST(c_custkey AS STRING)) AS url, c_custkey % 11 > 0 AND list_contains({sorted(_PUBLIC)}, {_HOSTS}[1 + c_custkey % {len(_HOSTS)}]) AS ok FROM customer)")
 def url_guard(spark, sf_dir):
-    df = spark.createDataFrame([(f"https://{h}/x",) for h in _HOSTS] + [("http://example.com/",)], "url string")
-    return df.select("url", P.url_allowed(F.col("url")).alias("ok"))
+    """An address for every customer, hosts taking turns."""
+    host = F.element_at(F.array(*[F.lit(h) for h in _HOSTS]), (F.col("c_custkey") % len(_HOSTS) + 1).cast("int"))
+    url = F.concat(F.when(F.col("c_custkey") % 11 == 0, "http").otherwise("https"), F.lit("://"), host, F.lit("/"), F.col("c_custkey").cast("string"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", url.alias("url")).withColumn("ok", P.url_allowed(F.col("url")))
 
 
 @_query("SELECT path, matches FROM (SELECT concat(source, '/2026-0', CAST(1 + doc_id % 9 AS STRING), '-01 ', CAST(doc_id AS STRING), '.md') AS path, trim(list_filter(string_split(text, chr(10)), lambda x: contains(lower(x), 'thtion') AND trim(x) <> '')[1]) AS matches, doc_id % 9 AS m, text, source FROM documents) WHERE contains(lower(text), 'thtion') AND m BETWEEN 2 AND 5 AND source <> 'src1' ORDER BY path LIMIT 50")
@@ -250,10 +258,11 @@ def note_dates(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", T.name_date(name).alias("date"))
 
 
-@_query("SELECT * FROM (VALUES ('2026-02-28', true), ('2026-02-30', false), ('2026-13-01', false), ('2024-02-29', true), ('2026-1-01', false), ('x', false)) AS t(d, ok)")
+@_query("SELECT o_orderkey, d, coalesce(try_cast(d AS DATE) IS NOT NULL AND length(d) = 10, false) AS ok FROM (SELECT o_orderkey, concat(strftime(o_orderdate, '%Y-%m-'), CASE WHEN o_orderkey % 13 = 0 THEN CAST(o_orderkey % 9 AS STRING) ELSE lpad(CAST(o_orderkey % 35 AS STRING), 2, '0') END) AS d FROM orders)")
 def real_dates(spark, sf_dir):
-    df = spark.createDataFrame([(d,) for d in ("2026-02-28", "2026-02-30", "2026-13-01", "2024-02-29", "2026-1-01", "x")], "d string")
-    return df.select("d", T.is_real_date(F.col("d")).alias("ok"))
+    day = F.when(F.col("o_orderkey") % 13 == 0, (F.col("o_orderkey") % 9).cast("string")).otherwise(F.lpad((F.col("o_orderkey") % 35).cast("string"), 2, "0"))
+    df = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.date_format("o_orderdate", "yyyy-MM-"), day).alias("d"))
+    return df.withColumn("ok", T.is_real_date(F.col("d")))
 
 
 @_query(f"SELECT path, concat('note://open?vault=My%20Notes&file=', replace(substr(path, 1, length(path) - 3), '/', '%2F')) AS uri FROM ({NOTES_SQL})")
@@ -273,9 +282,12 @@ def l2_norms(spark, sf_dir):
     return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
 
 
-@_query("SELECT * FROM (VALUES ('null', 20), ('0', 20), ('x', 20), ('-3', 1), ('500', 100), ('7', 7)) AS t(given, size)")
+@_query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 20 WHEN 1 THEN greatest(least(o_orderkey, 100), 1) WHEN 2 THEN 1 ELSE greatest(least(o_custkey // 10, 100), 0) + CASE WHEN o_custkey < 10 THEN 20 ELSE 0 END END::INT AS size FROM orders")
 def page_sizes(spark, sf_dir):
-    return spark.createDataFrame([(str(v).lower() if v is not None else "null", listing.page_size(v)) for v in (None, 0, "x", -3, 500, "7")], "given string, size int")
+    """Page sizes from free input: words, numbers, negative ones and fractions."""
+    key = F.col("o_orderkey")
+    given = F.when(key % 4 == 0, F.when(key % 8 == 0, "many")).when(key % 4 == 1, key.cast("string")).when(key % 4 == 2, F.concat(F.lit("-"), key.cast("string"))).otherwise((F.col("o_custkey") / 10).cast("string"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", listing.page_size_of(given).alias("size"))
 
 
 # ---- changes ----
@@ -311,9 +323,11 @@ def move_to_one_place(spark, sf_dir):
     return edits.batch_summary(edits.move(df.select("path", F.col("body").alias("content")), moves)[1])
 
 
-@_query("SELECT * FROM (VALUES ('a/b', true, NULL), ('new', false, NULL), ('../x', false, 'Access denied')) AS t(path, already_existed, error)")
+@_query("SELECT path, CASE WHEN starts_with(path, '../') THEN false ELSE path IN (SELECT DISTINCT concat('20_Projects/Pro/C', CAST(o_custkey AS STRING)) FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)) END AS already_existed, CASE WHEN starts_with(path, '../') THEN 'Access denied' END AS error FROM (SELECT unnest(['20_Projects/Pro/C1', '20_Projects/Pro/C2', '20_Projects/Pro/C4', '20_Projects/Pro/C7', '20_Projects/Pro/new', '../x']) AS path)")
 def folders_created(spark, sf_dir):
-    return edits.create_folders(spark.createDataFrame([("a/b",), ("c",)], "path string"), ["a/b", "new", "../x"])
+    """Some folders of notes, a new one and one outside the root."""
+    folders = notes(spark, sf_dir).select(F.regexp_extract("path", r"\A(.*)/[^/]*\z", 1).alias("path")).distinct()
+    return edits.create_folders(folders, ["20_Projects/Pro/C1", "20_Projects/Pro/C2", "20_Projects/Pro/C4", "20_Projects/Pro/C7", "20_Projects/Pro/new", "../x"])
 
 
 @_query(f"SELECT path, concat('a.', 'b') AS content FROM ({NOTES_SQL}) WHERE false UNION ALL SELECT path, regexp_replace(body, 'ship', 'send') FROM ({NOTES_SQL}) WHERE contains(body, 'ship')")
@@ -425,50 +439,68 @@ def token_uses(spark, sf_dir):
     return tokens.touch(table, uses).select("id", "last_used_at")
 
 
-@_query("SELECT * FROM (VALUES ('a', 'renamed', true), ('b', '', false)) AS t(id, name, has_secret)")
+@_query("SELECT CAST(c_custkey AS STRING) AS id, CASE WHEN c_custkey = 2 THEN 'renamed' ELSE c_name END AS name, c_custkey % 2 = 0 AS has_secret FROM customer WHERE c_custkey <> 3")
 def rules_public(spark, sf_dir):
-    rules = webhooks.create(webhooks.empty(spark), "https://hooks.example.com/a", "2026-01-01", key="a", secret="s")
-    rules = webhooks.create(webhooks.create(rules, "https://hooks.example.com/b", "2026-01-01", key="b"), "https://hooks.example.com/c", "2026-01-01", key="c")
-    return webhooks.public(webhooks.remove(webhooks.update(rules, "a", "2026-01-02", name="renamed"), "c")).select("id", "name", "has_secret")
+    """A rule of every customer, one renamed, one removed; secrets are never shown."""
+    key = F.col("c_custkey")
+    made = _table(spark, sf_dir, "customer").select(key.cast("string").alias("id"), F.lit(True).alias("enabled"), F.lit("https://hooks.example.com/").alias("url"), F.col("c_name").alias("name"), F.when(key % 2 == 0, "s").alias("secret"))
+    out = webhooks.public(webhooks.remove(webhooks.update(webhooks.empty(spark).unionByName(made, allowMissingColumns=True), "2", "2026-01-02", name="renamed"), "3"))
+    assert "secret" not in out.columns
+    return out.select("id", "name", "has_secret")
 
 
-@_query("SELECT * FROM (VALUES ('tokens', 2), ('rules', 1), ('missing', 0), ('broken', 0)) AS t(store, n)")
+@_query("SELECT 'tokens' AS store, count(*) AS n FROM nation UNION ALL SELECT 'rules', count(*) FROM region UNION ALL SELECT 'missing', 0 UNION ALL SELECT 'broken', 0")
 def stores_loaded(spark, sf_dir):
     """Token and rule stores from JSON files; a missing or broken one is empty."""
-    at = f"{_scratch(spark)}/stores-{zlib.crc32(sf_dir.encode())}"
-    for name, text in (("tokens", '[{"id":"a","hash":"x","scopes":["read"]},{"id":"b","hash":"y","scopes":["admin"]}]'), ("rules", '[{"id":"r","enabled":true,"url":"https://x.example/","events":["add"]}]'), ("broken", "[{")):
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/{name}")
-    count = lambda df: df.where("id IS NOT NULL").count()
-    rows = [("tokens", count(tokens.load(spark, f"{at}/tokens"))), ("rules", count(webhooks.load(spark, f"{at}/rules"))), ("missing", count(tokens.load(spark, f"{at}/none"))), ("broken", count(webhooks.load(spark, f"{at}/broken")))]
-    return spark.createDataFrame(rows, "store string, n long")
+    at = Scratch(spark, "stores").path
+    listed = lambda df: df.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))  # noqa: E731  tables of fixed size
+    rows = {"tokens": listed(_table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), F.sha2(F.col("n_name").cast("binary"), 256).alias("hash"), F.array(F.lit("read")).alias("scopes")))}
+    rows["rules"] = listed(_table(spark, sf_dir, "region").select(F.col("r_name").alias("id"), F.lit(True).alias("enabled"), F.lit("https://x.example/").alias("url"), F.array(F.lit("add")).alias("events")))
+    rows["broken"] = rows["rules"].select(F.substring("value", 1, 20).alias("value"))
+    for name, df in rows.items():
+        df.coalesce(1).write.mode("overwrite").text(f"{at}/{name}")
+    got = {"tokens": tokens.load(spark, f"{at}/tokens"), "rules": webhooks.load(spark, f"{at}/rules"), "missing": tokens.load(spark, f"{at}/none"), "broken": webhooks.load(spark, f"{at}/broken")}
+    counted = [df.where("id IS NOT NULL").agg(F.lit(name).alias("store"), F.count("*").alias("n")) for name, df in got.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3])
+
 
+_XORED = "unhex(list_aggregate(list_transform(range(64), lambda i: printf('%02x', xor(CASE WHEN 2 * i < length(kx) THEN ('0x' || substr(kx, 2 * i + 1, 2))::INT ELSE 0 END, {n}))), 'string_agg', ''))"
 
-@_query("SELECT * FROM (VALUES ('key', 'The quick brown fox jumps over the lazy dog', 'sha256=f7bc83f430538424b13298e6aa6fb143ef4d59a14946175997479dbc2d1a3cd8')) AS t(secret, body, signature)")
+
+@_query(f"SELECT c_custkey, concat('sha256=', sha256({_XORED.format(n=92)} || unhex(sha256({_XORED.format(n=54)} || encode(c_name))))) AS signature FROM (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN sha256(repeat('key', c_custkey % 50 + 22)) ELSE hex(encode(concat('key', CAST(c_custkey AS STRING)))) END AS kx FROM customer)")
 def signatures(spark, sf_dir):
-    sign = F.pandas_udf(lambda k, b: k.combine(b, lambda x, y: deliver.signature(x, y.encode())), "string")
-    df = spark.createDataFrame([("key", "The quick brown fox jumps over the lazy dog")], "secret string, body string")
-    return df.select("secret", "body", sign("secret", "body").alias("signature"))
+    """HMAC of a text with a secret of every customer; long secrets are hashed first."""
+    key = F.col("c_custkey")
+    secret = F.when(key % 3 == 0, F.expr("repeat('key', CAST(c_custkey % 50 + 22 AS INT))")).otherwise(F.concat(F.lit("key"), key.cast("string")))
+    return _table(spark, sf_dir, "customer").select("c_custkey", deliver.signature_of(secret, F.col("c_name").cast("binary")).alias("signature"))
 
 
-@_query("SELECT * FROM (VALUES (0, 'a non-empty list is required'), (1, NULL), (100, NULL), (101, 'at most 100 entries are allowed')) AS t(n, error)")
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 103 = 0 THEN 'a non-empty list is required' WHEN o_orderkey % 103 > 100 THEN 'at most 100 entries are allowed' END AS error FROM orders")
 def batch_sizes(spark, sf_dir):
-    def error(n: int):
-        try:
-            listing.checked_batch(["x"] * n)
-        except ValueError as e:
-            return str(e)
-        return None
-
-    return spark.createDataFrame([(n, error(n)) for n in (0, 1, 100, 101)], "n int, error string")
+    """The test of a list of entries, for a list of every order."""
+    items = F.when(F.col("o_orderkey") % 103 > 0, F.sequence(F.lit(1), F.col("o_orderkey") % 103))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", listing.batch_error(items).alias("error"))
 
 
-@_query("SELECT * FROM (VALUES ('auto', true, false, 'hybrid', false), ('auto', false, false, 'bm25', true), ('semantic', true, false, 'semantic', false), ('hybrid', true, true, 'bm25', true), ('bm25', false, true, 'bm25', false), ('grep', false, false, 'grep', false)) AS t(wanted, ready, fails, mode, warned)")
+@_query("SELECT wanted, state, mode, warned, n FROM (VALUES ('auto', 'whole', 'hybrid', false), ('auto', 'partial', 'bm25', true), ('semantic', 'whole', 'semantic', false), ('hybrid', 'failing', 'bm25', true), ('bm25', 'partial', 'bm25', false)) AS t(wanted, state, mode, warned), (SELECT least(20, count(*) FILTER (c_mktsegment = 'BUILDING')) AS n FROM customer)")
 def search_modes(spark, sf_dir):
-    rows = []
-    for wanted, ready, fails in (("auto", True, False), ("auto", False, False), ("semantic", True, False), ("hybrid", True, True), ("bm25", False, True), ("grep", False, False)):
-        mode, warnings = search.mode_of(wanted, ready, "down" if fails else None)
-        rows.append((wanted, ready, fails, mode, any("BM25 only" in w for w in warnings)))
-    return spark.createDataFrame(rows, "wanted string, ready boolean, fails boolean, mode string, warned boolean")
+    """Searches over all customers as notes: with vectors, with one missing, with a provider that fails."""
+    key = F.col("c_custkey").cast("string")
+    whole = _table(spark, sf_dir, "customer").select(
+        key.alias("chunk_id"), F.concat(F.lit("c/"), key).alias("file"), F.col("c_name").alias("title"), F.lit("").alias("heading"), F.col("c_mktsegment").alias("text"), F.lit(None).cast("string").alias("date"),
+        F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.array(F.when(F.col("c_mktsegment") == "BUILDING", 1.0).otherwise(0.1), F.lit(0.5)).alias("embedding"),
+    )
+    partial = whole.withColumn("embedding", F.when(F.col("chunk_id") != "7", F.col("embedding")))
+
+    def down(query):
+        raise ConnectionError("down")
+
+    out = None
+    for wanted, state, df, embed in (("auto", "whole", whole, None), ("auto", "partial", partial, None), ("semantic", "whole", whole, None), ("hybrid", "failing", whole, down), ("bm25", "partial", partial, None)):
+        rows, mode, warnings = search.search(spark, df, "building", embed=embed or (lambda q: [1.0, 0.5]), mode=wanted)
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(wanted).alias("wanted"), F.lit(state).alias("state"), F.lit(mode).alias("mode"), F.lit(any("BM25 only" in w for w in warnings)).alias("warned"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @_query("SELECT conv_id, turn, 2 AS n, true AS differ FROM conversations WHERE text IS NOT NULL AND NOT contains(text, '-->')")
@@ -498,10 +530,10 @@ _LAST = f"SELECT concat('u', CAST(user_id AS STRING), '.md') AS path, max(event_
 @_query(f"SELECT path, concat('Event ', CAST(last AS STRING)) AS title, concat('do ', CAST(last AS STRING)) AS task, concat('- [ ] do ', CAST(last AS STRING)) AS chunk FROM ({_LAST}) WHERE kind <> 'unlink'")
 def stream_store(spark, sf_dir):
     """Files, tasks and chunks after all events in three batches, a repeated one among them."""
-    store = pipeline.Store(spark, f"{_scratch(spark)}/store-{zlib.crc32(sf_dir.encode())}", buckets=8)
+    store = pipeline.Store(spark, Scratch(spark, "store").path, buckets=8)
     changes = _changes(spark, sf_dir)
     third = F.ntile(3).over(Window.orderBy("seq")) - 1
-    cut = _saved(spark, changes.withColumn("turn", third), f"changes-{zlib.crc32(sf_dir.encode())}")
+    cut = _saved(spark, changes.withColumn("turn", third), "changes")
     for turn in (0, 1, 1, 2):
         pipeline.batch(store, cut.where(F.col("turn") == turn).drop("turn"), turn)
     files, tasks, chunks = store.load()
@@ -527,7 +559,7 @@ def stream_delivery(spark, sf_dir):
 @_query(f"SELECT path FROM ({NOTES_SQL}) WHERE note_id % 100 < 3")
 def stream_catch_up(spark, sf_dir):
     """What the index holds after a start: new notes added, missing ones removed."""
-    store = pipeline.Store(spark, f"{_scratch(spark)}/caught-{zlib.crc32(sf_dir.encode())}", buckets=4)
+    store = pipeline.Store(spark, Scratch(spark, "caught").path, buckets=4)
     df = notes(spark, sf_dir).select("note_id", "path", F.col("body").alias("content"), F.lit("2026-01-01").cast("timestamp").alias("mtime"))
     pipeline.catch_up(store, df.where("note_id % 100 IN (0, 7)").drop("note_id"), 0)
     pipeline.catch_up(store, df.where("note_id % 100 < 3").drop("note_id"), 1)
@@ -570,7 +602,7 @@ def sql_table_function(spark, sf_dir):
 @_query(f"SELECT query, count(*) AS hits FROM (SELECT '{WORDS.split()[0]}' AS query, text FROM documents) WHERE len(list_filter({_words_of('text')}, lambda x: starts_with(x, query))) > 0 GROUP BY query")
 def bm25_index_hits(spark, sf_dir):
     """The same documents by a written index of postings."""
-    path = f"{_scratch(spark)}/bm25-{zlib.crc32(sf_dir.encode())}"
+    path = Scratch(spark, "bm25").path
     search.build_index(_table(spark, sf_dir, "documents"), path)
     word = WORDS.split()[0]
     direct = search.bm25(_table(spark, sf_dir, "documents"), word).withColumnRenamed("score", "direct")
@@ -579,18 +611,4 @@ def bm25_index_hits(spark, sf_dir):
 
 
 def _saved(spark, df: DataFrame, name: str) -> DataFrame:
-    path = f"{_scratch(spark)}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _scratch(spark) -> str:
-    """The shared folder of written tables, or a temporary one where a local session names none."""
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/") + "/marklake"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="marklake-")
+    return Scratch(spark, name).save(df, "rows")

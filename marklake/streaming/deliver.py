@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 TRIES, TIMEOUT, AT_ONCE = 3, 10.0, 5
 REPORT = "webhook_id string, path string, event string, status int, tries int, error string, key string"
@@ -22,6 +23,17 @@ def signature(secret: str, body: bytes) -> str:
     return "sha256=" + hmac.new(secret.encode(), body, hashlib.sha256).hexdigest()
 
 
+def signature_of(secret: Column, body: Column) -> Column:
+    """The same for columns of secrets and bodies (binary), by the definition of HMAC."""
+    raw = secret.cast("binary")
+    key = F.when(F.octet_length(raw) > 64, F.sha2(raw, 256)).otherwise(F.hex(raw))
+    padded = F.rpad(key, F.lit(128), F.lit("0"))
+    byte = lambda i: F.conv(F.substring(padded, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    mixed = lambda n: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(byte(i).bitwiseXOR(F.lit(n))), 2, "0")), ""))
+    inner = F.unhex(F.sha2(F.concat(mixed(0x36), body), 256))
+    return F.concat(F.lit("sha256="), F.sha2(F.concat(mixed(0x5C), inner), 256))
+
+
 def public_address(url: str, resolve: Callable = socket.getaddrinfo) -> bool:
     """Whether every address that the host has at this moment is public."""
     host = urlsplit(url).hostname
