@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as T
 from ..functions.yaml import merge_json
-from ..operators import comments, edits, index, links, listing, search, sections, webhooks
+from ..operators import comments, edits, index, lexical, links, listing, search, sections, webhooks
+from ..scratch import Scratch, kept
 from ..streaming.pipeline import windowed_counts
 from . import gate
 
@@ -60,6 +61,15 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("content", F.concat(F.lit("---\n"), F.col("fm"), F.lit("---\n"), F.col("body")))
 
 
+def _documents_index(spark, sf_dir) -> lexical.LexicalIndex:
+    def build():
+        index = lexical.LexicalIndex(spark, Scratch(spark, "documents").path)
+        index.apply(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("owner"), F.col("doc_id").cast("string").alias("id"), "text"), 0)
+        return index
+
+    return kept(spark, "documents", sf_dir, build)
+
+
 _TOKENS = r"list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 _BM25 = rf"""
 w AS (SELECT doc_id, {_TOKENS} AS ws FROM documents),
@@ -75,7 +85,8 @@ _VECTOR = "v AS (SELECT vec_id AS id, list_dot_product(e, q) / sqrt(list_dot_pro
 
 @_query(f"WITH {_BM25} SELECT id AS doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM b ORDER BY rank LIMIT 20")
 def bm25_topk(spark, sf_dir):
-    scores = search.bm25(_table(spark, sf_dir, "documents"), WORDS).withColumn("score", F.round("score", 9))
+    """From a lexical index that the first search writes and all others read."""
+    scores = _documents_index(spark, sf_dir).bm25(WORDS).select(F.col("id").cast("long").alias("id"), F.round("score", 9).alias("score"))
     return search.ranked(scores, "bm25", 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -93,7 +104,7 @@ SELECT id, round(sum(1.0 / (60 + r)), 9) AS score, max(CASE WHEN l = 'bm25' THEN
 def rrf_fuse(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings")
     q = vectors.where("vec_id = 0").select("embedding").first()[0]
-    a = search.ranked(search.bm25(_table(spark, sf_dir, "documents"), WORDS).withColumn("score", F.round("score", 9)), "bm25", 40)
+    a = search.ranked(_documents_index(spark, sf_dir).bm25(WORDS).select(F.col("id").cast("long").alias("id"), F.round("score", 9).alias("score")), "bm25", 40)
     b = search.ranked(search.vector_topk(vectors, q, 40).withColumn("score", F.round("score", 9)), "vector", 40)
     return search.fuse(a.unionByName(b)).select("id", F.round("score", 9).alias("score"), "bm25_rank", "vector_rank")
 

@@ -53,3 +53,14 @@ class Scratch:
 
     def drop(self, name: str = "") -> None:
         Files(self.spark, self.path).delete(f"{self.path}/{name}" if name else self.path)
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(spark: SparkSession, name: str, source: str, build):
+    """What ``build()`` wrote for ``source``, made once in a session: an index that many searches read."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _KEPT:
+        _KEPT[key] = build()
+    return _KEPT[key]
