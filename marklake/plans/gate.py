@@ -24,6 +24,55 @@ def _outside_strings(sql: str, change) -> str:
     return "".join([*out, change(sql[at:])])
 
 
+_COMPARED = re.compile(r"\s*(?:=|==|!=|<>|<=|>=|<|>|between\s)\s*[-+]?\.?\d", re.I)
+_BEFORE = re.compile(r"\d\s*(?:=|==|!=|<>|<=|>=|<|>)\s*\Z")
+_ORDERED = re.compile(r"\border\s+by\s(?:[^()]|\([^()]*\))*\Z", re.I)
+
+
+def _arguments(sql: str, at: int) -> tuple[list[str], int]:
+    """Arguments of the call whose bracket opens just before ``at``, and the place after its end."""
+    out, depth, start = [], 0, at
+    ends = {m.start(): m.end() for m in _STRING.finditer(sql)}
+    while at < len(sql):
+        if at in ends:
+            at = ends[at]
+            continue
+        c = sql[at]
+        if c == ")" and depth == 0:
+            return [*out, sql[start:at].strip()], at + 1
+        if c == "," and depth == 0:
+            out.append(sql[start:at].strip())
+            start = at + 1
+        depth += (c == "(") - (c == ")")
+        at += 1
+    return [], at
+
+
+def _typed(sql: str) -> str:
+    """``json_extract`` with the types of JSON: numbers (booleans are 1 and 0) where a number is compared with it, numbers before texts where rows are ordered by it, else text."""
+    text, at = "", 0
+    strings = [(m.start(), m.end()) for m in _STRING.finditer(sql)]
+    for m in re.finditer(r"\bjson_extract\s*\(", sql, flags=re.I):
+        if m.start() < at or any(a <= m.start() < b for a, b in strings):
+            continue
+        found, end = _arguments(sql, m.end())
+        if len(found) != 2:
+            continue
+        doc, path = _typed(found[0]), found[1]
+        plain = f"get_json_object({doc}, {path})"
+        kind = f"schema_of_variant(try_variant_get(try_parse_json({doc}), {path}, 'variant'))"
+        number = f"(CASE WHEN {kind} = 'BOOLEAN' THEN if({plain} = 'true', 1.0D, 0.0D) WHEN {kind} RLIKE '^(BIGINT|DOUBLE|DECIMAL|FLOAT)' THEN try_cast({plain} AS double) END)"
+        text += sql[at : m.start()]
+        if _ORDERED.search(text):
+            way = re.match(r"\s*(asc|desc)\b", sql[end:], re.I)
+            down = f" {way[1]}" if way else ""
+            text += f"CASE WHEN {plain} IS NULL THEN 0 WHEN {number} IS NULL THEN 2 ELSE 1 END{down}, {number}{down}, {plain}"
+        else:
+            text += number if _COMPARED.match(sql, end) or _BEFORE.search(text) else plain
+        at = end
+    return text + sql[at:]
+
+
 def translate(sql: str) -> str:
     """The dialect of the documented queries in Spark SQL: LIKE without case, ``date('now', ...)``, ``json_extract``, ``group_concat``."""
 
@@ -35,7 +84,7 @@ def translate(sql: str) -> str:
 
     sql = re.sub(r"\bdate\s*\(\s*'now'((?:\s*,\s*'[^']*')*)\s*\)", shifted, sql, flags=re.I)
     sql = _outside_strings(sql, lambda s: re.sub(r"\blike\b", "ILIKE", s, flags=re.I))
-    sql = _outside_strings(sql, lambda s: re.sub(r"\bjson_extract\s*\(", "get_json_object(", s, flags=re.I))
+    sql = _typed(sql)
     return _outside_strings(sql, lambda s: re.sub(r"\bgroup_concat\s*\(", "string_agg(", s, flags=re.I))
 
 
@@ -50,7 +99,7 @@ dayofweek dayofyear dense_rank element_at endswith every exp explode explode_out
 greatest group_concat hour if ifnull in initcap instr isnan isnotnull isnull json_array_length json_object_keys lag last last_day last_value lcase lead least left length
 levenshtein like listagg ln locate log log10 log2 lower lpad ltrim make_date max max_by md5 mean median min min_by minute mod mode month months_between named_struct
 next_day not now nth_value ntile nullif nullifzero nvl nvl2 overlay parse_json percent_rank percentile percentile_approx pi posexplode position pow power quarter radians rank regexp
-regexp_count regexp_extract regexp_extract_all regexp_instr regexp_like regexp_replace regexp_substr repeat replace reverse right rlike round row_number rpad rtrim second
+regexp_count regexp_extract regexp_extract_all regexp_instr regexp_like regexp_replace regexp_substr repeat replace reverse right rlike round row_number rpad rtrim schema_of_variant second
 sequence sha2 sign sin size some sort_array split split_part sqrt startswith std stddev stddev_pop stddev_samp string_agg struct substr substring substring_index sum tan
 to_char to_date to_json to_timestamp transform translate trim trunc try_add try_cast try_divide try_element_at try_parse_json try_subtract try_to_number try_to_timestamp
 try_variant_get typeof ucase unix_timestamp upper var_pop var_samp variance variant_get weekday weekofyear when year zeroifnull add_months current_timezone""".split()

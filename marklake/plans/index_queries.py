@@ -8,6 +8,7 @@ from ..operators import access, listing, search, webhooks
 from ..operators.lexical import LexicalIndex
 from ..scratch import Scratch
 from ..streaming import pipeline
+from . import gate
 from .queries import _TOKENS, WORDS, _query, _table, notes
 from .sample import letter_vectors
 
@@ -135,3 +136,15 @@ def listing_order(spark, sf_dir):
     """Accents and case don't part names: the first folders, as a reader would look them up."""
     paths = _table(spark, sf_dir, "part").select(F.concat(F.lit("d/"), F.expr(_NAME), F.lit("/x.md")).alias("path"))
     return listing.directory(paths, "d").limit(1200)
+
+
+# ---- numbers, booleans and texts out of JSON ----
+_VALUE = "CASE event_id % 4 WHEN 0 THEN concat('{\"v\": ', CAST(event_id % 120 AS STRING), '}') WHEN 1 THEN '{\"v\": true}' WHEN 2 THEN concat('{\"v\": \"', CAST(event_id AS STRING), '\"}') ELSE concat('{\"v\": ', CAST(event_id % 7 AS STRING), '.5}') END"
+
+
+@_query("""WITH e AS (SELECT event_id, event_id % 4 = 2 AS is_text, CASE event_id % 4 WHEN 0 THEN (event_id % 120)::DOUBLE WHEN 1 THEN 1.0 WHEN 3 THEN event_id % 7 + 0.5 END AS num, CAST(event_id AS STRING) AS txt FROM events)
+SELECT event_id, r, num >= 5.5 AS high FROM (SELECT *, row_number() OVER (ORDER BY is_text DESC, CASE WHEN is_text THEN txt END DESC, num DESC, event_id) AS r FROM e) WHERE num >= 1 OR is_text""")
+def json_typed(spark, sf_dir):
+    """Values compared and ordered as numbers (true is 1) or texts, whichever they are."""
+    events = _table(spark, sf_dir, "events").select("event_id", F.expr(_VALUE).alias("front"))
+    return gate.query(spark, {"e": events}, "SELECT event_id, r, high FROM (SELECT event_id, row_number() OVER (ORDER BY json_extract(front, '$.v') DESC, event_id) AS r, json_extract(front, '$.v') >= 5.5 AS high, CASE WHEN json_extract(front, '$.v') >= 1 THEN 1 WHEN event_id % 4 = 2 THEN 1 ELSE 0 END AS shown FROM e) x WHERE shown = 1")
