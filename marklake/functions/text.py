@@ -165,4 +165,4 @@ def occurrences(text: Column, needle: Column) -> Column:
 def matching_lines(text: Column, query: str, limit: int = 3) -> Column:
     """Trimmed lines that hold the query, case folded; at most ``limit``."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.contains(F.lower(x), F.lit(query.lower())) & (F.trim(x) != ""))
-    return F.slice(F.transform(lines, F.trim), 1, limit)
+    return F.slice(F.transform(lines, lambda x: F.trim(x)), 1, limit)

@@ -111,7 +111,7 @@ def move_folder(notes: DataFrame, source: str, destination: str) -> DataFrame:
 def delete(notes: DataFrame, targets: DataFrame, now: str, hard: bool = False) -> DataFrame:
     """Notes without those of ``targets (path)``; soft deletion moves them to the trash and stamps them.
 
-    A name that the trash already holds gets the time in its name.
+    A name that the trash already holds gets the time in its name, and a number if that is taken too.
     """
     gone = notes.join(targets.select("path").distinct(), "path", "left_semi")
     rest = notes.join(targets.select("path").distinct(), "path", "left_anti")
@@ -120,8 +120,11 @@ def delete(notes: DataFrame, targets: DataFrame, now: str, hard: bool = False) -
     there = notes.where(F.startswith("path", F.lit(TRASH + "/"))).select(F.col("path").alias("_there"))
     stamp = "".join(c for c in now if c.isdigit())
     to = F.concat(F.lit(TRASH + "/"), F.col("path"))
-    moved = gone.withColumn("_to", to).join(there, F.col("_to") == F.col("_there"), "left")
-    moved = moved.withColumn("path", F.when(F.col("_there").isNull(), F.col("_to")).otherwise(F.concat(F.regexp_replace("_to", r"\.md\z", ""), F.lit(f"-{stamp}.md"))))
+    stamped = rf"-{stamp}(-\d+)?\.md\z"
+    again = there.where(F.rlike("_there", F.lit(stamped))).groupBy(F.regexp_replace("_there", stamped, ".md").alias("_base")).agg(F.count("*").alias("_times"))
+    moved = gone.withColumn("_to", to).join(there, F.col("_to") == F.col("_there"), "left").join(again, F.col("_to") == F.col("_base"), "left")
+    number = F.when(F.col("_times") > 0, F.concat(F.lit("-"), F.col("_times").cast("string"))).otherwise("")
+    moved = moved.withColumn("path", F.when(F.col("_there").isNull(), F.col("_to")).otherwise(F.concat(F.regexp_replace("_to", r"\.md\z", ""), F.lit(f"-{stamp}"), number, F.lit(".md"))))
     if "mtime" in notes.columns:
         moved = moved.withColumn("mtime", F.lit(now).cast("timestamp"))
     return rest.unionByName(moved.select(*notes.columns))

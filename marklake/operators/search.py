@@ -198,7 +198,7 @@ def collapse(chunks: DataFrame) -> DataFrame:
 def snippets(content: Column, query: str, n: int = 3) -> Column:
     """Lines that hold a query term, folded; else the first lines; cut to 300 characters."""
     terms = [t for t, _ in query_terms(query)]
-    lines = F.filter(F.transform(F.split(content, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(content, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     hit = lambda x: F.exists(F.array(*[F.lit(t) for t in terms]).cast("array<string>"), lambda t: F.contains(T.fold(x), t))
     found = F.filter(lines, hit)
     cut = lambda x: F.when(F.length(x) > SNIPPET, F.concat(F.substring(x, 1, SNIPPET), F.lit("…"))).otherwise(x)

@@ -101,6 +101,18 @@ def reuse(new: DataFrame, old: DataFrame, model: str) -> DataFrame:
     return new.join(known, "content_hash", "left").withColumn("embed_model", F.when(F.col("embedding").isNotNull(), F.lit(model)))
 
 
+def checked(vectors: list, texts: list) -> list:
+    """The vectors, if there is one for each text; an answer of another length can't be matched with its texts."""
+    if len(vectors) != len(texts):
+        raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+    return vectors
+
+
+def asymmetric(embed: Callable[[list[str]], list[list[float]]], query: str = "query: ", passage: str = "passage: ") -> tuple[Callable[[str], list[float]], Callable[[list[str]], list[list[float]]]]:
+    """``(of a query, of passages)`` for models that want to be told which of the two they read."""
+    return lambda q: checked(embed([query + q]), [q])[0], lambda texts: checked(embed([passage + t for t in texts]), texts)
+
+
 class Retry(Exception):
     """An answer that may come out well later; ``after`` are seconds to wait, if the other side named them."""
 
@@ -129,7 +141,7 @@ def backfill(table: DataFrame, embed: Callable[[list[str]], list[list[float]]],
         for pdf in batches:
             for i in range(0, len(pdf), batch):
                 part = pdf.iloc[i : i + batch].copy()
-                part["embedding"] = with_retry(lambda part=part: embed([prefix + t for t in part["text"]]))
+                part["embedding"] = checked(with_retry(lambda part=part: embed([prefix + t for t in part["text"]])), part)
                 part["embed_model"] = model
                 yield part
 

@@ -339,3 +339,33 @@ def test_the_gate_walks_the_plan(spark, tmp_path):
     for q, n in good.items():
         assert run(q).count() == n
     assert run("WITH x AS (SELECT n FROM files) SELECT * FROM x JOIN files USING (n)", allow_with=True).count() == 1
+
+
+def test_lines_keep_their_digits(spark):
+    """A line's own number is not what is trimmed from it."""
+    df = spark.createDataFrame([("a.md", "0 total 10\n1 total 21\n  2 total 32  ")], "path string, content string")
+    assert search.grep(df, "TOTAL").first().matches == ["0 total 10", "1 total 21", "2 total 32"]
+    assert df.select(search.snippets(F.col("content"), "total").alias("m")).first().m == ["0 total 10", "1 total 21", "2 total 32"]
+
+
+def test_asymmetric_models():
+    asked = []
+
+    def embed(texts):
+        asked.append(texts)
+        return [[1.0]] * len(texts)
+
+    query, passages = sections.asymmetric(embed)
+    assert query("a") == [1.0] and passages(["b", "c"]) == [[1.0], [1.0]] and asked == [["query: a"], ["passage: b", "passage: c"]]
+    with pytest.raises(ValueError):
+        sections.asymmetric(lambda texts: [[1.0]])[1](["b", "c"])
+
+
+def test_trash_names_stay_apart(spark):
+    """Four deletions of one name, three of them at one time: four paths."""
+    notes = spark.createDataFrame([("a.md", "0")], "path string, content string")
+    for i, now in enumerate(["2026-01-01 00:00:00"] * 4):
+        notes = edits.delete(notes, spark.createDataFrame([("a.md",)], "path string"), now)
+        notes = notes.unionByName(spark.createDataFrame([("a.md", str(i + 1))], "path string, content string"))
+    paths = [r.path for r in notes.collect()]
+    assert len(set(paths)) == len(paths) == 5
