@@ -14,8 +14,11 @@ its end, and nothing else.
 Every context and every next byte that the training texts hold enters the tree, at any
 size of the corpus.  Runs of ``DEPTH + 1`` bytes fill one 64-bit word.  They are dealt
 by their newest ``TOP + 1`` context bytes, so that each part holds whole subtrees, and
-travel as sorted arrays.  The counts of the shortest contexts, at most
-256 ** (TOP + 1) pairs, travel to every task.  The ``CACHE`` most frequent runs with
+travel as sorted arrays.  A context that a sample of the texts shows in more than one of
+``SHARE`` bytes is split by its next older byte, again and again; its own counts are
+added up over the parts.  The counts of the shortest contexts, at most 256 ** (TOP + 1)
+pairs, and of the split ones, at most ``SHARE`` * 256 for each length, travel to every
+task.  The sample only says where a run lies, never what it counts.  The ``CACHE`` most frequent runs with
 their log probabilities, and an eighth as many words, travel with the tasks that read
 the texts; all other runs and words of a text are looked up where their part of the
 table lies, and only sums for each text come back.  What travels changes only where a
@@ -48,6 +51,8 @@ GAIN = 0.5  # nats that a context must save for each next byte that it lists
 END = 10  # line feed: it can't stand in the folded text
 CHUNK = 5_000_000  # symbols that a task sorts at once
 PART = 4 << 20  # text bytes for each part of the tree
+SHARE = 1024  # a context of more than one in so many bytes is split over parts
+SAMPLE = 16 << 20  # about so many text bytes say which contexts are split
 COARSE = 16  # parts of the tree that are searched by one task
 UNIT_ROWS, UNIT_GAPS = 8192, 1 << 20  # texts, and looked-up runs, that a task passes on at once
 
@@ -175,8 +180,25 @@ def _smoothed(count: np.ndarray, first: np.ndarray, base: np.ndarray, discounts)
     return kept / np.repeat(np.maximum(total, 1), size) + np.repeat(left, size) * base, total
 
 
+def _by_state(pair: np.ndarray, raw: np.ndarray, count: np.ndarray, base: np.ndarray, discounts, gain: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probability of each pair by its context if that is a state, else ``base``; which contexts are states, and their first pairs."""
+    first, size = runs(pair >> np.uint64(8))
+    prob, total = _smoothed(count, first, base, discounts)
+    saved = np.add.reduceat(np.where(raw > 0, raw * np.log(prob / base), 0.0), first)
+    state = (total > 0) & (saved > gain * np.add.reduceat((count > 0).astype(np.int64), first))
+    return np.where(np.repeat(state, size), prob, base), state, first
+
+
+def _at(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``keys``, and which of them are there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
 class Upper:
-    """Distributions of the contexts of up to ``TOP`` = 2 bytes."""
+    """Distributions of the contexts of up to ``TOP`` = 2 bytes, and of the longer ones that are split over parts."""
 
     def __init__(self, key: np.ndarray, n: np.ndarray, discounts=DISCOUNTS):
         key = key.astype(np.uint64)
@@ -191,6 +213,20 @@ class Upper:
             self.two, total = _smoothed(n, first, base, discounts)
             kept = np.add.reduceat(np.maximum(n - np.array([0.0, *discounts])[np.minimum(n, 3)], 0), first)
             self.left[(self.key[first] >> np.uint64(8)).astype(np.int64)] = (total - kept) / total
+        self.split: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add_split(self, split: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], discounts=DISCOUNTS, gain: float = GAIN) -> Upper:
+        """Take pairs, occurrences and counts of the split contexts by length; counts lack what split contexts one byte longer add."""
+        split = {k: tuple(x[np.argsort(v[0])] for x in v) for k, v in split.items()}
+        for k in sorted(split, reverse=True):
+            if k + 1 in split:
+                longer, raw, _ = split[k + 1]
+                np.add.at(split[k][2], np.searchsorted(split[k][0], shorter(longer[raw > 0])), 1)
+        for k in sorted(split):
+            pair, raw, count = split[k]
+            base = self.prob(pair) if k == TOP + 1 else self.split[k - 1][1][np.searchsorted(self.split[k - 1][0], shorter(pair))]
+            self.split[k] = pair, _by_state(pair, raw, count, base, discounts, gain)[0]
+        return self
 
     def prob(self, codes: np.ndarray) -> np.ndarray:
         """Probability of the newest byte of each code of three bytes of context by the last two."""
@@ -205,8 +241,9 @@ class Upper:
 def probabilities(keys: np.ndarray, n: np.ndarray, upper: Upper, discounts=DISCOUNTS, gain: float = GAIN) -> tuple[np.ndarray, list[int]]:
     """Probability of the newest byte of every run by its longest state, and the number of states of each length.
 
-    ``keys`` are distinct sorted runs of whole subtrees, ``n`` their occurrences in
-    training; runs that only other texts hold have none.
+    ``keys`` are distinct sorted runs of whole subtrees but for the split contexts, which
+    ``upper`` knows; ``n`` are their occurrences in training: runs that only other texts
+    hold have none.
     """
     stack = [(keys, n, n, None)]
     for k in range(DEPTH - 1, TOP, -1):
@@ -216,12 +253,13 @@ def probabilities(keys: np.ndarray, n: np.ndarray, upper: Upper, discounts=DISCO
     base, states = upper.prob(stack[-1][0]), []
     for i in range(len(stack) - 1, -1, -1):
         pair, raw, count, _ = stack[i]
-        first, size = runs(pair >> np.uint64(8))
-        prob, total = _smoothed(count, first, base, discounts)
-        saved = np.add.reduceat(np.where(raw > 0, raw * np.log(prob / base), 0.0), first)
-        state = (total > 0) & (saved > gain * np.add.reduceat((count > 0).astype(np.int64), first))
+        prob, state, first = _by_state(pair, raw, count, base, discounts, gain)
+        if DEPTH - i in upper.split:
+            known, value = upper.split[DEPTH - i]
+            at, hit = _at(known, pair)
+            prob[hit] = value[at[hit]]
+            state = state & ~hit[first]
         states.append(int(state.sum()))
-        prob = np.where(np.repeat(state, size), prob, base)
         if i:
             base = prob[stack[i][3]]
     return prob, states
@@ -230,15 +268,73 @@ def probabilities(keys: np.ndarray, n: np.ndarray, upper: Upper, discounts=DISCO
 _PARTS = "kind int, p int, key long, size long, a binary, b binary, c binary"
 _NAMES = ["kind", "p", "key", "size", "a", "b", "c"]
 _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-RUNS, WORDS, SHORT, TEXTS = 0, 1, 2, 3
+RUNS, WORDS, SHORT, TEXTS, SPLIT_RAW, SPLIT_COUNT = range(6)  # the last two: of split contexts of ``p`` bytes
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
 
 
-def _part_of_run(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (mix64(keys >> np.uint64(64 - 8 * (TOP + 1))) % np.uint64(parts)).astype(np.int64)
+def _spans(keys: np.ndarray, contexts: np.ndarray, k: int):
+    """``(first, end)`` in sorted runs of each context of ``k`` bytes that they hold."""
+    low = np.uint64(64 - 8 * k)
+    first = np.searchsorted(keys, contexts << low)
+    end = np.searchsorted(keys, (contexts << low) | np.uint64((1 << int(low)) - 1), "right")
+    some = end > first
+    return zip(first[some].tolist(), end[some].tolist())
+
+
+def _part_of_run(keys: np.ndarray, parts: int, split: dict[int, np.ndarray]) -> np.ndarray:
+    """Parts of sorted runs: by their shortest context of more than ``TOP`` bytes that isn't split."""
+    low = np.full(len(keys), 64 - 8 * (TOP + 1), np.uint64)
+    for k, contexts in split.items():
+        for i, j in _spans(keys, contexts, k):
+            low[i:j] = 64 - 8 * (k + 1)
+    return (mix64(keys >> low) % np.uint64(parts)).astype(np.int64)
+
+
+def crowded(rows: DataFrame, size: int, share: int, sample: int) -> dict[int, np.ndarray]:
+    """Contexts by length that more than one in ``share`` bytes of about ``sample`` of the ``size`` text bytes follow: at most ``share`` of each length."""
+
+    def tally(batches):
+        for batch in batches:
+            for _, data, at in slices(batch, "text"):
+                codes, _ = stream(data, at)
+                codes.sort()
+                for k in range(TOP + 1, DEPTH):
+                    context = codes >> np.uint64(64 - 8 * k)
+                    first, n = runs(context)
+                    some = n * 2 * share > len(codes)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), k, np.int32)), pa.array(context[first[some]].view(np.int64)), pa.array(n[some])], ["k", "context", "n"])
+
+    some = rows.select("text").sample(min(1.0, sample / max(size, 1)), seed=6)
+    counted = some.mapInArrow(tally, "k int, context long, n long").groupBy("k", "context").agg(F.sum("n").alias("n"))
+    got = counted.where(F.col("n") * share > min(size, sample)).orderBy(F.desc("n"), "k", "context").limit(share * (DEPTH - TOP - 1)).collect()
+    out: dict[int, np.ndarray] = {}
+    for k in range(TOP + 1, DEPTH):
+        found = set([r["context"] for r in got if r["k"] == k][:share])
+        if k > TOP + 1:  # a context is split only if its shorter one is
+            found = {c for c in found if c >> 8 in out[k - 1]}
+        out[k] = np.array(sorted(found), np.uint64)
+    return {k: v for k, v in out.items() if len(v)}
+
+
+def split_counts(keys: np.ndarray, n: np.ndarray, split: dict[int, np.ndarray]):
+    """``(length, pairs, occurrences, counts)`` of the split contexts in a part's sorted runs; longer split contexts add nothing to counts."""
+    if not split:
+        return
+    spans = list(_spans(keys, split[TOP + 1], TOP + 1))
+    if not spans:
+        return
+    pair, raw = (np.concatenate([x[i:j] for i, j in spans]) for x in (keys, n))
+    for k in range(DEPTH - 1, TOP, -1):
+        whole = (raw > 0) & ~(_at(split[k + 1], pair >> np.uint64(8))[1] if k + 1 in split else np.zeros(len(pair), bool))
+        less, to = np.unique(shorter(pair), return_inverse=True)
+        raw, count = np.bincount(to, raw, len(less)).astype(np.int64), np.bincount(to, whole, len(less)).astype(np.int64)
+        pair = less
+        if k in split:
+            own = _at(split[k], pair >> np.uint64(8))[1]
+            yield k, pair[own], raw[own], count[own]
 
 
 def _part_of_word(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -254,7 +350,7 @@ def _dealt(part: np.ndarray, *arrays: np.ndarray):
         yield int(part[at[0]]), *(a[at] for a in arrays)
 
 
-def count(rows: DataFrame, parts: int) -> DataFrame:
+def count(rows: DataFrame, parts: int, split: dict[int, np.ndarray]) -> DataFrame:
     """All runs and words of ``rows (text, held_out)``, one row for each part: keys, occurrences in training and in all."""
 
     def tally(batches):
@@ -267,7 +363,7 @@ def count(rows: DataFrame, parts: int) -> DataFrame:
                 first, n = runs(some)
                 key, n = some[first], n.astype(np.int32)
                 del first
-                for p, k, c in _dealt(_part_of_run(key, parts), key, n):
+                for p, k, c in _dealt(_part_of_run(key, parts, split), key, n):
                     yield _batch([(RUNS, p, trained, len(k), put_keys(k), put(c), b"")])
             if terms:
                 key, n = _summed(np.concatenate([k for k, _ in terms]), np.concatenate([c for _, c in terms]))
@@ -320,6 +416,10 @@ def count(rows: DataFrame, parts: int) -> DataFrame:
             short, times = _summed((keys >> np.uint64(64 - 8 * TOP) << np.uint64(8)) | (keys & np.uint64(0xFF)), n)
             if times.any():
                 yield _batch([(SHORT, 0, k, c, b"", b"", b"") for k, c in zip(short.view(np.int64).tolist(), times.tolist()) if c])
+            for k, pair, raw, some in split_counts(keys, n, split):
+                for kind, values in ((SPLIT_RAW, raw), (SPLIT_COUNT, some)):
+                    if len(pair):
+                        yield _batch([(kind, k, x, c, b"", b"", b"") for x, c in zip(pair.view(np.int64).tolist(), values.tolist())])
         yield _batch([(TEXTS, 0, 0, texts, b"", b"", b"")])
 
     return rows.select("text", "held_out").mapInArrow(tally, _PARTS).repartition(parts, "p").mapInArrow(merge, _PARTS)
@@ -329,7 +429,11 @@ def grow(counts: DataFrame, *, discounts=DISCOUNTS, gain: float = GAIN) -> DataF
     """The runs of ``counts`` with their log10 probabilities by the tree (``a`` keys, ``b`` logs, ``c`` uses; ``key`` counts the part's states)."""
     short = counts.where(F.col("kind") == SHORT).groupBy("key").agg(F.sum("size").alias("n")).toArrow()
     key, n = (short.column(i).to_numpy() for i in range(2))
-    upper = counts.sparkSession.sparkContext.broadcast(Upper(key, n, discounts))
+    added = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("size")).otherwise(0))
+    split = counts.where(F.col("kind").isin(SPLIT_RAW, SPLIT_COUNT)).groupBy("p", "key").agg(added(SPLIT_RAW).alias("raw"), added(SPLIT_COUNT).alias("n")).toArrow()
+    length, pair, raw, times = (split.column(i).to_numpy() for i in range(4))
+    by_length = {int(k): (pair[length == k].view(np.uint64), raw[length == k], times[length == k].copy()) for k in np.unique(length)}
+    upper = counts.sparkSession.sparkContext.broadcast(Upper(key, n, discounts).add_split(by_length, discounts, gain))
 
     def work(batches):
         for batch in batches:
@@ -374,13 +478,15 @@ def commonest(table: DataFrame, uses: str, value: str, kind, most: int) -> tuple
     return np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, kind), *values])
 
 
-def score(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", cache: int = CACHE, part: int = PART) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", cache: int = CACHE, part: int = PART, share: int = SHARE, sample: int = SAMPLE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     ws = Workspace(spark, "lm")
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col), 7).alias("held_out"), F.col(text_col).alias("text"))
-    parts = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + size // part
     coarse = -(-parts // COARSE)
-    counts = ws.save(count(rows, parts), "counts")
+    split = crowded(rows, size, share, sample)
+    counts = ws.save(count(rows, parts, split), "counts")
     tree = ws.save(grow(counts), "tree")
     vocabulary = counts.where(F.col("kind") == WORDS)
     texts = counts.where(F.col("kind") == TEXTS).agg(F.sum("size")).first()[0] or 0
@@ -399,13 +505,14 @@ def score(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_co
         unit, done, gaps, held = None, 0, {RUNS: [], WORDS: []}, 0
 
         def passed(id_type):
-            for what, deal in ((RUNS, _part_of_run), (WORDS, _part_of_word)):
+            for what in (RUNS, WORDS):
                 if not gaps[what]:
                     continue
                 key, who = (np.concatenate(x) for x in zip(*gaps[what]))
                 order = np.argsort(key, kind="stable")
                 key, who = key[order], who[order]
-                for g, k, w in _dealt(deal(key, parts) % coarse, key, who):
+                at = _part_of_run(key, parts, split) if what == RUNS else _part_of_word(key, parts)
+                for g, k, w in _dealt(at % coarse, key, who):
                     one = {"kind": 1 + what, "t": unit, "g": g, "size": len(k), "a": put_keys(k), "b": put(w)}
                     yield pa.RecordBatch.from_arrays([pa.array([one.get(c)], t or id_type) for c, t in zip(names, types)], names)
 

@@ -269,7 +269,7 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch):
     want = sorted((str(i), round(tree.score(t), 3)) for i, t in rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     base = None
-    for options in ({}, {"cache": 0}, {"cache": 80, "part": 900}):
+    for options in ({}, {"cache": 0}, {"cache": 80, "part": 900}, {"part": 300, "share": 40}, {"cache": 0, "part": 300, "share": 4000, "sample": 2000}):
         out = suffix_tree.score(spark, df, **options).collect()
         got = sorted((str(r.doc_id), round(r.score, 3)) for r in out)
         assert all(a[0] == b[0] and abs(a[1] - b[1]) < 3e-3 for a, b in zip(got, want, strict=True))
