@@ -53,6 +53,7 @@ CHUNK = 5_000_000  # symbols that a task sorts at once
 PART = 4 << 20  # text bytes for each part of the tree
 SHARE = 1024  # a context of more than one in so many bytes is split over parts
 SAMPLE = 16 << 20  # about so many text bytes say which contexts are split
+BLOCK = 1 << 19  # runs whose parts a task computes at once
 COARSE = 16  # parts of the tree that are searched by one task
 UNIT_ROWS, UNIT_GAPS = 8192, 1 << 20  # texts, and looked-up runs, that a task passes on at once
 
@@ -144,11 +145,15 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 2))))
-        slot = self._slot(keys)
-        order = np.argsort(slot, kind="stable")
+        place = self._slot(keys)
+        order = np.argsort(place, kind="stable")
         # in order of their slots, each key takes its own slot or the next free one
         nth = np.arange(len(keys))
-        place = nth + np.maximum.accumulate(slot[order] - nth) if len(keys) else nth
+        place = place[order]
+        place -= nth
+        np.maximum.accumulate(place, out=place)
+        place += nth
+        del nth
         size = max(1 << self.bits, int(place[-1]) + 1 if len(keys) else 0) + 1
         self.slots, self.values = np.zeros(size, np.uint64), np.full(size, np.nan, values.dtype)
         self.slots[place], self.values[place] = keys[order], values[order]
@@ -286,11 +291,15 @@ def _spans(keys: np.ndarray, contexts: np.ndarray, k: int):
 
 def _part_of_run(keys: np.ndarray, parts: int, split: dict[int, np.ndarray]) -> np.ndarray:
     """Parts of sorted runs: by their shortest context of more than ``TOP`` bytes that isn't split."""
-    low = np.full(len(keys), 64 - 8 * (TOP + 1), np.uint64)
-    for k, contexts in split.items():
-        for i, j in _spans(keys, contexts, k):
-            low[i:j] = 64 - 8 * (k + 1)
-    return (mix64(keys >> low) % np.uint64(parts)).astype(np.int64)
+    out = np.empty(len(keys), np.uint16 if parts <= 1 << 16 else np.int64)
+    for at in range(0, len(keys), BLOCK):
+        some = keys[at : at + BLOCK]
+        low = np.full(len(some), 64 - 8 * (TOP + 1), np.uint64)
+        for k, contexts in split.items():
+            for i, j in _spans(some, contexts, k):
+                low[i:j] = 64 - 8 * (k + 1)
+        out[at : at + BLOCK] = mix64(some >> low) % np.uint64(parts)
+    return out
 
 
 def crowded(rows: DataFrame, size: int, share: int, sample: int) -> dict[int, np.ndarray]:
@@ -321,20 +330,18 @@ def crowded(rows: DataFrame, size: int, share: int, sample: int) -> dict[int, np
 
 def split_counts(keys: np.ndarray, n: np.ndarray, split: dict[int, np.ndarray]):
     """``(length, pairs, occurrences, counts)`` of the split contexts in a part's sorted runs; longer split contexts add nothing to counts."""
-    if not split:
-        return
-    spans = list(_spans(keys, split[TOP + 1], TOP + 1))
-    if not spans:
-        return
-    pair, raw = (np.concatenate([x[i:j] for i, j in spans]) for x in (keys, n))
-    for k in range(DEPTH - 1, TOP, -1):
-        whole = (raw > 0) & ~(_at(split[k + 1], pair >> np.uint64(8))[1] if k + 1 in split else np.zeros(len(pair), bool))
-        less, to = np.unique(shorter(pair), return_inverse=True)
-        raw, count = np.bincount(to, raw, len(less)).astype(np.int64), np.bincount(to, whole, len(less)).astype(np.int64)
-        pair = less
-        if k in split:
-            own = _at(split[k], pair >> np.uint64(8))[1]
-            yield k, pair[own], raw[own], count[own]
+    for i, j in _spans(keys, split[TOP + 1], TOP + 1) if split else ():
+        pair, raw = keys[i:j], n[i:j]
+        for k in range(DEPTH - 1, TOP, -1):
+            whole = raw > 0
+            if k + 1 in split:
+                whole &= ~_at(split[k + 1], pair >> np.uint64(8))[1]
+            pair, to = np.unique(shorter(pair), return_inverse=True)
+            raw, count = np.bincount(to, raw, len(pair)).astype(np.int64), np.bincount(to, whole, len(pair)).astype(np.int64)
+            if k in split:
+                own = _at(split[k], pair >> np.uint64(8))[1]
+                if own.any():
+                    yield k, pair[own], raw[own], count[own]
 
 
 def _part_of_word(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -418,8 +425,7 @@ def count(rows: DataFrame, parts: int, split: dict[int, np.ndarray]) -> DataFram
                 yield _batch([(SHORT, 0, k, c, b"", b"", b"") for k, c in zip(short.view(np.int64).tolist(), times.tolist()) if c])
             for k, pair, raw, some in split_counts(keys, n, split):
                 for kind, values in ((SPLIT_RAW, raw), (SPLIT_COUNT, some)):
-                    if len(pair):
-                        yield _batch([(kind, k, x, c, b"", b"", b"") for x, c in zip(pair.view(np.int64).tolist(), values.tolist())])
+                    yield _batch([(kind, k, x, c, b"", b"", b"") for x, c in zip(pair.view(np.int64).tolist(), values.tolist())])
         yield _batch([(TEXTS, 0, 0, texts, b"", b"", b"")])
 
     return rows.select("text", "held_out").mapInArrow(tally, _PARTS).repartition(parts, "p").mapInArrow(merge, _PARTS)
@@ -559,9 +565,11 @@ def score(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_co
                 else:
                     asked.append(r)
         known = {}
-        for what, some in tables.items():
+        for what, kind in ((RUNS, np.float32), (WORDS, np.int64)):
+            some = tables.pop(what)
             key = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in some)])
-            value = np.concatenate([np.zeros(0), *(v for _, v in some)])
+            value = np.concatenate([np.zeros(0, kind), *(v for _, v in some)])
+            del some
             order = np.argsort(key, kind="stable")
             known[what] = key[order], value[order] if what == RUNS else np.log10(value[order] + 1.0)
         sums = {}
