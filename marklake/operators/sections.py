@@ -7,11 +7,14 @@ import re
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_CHARS, MIN_CHARS, OVERLAP = 2200, 200, 300
+AT_ONCE = 256  # notes
+_CHUNK = pa.schema([*[(c, pa.string()) for c in ("chunk_id", "file_path", "title", "heading", "text", "content_hash")], ("start_line", pa.int32()), ("end_line", pa.int32())])
 _HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*")
 
 
@@ -83,16 +86,17 @@ def content_hash(title: str, heading: str, text: str) -> str:
 def chunks(notes: DataFrame, **options: int) -> DataFrame:
     """Chunks of ``notes (path, title, body)``; a note without body gives one chunk of its title."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, title, body in zip(pdf["path"], pdf["title"], pdf["body"]):
-                title = title or ""
-                for i, c in enumerate(chunk(body or "", **options) or [{"text": title, "heading": "", "start_line": 1, "end_line": 1}]):
-                    rows.append((f"{path}#{i}", path, title, c["heading"], c["text"], content_hash(title, c["heading"], c["text"]), c["start_line"], c["end_line"]))
-            yield pd.DataFrame(rows, columns=["chunk_id", "file_path", "title", "heading", "text", "content_hash", "start_line", "end_line"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):  # few notes as Python values at a time, however many a batch has
+                rows = []
+                for path, title, body in zip(*(c.to_pylist() for c in batch.slice(at, AT_ONCE).columns)):
+                    title = title or ""
+                    for i, c in enumerate(chunk(body or "", **options) or [{"text": title, "heading": "", "start_line": 1, "end_line": 1}]):
+                        rows.append((f"{path}#{i}", path, title, c["heading"], c["text"], content_hash(title, c["heading"], c["text"]), c["start_line"], c["end_line"]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _CHUNK.types)], schema=_CHUNK)
 
-    return notes.select("path", "title", "body").mapInPandas(work, "chunk_id string, file_path string, title string, heading string, text string, content_hash string, start_line int, end_line int")
+    return notes.select("path", "title", "body").mapInArrow(work, "chunk_id string, file_path string, title string, heading string, text string, content_hash string, start_line int, end_line int")
 
 
 def reuse(new: DataFrame, old: DataFrame, model: str) -> DataFrame:
@@ -133,16 +137,22 @@ def with_retry(call: Callable, tries: int = 5, first: float = 5.0, most: float =
 
 
 def backfill(table: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, batch: int = 32, prefix: str = "") -> DataFrame:
-    """``table`` with vectors for the chunks that lack one; ``embed`` runs on the executors, ``batch`` texts at a time."""
-    done = table.where("embedding IS NOT NULL")
-    open_ = table.where("embedding IS NULL")
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), batch):
-                part = pdf.iloc[i : i + batch].copy()
-                part["embedding"] = checked(with_retry(lambda part=part: embed([prefix + t for t in part["text"]])), part)
-                part["embed_model"] = model
-                yield part
-
-    return done.unionByName(open_.mapInPandas(work, table.schema))
+    """``table`` with vectors for the chunks that lack one; ``embed`` runs on the executors, ``batch`` texts at a time.
+
+    The table is read once, and only texts without a vector leave it for Python.
+    """
+    lacks = F.col("embedding").isNull()
+
+    def work(texts: pa.Array, open_: pa.Array) -> pa.Array:
+        at, done = np.flatnonzero(open_.to_numpy(zero_copy_only=False)), []
+        for i in range(0, len(at), batch):
+            part = texts.take(pa.array(at[i : i + batch])).to_pylist()
+            done.append(pa.array(checked(with_retry(lambda part=part: embed([prefix + t for t in part])), part), pa.list_(pa.float64())))
+        place = np.full(len(texts), -1)
+        place[at] = np.arange(len(at))
+        made = pa.concat_arrays([*done, pa.array([None], pa.list_(pa.float64()))])  # the last one stands for the rows that keep theirs
+        return made.take(pa.array(np.where(place < 0, len(at), place)))
+
+    made = F.arrow_udf(work, "array<double>").asNondeterministic()  # never run twice for one row
+    vector = made(F.when(lacks, F.col("text")), lacks).cast(dict(table.dtypes)["embedding"])
+    return table.withColumns({"_made": vector, "embed_model": F.when(lacks, F.lit(model)).otherwise(F.col("embed_model"))}).withColumn("embedding", F.coalesce("embedding", "_made")).select(*table.columns)

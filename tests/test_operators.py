@@ -164,6 +164,25 @@ def test_chunk_table_and_backfill(spark):
     assert again.where("embedding IS NULL").isEmpty() and sections.reuse(sections.chunks(df), done, "other").where("embedding IS NOT NULL").isEmpty()
 
 
+def test_backfill_reads_its_table_once(spark):
+    read, sizes = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    table = spark.range(0, 300, 1, 2).selectExpr("cast(id AS string) AS text", "CASE WHEN id % 3 = 0 THEN array(1.0D) END AS embedding", "CASE WHEN id % 3 = 0 THEN 'old' END AS embed_model").mapInPandas(count, "text string, embedding array<double>, embed_model string")
+
+    def embed(texts):
+        sizes.add(1 if len(texts) <= 32 else 1000)
+        return [[float(t), 2.0] for t in texts]
+
+    got = sections.backfill(table, embed, "new").where("size(embedding) > 0").collect()
+    assert all((r.embedding, r.embed_model) == (([1.0], "old") if int(r.text) % 3 == 0 else ([float(r.text), 2.0], "new")) for r in got) and len(got) == 300
+    assert read.value == 300 and 7 <= sizes.value <= 8
+
+
 def test_retry():
     calls, waits = [], []
 
