@@ -100,9 +100,12 @@ def chunks(notes: DataFrame, **options: int) -> DataFrame:
 
 
 def reuse(new: DataFrame, old: DataFrame, model: str) -> DataFrame:
-    """``new`` chunks with the vectors of equal content that ``old (content_hash, embed_model, embedding)`` holds for the model."""
+    """``new`` chunks with the vectors of equal content that ``old (content_hash, embed_model, embedding)`` holds for the model.
+
+    Both sides may be of any size, and sizes guessed from a plan of made texts are far too small: they are sorted and merged, never broadcast.
+    """
     known = old.where((F.col("embed_model") == model) & F.col("embedding").isNotNull()).groupBy("content_hash").agg(F.first("embedding").alias("embedding"))
-    return new.join(known, "content_hash", "left").withColumn("embed_model", F.when(F.col("embedding").isNotNull(), F.lit(model)))
+    return new.join(known.hint("merge"), "content_hash", "left").withColumn("embed_model", F.when(F.col("embedding").isNotNull(), F.lit(model)))
 
 
 def checked(vectors: list, texts: list) -> list:

@@ -110,3 +110,21 @@ def test_fm_matches(spark):
 
 def test_uri(spark):
     assert text(spark, lambda c: T.note_uri(F.lit("my vault"), c), "a b/é.md") == "note://open?vault=my%20vault&file=a%20b%2F%C3%A9"
+
+
+def test_front_matter_is_found_as_the_patterns_read_it(spark):
+    import re
+    import time
+
+    patterns = {"api": re.compile(r"\A---\n([\s\S]*?)\n---\n([\s\S]*)\Z"), "index": re.compile(r"\A---\n([\s\S]*?)\n---\n?([\s\S]*)\Z")}
+    texts = ["---\na: 1\n---\nx", "---\na: 1\n---x\n---\ny", "---\n\n---", "---\n---\nx", "--- \na\n---\n", "---\né😀: b\n---\n\nz", "x---\na\n---\n", "", "---\n", "---\na\n--\n---"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    for mode, pattern in patterns.items():
+        for r in df.select("c", T.front_matter(F.col("c"), mode).alias("y"), T.body(F.col("c"), mode).alias("b")).collect():
+            m = pattern.match(r.c)
+            assert (r.y, r.b) == ((m[1], m[2]) if m else (None, r.c))
+    long = spark.range(3000).select(F.concat(F.lit("---\na: 1\n---\n"), F.repeat(F.lit("word "), 8000)).alias("c")).cache()
+    long.count()
+    began = time.time()
+    assert long.agg(F.sum(F.length(T.body(F.col("c"))))).first()[0] == 3000 * 40000
+    assert time.time() - began < 8  # a pattern over the whole text takes many times that

@@ -183,6 +183,15 @@ def test_backfill_reads_its_table_once(spark):
     assert read.value == 300 and 7 <= sizes.value <= 8
 
 
+def test_tables_of_any_size_are_not_broadcast(spark, capsys):
+    df = notes(spark, [("a.md", "x"), ("b.md", "y")])
+    table = sections.chunks(df.select("path", F.lit("t").alias("title"), F.col("content").alias("body"))).withColumn("embedding", F.array(F.lit(1.0)).cast("array<float>")).withColumn("embed_model", F.lit("m"))
+    events = df.select(F.lit("change").alias("event"), "path", "content", F.lit(1).alias("seq"), F.current_timestamp().alias("ts"))
+    for out in (index.apply_chunk_events(table, events, "m"), index.reconcile(df, df), index.unchunked(df, table)):
+        out.explain()
+        assert "Broadcast" not in capsys.readouterr().out
+
+
 def test_retry():
     calls, waits = [], []
 
