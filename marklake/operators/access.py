@@ -51,20 +51,29 @@ def require(spark: SparkSession, principal: dict, operation: str, targets: list[
         raise Denied(f"no access to {bad[0].t}")
 
 
-def visible(notes: DataFrame, callers: DataFrame) -> DataFrame:
-    """``id, path``: the notes that each of ``callers (id, path_allow, path_deny)`` may see, for all callers in one plan.
+def visible_classes(notes: DataFrame, callers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(class, path)`` and ``(id, class)``: callers with the same prefixes are one class, whose notes are found once.
 
     A path is equi-joined by the folders above it (and by itself) with a table of all
-    callers' prefixes; a denied prefix wins over an allowed one, and a caller without an
+    classes' prefixes; a denied prefix wins over an allowed one, and a caller without an
     allow list may see all else.  Paths and prefixes without a canonical form fit nothing.
     """
     listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     allow, deny = listed(F.col("path_allow")), listed(F.col("path_deny"))
     every = F.when(F.size(allow) == 0, F.array(F.lit(""))).otherwise(allow)
     sides = F.concat(F.transform(every, lambda p: F.struct(p.alias("p"), F.lit(True).alias("ok"))), F.transform(deny, lambda p: F.struct(p.alias("p"), F.lit(False).alias("ok"))))
-    prefixes = callers.select("id", F.inline(sides)).select("id", "ok", P.canonical(F.col("p")).alias("_above")).where("_above IS NOT NULL").distinct()
+    each = callers.select("id", F.inline(sides)).select("id", F.struct(P.canonical(F.col("p")).alias("_above"), "ok").alias("side")).where("side._above IS NOT NULL")
+    held = each.groupBy("id").agg(F.array_sort(F.collect_set("side")).alias("sides"))  # one caller's own list
+    members = held.select("id", F.sha2(F.to_json("sides").cast("binary"), 256).alias("class"), "sides")
+    prefixes = members.groupBy("class").agg(F.first("sides").alias("sides")).select("class", F.inline("sides"))
     parts = F.split("_canonical", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     paths = notes.select("path", P.canonical(F.col("path")).alias("_canonical")).where("_canonical IS NOT NULL").distinct().select("path", F.explode(F.array_distinct(above)).alias("_above"))
-    met = paths.join(prefixes, "_above").groupBy("id", "path").agg(F.bool_and("ok").alias("ok"))
-    return met.where("ok").select("id", "path")
+    met = paths.join(prefixes, "_above").groupBy("class", "path").agg(F.bool_and("ok").alias("ok"))
+    return met.where("ok").select("class", "path"), members.select("id", "class")
+
+
+def visible(notes: DataFrame, callers: DataFrame) -> DataFrame:
+    """``id, path``: the notes that each of ``callers (id, path_allow, path_deny)`` may see, for all callers in one plan; what needs no row for each pair asks :func:`visible_classes`."""
+    seen, members = visible_classes(notes, callers)
+    return seen.join(members, "class").select("id", "path")

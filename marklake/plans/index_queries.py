@@ -95,7 +95,8 @@ def visible_notes(spark, sf_dir):
         key.alias("id"), F.when(~broad, F.array(folder("20_Projects/Pro/C"), folder("20_Projects//Perso/./C"), F.lit("../C"))).alias("path_allow"),
         F.when(broad, F.array(F.lit("20_Projects/Pro"))).when(key % 3 == 0, F.array(folder("20_Projects/Perso/C"), F.lit("else"))).alias("path_deny"),
     )
-    return access.visible(notes(spark, sf_dir), callers).groupBy("id").agg(F.count("*").alias("n"), F.min("path").alias("first"))
+    seen, members = access.visible_classes(notes(spark, sf_dir), callers)
+    return seen.groupBy("class").agg(F.count("*").alias("n"), F.min("path").alias("first")).join(members, "class").select("id", "n", "first")
 
 
 # ---- the nearest ten of every vector ----

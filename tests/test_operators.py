@@ -397,3 +397,14 @@ def test_trash_names_stay_apart(spark):
         notes = notes.unionByName(spark.createDataFrame([("a.md", str(i + 1))], "path string, content string"))
     paths = [r.path for r in notes.collect()]
     assert len(set(paths)) == len(paths) == 5
+
+
+def test_callers_with_the_same_prefixes_are_one_class(spark):
+    from marklake.operators import access
+
+    df = spark.createDataFrame([("a/x.md",), ("b/y.md",), ("b/c/z.md",)], "path string")
+    callers = spark.range(50).selectExpr("id", "cast(null AS array<string>) AS path_allow", "IF(id % 2 = 0, array('b/./c/', 'b/c'), array('b/c')) AS path_deny").unionByName(spark.createDataFrame([(99, ["b"], None), (98, ["../x"], [])], "id long, path_allow array<string>, path_deny array<string>"))
+    seen, members = access.visible_classes(df, callers)
+    assert seen.count() == 4 and members.count() == 51 and members.select("class").distinct().count() == 2
+    got = {(r.id, r.path) for r in access.visible(df, callers).collect()}
+    assert got == {(i, p) for i in range(50) for p in ("a/x.md", "b/y.md")} | {(99, "b/y.md"), (99, "b/c/z.md")}
