@@ -83,6 +83,20 @@ def match(events: DataFrame, rules: DataFrame) -> DataFrame:
     return found.where(ok).select("event", "path", "frontmatter", "ts", F.col("id").alias("webhook_id"), "url", "secret", F.when(F.col("include_body"), F.col("_content")).alias("body"))
 
 
+def match_classes(events: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(event, path, frontmatter, ts, class)`` and ``(id, class)``: enabled rules with the same conditions are one class, which an event meets once.
+
+    Every pair of :func:`match` is a pair of the first table with a member of its class.
+    """
+    entries = lambda c: F.coalesce(F.array_sort(F.map_entries(c)), F.array().cast("array<struct<key:string,value:string>>"))
+    asked = F.array_sort(F.array_distinct(F.coalesce("events", F.array().cast("array<string>"))))
+    same = F.to_json(F.struct(F.coalesce("folder", F.lit("")).alias("f"), entries("frontmatter").alias("i"), entries("frontmatter_not").alias("n"), asked.alias("e")), {"ignoreNullFields": "false"})
+    classed = rules.where("enabled").withColumn("class", F.sha2(same.cast("binary"), 256))
+    one = classed.dropDuplicates(["class"]).withColumns({"id": F.col("class"), "url": F.lit(None).cast("string"), "secret": F.lit(None).cast("string"), "include_body": F.lit(False)})
+    met = match(events.select("event", "path", "frontmatter", "ts"), one.drop("class"))
+    return met.select("event", "path", "frontmatter", "ts", F.col("webhook_id").alias("class")), classed.select("id", "class")
+
+
 def create(rules: DataFrame, url: str, now: str, *, name: str = "", folder: str = "", frontmatter: dict | None = None, frontmatter_not: dict | None = None, events: list[str] | None = None, secret: str | None = None, include_body: bool = False, allow_private: bool = False, key: str | None = None) -> DataFrame:
     """The rules with one more; its address must be public unless ``allow_private``."""
     chosen = list(dict.fromkeys(events or EVENTS))

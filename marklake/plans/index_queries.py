@@ -78,9 +78,10 @@ def rules_table(spark, sf_dir):
     front = F.concat(F.regexp_replace("props", r"\}\s*\z", ""), F.lit(',"type":"'), F.col("event_type"), F.lit('"}'))
     path = F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string"), F.lit("/x/y/"), F.col("event_id").cast("string"), F.lit(".md"))
     events = _table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "view", "unlink").otherwise("add").alias("event"), path.alias("path"), front.alias("frontmatter"), "ts")
-    met = webhooks.match(events, rules)
+    met, members = webhooks.match_classes(events, rules)
+    held = members.groupBy("class").agg(F.count("*").alias("n"), F.max(F.col("id").cast("long")).alias("last"))
     event = F.regexp_extract("path", r"(\d+)\.md", 1).cast("long")
-    return met.groupBy(event.alias("event_id")).agg(F.count("*").alias("n"), F.max(F.col("webhook_id").cast("long")).alias("last"))
+    return met.join(held, "class").groupBy(event.alias("event_id")).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
 
 # ---- what every caller may see, in one plan ----

@@ -408,3 +408,12 @@ def test_callers_with_the_same_prefixes_are_one_class(spark):
     assert seen.count() == 4 and members.count() == 51 and members.select("class").distinct().count() == 2
     got = {(r.id, r.path) for r in access.visible(df, callers).collect()}
     assert got == {(i, p) for i in range(50) for p in ("a/x.md", "b/y.md")} | {(99, "b/y.md"), (99, "b/c/z.md")}
+
+
+def test_rules_with_the_same_conditions_are_met_once(spark):
+    rules = spark.range(100).selectExpr("cast(id AS string) AS id", "id <> 7 AS enabled", "'https://h.example/' AS url", "IF(id % 2 = 0, 'a', null) AS folder", "map('k', '1', 'm', '2') AS frontmatter", "IF(id % 4 < 2, null, map()) AS frontmatter_not", "cast(null AS array<string>) AS events", "'s' AS secret", "true AS include_body")
+    events = spark.createDataFrame([("add", "a/n.md", '{"k":"1","m":"2"}'), ("add", "b/n.md", '{"m":"2","k":"1"}'), ("add", "a/o.md", "{}")], "event string, path string, frontmatter string").withColumn("ts", F.lit("2026-01-01").cast("timestamp"))
+    met, members = webhooks.match_classes(events, rules)
+    assert met.count() == 3 and members.count() == 99
+    pairs = lambda df: sorted((r[0], r[1]) for r in df.collect())
+    assert pairs(met.join(members, "class").select("path", "id")) == pairs(webhooks.match(events, rules).select("path", "webhook_id"))
