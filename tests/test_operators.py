@@ -417,3 +417,10 @@ def test_rules_with_the_same_conditions_are_met_once(spark):
     assert met.count() == 3 and members.count() == 99
     pairs = lambda df: sorted((r[0], r[1]) for r in df.collect())
     assert pairs(met.join(members, "class").select("path", "id")) == pairs(webhooks.match(events, rules).select("path", "webhook_id"))
+
+
+def test_signatures_of_columns(spark):
+    rows = [("k", b"x"), ("é" * 40, b"y"), ("a" * 64, b""), ("", b"z"), (None, b"q"), ("k", None)]
+    df = spark.createDataFrame(rows, "k string, b binary").withColumn("s", deliver.signature_of(F.col("k"), F.col("b")))
+    assert {r.s for r in df.collect()} == {deliver.signature(k, b) if k is not None and b is not None else None for k, b in rows}
+    assert "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()  # no expression for each byte of a key
