@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -198,11 +199,18 @@ def collapse(chunks: DataFrame) -> DataFrame:
 def snippets(content: Column, query: str, n: int = 3) -> Column:
     """Lines that hold a query term, folded; else the first lines; cut to 300 characters."""
     terms = [t for t, _ in query_terms(query)]
-    lines = F.filter(F.transform(F.split(content, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    hit = lambda x: F.exists(F.array(*[F.lit(t) for t in terms]).cast("array<string>"), lambda t: F.contains(T.fold(x), t))
-    found = F.filter(lines, hit)
+    # the text is folded once and whole: no line end comes or goes by that
+    pairs = F.zip_with(F.split(content, "\n"), F.split(T.fold(content), "\n"), lambda x, y: F.struct(F.trim(x).alias("line"), y.alias("folded")))
+    hit = lambda y: reduce(lambda a, t: a | F.contains(y, F.lit(t)), terms, F.lit(False))
+    lines = F.transform(F.filter(pairs, lambda p: p["line"] != ""), lambda p: F.struct(p["line"].alias("line"), hit(p["folded"]).alias("hit")))
     cut = lambda x: F.when(F.length(x) > SNIPPET, F.concat(F.substring(x, 1, SNIPPET), F.lit("…"))).otherwise(x)
-    return F.transform(F.slice(F.when(F.size(found) > 0, found).otherwise(lines), 1, n), cut)
+
+    def chosen(every: Column, found: Column) -> Column:
+        return F.slice(F.when(F.size(found) > 0, found).otherwise(every), 1, n)
+
+    # lambdas over one element, so that what both branches use is made once
+    best = F.transform(F.array(lines), lambda every: F.transform(F.array(F.filter(every, lambda p: p["hit"])), lambda found: chosen(every, found))[0])[0]
+    return F.transform(best, lambda p: cut(p["line"]))
 
 
 def grep(notes: DataFrame, query: str, *, limit=None, since=None, before=None, allow=None, deny=None, id_col: str = "path", text_col: str = "content") -> DataFrame:

@@ -424,3 +424,10 @@ def test_signatures_of_columns(spark):
     df = spark.createDataFrame(rows, "k string, b binary").withColumn("s", deliver.signature_of(F.col("k"), F.col("b")))
     assert {r.s for r in df.collect()} == {deliver.signature(k, b) if k is not None and b is not None else None for k, b in rows}
     assert "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()  # no expression for each byte of a key
+
+
+def test_snippets_fold_a_text_once(spark):
+    df = spark.createDataFrame([("  Éa\n\n x thtion \nÓRDER 1\nzz",), ("é\n \nb\nc",), ("",), (None,)], "c string")
+    out = df.select(search.snippets(F.col("c"), "order THTION shipped", 2).alias("m"))
+    assert [r.m for r in out.collect()] == [["x thtion", "ÓRDER 1"], ["é", "b"], [], None]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 1
