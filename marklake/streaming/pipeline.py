@@ -79,9 +79,10 @@ class Store:
             attempt = max([attempt, *(1 + int(n.split("-")[1]) for n in self._names(name) if n.startswith(f"{turn}-"))])
         writing = f"{turn}-{attempt}"
         for name, df in tables.items():
-            key, parts = (TABLES | BY_CONTENT)[name][0], hashes if name in BY_CONTENT else touched
+            key = (TABLES | BY_CONTENT)[name][0]
             placed = df.withColumn("bucket", self.bucket(F.col(key)))
-            placed.repartition(len(parts) or 1, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/{writing}")
+            # by bucket, but a large bucket is cut into several tasks' files: no task sorts a share of the whole table
+            placed.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/{writing}")
         state = self.manifest(before=turn) | {str(b): writing for b in touched} | {f"v{b}": writing for b in hashes}
         temp = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
         out = self._fs.create(temp, True)

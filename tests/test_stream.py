@@ -222,3 +222,15 @@ def test_stream_keeps_the_index(spark, tmp_path):
 def test_windows_on_a_table(spark):
     df = spark.createDataFrame([("2026-01-01 01:00:00", "a", 1.0), ("2026-01-01 23:00:00", "a", 2.0)], "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     assert [(r.n, r.total) for r in pipeline.windowed_counts(df).collect()] == [(2, 3.0)]
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    files = spark.range(0, 4000, 1, 4).selectExpr("concat('n/', id) AS path", "sha2(cast(id AS string), 512) AS title", "cast(null AS string) AS created", "cast(null AS string) AS modified", "cast(null AS array<string>) AS tags", "sha2(cast(-id AS string), 512) AS frontmatter")
+    store = pipeline.Store(spark, f"file://{tmp_path}/s", buckets=1)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "100k")
+    try:
+        store.save(0, {0}, {"files": files})
+    finally:
+        spark.conf.unset(size)
+    assert len(list(tmp_path.glob("s/files/*/bucket=0/*.parquet"))) > 1 and store.table("files").count() == 4000
