@@ -128,3 +128,12 @@ def test_front_matter_is_found_as_the_patterns_read_it(spark):
     began = time.time()
     assert long.agg(F.sum(F.length(T.body(F.col("c"))))).first()[0] == 3000 * 40000
     assert time.time() - began < 8  # a pattern over the whole text takes many times that
+
+
+def test_simple_front_matter_skips_the_parser(monkeypatch):
+    texts = ['title: Order 5\nstatus: F\npriority: "1-URGENT"\ncreated: 1996-01-02\nn: 12\n', "a: yes\nb: x/y.md\n\na: z"]
+    odd = ["a: true", "a: Null", "a: b: c", "a: b #c", "a: 2026-13-02", "a: 007", "a: b\n  more", "- a", "a: 1e5", 'a: "\\n"', "null: x", ""]
+    fast = [Y.parse(t) for t in texts + odd]
+    assert all(Y._simple(t) for t in texts) and not any(Y._simple(t) for t in odd)
+    monkeypatch.setattr(Y, "_simple", lambda t: None)
+    assert fast == [Y.parse(t) for t in texts + odd]
