@@ -431,3 +431,12 @@ def test_snippets_fold_a_text_once(spark):
     out = df.select(search.snippets(F.col("c"), "order THTION shipped", 2).alias("m"))
     assert [r.m for r in out.collect()] == [["x thtion", "ÓRDER 1"], ["é", "b"], [], None]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 1
+
+
+def test_words_are_counted_where_a_document_is_read(spark, monkeypatch):
+    monkeypatch.setattr(search, "WORDS_AT_ONCE", 3)
+    docs = spark.createDataFrame([("a", "Réunion x", "budget validé budget x"), ("b", None, ""), ("c", "y", None), ("d", "", "z " * 9)], "id string, title string, text string").coalesce(1)
+    made = search.forward(docs, ["id"], {"title": 3.0, "text": 1.0})
+    got = {r.id: (r.length, {t.term: t.tf for t in r.terms}) for r in made.collect()}
+    assert got == {"a": (6, {"reunion": 3.0, "x": 4.0, "budget": 2.0, "valide": 1.0}), "b": (0, {}), "c": (1, {"y": 3.0}), "d": (9, {"z": 9.0})}
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
