@@ -440,3 +440,13 @@ def test_words_are_counted_where_a_document_is_read(spark, monkeypatch):
     got = {r.id: (r.length, {t.term: t.tf for t in r.terms}) for r in made.collect()}
     assert got == {"a": (6, {"reunion": 3.0, "x": 4.0, "budget": 2.0, "valide": 1.0}), "b": (0, {}), "c": (1, {"y": 3.0}), "d": (9, {"z": 9.0})}
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_are_searched_once(spark):
+    """What a search returns is made from its candidates: the texts are not counted again for each part of the answer."""
+    rows = [(f"{i}#0", f"{i}.md", "T", "", f"budget {i}", None, 1, 1, [1.0, float(i)]) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, file string, title string, heading string, text string, date string, start_line int, end_line int, embedding array<double>")
+    out, mode, _ = search.search(spark, chunks, "budget", embed=lambda q: [0.0, 1.0])
+    assert mode == "hybrid" and out.count() == 20 and out.first()["matches"][0].startswith("budget ")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?<!" not in plan
