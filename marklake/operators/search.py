@@ -20,6 +20,7 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 CANDIDATES = 40
 SNIPPET = 300
+TILE_MB = 16  # of vectors that travel together
 WORDS_AT_ONCE = 1 << 18  # of a batch, when they are counted
 TERMS = "terms array<struct<term:string,tf:double>>"
 
@@ -149,21 +150,48 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int, *, id_col: str =
     return vectors.select(F.col(id_col).alias("id"), cosine(F.col(vec_col), q).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def _number(vectors: DataFrame, vec_col: str) -> str:
+    return "float32" if dict(vectors.dtypes)[vec_col] == "array<float>" else "float64"
+
+
+def _unit(raw: bytes, number: str, rows: int) -> Callable[[int, int], np.ndarray]:
+    """Some of the packed vectors as unit vectors in double."""
+    matrix = np.frombuffer(raw, number).reshape(rows, -1)
+
+    def some(start: int, stop: int) -> np.ndarray:
+        part = matrix[start:stop].astype(np.float64)
+        return part / np.linalg.norm(part, axis=1)[:, None]
+
+    return some
+
+
+def _best(score: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's ``k`` largest values in falling order, the first of equal ones first."""
+    if score.shape[1] <= k:
+        return np.argsort(-score, axis=1, kind="stable")
+    best = np.sort(np.argpartition(-score, k - 1, axis=1)[:, :k], axis=1)
+    found = np.take_along_axis(score, best, axis=1)
+    best = np.take_along_axis(best, np.argsort(-found, axis=1, kind="stable"), axis=1)
+    tied = (score >= found.min(axis=1)[:, None]).sum(axis=1) > k  # a tie at the end: which of them come first has to be looked at
+    best[tied] = np.argsort(-score[tied], axis=1, kind="stable")[:, :k]
+    return best
+
+
 def _blocks(vectors: DataFrame, count: int, id_col: str, vec_col: str) -> DataFrame:
-    """``block, n, ids, matrix``: unit vectors (float64) in ``count`` blocks by hash of the id; null, zero and non-finite vectors are left out."""
-    kind = dict(vectors.dtypes)[id_col]
+    """``block, ids, matrix``: vectors, in the type they have, in ``count`` blocks by hash of the id; null, zero and non-finite vectors are left out."""
+    kind, number = dict(vectors.dtypes)[id_col], _number(vectors, vec_col)
 
     def pack(key, table):
         found = table.column("v").combine_chunks()
-        flat = found.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        flat = found.flatten().to_numpy(zero_copy_only=False).astype(number)
         sizes = np.diff(found.offsets.to_numpy())
         width = int(sizes.max(initial=0))
         good = np.flatnonzero((sizes == width) & (width > 0))
         matrix = flat.reshape(-1, width) if len(good) == len(sizes) else np.stack([np.resize(found[int(i)].values.to_numpy(zero_copy_only=False), width) for i in good]) if len(good) else np.zeros((0, 0))
-        norm = np.linalg.norm(matrix, axis=1)
+        norm = np.concatenate([np.linalg.norm(matrix[i : i + 4096].astype(np.float64), axis=1) for i in range(0, max(1, len(matrix)), 4096)])
         whole = np.isfinite(norm) & (norm > 0)
         ids = table.column("id").combine_chunks().take(pa.array(good[whole]))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids.to_pylist()], pa.list_(table.schema.field("id").type)), "matrix": pa.array([(matrix[whole] / norm[whole, None]).tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids.to_pylist()], pa.list_(table.schema.field("id").type)), "matrix": pa.array([matrix[whole].astype(number).tobytes()], pa.binary())})
 
     rows = vectors.where(F.col(vec_col).isNotNull() & ~F.exists(vec_col, lambda x: x.isNull())).select(F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int").alias("block"), F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
     return rows.groupBy("block").applyInArrow(pack, f"block int, ids array<{kind}>, matrix binary")
@@ -172,29 +200,45 @@ def _blocks(vectors: DataFrame, count: int, id_col: str, vec_col: str) -> DataFr
 def vector_topk_batch(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096, rows: tuple[int, int] | None = None) -> DataFrame:
     """``query, id, score, rank``: the ``k`` nearest vectors of every query, itself included, ties by id.
 
-    Both sides are cut into blocks of about ``block`` vectors.  A pair of blocks is one
-    matrix product in one task, of which each query's ``k`` best are kept; those of all
-    pairs are merged by query.  ``rows`` are the numbers of queries and vectors, if known.
+    Both sides are cut into tiles of at most :data:`TILE_MB`, so that each travels few
+    times; a pair of tiles is the work of one task, which multiplies ``block`` vectors of
+    each at a time and keeps each query's ``k`` best; those of all pairs are merged by
+    query.  ``rows`` are the numbers of queries and vectors, if known.
     """
     n_queries, n_vectors = rows or (queries.count(), vectors.count())
-    left, right = max(1, -(-n_queries // block)), max(1, -(-n_vectors // block))
+    width = vectors.agg(F.max(F.size(vec_col))).first()[0] or 1
+    number, other = _number(vectors, vec_col), _number(queries, vec_col)
+    # small tables are cut as well, for all cores to have work
+    side = max(2, round((4 * vectors.sparkSession.sparkContext.defaultParallelism) ** 0.5))
+    tiles = lambda n, size: max(1, -(-n * width * size // (TILE_MB << 20)), min(side, -(-n // block)))
+    left, right = tiles(n_queries, np.dtype(other).itemsize), tiles(n_vectors, np.dtype(number).itemsize)
     a = _blocks(queries, left, id_col, vec_col).select(F.col("ids").alias("queries"), F.col("matrix").alias("left"), F.explode(F.sequence(F.lit(0), F.lit(right - 1))).alias("block"))
     b = _blocks(vectors, right, id_col, vec_col)
     kind = dict(vectors.dtypes)[id_col]
 
     def product(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                x = np.frombuffer(r["left"]).reshape(len(r["queries"]), -1)
-                y = np.frombuffer(r["matrix"]).reshape(len(r["ids"]), -1)
-                if not len(x) or not len(y) or x.shape[1] != y.shape[1]:
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                asked, ids = np.array(r["queries"]), np.array(r["ids"])
+                if not len(asked) or not len(ids) or len(r["left"]) // (len(asked) * np.dtype(other).itemsize) != len(r["matrix"]) // (len(ids) * np.dtype(number).itemsize):
                     continue
-                ids = np.array(r["ids"])
                 order = np.argsort(ids, kind="stable")
-                ids, y = ids[order], y[order]
-                score = np.round(x @ y.T, 9)  # so that equal vectors tie, in whatever block they are
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(r["queries"]), best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(score, best, axis=1).ravel())], ["query", "id", "score"])
+                x = _unit(r["left"], other, len(asked))
+                y = _unit(np.frombuffer(r["matrix"], number).reshape(len(ids), -1)[order].tobytes(), number, len(ids))
+                ids = ids[order]
+                for i in range(0, len(asked), block):
+                    mine, score, place = x(i, i + block), None, None
+                    for j in range(0, len(ids), block):
+                        new = np.round(mine @ y(j, j + block).T, 9)  # so that equal vectors tie, in whatever tile they are
+                        best = _best(new, k)
+                        new, best = np.take_along_axis(new, best, axis=1), best + j
+                        if score is not None:  # those before have smaller ids
+                            new, best = np.concatenate([score, new], axis=1), np.concatenate([place, best], axis=1)
+                            first = _best(new, k)
+                            new, best = np.take_along_axis(new, first, axis=1), np.take_along_axis(best, first, axis=1)
+                        score, place = new, best
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked[i : i + block], place.shape[1])), pa.array(ids[place].ravel()), pa.array(score.ravel())], ["query", "id", "score"])
 
     met = a.join(b, "block").repartition(left * right, F.xxhash64("queries", "block")).mapInArrow(product, f"query {kind}, id {kind}, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")

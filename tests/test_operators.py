@@ -450,3 +450,18 @@ def test_lists_are_searched_once(spark):
     assert mode == "hybrid" and out.count() == 20 and out.first()["matches"][0].startswith("budget ")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "(?<!" not in plan
+
+
+def test_vectors_travel_in_tiles_and_ties_keep_their_order(spark):
+    import numpy as np
+
+    made = np.random.default_rng(5).integers(-2, 3, (300, 3)).astype(float)  # many equal and parallel ones
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(made)], "vec_id long, embedding array<float>")
+    good = [i for i in range(300) if made[i].any()]
+    unit = made[good] / np.linalg.norm(made[good], axis=1)[:, None]
+    score = np.round(unit @ unit.T, 9)
+    got = search.vector_topk_batch(df, df, 4, block=7).collect()
+    want = {(good[q], good[i], r + 1) for q in range(len(good)) for r, i in enumerate(sorted(range(len(good)), key=lambda i, q=q: (-score[q, i], good[i]))[:4])}
+    assert {(r.query, r.id, r.rank) for r in got} == want
+    tiles = search._blocks(df, 1, "vec_id", "embedding").first()
+    assert len(tiles.matrix) == len(good) * 3 * 4  # in their own type
