@@ -465,3 +465,13 @@ def test_vectors_travel_in_tiles_and_ties_keep_their_order(spark):
     assert {(r.query, r.id, r.rank) for r in got} == want
     tiles = search._blocks(df, 1, "vec_id", "embedding").first()
     assert len(tiles.matrix) == len(good) * 3 * 4  # in their own type
+
+
+def test_turns_are_cut_without_one_tasks_window(spark):
+    from marklake.plans.more_queries import _in_turns
+
+    df = spark.range(300).select((F.col("id") * 7 % 300).alias("seq"))
+    cut = _in_turns(df, 3)
+    assert [(r.turn, r.n, r.a) for r in cut.groupBy("turn").agg(F.count("*").alias("n"), F.min("seq").alias("a")).orderBy("turn").collect()] == [(0, 100, 0), (1, 100, 100), (2, 100, 200)]
+    assert "Window" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert _in_turns(df.limit(0), 3).count() == 0
