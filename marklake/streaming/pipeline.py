@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators import edits, index, sections, webhooks
 from ..schema import EMBEDDED, FILES, TASKS, VECTORS
+from ..scratch import Scratch
 from .deliver import REPORT, deliver, public_address
 
 TABLES = {"files": ("path", FILES), "tasks": ("file_path", TASKS), "chunks": ("file_path", EMBEDDED)}
@@ -121,23 +122,31 @@ def batch(store: Store, changes: DataFrame, turn: int, rules: DataFrame | None =
     further options of :func:`deliver`.
     """
     changes = changes.withColumn("seq", F.struct(F.col("seq") if "seq" in changes.columns else F.lit(0).alias("seq"), "ts"))
-    changes = changes.persist()
+    sends = rules is not None and transport is not None
+    work = Scratch(store.spark, "batch", f"{store.root}/work")
     try:
-        touched = store.buckets_of(changes, "path")
+        if sends:  # read again for the rules
+            changes = work.save(changes, "changes")
+        # one parsed row a path, made once: every table is kept current from it
+        last = work.save(index.latest(changes), "last")
+        touched = store.buckets_of(last, "path")
         if not touched:
             return
         files, tasks, chunks = store.load(before=turn, only=touched)
-        new_files, new_tasks = index.apply_events(files, tasks, changes)
-        known = None
+        new_files, new_tasks = index.apply_latest(files, tasks, last)
+        made = index.made_chunks(index.staying(last))
+        known = chunks.select("content_hash", "embed_model", "embedding")
         if model is not None:
-            made = index.apply_chunk_events(chunks.limit(0), changes)
-            known = store.table("vectors", before=turn, only=store.buckets_of(made, "content_hash"))
-        store.save(turn, touched, {"files": new_files, "tasks": new_tasks, "chunks": index.apply_chunk_events(chunks, changes, model, known)})
-        paths = changes.select("path").distinct()
+            made = work.save(made, "chunks")
+            vectors = store.table("vectors", before=turn, only=store.buckets_of(made, "content_hash"))
+            known = known.unionByName(vectors.select(*known.columns))
+        new_chunks = index.delete(chunks, last.select("path"), "file_path").unionByName(index.with_known(made, known, model))
+        store.save(turn, touched, {"files": new_files, "tasks": new_tasks, "chunks": new_chunks})
         if lexical is not None:
+            paths = last.select("path")
             made = store.table("chunks", before=turn + 1, only=touched).withColumn("path", F.col("file_path")).join(paths, "path", "left_semi")
             lexical.apply(made.withColumnsRenamed({"file_path": "owner", "chunk_id": "id"}), turn, paths.withColumnRenamed("path", "owner"))
-        if rules is None or transport is None:
+        if not sends:
             return
         now = store.table("files", before=turn + 1, only=touched)
         known = now.select("path", "frontmatter").withColumn("gone", F.lit(False)).unionByName(files.select("path", "frontmatter").withColumn("gone", F.lit(True)))
@@ -150,7 +159,7 @@ def batch(store: Store, changes: DataFrame, turn: int, rules: DataFrame | None =
         if report:
             report(store.sent(turn))
     finally:
-        changes.unpersist()
+        work.drop()
 
 
 def embed(store: Store, embedder: Callable[[list[str]], list[list[float]]], model: str, turn: int, **options) -> None:

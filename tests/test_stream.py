@@ -234,3 +234,16 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
     finally:
         spark.conf.unset(size)
     assert len(list(tmp_path.glob("s/files/*/bucket=0/*.parquet"))) > 1 and store.table("files").count() == 4000
+
+
+def test_a_batch_is_parsed_once(spark, tmp_path, monkeypatch):
+    """Every table is kept current from one written, parsed row a path, which is gone afterwards."""
+    made, latest = [], index.latest
+    monkeypatch.setattr(index, "latest", lambda events: made.append(1) or latest(events))
+    store = pipeline.Store(spark, str(tmp_path / "s"), buckets=2)
+    rows = [("add", "a.md", "---\ntitle: A\n---\n- [ ] old", "2026-01-01", 1), ("change", "a.md", "---\ntitle: B\ntags: [x]\ncreated: 2026-01-02\n---\n- [X] new due:: 2026-01-03 ", "2026-01-01", 2), ("add", "b.md", "b", "2026-01-01", 1), ("unlink", "b.md", None, "2026-01-01", 2)]
+    pipeline.batch(store, events(spark, rows), 0, model="m")
+    files, tasks, chunks = store.load()
+    assert len(made) == 1 and not list((tmp_path / "s" / "work").iterdir())
+    assert [(r.path, r.title, r.created, r.modified, r.tags) for r in files.collect()] == [("a.md", "B", "2026-01-02", "2026-01-01", ["x"])]
+    assert [(r.text, r.completed, r.due, r.pos) for r in tasks.collect()] == [("new due:: 2026-01-03", 1, "2026-01-03", 0)] and [r.title for r in chunks.collect()] == ["B"]
