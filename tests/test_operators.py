@@ -475,3 +475,12 @@ def test_turns_are_cut_without_one_tasks_window(spark):
     assert [(r.turn, r.n, r.a) for r in cut.groupBy("turn").agg(F.count("*").alias("n"), F.min("seq").alias("a")).orderBy("turn").collect()] == [(0, 100, 0), (1, 100, 100), (2, 100, 200)]
     assert "Window" not in cut._jdf.queryExecution().executedPlan().toString()
     assert _in_turns(df.limit(0), 3).count() == 0
+
+
+def test_comments_are_handled_a_few_at_a_time(spark):
+    note = comments.create("a span b", "span", "said", "ann", "2026-01-01")
+    df = spark.range(0, 600, 1, 1).select(F.when(F.col("id") % 3 > 0, F.lit(note)).alias("content"), "id")
+    assert comments.AT_ONCE < 600
+    got = df.select("id", comments.parse("content").alias("t")).collect()
+    assert len(got) == 600 and all([x.anchored_text for x in r.t] == (["span"] if r.id % 3 else []) for r in got)
+    assert df.select(comments.by_few(lambda c: c, "string")("content").alias("c")).where("c IS NULL").count() == 200
