@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
 from ..functions.yaml import fm_text
+from ..scratch import Scratch
 
 MAX_BATCH = 100
 
@@ -73,6 +74,20 @@ def list_files(files: DataFrame, *, path: str | None = None, since: str | None =
     return df.orderBy(F.col("date").desc_nulls_last(), reader_order(F.col("path")), "path")
 
 
+def numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """Rows of a sorted table with their place, from 1: numbered where they lie, so no task sees them all.
+
+    The sorted rows are written with their number within their task; how many rows the
+    tasks before it had, one figure a task, is added.
+    """
+    written = Scratch(ordered.sparkSession, "numbered").save(ordered.withColumn("_at", F.monotonically_increasing_id()), "rows")
+    placed = written.withColumn("_task", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_task").agg(F.count("*").alias("_n"))
+    before = sizes.select("_task", F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    number = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1
+    return placed.join(F.broadcast(before), "_task").select(*ordered.columns, number.alias(name))
+
+
 def directory(paths: DataFrame, folder: str = "", allow: list[str] | None = None, deny: list[str] | None = None) -> DataFrame:
     """``name, type`` of the direct children of a folder: folders first, then by name."""
     prefix = folder.strip("/") + "/" if folder.strip("/") else ""

@@ -149,4 +149,7 @@ SELECT event_id, r, num >= 5.5 AS high FROM (SELECT *, row_number() OVER (ORDER
 def json_typed(spark, sf_dir):
     """Values compared and ordered as numbers (true is 1) or texts, whichever they are."""
     events = _table(spark, sf_dir, "events").select("event_id", F.expr(_VALUE).alias("front"))
-    return gate.query(spark, {"e": events}, "SELECT event_id, r, high FROM (SELECT event_id, row_number() OVER (ORDER BY json_extract(front, '$.v') DESC, event_id) AS r, json_extract(front, '$.v') >= 5.5 AS high, CASE WHEN json_extract(front, '$.v') >= 1 THEN 1 WHEN event_id % 4 = 2 THEN 1 ELSE 0 END AS shown FROM e) x WHERE shown = 1")
+    rows = gate.query(spark, {"e": events}, "SELECT event_id, front, json_extract(front, '$.v') >= 5.5 AS high, CASE WHEN json_extract(front, '$.v') >= 1 THEN 1 WHEN event_id % 4 = 2 THEN 1 ELSE 0 END AS shown FROM e")
+    keys = {f"_key{i}": F.expr(k) for i, k in enumerate(gate.typed_order("front", "'$.v'"))}  # columns, or the sort would parse at each comparison
+    ordered = rows.withColumns(keys).drop("front").orderBy(*[F.desc(k) for k in keys], "event_id").drop(*keys)
+    return listing.numbered(ordered, "r").where("shown = 1").select("event_id", "r", "high")

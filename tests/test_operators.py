@@ -484,3 +484,9 @@ def test_comments_are_handled_a_few_at_a_time(spark):
     got = df.select("id", comments.parse("content").alias("t")).collect()
     assert len(got) == 600 and all([x.anchored_text for x in r.t] == (["span"] if r.id % 3 else []) for r in got)
     assert df.select(comments.by_few(lambda c: c, "string")("content").alias("c")).where("c IS NULL").count() == 200
+
+
+def test_rows_are_numbered_where_they_lie(spark):
+    df = spark.range(0, 1000, 1, 7).withColumn("k", F.pmod(F.col("id") * 377, F.lit(1000)))
+    got = listing.numbered(df.repartition(5).sortWithinPartitions("id").orderBy("k"), "r").collect()
+    assert sorted((r.k, r.r) for r in got) == [(i, i + 1) for i in range(1000)] and listing.numbered(df.where("id < 0").orderBy("k"), "r").count() == 0
