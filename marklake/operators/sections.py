@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_CHARS, MIN_CHARS, OVERLAP = 2200, 200, 300
-AT_ONCE = 256  # notes
+AT_ONCE, TEXT_AT_ONCE = 256, 1 << 20  # notes, characters of their bodies
 _CHUNK = pa.schema([*[(c, pa.string()) for c in ("chunk_id", "file_path", "title", "heading", "text", "content_hash")], ("start_line", pa.int32()), ("end_line", pa.int32())])
 _HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*")
 
@@ -88,13 +88,16 @@ def chunks(notes: DataFrame, **options: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):  # few notes as Python values at a time, however many a batch has
-                rows = []
-                for path, title, body in zip(*(c.to_pylist() for c in batch.slice(at, AT_ONCE).columns)):
-                    title = title or ""
-                    for i, c in enumerate(chunk(body or "", **options) or [{"text": title, "heading": "", "start_line": 1, "end_line": 1}]):
-                        rows.append((f"{path}#{i}", path, title, c["heading"], c["text"], content_hash(title, c["heading"], c["text"]), c["start_line"], c["end_line"]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _CHUNK.types)], schema=_CHUNK)
+            rows, held = [], 0
+            for at in range(batch.num_rows):  # few notes as Python values at a time, however many or long ones a batch has
+                path, title, body = (c[at].as_py() for c in batch.columns)
+                title, body = title or "", body or ""
+                for i, c in enumerate(chunk(body, **options) or [{"text": title, "heading": "", "start_line": 1, "end_line": 1}]):
+                    rows.append((f"{path}#{i}", path, title, c["heading"], c["text"], content_hash(title, c["heading"], c["text"]), c["start_line"], c["end_line"]))
+                held += len(body)
+                if (at + 1) % AT_ONCE == 0 or held >= TEXT_AT_ONCE or at + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _CHUNK.types)], schema=_CHUNK)
+                    rows, held = [], 0
 
     return notes.select("path", "title", "body").mapInArrow(work, "chunk_id string, file_path string, title string, heading string, text string, content_hash string, start_line int, end_line int")
 

@@ -154,6 +154,23 @@ def test_chunks():
     assert all(any(f"paragraph {i} " in c["text"] for c in got) for i in range(80))
 
 
+def test_chunks_hold_few_notes_however_long():
+    import pyarrow as pa
+
+    class Notes:
+        """In place of a table: the function that its tasks would run."""
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, work, schema: work
+
+    body = "\n\n".join("word " * 20 + str(i) for i in range(4000))  # 400,000 characters
+    rows = [(f"{i}.md", "T", body if i % 2 else None) for i in range(16)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["path", "title", "body"])
+    got = list(sections.chunks(Notes())(iter([batch, batch.slice(0, 0), batch.slice(0, 1)])))
+    assert max(sum(map(len, b.column("text").to_pylist())) for b in got) < sections.TEXT_AT_ONCE + 2 * len(body)
+    made = [(r["file_path"], r["text"]) for b in got for r in b.to_pylist()]
+    assert made == [(p, c["text"]) for p, t, b in [*rows, rows[0]] for c in sections.chunk(b or "") or [{"text": t}]]
+
+
 def test_chunk_table_and_backfill(spark):
     df = spark.createDataFrame([("a.md", "T", ""), ("b.md", "U", "some text")], "path string, title string, body string")
     table = sections.chunks(df).withColumn("embedding", F.lit(None).cast("array<double>")).withColumn("embed_model", F.lit(None).cast("string"))
