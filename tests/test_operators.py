@@ -507,3 +507,22 @@ def test_rows_are_numbered_where_they_lie(spark):
     df = spark.range(0, 1000, 1, 7).withColumn("k", F.pmod(F.col("id") * 377, F.lit(1000)))
     got = listing.numbered(df.repartition(5).sortWithinPartitions("id").orderBy("k"), "r").collect()
     assert sorted((r.k, r.r) for r in got) == [(i, i + 1) for i in range(1000)] and listing.numbered(df.where("id < 0").orderBy("k"), "r").count() == 0
+
+
+def test_words_are_told_from_bytes(spark):
+    """Counts of given terms equal those that patterns find, for letters of any script and texts that touch in memory."""
+    odd = ["order orders order", "reorder border", "", None, "Réunion_reunion ÓRDER’order", "x" * 2400, "order", "日本order 語 order—x", "éte ÉTÉ 12order", "ord", "x·order·y"]
+    rows = [(i, odd[i % len(odd)], odd[(i * 7 + 3) % len(odd)]) for i in range(len(odd) * 5)]
+    docs = spark.createDataFrame(rows, "id long, title string, text string").coalesce(1)
+    fields, terms = {"title": 3.0, "text": 1.0}, [("order", True), ("order", False), ("ete", True), ("日本order", False), ("x", True)]
+    made = search._counted(docs, fields, terms)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, search._matched(docs, fields, terms).collect()))
+    assert "regexp_count" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_chunks_bring_what_their_note_has(spark):
+    df = spark.createDataFrame([(f"{i}.md", "T", "# A\n" + f"word {i} " * 600, f"2026-01-{i:02d}") for i in range(1, 20)] + [("e.md", "E", None, None)], "path string, title string, body string, date string")
+    cut = sections.chunks(df, keep=("date",), embed=lambda texts: [[float(len(t))] for t in texts])
+    got = cut.collect()
+    assert len(got) > 40 and all(r.date == (None if r.file_path == "e.md" else f"2026-01-{int(r.file_path[:-3]):02d}") and r.embedding == [len(r.text)] for r in got)
+    assert "Join" not in cut._jdf.queryExecution().optimizedPlan().toString()
