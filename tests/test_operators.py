@@ -526,3 +526,29 @@ def test_chunks_bring_what_their_note_has(spark):
     got = cut.collect()
     assert len(got) > 40 and all(r.date == (None if r.file_path == "e.md" else f"2026-01-{int(r.file_path[:-3]):02d}") and r.embedding == [len(r.text)] for r in got)
     assert "Join" not in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_postings_are_turned_round_where_words_are_read(spark, monkeypatch):
+    from marklake.operators import lexical
+
+    monkeypatch.setattr(lexical, "IN_ROW", 3)
+    docs = spark.range(0, 40, 1, 3).selectExpr("concat('n', id) AS owner", "concat('n', id, '#0') AS id", "concat('order ', id % 4, ' order ', repeat('x', CAST(id AS int)), IF(id % 9 = 0, '', ' ñandú')) AS text").unionByName(spark.createDataFrame([("e", "e#0", "")], "owner string, id string, text string"))
+    words = search.forward(docs, ["owner", "id"], {"text": 1.0})
+    made = lexical._packed(words)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.agg(F.max(F.size("docs"))).first()[0] == 3
+    flat = lambda df: sorted(map(tuple, df.collect()))
+    want = words.select("owner", "id", "length", F.inline("terms")).select("term", "owner", "id", "tf", "length")
+    assert flat(made.select("term", F.inline("docs")).select("term", "owner", "id", "tf", "length")) == flat(want)
+    assert lexical._packed(words.where("id = 'e#0'")).count() == 0
+
+
+def test_equal_documents_of_an_index_score_the_same(spark, tmp_path):
+    from marklake.operators.lexical import LexicalIndex
+
+    docs = spark.range(0, 300, 1, 4).selectExpr("concat('n', id) AS owner", "concat('n', id, '#0') AS id", "'budget order orders thtion attion attions budgets border' AS text")
+    index = LexicalIndex(spark, f"file://{tmp_path}/i")
+    index.apply(docs.unionByName(spark.createDataFrame([("z", "z#0", "nothing here")], "owner string, id string, text string")), 0)
+    got = index.bm25("thtion attion budget order", owners=docs.where("owner <> 'n7'").select("owner"))
+    assert got.count() == 299 and got.select("score").distinct().count() == 1
+    assert index.bm25("! ?").count() == 0
